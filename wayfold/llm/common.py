@@ -138,12 +138,9 @@ def words_of(data: np.ndarray, ends: np.ndarray, separator: np.ndarray) -> tuple
 def grams(hashed: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k words from each word on, in order; the last k - 1 places run into the following document."""
     n = max(0, len(hashed) - k + 1)
-    total = np.full(n, np.uint64(k) * np.uint64(0xA0761D6478BD642F), dtype=np.uint64)
-    factor = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            total += hashed[j : j + n] * factor
-            factor = factor * _STEP
+    total = np.full(n, k * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for j in range(k):
+        total += hashed[j : j + n] * np.uint64(pow(int(_STEP), j, 1 << 64))
     return mix(total)
 
 
