@@ -110,11 +110,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(data: np.ndarray, ends: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes that are no separators: their document, 64-bit hash (A-Z as a-z), and the words of each document."""
-    n_docs = len(ends) - 1
+def word_bounds(data: np.ndarray, ends: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes that are no separators: where each begins and ends, and its document."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~separator[data]
     full = ends[:-1] < ends[1:]
     before = np.empty_like(inside)
@@ -127,12 +126,21 @@ def words_of(data: np.ndarray, ends: np.ndarray, separator: np.ndarray) -> tuple
     after[:-1] = inside[1:]
     after[ends[1:][full] - 1] = False
     last = np.flatnonzero(inside & ~after) + 1
+    return first, last, np.searchsorted(ends, first, "right") - 1
+
+
+def run_hashes(data: np.ndarray, first: np.ndarray, *lasts: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes (A-Z as a-z) of the runs of bytes that begin at ``first``, for each array of ends."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTES[LOWER[data]] * _powers_of(_ODD, len(data)), out=sums[1:])
-    hashed = (sums[last] - sums[first]) * _powers_of(_INVERSE, len(data))[first]
-    hashed = mix(hashed + (last - first).astype(np.uint64) * _STEP)
-    doc = np.searchsorted(ends, first, "right") - 1
-    return doc, hashed, np.bincount(doc, minlength=n_docs)
+    shift = _powers_of(_INVERSE, max(1, len(data)))[first]
+    return [mix((sums[last] - sums[first]) * shift + (last - first).astype(np.uint64) * _STEP) for last in lasts]
+
+
+def words_of(data: np.ndarray, ends: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are no separators): their document, 64-bit hash, and the words of each document."""
+    first, last, doc = word_bounds(data, ends, separator)
+    return doc, run_hashes(data, first, last)[0], np.bincount(doc, minlength=len(ends) - 1)
 
 
 def grams(hashed: np.ndarray, k: int) -> np.ndarray:
@@ -167,5 +175,7 @@ def separators(pattern_bytes: bytes) -> np.ndarray:
     return table
 
 
+#: Everything in ASCII but letters and digits.
+SYMBOLS = separators(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 #: Separators of words `[^\x20\x09-\x0D]+`.
 SPACES = separators(bytes([0x20, *range(0x09, 0x0E)]))

@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import grams, mix, pieces, separators, text_bytes, words_of
+from wayfold.llm.common import SYMBOLS, grams, mix, pieces, text_bytes, words_of
 
 GRAM, SHIFT, COVER = 2, 4, 0.7
-#: Everything in ASCII but letters and digits.
-SEPARATORS = separators(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 # Phrases that count at exact places only.
 BASE = {"cc-by": ["cc by"], "gpl": ["general public license"], "reserved": ["all rights reserved"]}
@@ -49,7 +47,7 @@ _DOCUMENT = np.uint64(0)  # the gram of the row that stands for a whole document
 
 def _words(phrase: str) -> np.ndarray:
     raw = np.frombuffer(phrase.encode(), dtype=np.uint8)
-    return words_of(raw, np.array([0, len(raw)]), SEPARATORS)[1]
+    return words_of(raw, np.array([0, len(raw)]), SYMBOLS)[1]
 
 
 def templates(spark: SparkSession, base: dict[str, list[str]], wordings: dict[str, list[str]], k: int = GRAM) -> DataFrame:
@@ -73,7 +71,7 @@ def text_grams(df: DataFrame, text: str, keep: list[str], k: int = GRAM) -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         for part in pieces(batches, text):
-            doc, hashed, counts = words_of(*text_bytes(part.column(text)), SEPARATORS)
+            doc, hashed, counts = words_of(*text_bytes(part.column(text)), SYMBOLS)
             n_docs = part.num_rows
             starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
             inside = doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :]

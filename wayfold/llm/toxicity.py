@@ -1,30 +1,36 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
-Voters are groups of a fixed lexicon, patterns, and words or stems that mark the labelled training rows. The label model holds
-how often each voter speaks given either class (by expectation maximisation, known labels held fixed), and how the voters'
-errors correlate; correlated voters are discounted. A logistic regression on hashed words is trained on the posteriors.
+Features of a text are its words and their stems (the first 4 to 8 bytes), each at least once, twice or four times.
+Voters are groups of a fixed lexicon, patterns, and the features that mark labelled training rows best. The label model
+holds how often each voter speaks given either class (by expectation maximisation, known labels held fixed; a silent voter
+abstains) and how the voters' errors correlate; correlated voters are discounted. A logistic regression on the marking
+features and the lexicon and pattern voters is trained on the posteriors.
 
-Fitting takes bounded samples of training rows (``TRAIN_ROWS``); scoring is per row, in the JVM, without a shuffle.
+Fitting takes a bounded sample of the training rows (``TRAIN_ROWS``) and keeps at most ``SELECTED`` features; scoring is
+per row, over whole texts, without a shuffle.
 
-Cases: null and empty texts have no words and score the classifier's base rate; repeated label rows count once, toxic if
-any says so; null labels are none; without training rows of both classes every score is 0; empty tables give empty
+Cases: null and empty texts have no features and score the classifier's base rate; repeated label rows count once, toxic
+if any says so; null labels are none; without training rows of both classes every score is 0; empty tables give empty
 results; extra columns are kept, those named ``score`` or ``predicted`` replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wayfold.llm.common import is_held_out, materialize, thinned
+from wayfold.llm.common import SYMBOLS, is_held_out, materialize, mix, pieces, run_hashes, text_bytes, thinned, word_bounds
 
-TRAIN_ROWS, MINED, FEATURES, THRESHOLD, STEMS = 16384, 64, 1 << 18, 0.7, (4, 5)
+TRAIN_ROWS, SELECTED, MINED, THRESHOLD = 16384, 512, 64, 0.7
+STEMS, LEVELS, SURE = (4, 5, 6, 7, 8), (1, 2, 4), 30.0
 
 # Words of abuse, by kind of insult. Spelled in lower case.
 LEXICON = {
@@ -38,120 +44,231 @@ LEXICON = {
     "spanish": "imbécil estúpido basura patético asqueroso payaso",
 }
 PATTERNS = {
-    "second_person": r"(?i)\byou (are|re) (a|an|such|so) ",
-    "shouting": r"\b[A-Z]{4,}( [A-Z]{4,}){2,}",
+    "second_person": r"\b[Yy]ou(?: are|'re) (?:a|an|such|so) ",
+    "shouting": r"\b[A-Z]{4,}(?: [A-Z]{4,}){2,}",
     "exclaiming": r"!{3,}",
-    "masked": r"(?i)\b[a-z]+[*#@$%]{2,}[a-z]*\b",
+    "masked": r"[a-z][*#@$%]{2,}[a-z]",
 }
+_LEXICON_LEVEL = 1
+
+
+def _feature(token: np.ndarray, level: int) -> np.ndarray:
+    return mix((token >> np.uint64(20)) + np.uint64(level)).view(np.int64)
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all texts: the text's place, and the feature as a 64-bit number."""
+    data, ends = text_bytes(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
+    first, last, doc = word_bounds(data, ends, SYMBOLS)
+    tokens, docs = [], []
+    lasts = [last, *[np.minimum(first + n, last) for n in STEMS]]
+    for n, hashed in zip((0, *STEMS), run_hashes(data, first, *lasts), strict=True):
+        longer = slice(None) if not n else last - first > n
+        tokens.append(mix(hashed[longer] + np.uint64(n)))
+        docs.append(doc[longer])
+    # one sort: 44 bits of the token and the text's place (a slice has fewer than 2^20 texts)
+    both = np.sort((np.concatenate(tokens) >> np.uint64(20) << np.uint64(20)) | np.concatenate(docs).astype(np.uint64))
+    new = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+    times, both = np.diff(np.append(new, len(both))), both[new]
+    place = (both & np.uint64((1 << 20) - 1)).astype(np.int64)
+    return np.concatenate([place[times >= n] for n in LEVELS]), np.concatenate([_feature(both[times >= n], n) for n in LEVELS])
+
+
+def word_features(words: list[str]) -> list[int]:
+    """The features that say that a word occurs."""
+    raw = [np.frombuffer(w.lower().encode(), dtype=np.uint8) for w in words]
+    hashed = [mix(run_hashes(r, np.array([0]), np.array([len(r)]))[0]) for r in raw]
+    return [int(_feature(h, _LEXICON_LEVEL)[0]) for h in hashed]
+
+
+def fixed_votes(column: pa.Array, place: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which lexicon groups and patterns speak on each text."""
+    out = np.zeros((len(column), len(LEXICON) + len(PATTERNS)), dtype=bool)
+    for j, words in enumerate(LEXICON.values()):
+        out[place[np.isin(found, word_features(words.split()))], j] = True
+    texts = column.to_pylist()
+    for j, pattern in enumerate(PATTERNS.values(), len(LEXICON)):
+        speaks = re.compile(pattern).search
+        out[:, j] = [bool(t) and speaks(t) is not None for t in texts]
+    return out
 
 
 @dataclass
 class LabelModel:
-    """What each voter adds to the log odds of the toxic class when it speaks and when it keeps silent."""
+    """What each voter adds to the log odds of the toxic class when it speaks; ``quiet`` are the odds if none does.
+
+    Of voters that speak together, each counts less the more its errors correlate with those of the others.
+    """
 
+    quiet: float
     prior: float
     spoken: np.ndarray
-    silent: np.ndarray
     accuracy: np.ndarray
     correlation: np.ndarray
 
-    def posterior(self, votes: list[Column]) -> Column:
-        odds = F.lit(float(self.prior))
-        for vote, yes, no in zip(votes, self.spoken, self.silent, strict=True):
-            odds = odds + F.when(vote, F.lit(float(yes))).otherwise(F.lit(float(no)))
-        return 1 / (1 + F.exp(-odds))
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        share = votes / (1 + votes @ self.correlation)
+        odds = np.where(votes.any(axis=1), self.prior + share @ self.spoken, self.quiet)
+        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def words(text: str) -> Column:
-    """The distinct runs of letters and digits, in lower case, and their stems: first four and five letters, marked by ~."""
-    found = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    found = F.array_distinct(found)
-    stems = [F.transform(F.filter(found, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("~"))) for n in STEMS]
-    return F.array_distinct(F.concat(found, *stems))
-
-
-def fit_label_model(patterns: np.ndarray, known: np.ndarray, weights: np.ndarray, rounds: int = 40) -> LabelModel:
-    """EM over distinct rows of votes. ``known``: 1, 0 or -1 for no label; ``weights``: how many rows vote so."""
-    votes, weights = patterns.astype(float), weights.astype(float)
-    labelled = known >= 0
-    q = np.where(labelled, known, np.clip(0.05 + 0.3 * votes.sum(axis=1), 0, 0.95)).astype(float)
-    for _ in range(rounds):
-        on, off = q * weights, (1 - q) * weights
-        rate = np.clip(on.sum() / weights.sum(), 1e-4, 1 - 1e-4)
+def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> LabelModel:
+    """Expectation maximisation. ``votes``: a row for each text; ``known``: 1, 0 or -1 for no label."""
+    votes = votes.astype(float)
+    labelled, quiet = known >= 0, ~votes.any(axis=1)
+    q = np.where(labelled, known, 0.0).astype(float)
+    for nth in range(rounds):
+        on, off = (q, 1 - q) if nth else (q * labelled, (1 - q) * labelled)  # begins with what the labels say
         p1 = (on @ votes + 0.1) / (on.sum() + 1)
-        p0 = (off @ votes + 0.001) / (off.sum() + 1)
-        # errors of two voters that go together: pooled correlation of what the class does not explain
+        p0 = (off @ votes + 0.1) / (off.sum() + 1)
+        # errors of two voters that go together: the correlation that the class does not explain
         rest1, rest0 = votes - p1, votes - p0
         cover = (rest1.T * on) @ rest1 + (rest0.T * off) @ rest0
         size = np.sqrt(np.maximum(np.diag(cover), 1e-9))
         correlation = cover / np.outer(size, size)
-        discount = 1 / (1 + np.clip(np.abs(correlation) - np.eye(len(size)), 0.1, None).sum(axis=1) - 0.1 * len(size))
-        spoken = np.log(p1 / p0) * discount
-        silent = np.log((1 - p1) / (1 - p0)) * discount
-        odds = np.log(rate / (1 - rate)) + votes @ spoken + (1 - votes) @ silent
-        new = np.where(labelled, known, 1 / (1 + np.exp(-np.clip(odds, -40, 40))))
+        together = np.where(np.abs(correlation) > 0.4, np.abs(correlation), 0)  # weaker ones come with the language of a text
+        np.fill_diagonal(together, 0)
+        spoken = np.log(p1 / p0)
+        silence = np.log((on[quiet].sum() + 0.1) / (off[quiet].sum() + 1))
+        prior = np.log((on.sum() + 0.1) / (off.sum() + 0.1))
+        model = LabelModel(float(silence), float(prior), spoken, p1 * np.exp(prior) / (p1 * np.exp(prior) + p0), together)
+        new = np.where(labelled, known, model.posterior(votes))
         if np.abs(new - q).max() < 1e-6:
             break
         q = new
-    accuracy = (p1 * rate) / (p1 * rate + p0 * (1 - rate))
-    return LabelModel(float(np.log(rate / (1 - rate))), spoken, silent, accuracy, correlation)
+    return model
 
 
-def mine(rows: DataFrame, most: int = MINED) -> list[str]:
-    """Words that at least five rows labelled toxic hold and that hardly any other row does, the commonest first."""
-    told = rows.where(F.col("label").isNotNull()).select("label", F.explode("words").alias("w"))
-    counts = told.groupBy("w").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
-    sure = counts.where((F.col("toxic") >= 5) & (F.col("toxic") > 20 * F.col("clean")))
-    return [r.w for r in sure.orderBy(F.desc("toxic"), "w").limit(most).collect()]
+def fit_linear(rows: np.ndarray, columns: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.3, rounds: int = 3000) -> tuple[np.ndarray, float]:
+    """Logistic regression on 0/1 features given as (row, column) pairs and soft labels, by accelerated gradient steps.
 
-
-def voters(mined: list[str], text: str = "text") -> dict[str, Column]:
-    """All voters by name; each says whether it speaks on a row with ``words`` and ``text``."""
-    said = {f"lexicon_{k}": F.arrays_overlap("words", F.array(*[F.lit(w) for w in v.split()])) for k, v in LEXICON.items()}
-    said |= {f"pattern_{k}": F.coalesce(F.col(text).rlike(v), F.lit(False)) for k, v in PATTERNS.items()}
-    return said | {f"mined_{w}": F.array_contains("words", w) for w in mined}
+    Every feature marks the toxic class, so no weight is negative. Rows without a feature weigh in as one.
+    """
+    some = np.unique(rows)
+    x = np.zeros((len(some) + 1, width + 1), dtype=np.float32)
+    x[np.searchsorted(some, rows), columns] = 1
+    x[:, width] = 1
+    target, times = np.append(y[some], 0.0), np.append(np.ones(len(some)), len(y) - len(some))
+    target[-1] = (y.sum() - y[some].sum()) / max(times[-1], 1)
+    hold = np.append(np.full(width, ridge), 1e-6)
+    top = np.ones(width + 1)
+    for _ in range(30):  # the largest curvature, by power iteration
+        top = x.T @ (times * (x @ (top / np.linalg.norm(top))))
+    step = 1 / (0.25 * np.linalg.norm(top) * 1.05 + ridge)
+    weights, t = np.zeros(width + 1), 1.0
+    weights[width] = np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4))
+    ahead = weights.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
+        new = ahead - step * (x.T @ (times * (p - target)) + hold * ahead)
+        new[:width] = np.maximum(new[:width], 0)
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = new + (t - 1) / t_new * (new - weights)
+        moved, weights, t = np.abs(new - weights).max(), new, t_new
+        if moved < 1e-6:
+            break
+    return np.round(weights[:width], 5), float(round(weights[width], 5))
 
 
 @dataclass
 class Classifier:
+    """Weights of the selected features (sorted), then of the lexicon groups and patterns."""
+
     label_model: LabelModel | None
-    names: list[str]
-    linear: LogisticRegressionModel | None
+    selected: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+
+def select(rows: DataFrame, most: int = SELECTED) -> list[int]:
+    """The features whose presence sets labelled toxic rows apart, the best first."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            place, found = features(part.column("text"))
+            kinds, at = np.unique(found, return_inverse=True)
+            label = np.asarray(part.column("label"))[place]
+            toxic = np.bincount(at[label == 1], minlength=len(kinds))
+            clean = np.bincount(at[label == 0], minlength=len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(toxic), pa.array(clean)], ["feature", "toxic", "clean"])
 
-def _hashed(column: str) -> HashingTF:
-    return HashingTF(inputCol=column, outputCol="features", numFeatures=FEATURES, binary=True)
+    told = rows.where(F.col("label").isNotNull()).select("text", "label")
+    total = told.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).first()
+    counts = told.mapInArrow(work, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    p1, p0 = (F.col("toxic") + 0.5) / (total.toxic + 1), (F.col("clean") + 0.5) / (total.clean + 1)
+    share = (F.col("toxic") + F.col("clean")) / (total.toxic + total.clean)
+    part = lambda n, of: F.when(n > 0, n * F.log(n / (share * of))).otherwise(0.0)
+    sure = 2 * (part(F.col("toxic"), total.toxic) + part(F.col("clean"), total.clean))  # likelihood ratio: chance alone stays below
+    return [r.feature for r in counts.where((p1 > 4 * p0) & (sure > SURE)).orderBy(sure.desc(), "feature").limit(most).collect()]
+
+
+def _evidence(column: pa.Array, selected: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and columns of the selected features that occur, and the fixed voters' votes. ``selected`` is sorted."""
+    place, found = features(column)
+    votes = fixed_votes(column, place, found)
+    if not len(selected):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), votes
+    sieve = np.zeros(1 << 16, dtype=bool)
+    sieve[selected & 0xFFFF] = True
+    likely = sieve[found & 0xFFFF]
+    place, found = place[likely], found[likely]
+    at = np.minimum(np.searchsorted(selected, found), len(selected) - 1)
+    real = selected[at] == found
+    return place[real], at[real], votes
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str, key: str, train_rows: int = TRAIN_ROWS) -> Classifier:
     """Fit on about ``train_rows`` rows of ``df`` chosen by a hash of ``key``; ``labels`` has ``key`` and ``toxic``."""
     chosen = thinned(df, [key], train_rows).select(F.col(key).alias("k"), F.col(text).alias("text"))
-    truth = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max("toxic").alias("label"))
-    rows = materialize(chosen.join(truth, "k", "left").select("text", words("text").alias("words"), "label"), "toxicity-train")
-    said = voters(mine(rows))
-    names = list(said)
-    tally = rows.groupBy(F.array(*[v.cast("int") for v in said.values()]).alias("votes"), F.coalesce("label", F.lit(-1)).alias("label")).agg(F.count("*").alias("n")).orderBy("votes", "label").collect()
-    if len({r.label for r in tally} - {-1}) < 2:
-        return Classifier(None, names, None)
-    model = fit_label_model(np.array([r.votes for r in tally]), np.array([r.label for r in tally]), np.array([r.n for r in tally]))
-    posterior = F.round(F.coalesce(F.col("label").cast("double"), model.posterior(list(said.values()))), 4)
-    scored = rows.withColumn("p", posterior)
-    soft = scored.select("words", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("p")).alias("w")))).alias("c")).select("words", "c.y", "c.w").where("w > 0.001")
-    # weights of few words: L1; features stay as they are (0 and 1), so that a word weighs alike wherever it stands
-    linear = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", elasticNetParam=1.0, regParam=3e-5, maxIter=80, standardization=False, aggregationDepth=2)
-    return Classifier(model, names, linear.fit(_hashed("words").transform(soft)))
+    truth = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max("toxic").cast("int").alias("label"))
+    rows = materialize(chosen.join(truth, "k", "left").select("text", "label"), "toxicity-train")
+    best = select(rows)
+    selected = np.array(sorted(best), dtype=np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            place, column, votes = _evidence(part.column("text"), selected)
+            order = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[order], np.arange(part.num_rows + 1))
+            held = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(column[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([held, pa.array([v.tobytes() for v in votes], pa.binary()), part.column("label").fill_null(-1)], ["held", "votes", "label"])
+
+    seen = rows.mapInArrow(work, "held array<int>, votes binary, label int").orderBy("label", "held", "votes").toPandas()
+    known = seen["label"].to_numpy()
+    width = len(LEXICON) + len(PATTERNS)
+    if not (known == 1).any() or not (known == 0).any():
+        return Classifier(None, selected, np.zeros(len(selected) + width), 0.0)
+    row = np.repeat(np.arange(len(seen)), [len(h) for h in seen["held"]])
+    column = np.concatenate([np.asarray(h, dtype=np.int64) for h in seen["held"]])
+    fixed = np.frombuffer(b"".join(seen["votes"]), dtype=bool).reshape(len(seen), width)
+    mined = np.searchsorted(selected, best[:MINED])
+    number = np.full(len(selected), -1)
+    number[mined] = np.arange(len(mined))
+    votes = np.zeros((len(seen), width + len(mined)), dtype=bool)
+    votes[:, :width] = fixed
+    votes[row[number[column] >= 0], width + number[column][number[column] >= 0]] = True
+    model = fit_label_model(votes, known)
+    y = np.where(known >= 0, known, model.posterior(votes))
+    vote_row, vote_column = np.nonzero(fixed)
+    row, column = np.concatenate((row, vote_row)), np.concatenate((column, vote_column + len(selected)))
+    weights, bias = fit_linear(row, column, len(selected) + width, y)
+    return Classifier(model, selected, weights, bias)
 
 
 def score(df: DataFrame, text: str, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with ``score``, the classifier's probability, and ``predicted``, 1 from ``threshold`` on."""
     kept = [c for c in df.columns if c not in ("score", "predicted")]
-    if model.linear is None:
-        scored = df.select(*kept, F.lit(0.0).alias("score"))
-    else:
-        held = df.select(F.struct(*kept).alias("row"), words(text).alias("words"))
-        told = model.linear.setProbabilityCol("chance").transform(_hashed("words").transform(held))
-        scored = told.select("row.*", F.round(vector_to_array("chance")[1], 6).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    selected, weights, bias, fitted = model.selected, model.weights, model.bias, model.label_model is not None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            place, column, votes = _evidence(part.column(text), selected)
+            odds = bias + np.bincount(place, weights=weights[column], minlength=part.num_rows) + votes @ weights[len(selected) :]
+            chance = np.round(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 6) if fitted else np.zeros(part.num_rows)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(chance), pa.array((chance >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return df.select(*kept).mapInArrow(work, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
