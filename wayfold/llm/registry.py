@@ -11,6 +11,7 @@ from wayfold.llm.language import op3_language
 from wayfold.llm.licenses import op8_licenses
 from wayfold.llm.mtree import op5_mtree
 from wayfold.llm.packing import op2_packing
+from wayfold.llm.pieces import op9_sentencepiece
 from wayfold.llm.sharding import op7_sharding
 from wayfold.llm.telephony import op10_telephony
 from wayfold.llm.toxicity import op6_toxicity
@@ -18,7 +19,7 @@ from wayfold.llm.warc import op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_language": op3_language, "op4_jaccard": op4_jaccard, "op5_mtree": op5_mtree, "op6_toxicity": op6_toxicity, "op7_sharding": op7_sharding, "op8_licenses": op8_licenses, "op10_telephony": op10_telephony}
+    return {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_language": op3_language, "op4_jaccard": op4_jaccard, "op5_mtree": op5_mtree, "op6_toxicity": op6_toxicity, "op7_sharding": op7_sharding, "op8_licenses": op8_licenses, "op9_sentencepiece": op9_sentencepiece, "op10_telephony": op10_telephony}
 
 
 def oracle_sql() -> dict[str, str]:

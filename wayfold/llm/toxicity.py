@@ -233,7 +233,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str, key: str, train_rows: int =
             held = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(column[order], pa.int32()))
             yield pa.RecordBatch.from_arrays([held, pa.array([v.tobytes() for v in votes], pa.binary()), part.column("label").fill_null(-1)], ["held", "votes", "label"])
 
-    seen = rows.mapInArrow(work, "held array<int>, votes binary, label int").orderBy("label", "held", "votes").toPandas()
+    seen = rows.mapInArrow(work, "held array<int>, votes binary, label int").toPandas()
+    seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (seen["label"].iat[i], tuple(seen["held"].iat[i]), seen["votes"].iat[i]))]
     known = seen["label"].to_numpy()
     width = len(LEXICON) + len(PATTERNS)
     if not (known == 1).any() or not (known == 0).any():
