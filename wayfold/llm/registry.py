@@ -1,9 +1,14 @@
-"""The operators' queries and their SQL."""
+"""The operators' queries and their SQL.
+
+The queries learn, hash, tokenize or search in ways that SQL has no words for; tests compare them with brute force, exact
+round trips or held-out accuracy instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm.jaccard import op4_jaccard
@@ -19,8 +24,9 @@ from wayfold.llm.warc import op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_language": op3_language, "op4_jaccard": op4_jaccard, "op5_mtree": op5_mtree, "op6_toxicity": op6_toxicity, "op7_sharding": op7_sharding, "op8_licenses": op8_licenses, "op9_sentencepiece": op9_sentencepiece, "op10_telephony": op10_telephony}
+    found = [op1_warc, op2_packing, op3_language, op4_jaccard, op5_mtree, op6_toxicity, op7_sharding, op8_licenses, op9_sentencepiece, op10_telephony]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
