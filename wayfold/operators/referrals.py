@@ -16,7 +16,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def status_counts(df: DataFrame, status: str, names: dict[str, str], done: str) -> DataFrame:
     """One row, one pass: the total, a count for each status under its name, and the completion rate."""
-    counts = df.agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == value).alias(name) for name, value in names.items()])
+    counts = df.agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == value).alias(name) for value, name in names.items()])
     return counts.withColumn("completion", percent(F.col(done), F.col("total")))
 
 
