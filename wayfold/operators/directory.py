@@ -130,7 +130,8 @@ def renamed(df: DataFrame, rule: object) -> DataFrame:
 
 def document(df: DataFrame, kind: str, fields: list[str], arrays: dict[str, list[str]] | None = None) -> DataFrame:
     """The one document of a kind with some fields, and of its arrays of objects some members."""
-    chosen = [F.transform(f, lambda x, f=f: F.struct(*[x[m].alias(m) for m in arrays[f]])).alias(f) if arrays and f in arrays else F.col(f) for f in fields]
+    members = lambda names: lambda x: F.struct(*[x[m].alias(m) for m in names])
+    chosen = [F.transform(f, members(arrays[f])).alias(f) if arrays and f in arrays else F.col(f) for f in fields]
     return df.where(F.col("_type") == kind).limit(1).select(*chosen)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wayfold.functions import address as addresses
@@ -19,14 +20,16 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
     ``columns`` are all columns of the file, in any order.
     """
-    lines = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_short", enforceSchema=False)
-    named = lines.toDF(*[c.strip().removeprefix("﻿").strip('"') for c in lines.columns])
-    missing = [c for c in columns if c not in named.columns]
+    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    names = spark.read.csv(path, **options).columns  # the header line only
+    fields = [n.strip().removeprefix("\ufeff").strip('" ') for n in names]
+    missing = [c for c in columns if c not in fields]
     if missing:
         raise ValueError(f"{path} lacks {missing}")
-    last = named.columns[-1]
-    return named.where(F.col(f"`{last}`").isNotNull() | F.greatest(*[F.col(f"`{c}`").isNotNull().cast("int") for c in named.columns[-2:]]).cast("boolean")).select(*[trimmed(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in columns])
-
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, "_odd"]])
+    lines = spark.read.schema(schema).csv(path, **options, mode="PERMISSIVE", columnNameOfCorruptRecord="_odd", enforceSchema=True)
+    short = F.col("_odd").isNotNull() & F.col(f"`{fields[-1]}`").isNull()  # lines with too many fields keep those they should have
+    return lines.where(~short).select(*[trimmed(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in columns])
 
 def read_csv_files(spark: SparkSession, files: dict[str, str], columns: list[str], category: str) -> DataFrame:
     """Several files in one frame, each with its category and its place among the files; missing files are skipped."""
