@@ -85,7 +85,7 @@ def text_grams(df: DataFrame, text: str, keep: list[str], k: int = GRAM) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(uid + ids), pa.array(gram), pa.array(place), *kept], schema.names)
             uid += n_docs
 
-    return df.select(text, *keep).mapInArrow(work, schema)
+    return df.select(text, *[c for c in keep if c != text]).mapInArrow(work, schema)
 
 
 def scan(df: DataFrame, text: str, keep: list[str], base: dict[str, list[str]] | None = None, wordings: dict[str, list[str]] | None = None, k: int = GRAM, shift: int = SHIFT, cover: float = COVER) -> DataFrame:

@@ -132,7 +132,7 @@ def store(df: DataFrame, payload: str, keep: list[str], codec: str = "mulaw") ->
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(media, pa.binary())], [*keep, "media"])
 
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("media", T.BinaryType())])
-    return df.select(*keep, payload).mapInArrow(work, schema)
+    return df.select(payload, *[c for c in keep if c != payload]).mapInArrow(work, schema)
 
 
 def features(payload: np.ndarray, lines: dict[str, np.ndarray]) -> str:
@@ -179,7 +179,7 @@ def read_back(df: DataFrame, keep: list[str], media: str = "media", pcm: bool =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = T.StructType([*[df.schema[c] for c in keep], *T.StructType.fromDDL(fields)])
-    return df.select(*keep, media).mapInArrow(work, schema)
+    return df.select(media, *[c for c in keep if c != media]).mapInArrow(work, schema)
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
