@@ -338,14 +338,14 @@ def q_semi_exists(spark, d):
     return v.table(spark, d, "customer", "c_custkey").join(done, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
 
 
-@query("WITH " + v.REFERRALS + " SELECT id FROM referrals LEFT JOIN customer ON lawyer_id = c_custkey AND c_custkey % 13 <> 0 WHERE c_custkey IS NULL")
+@query("WITH " + v.REFERRALS + " SELECT id FROM referrals LEFT JOIN customer ON lawyer_id = c_custkey AND c_acctbal >= 0 WHERE c_custkey IS NULL")
 def q_orphans_compat(spark, d):
-    return resolve.orphans(v.referrals(spark, d), "lawyer_id", v.table(spark, d, "customer", "c_custkey").where("c_custkey % 13 <> 0"), "c_custkey").select("id")
+    return resolve.orphans(v.referrals(spark, d), "lawyer_id", v.table(spark, d, "customer", "c_custkey", "c_acctbal").where("c_acctbal >= 0"), "c_custkey").select("id")
 
 
-@query("WITH " + v.REFERRALS + " SELECT id FROM referrals LEFT JOIN customer ON lawyer_id = c_custkey AND c_custkey % 13 <> 0 WHERE c_custkey IS NULL AND lawyer_id IS NOT NULL")
+@query("WITH " + v.REFERRALS + " SELECT id FROM referrals LEFT JOIN customer ON lawyer_id = c_custkey AND c_acctbal >= 0 WHERE c_custkey IS NULL AND lawyer_id IS NOT NULL")
 def q_orphans_strict(spark, d):
-    return resolve.orphans(v.referrals(spark, d), "lawyer_id", v.table(spark, d, "customer", "c_custkey").where("c_custkey % 13 <> 0"), "c_custkey", strict=True).select("id")
+    return resolve.orphans(v.referrals(spark, d), "lawyer_id", v.table(spark, d, "customer", "c_custkey", "c_acctbal").where("c_acctbal >= 0"), "c_custkey", strict=True).select("id")
 
 
 @query("WITH " + v.USERS + ", " + v.FIRMS + " SELECT users.id, firms.id AS firm FROM users LEFT JOIN firms ON lower(users.email) = lower(firms.email)")
@@ -365,10 +365,10 @@ def q_state_join_top15(spark, d):
     return resolve.by_state(v.users(spark, d), places).select("id", "match_id", "nth")
 
 
-@query("WITH c AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) SELECT p_partkey, CASE WHEN n = 1 AND p_partkey % 4 = 0 THEN 'checked' ELSE p_brand END AS p_brand FROM part JOIN c USING (p_name)")
+@query("WITH c AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) SELECT p_partkey, CASE WHEN n = 1 AND p_size > 25 THEN 'checked' ELSE p_brand END AS p_brand FROM part JOIN c USING (p_name)")
 def q_unique_match_only(spark, d):
-    parts = v.table(spark, d, "part", "p_partkey", "p_name", "p_brand")
-    patches = parts.where("p_partkey % 4 = 0").select("p_name", F.lit("checked").alias("new_brand")).distinct()
+    parts = v.table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    patches = parts.where("p_size > 25").select("p_name", F.lit("checked").alias("new_brand")).distinct()
     return resolve.matched_once(parts, patches, "p_name", {"p_brand": "new_brand"}).select("p_partkey", "p_brand")
 
 
@@ -405,17 +405,18 @@ def q_file_tallies(spark, d):
 # ---- matching
 
 
-@query(r"WITH k AS (SELECT doc_id, source, regexp_replace(lower(substr(text, 1, 12)), '\s+', ' ', 'g') AS key FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS nth FROM k) SELECT doc_id, source FROM r WHERE nth = 1")
+@query(r"WITH k AS (SELECT doc_id, source, regexp_replace(lower(text), '\s+', ' ', 'g') AS key FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS nth FROM k) SELECT doc_id, source FROM r WHERE nth = 1")
 def q_first_wins_dedup(spark, d):
-    key = F.regexp_replace(F.lower(F.substring("text", 1, 12)), r"\s+", " ")
+    key = F.sha2(F.regexp_replace(F.lower("text"), r"\s+", " "), 256)  # a digest: whole texts are not shuffled
     rows = v.table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", key.alias("key"))
     return resolve.first_wins(rows, [F.col("key")], [F.col("doc_id")]).select("doc_id", "source")
 
 
-@query("SELECT doc_id FROM documents WHERE concat(lang, '|', source) NOT IN (SELECT concat(lang, '|', source) FROM documents WHERE doc_id % 50 = 0)")
+@query("SELECT doc_id FROM documents WHERE concat(lang, '|', source) NOT IN (SELECT concat(lang, '|', source) FROM documents JOIN labels USING (doc_id) WHERE quality = 0)")
 def q_new_vs_existing(spark, d):
     rows = v.table(spark, d, "documents", "doc_id", "lang", "source").withColumn("key", F.concat_ws("|", "lang", "source"))
-    return resolve.unknown(rows, rows.where("doc_id % 50 = 0"), ["key"]).select("doc_id")
+    poor = rows.join(v.table(spark, d, "labels").where("quality = 0"), "doc_id")
+    return resolve.unknown(rows, poor, ["key"]).select("doc_id")
 
 
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower(firm_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) > 2 AND w NOT IN ('law', 'firm', 'group', 'and', 'the', 'associates', 'legal'))"
@@ -428,15 +429,12 @@ def q_token_match(spark, d):
     return resolve.by_token(v.users(spark, d), named, "firm_name", "name").select("id", "match_id")
 
 
-_ADDRESS = r"trim(regexp_replace(lower(address), '\s+', ' ', 'g'))"
-
-
-@query("WITH " + v.CLINICS + """, e AS (SELECT id, lower(regexp_extract(address, '^(\\d+)', 1)) AS num, address FROM clinics WHERE id % 2 = 0 AND id % 4 = 0),
-    n AS (SELECT id, address, regexp_extract(address, '^(\\d+)', 1) AS num FROM clinics WHERE id % 2 = 0)
-    SELECT n.id, min(e.id) AS match_id FROM n LEFT JOIN e ON split_part(n.address, ',', 2) = split_part(e.address, ',', 2) AND (contains(concat(n.num, ' main'), concat(e.num, ' main')) OR contains(concat(e.num, ' main'), concat(n.num, ' main')) OR right(n.num, 1) = right(e.num, 1)) GROUP BY n.id""")
+@query("WITH " + v.CLINICS + ", " + v.FIRMS + """, n AS (SELECT id, split_part(replace(address, ', MN ', ', FL '), ',', 2) AS city, regexp_extract(address, '^([0-9]+)', 1) AS num FROM clinics),
+    e AS (SELECT id, split_part(replace(address, ', MN ', ', FL '), ',', 2) AS city, regexp_extract(address, '^([0-9]+)', 1) AS num FROM firms)
+    SELECT n.id, min(e.id) AS match_id FROM n LEFT JOIN e ON n.city = e.city AND (contains(concat(n.num, ' main'), concat(e.num, ' main')) OR contains(concat(e.num, ' main'), concat(n.num, ' main')) OR right(n.num, 1) = right(e.num, 1)) GROUP BY n.id""")
 def q_fuzzy_address(spark, d):
-    rows = v.clinics(spark, d).where("id % 2 = 0").select("id", "address")
-    return resolve.by_address(rows, rows.where("id % 4 = 0").withColumn("place", F.col("id"))).select("id", "match_id")
+    here = lambda df: df.select("id", F.replace("address", F.lit(", MN "), F.lit(", FL ")).alias("address"))
+    return resolve.by_address(here(v.clinics(spark, d)), here(v.firms(spark, d)).withColumn("place", F.col("id"))).select("id", "match_id")
 
 
 # ---- text
@@ -539,19 +537,19 @@ def q_vague_address(spark, d):
 # ---- changes of state
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN concat(c_name, ' (new)') ELSE c_name END AS name FROM customer UNION ALL SELECT 1000000 + c_custkey, 'added' FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN concat(c_name, ' (new)') ELSE c_name END AS name FROM customer UNION ALL SELECT -1 - c_custkey, 'added' FROM customer WHERE c_acctbal < 0")
 def q_upsert(spark, d):
-    base = v.table(spark, d, "customer", "c_custkey", "c_name").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    some = base.where("id % 10 = 0")
-    new = some.select("id", F.concat("name", F.lit(" (new)")).alias("name")).unionByName(some.select((F.col("id") + 1000000).alias("id"), F.lit("added").alias("name")))
-    return mutate.upserted(base, new, "id")
+    rows = v.table(spark, d, "customer", "c_custkey", "c_name", "c_acctbal").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
+    some = rows.where("c_acctbal < 0")
+    new = some.select("id", F.concat("name", F.lit(" (new)")).alias("name")).unionByName(some.select((-1 - F.col("id")).alias("id"), F.lit("added").alias("name")))
+    return mutate.upserted(rows.select("id", "name"), new, "id")
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'F' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2001-08-01' ELSE o_orderdate END AS updated_at FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN 'F' ELSE o_orderstatus END AS status, CASE WHEN o_totalprice > 300000 THEN TIMESTAMP '2001-08-01' ELSE o_orderdate END AS updated_at FROM orders")
 def q_patch(spark, d):
-    base = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at"))
-    patches = base.where("id % 9 = 0").select("id", F.lit("F").alias("status"))
-    return mutate.patched(base, patches, "id", ["status"], touched="updated_at", now=f"{NOW} 00:00:00")
+    base = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at"), "o_totalprice")
+    patches = base.where("o_totalprice > 300000").select("id", F.lit("F").alias("status"))
+    return mutate.patched(base.drop("o_totalprice"), patches, "id", ["status"], touched="updated_at", now=f"{NOW} 00:00:00")
 
 
 @query("WITH " + v.CLINICS + " SELECT id, CASE WHEN id IN (3, 4, 5, 60) THEN false ELSE available END AS available FROM clinics")
@@ -559,16 +557,16 @@ def q_bulk_toggle(spark, d):
     return mutate.set_where(v.clinics(spark, d).select("id", "available"), F.col("id").isin(3, 4, 5, 60), {"available": F.lit(False)})
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT (c_custkey % 6 = 0 AND c_custkey <> 12)")
+@query("SELECT c_custkey FROM customer WHERE NOT (c_acctbal < 0 AND c_custkey <> 12)")
 def q_bulk_delete(spark, d):
-    rows = v.table(spark, d, "customer", "c_custkey")
-    return mutate.deleted_ids(rows, "c_custkey", rows.where("c_custkey % 6 = 0"), never=12)[0]
+    rows = v.table(spark, d, "customer", "c_custkey", "c_acctbal")
+    return mutate.deleted_ids(rows.select("c_custkey"), "c_custkey", rows.where("c_acctbal < 0"), never=12)[0]
 
 
-@query("SELECT count(*) AS deleted FROM customer WHERE c_custkey % 6 = 0 AND c_custkey <> 12")
+@query("SELECT count(*) AS deleted FROM customer WHERE c_acctbal < 0 AND c_custkey <> 12")
 def q_bulk_delete_count(spark, d):
-    rows = v.table(spark, d, "customer", "c_custkey")
-    return mutate.deleted_ids(rows, "c_custkey", rows.where("c_custkey % 6 = 0"), never=12)[1]
+    rows = v.table(spark, d, "customer", "c_custkey", "c_acctbal")
+    return mutate.deleted_ids(rows.select("c_custkey"), "c_custkey", rows.where("c_acctbal < 0"), never=12)[1]
 
 
 @query("WITH " + v.USERS + " SELECT id FROM users WHERE role = 'lawyer'")
@@ -587,16 +585,16 @@ def q_backfill_exists(spark, d):
     return mutate.set_where_exists(v.table(spark, d, "orders"), linked, "o_custkey", "o_orderstatus", F.lit("linked")).select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 13 <> 0 THEN o_custkey END AS o_custkey FROM orders")
+@query("SELECT o_orderkey, CAST(c_custkey AS VARCHAR) AS o_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0")
 def q_set_null(spark, d):
-    alive = v.table(spark, d, "customer", "c_custkey").where("c_custkey % 13 <> 0")
-    return mutate.references_cleared(v.table(spark, d, "orders", "o_orderkey", "o_custkey"), "o_custkey", alive, "c_custkey")
+    alive = v.table(spark, d, "customer", "c_custkey", "c_acctbal").where("c_acctbal >= 0")
+    return mutate.references_cleared(v.table(spark, d, "orders", "o_orderkey", "o_custkey"), "o_custkey", alive, "c_custkey").withColumn("o_custkey", F.col("o_custkey").cast("string"))
 
 
-@query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 50 = 0")
+@query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0")
 def q_restrict(spark, d):
-    going = v.table(spark, d, "customer", "c_custkey").where("c_custkey % 50 = 0")
-    return mutate.still_referenced(going, "c_custkey", v.table(spark, d, "orders", "o_custkey"), "o_custkey")
+    going = v.table(spark, d, "customer", "c_custkey", "c_acctbal").where("c_acctbal < 0")
+    return mutate.still_referenced(going.select("c_custkey"), "c_custkey", v.table(spark, d, "orders", "o_custkey"), "o_custkey")
 
 
 @query("SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS zip_code FROM supplier UNION ALL SELECT -1, 'Unnamed', NULL")
@@ -629,9 +627,9 @@ def q_csv_export(spark, d):
     return exports.export_lines(v.tagged_clinics(spark, d), ["id", "name", "specialties", "available"])
 
 
-@query("WITH " + v.USERS + " SELECT id, CASE WHEN role = 'lawyer' THEN lawyer_id END AS lawyer_id, CASE WHEN role = 'clinic' THEN clinic_id END AS clinic_id FROM users")
+@query("WITH " + v.USERS + " SELECT id, CAST(CASE WHEN role = 'lawyer' THEN lawyer_id END AS VARCHAR) AS lawyer_id, CAST(CASE WHEN role = 'clinic' THEN clinic_id END AS VARCHAR) AS clinic_id FROM users")
 def q_role_link_consistency(spark, d):
-    return audit.cleared_links(v.users(spark, d), "role", {"lawyer_id": "lawyer", "clinic_id": "clinic"}).select("id", "lawyer_id", "clinic_id")
+    return audit.cleared_links(v.users(spark, d), "role", {"lawyer_id": "lawyer", "clinic_id": "clinic"}).select("id", F.col("lawyer_id").cast("string").alias("lawyer_id"), F.col("clinic_id").cast("string").alias("clinic_id"))
 
 
 @query("SELECT 'status' AS \"check\", count(*) FILTER (o_orderstatus NOT IN ('P', 'O')) AS \"rows\" FROM orders UNION ALL SELECT 'price', count(*) FILTER (o_totalprice <= 1000) FROM orders")

@@ -44,12 +44,12 @@ CLINICS = f"clinics AS (SELECT {place_sql('s_suppkey', 's_name')}, n_name AS cou
 
 
 def tagged_clinics(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "lineitem", "l_suppkey", "l_partkey").distinct().where("l_partkey % 7 = 0").join(table(spark, d, "part", "p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    tags = pairs.groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set("p_type")).alias("specialties"))
+    offered = table(spark, d, "part", "p_partkey", "p_type").select((F.col("p_partkey") % 997).alias("id"), "p_type")
+    tags = offered.groupBy("id").agg(F.array_sort(F.collect_set("p_type")).alias("specialties"))
     return clinics(spark, d).join(tags, "id", "left")
 
 
-TAGGED = CLINICS + ", tags AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT p_type)) AS specialties FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0 GROUP BY l_suppkey), tagged AS (SELECT clinics.*, specialties FROM clinics LEFT JOIN tags USING (id))"
+TAGGED = CLINICS + ", tags AS (SELECT p_partkey % 997 AS id, list_sort(list(DISTINCT p_type)) AS specialties FROM part GROUP BY 1), tagged AS (SELECT clinics.*, specialties FROM clinics LEFT JOIN tags USING (id))"
 
 
 def firms(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ REFERRALS = "referrals AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 97 <>
 
 def users(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, d, "customer").where("c_custkey % 3 = 0").select(
+    return table(spark, d, "customer").select(
         k.alias("id"), F.when(k % 5 != 0, k).alias("lawyer_id"), (k % 100).alias("clinic_id"), F.when(k % 2 == 0, "lawyer").otherwise("clinic").alias("role"),
         F.concat(F.lit("U"), k.cast("string"), F.lit("@dom"), (k % 40).cast("string"), F.lit(".example.com")).alias("email"), F.when(k % 2 == 0, "FL").otherwise("MN").alias("state"),
         F.concat(F.lit("Law Group "), F.col("c_mktsegment")).alias("firm_name"),
@@ -82,4 +82,4 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 
 USERS = """users AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS lawyer_id, c_custkey % 100 AS clinic_id, CASE WHEN c_custkey % 2 = 0 THEN 'lawyer' ELSE 'clinic' END AS role,
-    concat('U', c_custkey, '@dom', c_custkey % 40, '.example.com') AS email, CASE WHEN c_custkey % 2 = 0 THEN 'FL' ELSE 'MN' END AS state, concat('Law Group ', c_mktsegment) AS firm_name FROM customer WHERE c_custkey % 3 = 0)"""
+    concat('U', c_custkey, '@dom', c_custkey % 40, '.example.com') AS email, CASE WHEN c_custkey % 2 = 0 THEN 'FL' ELSE 'MN' END AS state, concat('Law Group ', c_mktsegment) AS firm_name FROM customer)"""
