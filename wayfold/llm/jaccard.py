@@ -12,8 +12,10 @@ A document's set is that of its distinct k-word shingles (hashes of 64 bits); tw
    a large group of near copies does not come down to its pairs.
 4. In what tiles are left, all pairs from different components and neighbouring size bands are compared.
 
-To compare is to bound the overlap from the bit counts of the two bitmaps first (every bit that only one set has stands
-for a shingle that the other lacks), and then to intersect the sorted arrays (48 bits of each hash).
+To compare is to bound the overlap from the bit counts of two bitmaps first, and then to intersect the sorted arrays (48 bits of
+each hash). One bitmap has a bit for every shingle, in a size that suits the set: a bit that only one set has stands for a
+shingle that the other lacks. The other has 512 bits of parities: where two differ, an odd number of shingles, so at least one,
+is in one set only. That one is compared inside the join that makes the pairs of step 4, so that no other pair leaves it.
 
 Cases: null and empty texts (or without words) have an empty set and link with nothing; repeated rows and copies are in one
 component; rows that repeat a key with another text count as one document with both sets; a null key has a null component;
@@ -63,6 +65,18 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def parities(values: np.ndarray) -> list[int]:
+    """512 bits in eight numbers: whether an odd number of values falls on each."""
+    odd = np.bincount((values >> np.uint64(40) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def differ_little(percent: int) -> Column:
+    """No more parities differ than shingles may, for pairs with sizes na, nb and parities pa, pb."""
+    differing = sum((F.bit_count(F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}"))) for i in range(1, 8)), F.bit_count(F.col("pa0").bitwiseXOR(F.col("pb0"))))
+    return differing * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
 def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
     """No intersection is larger: a bit of one set only stands for at least one shingle that the other lacks."""
     a, b = np.unpackbits(np.frombuffer(bits_a, np.uint8)), np.unpackbits(np.frombuffer(bits_b, np.uint8))
@@ -72,7 +86,7 @@ def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
 
 
 def signatures(df: DataFrame, key: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """For each row: doc, n, a 128-bit hash of the set, its tiles' shingles and its bitmap."""
+    """For each row: doc, n, a 128-bit hash of the set, its tiles' shingles, its bitmap and its parities."""
     by_value = np.argsort(common)
     ordered = common[by_value]
 
@@ -91,9 +105,9 @@ def signatures(df: DataFrame, key: str, text: str, k: int, percent: int, common:
                 most = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 heads.append(s[np.argsort(rank, kind="stable")[:most]].view(np.int64))
                 bits.append(bitmap(s) if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc", "n", "h1", "h2", "head", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["doc", "n", "h1", "h2", "head", "bits", "odd"])
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, "doc long, n long, h1 long, h2 long, head array<long>, bits binary")
+    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, "doc long, n long, h1 long, h2 long, head array<long>, bits binary, odd array<long>")
 
 
 def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
@@ -110,8 +124,12 @@ def alike(a: str, b: str, percent: int) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. ``sets`` has doc, n and bits; ``df`` the texts."""
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            yield from (part.slice(low, 256) for low in range(0, part.num_rows, 256))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small(batches):
             columns = [part.column(c).to_pylist() for c in ("na", "bits_a", "nb", "bits_b")]
             most = np.array([overlap_bound(*x) for x in zip(*columns, strict=True)], dtype=np.int64)
             sizes = np.array(columns[0], dtype=np.int64) + np.array(columns[2], dtype=np.int64)
@@ -119,7 +137,7 @@ def verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, key: str, text: s
             yield part.select(["a", "b"]).filter(keep)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in small(batches):
             keep = []
             for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True):
                 u, v = _unpack(x), _unpack(y)
@@ -133,7 +151,7 @@ def verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, key: str, text: s
 
     one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
     two = one.join(sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
-    likely = materialize(two.select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(bound, "a long, b long"), "jaccard-likely")
+    likely = materialize(two.where(alike("na", "nb", percent)).select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(bound, "a long, b long"), "jaccard-likely")
     wanted = materialize(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
     packed = among(df.select(F.col(key).cast("long").alias(key), text), key, wanted).mapInArrow(pack, "doc long, packed binary")
     packed = materialize(packed, "jaccard-sets")
@@ -182,28 +200,30 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     rows = materialize(signatures(df, key, text, k, percent, common_shingles(df, key, text, k)), "jaccard-signatures")
     same = materialize(rows.where("n > 0 AND doc IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc").alias("first")), "jaccard-same")
     firsts = same.select(F.col("first").alias("doc"), "n", "h1", "h2")
-    sets = rows.join(firsts, ["doc", "n", "h1", "h2"], "left_semi").select("doc", "n", "head", "bits")
-    tiles = sets.select("doc", "n", F.explode("head").alias("x"), F.col("doc").alias("comp"))
-    members = None
-    for nth in range(ROUNDS):
+    sets = rows.join(firsts, ["doc", "n", "h1", "h2"], "left_semi")
+    tiles = sets.select("doc", "n", F.explode("head").alias("x"))
+    # the first round sees every tile: its rows are kept as narrow as they get, and the least document stands for a tile
+    mixed = materialize(tiles.groupBy("x").agg(F.min("doc").alias("rep"), F.max("doc").alias("hi")).where("rep < hi").select("x", "rep"), "jaccard-mixed")
+    tiles = materialize(tiles.withColumn("n", F.col("n").cast("int")).join(mixed, "x"), "jaccard-tiles")
+    members = materialize(tiles.select("doc").distinct().withColumn("comp", F.col("doc")), "jaccard-members")
+    members = merged(members, verified(_closest(tiles.where("doc <> rep")), sets, df, key, text, k, percent))
+    for nth in range(1, ROUNDS):
+        tiles = tiles.select("x", "doc", "n").join(members, "doc")
         # representatives are drawn by a hash: another one each time
         picked = F.min(F.struct(F.xxhash64(F.lit(nth), "doc").alias("h"), F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n")))
         mixed = tiles.groupBy("x").agg(picked.alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x", "r.rep", "r.rep_comp", "r.rep_n")
-        mixed = materialize(mixed, "jaccard-mixed")
-        tiles = materialize(tiles.join(mixed, "x"), "jaccard-tiles")
-        if members is None:
-            members = materialize(tiles.select("doc").distinct().withColumn("comp", F.col("doc")), "jaccard-members")
-        shared = tiles.where((F.col("comp") != F.col("rep_comp")) & alike("n", "rep_n", percent)).groupBy("doc", "rep").agg(F.count("*").alias("times"))
-        best = Window.partitionBy("doc").orderBy(F.desc("times"), "rep")
-        pairs = materialize(shared.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= NEAREST).select(F.col("doc").alias("a"), F.col("rep").alias("b")), "jaccard-pairs")
+        tiles = materialize(tiles.join(materialize(mixed, "jaccard-mixed"), "x"), "jaccard-tiles")
+        pairs = _closest(tiles.where((F.col("comp") != F.col("rep_comp")) & alike("n", "rep_n", percent)))
         members = merged(members, verified(pairs, sets, df, key, text, k, percent))
-        tiles = tiles.select("x", "doc", "n").join(members, "doc")
+    tiles = tiles.select("x", "doc", "n").join(members, "doc")
     lasting = tiles.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
-    tiles = materialize(tiles.join(materialize(lasting, "jaccard-mixed"), "x", "left_semi"), "jaccard-tiles")
+    tiles = tiles.join(materialize(lasting, "jaccard-mixed"), "x", "left_semi")
+    tiles = materialize(tiles.join(sets.select("doc", *[F.col("odd")[i].alias(f"p{i}") for i in range(8)]), "doc"), "jaccard-tiles")
     band = F.floor(F.log("n") / -math.log(percent / 100) if percent < 100 else F.col("n"))
-    large = tiles.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), band.alias("band"))
-    small = tiles.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.explode(F.array(band, band + 1)).alias("band"))
-    across = large.join(small, ["x", "band"]).where((F.col("ca") != F.col("cb")) & ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & alike("na", "nb", percent))
+    large = tiles.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), band.alias("band"), *[F.col(f"p{i}").alias(f"pa{i}") for i in range(8)])
+    small = tiles.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.explode(F.array(band, band + 1)).alias("band"), *[F.col(f"p{i}").alias(f"pb{i}") for i in range(8)])
+    in_order = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    across = large.join(small, ["x", "band"]).where((F.col("ca") != F.col("cb")) & in_order & alike("na", "nb", percent) & differ_little(percent))
     pairs = materialize(across.select("a", "b").distinct(), "jaccard-pairs")
     members = merged(members, verified(pairs, sets, df, key, text, k, percent))
     owned = rows.select("doc", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left").select("doc", "n", "first")
@@ -212,6 +232,14 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     return named.select("doc", F.col("n").alias("n_shingles"), component.alias("component"))
 
 
+def _closest(tiles: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each set with the few representatives that it shares most tiles with."""
+    shared = tiles.groupBy("doc", "rep").agg(F.count("*").alias("times"))
+    best = Window.partitionBy("doc").orderBy(F.desc("times"), "rep")
+    near = shared.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= NEAREST)
+    return materialize(near.select(F.col("doc").alias("a"), F.col("rep").alias("b")), "jaccard-pairs")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components of all documents by 4-word shingles at a Jaccard similarity of 0.85."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
