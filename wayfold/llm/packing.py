@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,8 +63,8 @@ def tokenized(df: DataFrame, key: str, text: str, ranks: str) -> tuple[DataFrame
         for part in pieces(batches, text):
             packed, lex = [], []
             for one in part.column(text).to_pylist():
-                ids = np.array([*(encode(one) if one else ()), END_ID], dtype="<u2")
-                kinds = np.flatnonzero(np.bincount(ids))
+                ids = np.frombuffer(array("H", [*(encode(one) if one else ()), END_ID]), dtype=np.uint16).astype("<u2")
+                kinds = np.unique(ids)
                 seen[kinds] += 1
                 tokens += len(ids)
                 packed.append(ids.tobytes())
