@@ -32,6 +32,8 @@ from wayfold.llm.common import materialize, thinned
 
 SHARD_ROWS, PIVOTS, PAGE, BLOCK, POOL = 1024, 1024, 32, 1024, 2048
 _SLACK = 1e-6
+#: Places of a shard in the low digits of a number whose high digits are a score.
+_PLACES, _NONE = 1 << 20, np.iinfo(np.int64).min
 
 
 def usable(vector: str) -> Column:
@@ -89,36 +91,53 @@ def grow(points: np.ndarray, members: np.ndarray, parent: np.ndarray) -> dict:
     return {"routing": routing, "radius": radii, "parent": _distances(routing, parent), "pages": [grow(points, members[g], own[c]) for c, g in kept]}
 
 
-def search(tree: dict, query: np.ndarray, query_id: int, k: int, bound: float) -> list[tuple[int, int]]:
-    """The k best (score, id) of a tree within the distance ``bound``, best first. ``tree``: root, ids, vectors, most."""
-    ids, vectors, size = tree["ids"], tree["vectors"], float(query @ query + tree["most"])
-    point = np.append(query.astype(float), 0.0)
-    limit = bound * (1 + _SLACK) + _SLACK
-    best: list[tuple[int, int]] = []  # (score, -id), the worst first
-    start = float(_distances(point[None], tree["centre"])[0])
-    queue: list[tuple[float, int, dict, float]] = [(0.0, 0, tree["root"], start)]
+def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a tree for each query, within the distance ``bounds``: query, id and score.
+
+    The queries of a block walk the tree together: a page is taken in the order of its least possible distance from any
+    of them, and is seen by those queries that it can still serve. ``tree``: root, centre, ids (ascending), vectors, most.
+    """
+    ids, vectors = tree["ids"], tree["vectors"].astype(float)  # products of such integers are exact in double precision
+    asked = queries.astype(float)
+    sizes = (asked * asked).sum(axis=1) + tree["most"]
+    points = np.hstack([asked, np.zeros((len(asked), 1))])
+    limits = bounds * (1 + _SLACK) + _SLACK
+    best = np.full((len(asked), k), _NONE, dtype=np.int64)  # score and place in one number: larger scores, then smaller ids
+    queue: list[tuple[float, int, dict, np.ndarray, np.ndarray]] = [(0.0, 0, tree["root"], np.zeros(len(asked)), _distances(points, tree["centre"]))]
     number = 1
     while queue:
-        least, _, page, to_parent = heapq.heappop(queue)
-        if least > limit:
-            break
+        _, _, page, lower, to_parent = heapq.heappop(queue)
+        served = np.flatnonzero(lower <= limits)
+        if not len(served):
+            continue
+        away, reach = to_parent[served], limits[served]
         if "leaf" in page:
-            members = page["leaf"][np.abs(page["parent"] - to_parent) <= limit]  # the others are too far, whatever their place
-            scores = vectors[members] @ query
-            for score, i in zip(scores.tolist(), ids[members].tolist(), strict=True):
-                if i != query_id and (len(best) < k or (score, -i) > best[0]):
-                    (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (score, -i))
-            if len(best) == k:
-                limit = min(limit, np.sqrt(max(size - 2 * best[0][0], 0.0)) * (1 + _SLACK) + _SLACK)
+            # entries that the stored distances already show to be too far from every query served are not looked at
+            lo, hi = page["parent"][:, None] - away <= reach, away - page["parent"][:, None] <= reach
+            members = page["leaf"][(lo & hi).any(axis=1)]
+            scores = np.rint(asked[served] @ vectors[members].T).astype(np.int64)
+            made = scores * _PLACES + (_PLACES - 1 - members)
+            made[query_ids[served][:, None] == ids[members]] = _NONE
+            own = np.hstack([best[served], made])
+            best[served] = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k :]
+            worst = best[served].min(axis=1)
+            full = worst > _NONE
+            far = np.sqrt(np.maximum(sizes[served] - 2.0 * (worst // _PLACES), 0)) * (1 + _SLACK) + _SLACK
+            limits[served] = np.where(full, np.minimum(reach, far), reach)
         else:
-            near = np.flatnonzero(np.abs(page["parent"] - to_parent) - page["radius"] <= limit)
-            away = _distances(page["routing"][near], point)
-            for j, d in zip(near.tolist(), away.tolist(), strict=True):
-                lower = max(d - page["radius"][j], 0.0)
-                if lower <= limit:
-                    heapq.heappush(queue, (lower, number, page["pages"][j], d))
-                    number += 1
-    return [(s, -i) for s, i in sorted(best, reverse=True)]
+            for entry in range(len(page["pages"])):
+                radius, parent = page["radius"][entry], page["parent"][entry]
+                near = served[np.abs(parent - away) - radius <= reach]
+                if not len(near):
+                    continue
+                d = np.full(len(asked), np.inf)
+                d[near] = _distances(points[near], page["routing"][entry])
+                least = np.maximum(d - radius, 0)
+                heapq.heappush(queue, (float(least[near].min()), number, page["pages"][entry], least, d))
+                number += 1
+    row, column = np.nonzero(best > _NONE)
+    found = best[row, column]
+    return query_ids[row], ids[_PLACES - 1 - found % _PLACES], found // _PLACES
 
 
 def build(candidates: DataFrame, k: int, most: int, pivots: np.ndarray, crowded: dict[int, int]) -> DataFrame:
@@ -156,6 +175,8 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, factor
     schema = "query_id long, rank int, vec_id long, score long"
     if not facts.n:
         return spark.createDataFrame([], schema)
+    if facts.most >= 1 << 42:  # no score is larger than the largest squared norm
+        raise ValueError("vectors too long: scores beyond 2^42 are not exact")
     first = Window.partitionBy("v").orderBy("id")
     candidates = materialize(rows.select("id", "v").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).select("id", "v"), "mtree-candidates")
     pool = thinned(candidates, ["id"], POOL, seed=5).orderBy("id").toPandas()
@@ -180,11 +201,9 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, factor
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for raw_tree, raw_block in zip(part.column("tree").to_pylist(), part.column("block").to_pylist(), strict=True):
-                tree, out = pickle.loads(raw_tree), []
-                for query_id, query, bound in zip(*pickle.loads(raw_block), strict=True):
-                    out += [(int(query_id), i, s) for s, i in search(tree, query, int(query_id), k, float(bound))]
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                ids, vectors, bounds = pickle.loads(raw_block)
+                found = search(pickle.loads(raw_tree), vectors, ids, k, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
 
     asked = materialize(rows.where("q").select("id", "v").mapInArrow(blocks, "block binary"), "mtree-blocks")
     shards = trees.select("shard")
