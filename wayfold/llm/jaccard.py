@@ -10,7 +10,8 @@ A document's set is that of its distinct k-word shingles (hashes of 64 bits); tw
 3. ``ROUNDS`` times every tile names a representative, and every set is compared with the few representatives it shares
    most tiles with; verified links join components. Tiles whose sets are all in one component need no further look, so
    a large group of near copies does not come down to its pairs.
-4. In what tiles are left, all pairs from different components and neighbouring size bands are compared.
+4. Of tiles with the very same sets one is kept. In what tiles are left, all pairs from different components in the same size
+   band are compared.
 
 To compare is to bound the overlap from the bit counts of two bitmaps first, and then to intersect the sorted arrays (48 bits of
 each hash). One bitmap has a bit for every shingle, in a size that suits the set: a bit that only one set has stands for a
@@ -207,6 +208,10 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     tiles = materialize(tiles.withColumn("n", F.col("n").cast("int")).join(mixed, "x"), "jaccard-tiles")
     members = materialize(tiles.select("doc").distinct().withColumn("comp", F.col("doc")), "jaccard-members")
     members = merged(members, verified(_closest(tiles.where("doc <> rep")), sets, df, key, text, k, percent))
+    # tiles of the same sets make the same pairs: one of them is enough
+    alike_tiles = tiles.groupBy("x").agg(F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("doc"), 32)).alias("s2"), F.count("*").alias("docs"))
+    distinct_tiles = materialize(alike_tiles.groupBy("s1", "s2", "docs").agg(F.min("x").alias("x")).select("x"), "jaccard-mixed")
+    tiles = materialize(tiles.select("x", "doc", "n").join(distinct_tiles, "x", "left_semi"), "jaccard-tiles")
     for nth in range(1, ROUNDS):
         tiles = tiles.select("x", "doc", "n").join(members, "doc")
         # representatives are drawn by a hash: another one each time
@@ -219,9 +224,11 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     lasting = tiles.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
     tiles = tiles.join(materialize(lasting, "jaccard-mixed"), "x", "left_semi")
     tiles = materialize(tiles.join(sets.select("doc", *[F.col("odd")[i].alias(f"p{i}") for i in range(8)]), "doc"), "jaccard-tiles")
-    band = F.floor(F.log("n") / -math.log(percent / 100) if percent < 100 else F.col("n"))
-    large = tiles.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), band.alias("band"), *[F.col(f"p{i}").alias(f"pa{i}") for i in range(8)])
-    small = tiles.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.explode(F.array(band, band + 1)).alias("band"), *[F.col(f"p{i}").alias(f"pb{i}") for i in range(8)])
+    # bands four times as wide as their least size: few sets can pair with larger ones of the next band
+    band = lambda n: F.floor(F.log(n) / math.log(4)).cast("int")
+    bands = F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * 100 / percent + 0.001)))
+    large = tiles.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), band(F.col("n")).alias("band"), *[F.col(f"p{i}").alias(f"pa{i}") for i in range(8)])
+    small = tiles.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.explode(bands).alias("band"), *[F.col(f"p{i}").alias(f"pb{i}") for i in range(8)])
     in_order = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     across = large.join(small, ["x", "band"]).where((F.col("ca") != F.col("cb")) & in_order & alike("na", "nb", percent) & differ_little(percent))
     pairs = materialize(across.select("a", "b").distinct(), "jaccard-pairs")

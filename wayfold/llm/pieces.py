@@ -43,7 +43,7 @@ _UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE = 1 << 22
 #: Words kept with their pieces in a worker; the table starts anew when full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _models: dict[str, "Model"] = {}
 
 
