@@ -41,6 +41,8 @@ ROUNDS, NEAREST = 3, 3
 SAMPLE, COMMON, OFTEN = 4096, 1 << 18, 3
 #: A list of keys is broadcast up to so many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Tiles are named by 48 bits of a shingle's hash, which shuffle in fewer bytes: tiles that fall together only add pairs to verify.
+_TILE_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def _sets(part: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
@@ -104,7 +106,7 @@ def signatures(df: DataFrame, key: str, text: str, k: int, percent: int, common:
                     at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
                     rank = np.where(ordered[at] == s, by_value[at] + 1, 0)
                 most = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                heads.append(s[np.argsort(rank, kind="stable")[:most]].view(np.int64))
+                heads.append((s[np.argsort(rank, kind="stable")[:most]] & _TILE_BITS).view(np.int64))
                 bits.append(bitmap(s) if len(s) else b"")
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["doc", "n", "h1", "h2", "head", "bits", "odd"])
 
@@ -117,6 +119,16 @@ def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, column, "left_semi")
 
 
+def firsts_of(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One row for each set: those in ``firsts``. A short list of the others is broadcast, so that the wide rows stay where they are."""
+    key = ["doc", "n", "h1", "h2"]
+    full = rows.where("n > 0 AND doc IS NOT NULL")
+    copies = materialize(full.select(key).join(firsts, key, "left_anti").distinct(), "jaccard-copies")
+    if copies.count() <= BROADCAST_ROWS:
+        return full.join(F.broadcast(copies), key, "left_anti")
+    return full.join(firsts, key, "left_semi")
+
+
 def alike(a: str, b: str, percent: int) -> Column:
     """Sizes that allow a link."""
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
@@ -150,6 +162,8 @@ def verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, key: str, text: s
         for part in pieces(batches, text):
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array([_pack(s) for s in _sets(part, text, k)], pa.binary())], ["doc", "packed"])
 
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-ends")
+    sets = among(sets.select("doc", "n", "bits"), "doc", ends)
     one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
     two = one.join(sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
     likely = materialize(two.where(alike("na", "nb", percent)).select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(bound, "a long, b long"), "jaccard-likely")
@@ -201,7 +215,7 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     rows = materialize(signatures(df, key, text, k, percent, common_shingles(df, key, text, k)), "jaccard-signatures")
     same = materialize(rows.where("n > 0 AND doc IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc").alias("first")), "jaccard-same")
     firsts = same.select(F.col("first").alias("doc"), "n", "h1", "h2")
-    sets = rows.join(firsts, ["doc", "n", "h1", "h2"], "left_semi")
+    sets = firsts_of(rows, firsts)
     tiles = sets.select("doc", "n", F.explode("head").alias("x"))
     # the first round sees every tile: its rows are kept as narrow as they get, and the least document stands for a tile
     mixed = materialize(tiles.groupBy("x").agg(F.min("doc").alias("rep"), F.max("doc").alias("hi")).where("rep < hi").select("x", "rep"), "jaccard-mixed")
