@@ -148,6 +148,30 @@ def test_windows_take_the_nearest_unused():
     assert order == [0, 3, 4, 1, 2]
 
 
+def test_neighbours_are_searched_in_the_whole_corpus(spark, words):
+    rows = [(i, sentence(words, int(RNG.integers(3, 40)))) for i in range(60)] + [(100, None), (101, "")]
+    texts, counts = packing.tokenized(frame(spark, rows).repartition(3), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    stats = packing.statistics(counts)
+    near = {r.row: r.near for r in packing.neighbours(texts, stats, terms=packing.VOCABULARY, index_docs=7).collect()}
+    held = texts.orderBy("row").collect()
+    index = packing.Index([np.frombuffer(r.ids, "<u2") for r in held], stats)
+    for at, r in enumerate(held):
+        scores = index.scores(at)
+        scores[at] = 0
+        assert scores[[x.row for x in held].index(near[r.row])] == pytest.approx(scores.max(), rel=1e-5)
+
+
+def test_pairs_share_windows_wherever_they_lie(spark):
+    encoder = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    single = [t for t in map(encoder.decode, [[i] for i in range(5000, 12_000)]) if re.fullmatch(" [a-z]{5,}", t)]
+    rows = [(i, "".join([*RNG.permutation(single[:60])[:30], *single[100 + 5 * (i % 60) : 105 + 5 * (i % 60)]])) for i in range(120)]
+    out = packing.pack(frame(spark, rows), "doc_id", "text", window=512, shard_docs=4).collect()
+    used = defaultdict(set)
+    for p in out:
+        used[p.doc].add(p.sequence_id)
+    assert np.mean([bool(used[i] & used[i + 60]) for i in range(60)]) > 0.9
+
+
 # ---- language
 
 

@@ -2,13 +2,16 @@
 
 1. Texts become token ids once, written to a table with the per-token document counts of each task. Summed over all
    tasks these give the BM25 statistics (a table as long as the vocabulary, whatever the input).
-2. Documents are dealt into index shards by ranges of a lexical key (their least hashed rare tokens), so that similar
-   documents meet, and groups of copies spread over as many shards as they fill.
-3. In a shard of ``SHARD_DOCS`` documents at most, an inverted index of BM25 weights is built. A seed document opens a window;
-   the unused documents that score highest against it follow until the window is full. What overflows opens the next
-   window as its seed. Only the last window of a run of shards is short, so hardly any padding is needed.
-
-Cases: a null or empty text consists of the end id alone; ties go to the document that comes first in its shard; repeated
+2. Each document searches the whole corpus with its ``TERMS`` tokens of highest idf: index parts of ``INDEX_DOCS`` documents
+   lie in the shared folder, every task of queries reads all of them, and the best of all parts is the document's neighbour.
+   Scoring is queries times postings, about quadratic.
+3. Documents that are linked by neighbours lie next to each other, and runs of them are cut between linked groups; only a
+   group of more than ``SHARD_DOCS`` is cut inside, documents of the same neighbour staying together.
+4. In a run an inverted index of BM25 weights of the whole vocabulary is built. A seed document opens a window; the unused
+   documents that score highest against it follow until the window is full. What overflows opens the next window as its
+   seed. Only the last window of a task's runs is short, so hardly any padding is needed.
+
+Cases: a null or empty text consists of the end id alone; ties go to the document that comes first; repeated
 rows are packed one by one; a null key is packed like any other; an empty table gives an empty result; columns other than the
 key and the text are not read.
 """
@@ -20,19 +23,25 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import mix, pieces, shared_path
+from wayfold.llm.common import materialize, pieces, shared_path
+from wayfold.llm.jaccard import BROADCAST_ROWS, components
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
 SHARD_DOCS = 192
+#: Tokens that a document searches with, and documents of an index part.
+TERMS, INDEX_DOCS = 16, 8192
 K1, B = 1.2, 0.75
 _encoders: dict[str, tiktoken.Encoding] = {}
 
@@ -46,41 +55,35 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
-def _lexical_key(kinds: np.ndarray) -> int:
-    """Documents with much of their vocabulary in common often agree in their two least hashed tokens."""
-    hashed = np.sort(mix(kinds.astype(np.uint64)))[:2]
-    return int((hashed[0] >> np.uint64(33) << np.uint64(31)) | (hashed[-1] >> np.uint64(33)))
-
-
 def tokenized(df: DataFrame, key: str, text: str, ranks: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (doc, ids as little-endian 16-bit numbers, lex), and (token, docs) summed over all documents."""
+    """Two tables: (row, a number of its own, doc, ids as little-endian 16-bit numbers), and (token, docs) summed over all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks).encode_ordinary
         seen, tokens = np.zeros(VOCABULARY, dtype=np.int64), 0
-        schema = ["doc", "ids", "lex", "seen", "n_docs", "n_tokens"]
-        n_docs = 0
+        schema = ["doc", "ids", "row", "seen", "n_docs", "n_tokens"]
+        n_docs, first = 0, (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         for part in pieces(batches, text):
-            packed, lex = [], []
+            packed = []
             for one in part.column(text).to_pylist():
                 ids = np.frombuffer(array("H", [*(encode(one) if one else ()), END_ID]), dtype=np.uint16).astype("<u2")
                 kinds = np.unique(ids)
                 seen[kinds] += 1
                 tokens += len(ids)
                 packed.append(ids.tobytes())
-                lex.append(_lexical_key(kinds))
+            rows = pa.array(range(first + n_docs, first + n_docs + len(packed)), pa.int64())
             n_docs += len(packed)
             none = pa.nulls(len(packed), pa.binary()), pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(packed, pa.binary()), pa.array(lex, pa.int64()), *none], schema)
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(packed, pa.binary()), rows, *none], schema)
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary()), pa.array([n_docs], pa.int64()), pa.array([tokens], pa.int64())], schema)
 
     spark, path = df.sparkSession, shared_path(df.sparkSession, "packing-ids")
-    fields = "doc long, ids binary, lex long, seen binary, n_docs long, n_tokens long"
+    fields = "doc long, ids binary, row long, seen binary, n_docs long, n_tokens long"
     made = df.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, fields)
     made.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(fields).parquet(path)
-    return table.where("ids IS NOT NULL").select("doc", "ids", "lex"), table.where("seen IS NOT NULL").select("seen", "n_docs", "n_tokens")
+    return table.where("ids IS NOT NULL").select("row", "doc", "ids"), table.where("seen IS NOT NULL").select("seen", "n_docs", "n_tokens")
 
 
 @dataclass
@@ -112,6 +115,74 @@ def statistics(counts: DataFrame) -> Statistics:
     return Statistics(np.log(1 + (whole.d - docs + 0.5) / (docs + 0.5)).astype(np.float32), whole.t / whole.d, whole.t)
 
 
+def indexed(texts: DataFrame, stats: Statistics, index_docs: int) -> str:
+    """The folder of a table of index parts: the rows of a part, and of each token the documents and their BM25 weights."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _runs(((r, i) for part in batches for r, i in zip(part.column("row").to_pylist(), part.column("ids").to_pylist(), strict=True)), index_docs):
+            index = Index([np.frombuffer(ids, dtype="<u2") for _, ids in held], stats)
+            said = np.array([r for r, _ in held]), index.begin.astype(np.int64), index.doc.astype(np.int32), index.weight.astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in said], ["rows", "begin", "docs", "weights"])
+
+    path = shared_path(texts.sparkSession, "packing-index")
+    texts.select("row", "ids").mapInArrow(work, "rows binary, begin binary, docs binary, weights binary").write.option("compression", "snappy").parquet(path)
+    return path
+
+
+def _parts_of(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The index parts of a folder, one after the other."""
+    system, folder = fs.FileSystem.from_uri(path)
+    for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")):
+        with system.open_input_file(file) as opened:
+            for batch in pq.ParquetFile(opened).iter_batches(batch_size=1):
+                rows, begin, docs, weights = (batch.column(c)[0].as_buffer() for c in ("rows", "begin", "docs", "weights"))
+                yield np.frombuffer(rows, np.int64), np.frombuffer(begin, np.int64), np.frombuffer(docs, np.int32), np.frombuffer(weights, np.float32)
+
+
+def neighbours(texts: DataFrame, stats: Statistics, terms: int = TERMS, index_docs: int = INDEX_DOCS) -> DataFrame:
+    """(row, near): of every document the other one in the whole corpus that scores highest for its terms, if one scores at all."""
+    path = indexed(texts, stats, index_docs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, asked = [], []
+        for part in batches:
+            queries += part.column("row").to_pylist()
+            for ids in part.column("ids").to_pylist():
+                kinds = np.unique(np.frombuffer(ids, dtype="<u2"))
+                asked.append(kinds[np.argsort(-stats.idf[kinds], kind="stable")[:terms]].tolist())
+        if not queries:
+            return
+        own, best, near = np.array(queries), np.zeros(len(queries), np.float32), np.full(len(queries), -1)
+        for rows, begin, docs, weights in _parts_of(path):
+            scored, begins, docs = np.zeros(len(rows), np.float32), begin.tolist(), docs.astype(np.intp)
+            itself = np.searchsorted(rows, own)
+            inside = (itself < len(rows)) & (rows[np.minimum(itself, len(rows) - 1)] == own)
+            for at, tokens in enumerate(asked):
+                scored[:] = 0
+                for t in tokens:
+                    low, high = begins[t], begins[t + 1]
+                    scored[docs[low:high]] += weights[low:high]
+                if inside[at]:
+                    scored[itself[at]] = 0
+                found = scored.argmax()
+                # ties between parts go to the least row, whatever the order of files
+                if scored[found] > best[at] or (scored[found] == best[at] > 0 and rows[found] < near[at]):
+                    best[at], near[at] = scored[found], rows[found]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(near)], ["row", "near"])
+
+    return materialize(texts.select("row", "ids").mapInArrow(work, "row long, near long").where("near >= 0"), "packing-near")
+
+
+def grouped(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """The documents with ``root``, the least row of those that neighbours link them with, and ``near``; alone: their own row."""
+    edges = near.select(F.least("row", "near").alias("a"), F.greatest("row", "near").alias("b")).distinct()
+    roots = components(edges).withColumnRenamed("node", "row")
+    named = materialize(near.join(roots, "row"), "packing-roots")
+    told = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    joined = texts.join(told, "row", "left")
+    return joined.select("row", "doc", "ids", F.coalesce("root", "row").alias("root"), F.coalesce("near", "row").alias("near"))
+
+
 class Index:
     """The inverted index of one shard: for every token its documents and their BM25 weights."""
 
@@ -194,19 +265,27 @@ def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: i
     # tasks of 256 windows or more, so that their short last windows hardly count, and of 16384 at most
     windows = -(-stats.tokens // window)
     parts = max(1, min(windows // 256, max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // 16384)))
-    dealt = texts.repartitionByRange(parts, "lex", F.xxhash64("doc", F.octet_length("ids"))).sortWithinPartitions("lex", F.xxhash64("doc", F.octet_length("ids")), "doc", "ids")
-    return dealt.select("doc", "ids").mapInArrow(work, "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    keys = ["root", "near", "row"]
+    dealt = grouped(texts, neighbours(texts, stats)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.select("root", "doc", "ids").mapInArrow(work, "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+
+
+def _runs(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Rows in runs of ``most``."""
+    while held := list(islice(rows, most)):
+        yield held
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The sorted rows of a task in runs of ``most`` documents."""
+    """The sorted rows of a task in runs of ``most`` documents at most, cut inside a group only if it is larger than that."""
+    rows = (row for part in batches for row in zip(part.column("root").to_pylist(), part.column("doc").to_pylist(), part.column("ids").to_pylist(), strict=True))
     held: list[tuple[int, bytes]] = []
-    for part in batches:
-        for row in zip(part.column("doc").to_pylist(), part.column("ids").to_pylist(), strict=True):
-            held.append(row)
-            if len(held) == most:
+    for _, group in groupby(rows, key=lambda row: row[0]):
+        for some in _runs(group, most):
+            if held and len(held) + len(some) > most:
                 yield held
                 held = []
+            held += [row[1:] for row in some]
     if held:
         yield held
 
