@@ -148,6 +148,15 @@ def test_windows_take_the_nearest_unused():
     assert order == [0, 3, 4, 1, 2]
 
 
+def test_ids_are_those_of_tokenizers_with_its_added_token(spark):
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x<|endoftext|>\n y <|endoftext|"), (4, "<|endoftext|>" * 2000)]
+    ids = {r.doc: np.frombuffer(r.ids, "<u2").tolist() for r in packing.tokenized(frame(spark, rows), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))[0].collect()}
+    assert 50256 in ids[1]
+    for i, t in rows:
+        assert ids[i] == [*tokens.encode(t, add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_neighbours_are_searched_in_the_whole_corpus(spark, words):
     rows = [(i, sentence(words, int(RNG.integers(3, 40)))) for i in range(60)] + [(100, None), (101, "")]
     texts, counts = packing.tokenized(frame(spark, rows).repartition(3), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))

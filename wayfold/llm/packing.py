@@ -23,6 +23,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import groupby, islice
 
 import numpy as np
@@ -43,15 +44,17 @@ SHARD_DOCS = 192
 #: Tokens that a document searches with, and documents of an index part.
 TERMS, INDEX_DOCS = 16, 8192
 K1, B = 1.2, 0.75
+#: The added token of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 _encoders: dict[str, tiktoken.Encoding] = {}
 
 
 def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ranks file; strings of special tokens are ordinary text."""
+    """The byte-level BPE of a ranks file; the added token is recognised in plain text, as tokenizers do."""
     if path not in _encoders:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _encoders[path]
 
 
@@ -59,7 +62,7 @@ def tokenized(df: DataFrame, key: str, text: str, ranks: str) -> tuple[DataFrame
     """Two tables: (row, a number of its own, doc, ids as little-endian 16-bit numbers), and (token, docs) summed over all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        encode = partial(encoder(ranks).encode, allowed_special="all")
         seen, tokens = np.zeros(VOCABULARY, dtype=np.int64), 0
         schema = ["doc", "ids", "row", "seen", "n_docs", "n_tokens"]
         n_docs, first = 0, (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
