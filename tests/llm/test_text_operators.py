@@ -313,3 +313,11 @@ def test_stages_drop_what_they_should_and_keep_the_rest(spark, words, tmp_path):
 def test_held_out_rows_follow_the_checksum(spark):
     told = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long").select("doc_id", common.is_held_out().alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in told)
+
+
+def test_few_labels_among_many_documents_are_all_learned_from(spark, words):
+    rows = [(i, sentence(words, 12) + (" glorpish" if i % 80 == 0 else "")) for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i % 80 == 0)) for i in range(0, 4000, 40)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels, "text", "doc_id", train_rows=200)
+    found = {r.doc_id for r in toxicity.score(frame(spark, rows), "text", model).where("predicted = 1").collect()}
+    assert {i for i in range(0, 4000, 80)} <= found and len(found) < 100

@@ -218,10 +218,12 @@ def _evidence(column: pa.Array, selected: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str, key: str, train_rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on about ``train_rows`` rows of ``df`` chosen by a hash of ``key``; ``labels`` has ``key`` and ``toxic``."""
-    chosen = thinned(df, [key], train_rows).select(F.col(key).alias("k"), F.col(text).alias("text"))
+    """Fit on about ``train_rows`` labelled rows of ``df`` and as many without label, chosen by a hash of ``key``; ``labels`` has ``key`` and ``toxic``."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
     truth = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max("toxic").cast("int").alias("label"))
-    rows = materialize(chosen.join(truth, "k", "left").select("text", "label"), "toxicity-train")
+    labelled = thinned(rows.join(truth, "k"), ["k"], train_rows)
+    others = thinned(rows.join(truth, "k", "left_anti").withColumn("label", F.lit(None).cast("int")), ["k"], train_rows)
+    rows = materialize(labelled.unionByName(others).select("text", "label"), "toxicity-train")
     best = select(rows)
     selected = np.array(sorted(best), dtype=np.int64)
 
