@@ -76,6 +76,29 @@ def test_components_equal_brute_force(spark, words, k, percent):
     assert found[None].component is None
 
 
+@pytest.mark.parametrize(("k", "percent"), [(2, 60), (4, 85), (3, 20)])
+def test_crowded_passages_lose_no_link(spark, words, monkeypatch, k, percent):
+    """Documents that consist of common passages to different shares, among them pairs that link by these alone."""
+    monkeypatch.setattr(jaccard, "CROWDED", 1)
+    passages = [sentence(words, n) for n in (12, 20, 30, 45)]
+    rows = []
+    for i in range(90):
+        own = sentence(words, int(RNG.integers(1, 60)))
+        some = [str(p) for p in RNG.choice(passages, int(RNG.integers(1, 4)), replace=False)]
+        rows.append((i, " ".join([own, *some] if i % 3 else some)))
+        if i % 5 == 0:
+            rows.append((1000 + i, rows[-1][1] + " " + sentence(words, int(RNG.integers(1, 12)))))
+    found = jaccard.link(frame(spark, rows), "doc_id", "text", k, percent).collect()
+    assert {r.doc: r.component for r in found} == brute_components(rows, k, percent)
+
+
+def test_rows_of_one_key_join_all_their_sets(spark, words):
+    a, b, c, d = (sentence(words, 30) for _ in range(4))
+    rows = [(5, a), (9, a), (9, b), (9, c), (12, c), (2, d), (None, a), (3, b)]
+    found = jaccard.link(frame(spark, rows), "doc_id", "text", 4, 85).collect()
+    assert {(r.doc, r.component) for r in found} == {(5, 3), (9, 3), (12, 3), (3, 3), (2, 2), (None, None)}
+
+
 def test_chains_and_large_groups_join(spark, words):
     text = sentence(words, 300).split()
     rows = []

@@ -10,23 +10,27 @@ A document's set is that of its distinct k-word shingles (hashes of 64 bits); tw
 3. ``ROUNDS`` times every tile names a representative, and every set is compared with the few representatives it shares
    most tiles with; verified links join components. Tiles whose sets are all in one component need no further look, so
    a large group of near copies does not come down to its pairs.
-4. Of tiles with the very same sets one is kept. In what tiles are left, all pairs from different components in the same size
+4. Tiles of more than ``CROWDED`` sets that are still of several components stand for common passages. Their shingles move to the
+   end of the order, for all documents alike, and what comes after them in the order takes their places in the heads
+   (``_thinned_tiles``), so that no tile is left whose pairs grow with the square of a passage's documents.
+5. Of tiles with the very same sets one is kept. In what tiles are left, all pairs from different components in the same size
    band are compared.
 
 To compare is to bound the overlap from the bit counts of two bitmaps first, and then to intersect the sorted arrays (48 bits of
 each hash). One bitmap has a bit for every shingle, in a size that suits the set: a bit that only one set has stands for a
 shingle that the other lacks. The other has 512 bits of parities: where two differ, an odd number of shingles, so at least one,
-is in one set only. That one is compared inside the join that makes the pairs of step 4, so that no other pair leaves it.
+is in one set only. That one is compared inside the join that makes the pairs of step 5, so that no other pair leaves it.
 
 Cases: null and empty texts (or without words) have an empty set and link with nothing; repeated rows and copies are in one
-component; rows that repeat a key with another text count as one document with both sets; a null key has a null component;
+component; rows that repeat a key with another text count as one document with all its sets; a null key has a null component;
 ties cannot arise; an empty table gives an empty result; only the key and the text are read, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import SPACES, materialize, mix, pieces, shingle_sets, text_bytes, thinned
+from wayfold.llm.common import SPACES, bounded_batches, materialize, mix, pieces, scratch, shingle_sets, text_bytes, thinned
 
 ROUNDS, NEAREST = 3, 3
+#: A tile of more sets, of several components, is a common passage. Heads are longer than they must by one in ``SPARE``, so that a
+#: few shingles of passages can be left out of them.
+CROWDED, SPARE = 32, 4
 #: The order of shingles is learned from about so many documents, and knows so many common shingles at most.
 SAMPLE, COMMON, OFTEN = 4096, 1 << 18, 3
 #: A list of keys is broadcast up to so many rows (16 bytes each); beyond it the join shuffles.
@@ -49,8 +56,34 @@ def _sets(part: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
     return shingle_sets(*text_bytes(part.column(text)), SPACES, k)
 
 
-def common_shingles(df: DataFrame, key: str, text: str, k: int) -> np.ndarray:
-    """Shingles that several sampled documents hold, the rarest first."""
+@dataclass
+class Common:
+    """The common shingles by value, and the rank of each (from 1, the rarest first)."""
+
+    values: np.ndarray
+    ranks: np.ndarray
+
+
+def head_size(n: int, percent: int) -> int:
+    """So many first shingles of a set, in any order, hold one that a linked set holds too."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def with_spare(size: int) -> int:
+    return size + size // SPARE + 2 if size else 0
+
+
+def ordered_tiles(values: np.ndarray, common: Common) -> np.ndarray:
+    """The tile names of a sorted set in the order of (commonness, hash)."""
+    rank = np.zeros(len(values), dtype=np.int64)
+    if len(common.values):
+        at = np.minimum(np.searchsorted(common.values, values), len(common.values) - 1)
+        rank = np.where(common.values[at] == values, common.ranks[at], 0)
+    return (values[np.argsort(rank, kind="stable")] & _TILE_BITS).view(np.int64)
+
+
+def common_shingles(df: DataFrame, key: str, text: str, k: int) -> Common:
+    """Shingles that several sampled documents hold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, text):
@@ -58,7 +91,9 @@ def common_shingles(df: DataFrame, key: str, text: str, k: int) -> np.ndarray:
 
     counts = thinned(df.select(key, text), [key], SAMPLE).select(text).mapInArrow(work, "x long").groupBy("x").agg(F.count("*").alias("n"))
     found = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "x").limit(COMMON).toPandas()
-    return found["x"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
+    rarest_first = found["x"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
+    by_value = np.argsort(rarest_first)
+    return Common(rarest_first[by_value], by_value + 1)
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -88,10 +123,8 @@ def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
     return min(n_a - int(np.count_nonzero(a & ~b)), n_b - int(np.count_nonzero(b & ~a)))
 
 
-def signatures(df: DataFrame, key: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
+def signatures(df: DataFrame, key: str, text: str, k: int, percent: int, common: Common) -> DataFrame:
     """For each row: doc, n, a 128-bit hash of the set, its tiles' shingles, its bitmap and its parities."""
-    by_value = np.argsort(common)
-    ordered = common[by_value]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, text):
@@ -101,12 +134,7 @@ def signatures(df: DataFrame, key: str, text: str, k: int, percent: int, common:
             h2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
             heads, bits = [], []
             for s in sets:
-                rank = np.zeros(len(s), dtype=np.int64)
-                if len(ordered):
-                    at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-                    rank = np.where(ordered[at] == s, by_value[at] + 1, 0)
-                most = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                heads.append((s[np.argsort(rank, kind="stable")[:most]] & _TILE_BITS).view(np.int64))
+                heads.append(ordered_tiles(s, common)[: with_spare(head_size(len(s), percent))])
                 bits.append(bitmap(s) if len(s) else b"")
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["doc", "n", "h1", "h2", "head", "bits", "odd"])
 
@@ -134,6 +162,7 @@ def alike(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
+@scratch("jaccard-links")
 def verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. ``sets`` has doc, n and bits; ``df`` the texts."""
 
@@ -171,7 +200,7 @@ def verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, key: str, text: s
     packed = among(df.select(F.col(key).cast("long").alias(key), text), key, wanted).mapInArrow(pack, "doc long, packed binary")
     packed = materialize(packed, "jaccard-sets")
     held = likely.join(packed.select(F.col("doc").alias("a"), F.col("packed").alias("set_a")), "a").join(packed.select(F.col("doc").alias("b"), F.col("packed").alias("set_b")), "b")
-    return materialize(held.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long").distinct(), "jaccard-links")
+    return held.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long").distinct()
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -185,6 +214,7 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.unique(wide.reshape(-1).view(">u8").astype(np.uint64))
 
 
+@scratch("graph-components")
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of a graph given as edges (a, b): the least node of its component, by minima of neighbours and jumps."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
@@ -210,9 +240,106 @@ def merged(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(members.join(roots, "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp")), "jaccard-members")
 
 
+def _orders(df: DataFrame, key: str, text: str, k: int, docs: DataFrame, common: Common) -> DataFrame:
+    """All tile names of the documents in ``docs`` in their order: doc, tiles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            tiles = [ordered_tiles(s, common) for s in _sets(part, text, k)]
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(tiles, pa.list_(pa.int64()))], ["doc", "tiles"])
+
+    return among(df.select(F.col(key).cast("long").alias(key), text), key, docs).mapInArrow(work, "doc long, tiles array<long>")
+
+
+def _crowding(tiles: DataFrame, members: DataFrame) -> DataFrame:
+    """The tiles of several components, and whether their pairs of different components are more than ``CROWDED`` times their sets."""
+    of_one = tiles.join(members, "doc").groupBy("x", "comp").agg(F.count("*").alias("c"))
+    whole = of_one.groupBy("x").agg(F.sum("c").alias("docs"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("comps"))
+    return whole.where("comps > 1").select("x", (F.col("docs") * F.col("docs") - F.col("within") > 2 * CROWDED * F.col("docs")).alias("crowded"))
+
+
+@scratch("jaccard-thinned")
+def _thinned_tiles(tiles: DataFrame, sets: DataFrame, members: DataFrame, order: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(x, doc) of the tiles that are still of several components, without crowded ones.
+
+    ``tiles`` are those of two sets or more. The order of shingles becomes (crowded, order before). Heads with enough other
+    shingles just lose the crowded ones. Of a document with fewer all shingles are looked at (``order``), and those that crowd among
+    such documents are crowded too, until that moves no more heads. Only documents that consist of crowded shingles for the
+    most part keep some.
+    """
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    lasting = materialize(_crowding(tiles.select("x", "doc"), members), "jaccard-lasting")
+    crowded = lasting.where("crowded").select("x")
+    light = lasting.where("NOT crowded").select("x")
+    deep = None
+    while not crowded.isEmpty():
+        touched = tiles.select("x", "doc").join(crowded, "x", "left_semi").groupBy("doc").agg(F.collect_set("x").alias("out"))
+        told = sets.select("doc", "n", "head").join(touched, "doc").where(F.size(F.array_except("head", "out")) < size).select("doc").distinct()
+        short = materialize(told if deep is None else told.join(deep, "doc", "left_anti"), "jaccard-short")
+        if short.isEmpty():
+            break
+        seen = materialize(order(short), "jaccard-orders")
+        deep = seen if deep is None else deep.unionByName(seen)
+        more = _crowding(deep.select("doc", F.explode("tiles").alias("x")), members).where("crowded").select("x").join(crowded, "x", "left_anti")
+        more = materialize(more, "jaccard-crowded")
+        if more.isEmpty():
+            break
+        crowded = materialize(crowded.unionByName(more), "jaccard-crowded")
+    if deep is None:
+        return tiles.select("x", "doc").join(light, "x", "left_semi")
+    names = deep.select("doc", F.explode("tiles").alias("x"))
+    out = names.join(crowded, "x", "left_semi").groupBy("doc").agg(F.collect_set("x").alias("out"))
+    last = F.coalesce("out", F.array().cast("array<long>"))
+    heads = deep.join(out, "doc", "left").withColumn("n", F.size("tiles")).select("doc", F.explode(F.slice(F.concat(F.array_except("tiles", last), F.array_intersect("tiles", last)), F.lit(1), size.cast("int"))).alias("x"))
+    heads = materialize(heads.select("x", "doc"), "jaccard-heads")
+    # whatever else has a shingle of those heads: also sets that were alone in their tiles
+    met = materialize(heads.select("x").distinct().join(crowded, "x", "left_anti"), "jaccard-met")
+    wide = sets.select("doc", F.explode("head").alias("x"))
+    wide = among(wide, "x", met.select(F.col("x").alias("doc"))).select("x", "doc")
+    rest = tiles.select("x", "doc").join(light.join(met, "x", "left_anti").join(crowded, "x", "left_anti"), "x", "left_semi")
+    return rest.unionByName(wide).join(deep.select("doc"), "doc", "left_anti").select("x", "doc").unionByName(heads)
+
+
+def _unlike(tiles: DataFrame) -> DataFrame:
+    """One x for each different set of documents."""
+    sums = [F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("doc"), 32)).alias("s2"), F.count("*").alias("docs")]
+    return materialize(tiles.groupBy("x").agg(*sums).groupBy("s1", "s2", "docs").agg(F.min("x").alias("x")).select("x"), "jaccard-unlike")
+
+
+@scratch("jaccard-links")
+def _left_over(tiles: DataFrame, sets: DataFrame, members: DataFrame, df: DataFrame, key: str, text: str, k: int, percent: int, common: Common) -> DataFrame:
+    """The links between components that tiles still have after the rounds."""
+    rest = _thinned_tiles(tiles, sets, members, lambda docs: _orders(df, key, text, k, docs, common), percent)
+    rest = materialize(rest.join(members, "doc"), "jaccard-rest")
+    rest = rest.join(_crowding(rest.select("x", "doc"), members).select("x"), "x", "left_semi")
+    rest = materialize(rest.join(_unlike(rest), "x", "left_semi"), "jaccard-rest")
+    rest = materialize(rest.join(sets.select("doc", "n", *[F.col("odd")[i].alias(f"p{i}") for i in range(8)]), "doc"), "jaccard-tiles")
+    # bands four times as wide as their least size: few sets can pair with larger ones of the next band
+    band = lambda n: F.floor(F.log(n) / math.log(4)).cast("int")
+    bands = F.sequence(band(F.col("n")), band(F.col("n") * 100 / percent + 0.001))
+    large = rest.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), band(F.col("n")).alias("band"), *[F.col(f"p{i}").alias(f"pa{i}") for i in range(8)])
+    small = rest.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.explode(bands).alias("band"), *[F.col(f"p{i}").alias(f"pb{i}") for i in range(8)])
+    in_order = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    across = large.join(small, ["x", "band"]).where((F.col("ca") != F.col("cb")) & in_order & alike("na", "nb", percent) & differ_little(percent))
+    pairs = materialize(across.select("a", "b").distinct(), "jaccard-pairs")
+    return verified(pairs, sets, df, key, text, k, percent)
+
+
+def _sets_of_one_key(owned: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets of rows that have one key."""
+    firsts = owned.where("doc IS NOT NULL AND first IS NOT NULL").select("doc", "first")
+    several = materialize(firsts.groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("hi")).where("a < hi").select("doc", "a"), "jaccard-several")
+    return materialize(firsts.join(several, "doc").where("a < first").select("a", F.col("first").alias("b")).distinct(), "jaccard-links")
+
+
+@scratch("jaccard-result")
 def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """For each row of ``df``: the key as ``doc``, ``n_shingles`` and ``component``."""
-    rows = materialize(signatures(df, key, text, k, percent, common_shingles(df, key, text, k)), "jaccard-signatures")
+    if not 0 < percent <= 100:
+        raise ValueError(f"a percentage from 1 to 100: {percent}")
+    bounded_batches(df.sparkSession)
+    common = common_shingles(df, key, text, k)
+    rows = materialize(signatures(df, key, text, k, percent, common), "jaccard-signatures")
     same = materialize(rows.where("n > 0 AND doc IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc").alias("first")), "jaccard-same")
     firsts = same.select(F.col("first").alias("doc"), "n", "h1", "h2")
     sets = firsts_of(rows, firsts)
@@ -220,12 +347,11 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     # the first round sees every tile: its rows are kept as narrow as they get, and the least document stands for a tile
     mixed = materialize(tiles.groupBy("x").agg(F.min("doc").alias("rep"), F.max("doc").alias("hi")).where("rep < hi").select("x", "rep"), "jaccard-mixed")
     tiles = materialize(tiles.withColumn("n", F.col("n").cast("int")).join(mixed, "x"), "jaccard-tiles")
-    members = materialize(tiles.select("doc").distinct().withColumn("comp", F.col("doc")), "jaccard-members")
+    every = tiles
+    members = materialize(firsts.select("doc").distinct().withColumn("comp", F.col("doc")), "jaccard-members")
     members = merged(members, verified(_closest(tiles.where("doc <> rep")), sets, df, key, text, k, percent))
     # tiles of the same sets make the same pairs: one of them is enough
-    alike_tiles = tiles.groupBy("x").agg(F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("doc"), 32)).alias("s2"), F.count("*").alias("docs"))
-    distinct_tiles = materialize(alike_tiles.groupBy("s1", "s2", "docs").agg(F.min("x").alias("x")).select("x"), "jaccard-mixed")
-    tiles = materialize(tiles.select("x", "doc", "n").join(distinct_tiles, "x", "left_semi"), "jaccard-tiles")
+    tiles = materialize(tiles.select("x", "doc", "n").join(_unlike(tiles), "x", "left_semi"), "jaccard-tiles")
     for nth in range(1, ROUNDS):
         tiles = tiles.select("x", "doc", "n").join(members, "doc")
         # representatives are drawn by a hash: another one each time
@@ -234,20 +360,9 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
         tiles = materialize(tiles.join(materialize(mixed, "jaccard-mixed"), "x"), "jaccard-tiles")
         pairs = _closest(tiles.where((F.col("comp") != F.col("rep_comp")) & alike("n", "rep_n", percent)))
         members = merged(members, verified(pairs, sets, df, key, text, k, percent))
-    tiles = tiles.select("x", "doc", "n").join(members, "doc")
-    lasting = tiles.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
-    tiles = tiles.join(materialize(lasting, "jaccard-mixed"), "x", "left_semi")
-    tiles = materialize(tiles.join(sets.select("doc", *[F.col("odd")[i].alias(f"p{i}") for i in range(8)]), "doc"), "jaccard-tiles")
-    # bands four times as wide as their least size: few sets can pair with larger ones of the next band
-    band = lambda n: F.floor(F.log(n) / math.log(4)).cast("int")
-    bands = F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * 100 / percent + 0.001)))
-    large = tiles.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), band(F.col("n")).alias("band"), *[F.col(f"p{i}").alias(f"pa{i}") for i in range(8)])
-    small = tiles.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.explode(bands).alias("band"), *[F.col(f"p{i}").alias(f"pb{i}") for i in range(8)])
-    in_order = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    across = large.join(small, ["x", "band"]).where((F.col("ca") != F.col("cb")) & in_order & alike("na", "nb", percent) & differ_little(percent))
-    pairs = materialize(across.select("a", "b").distinct(), "jaccard-pairs")
-    members = merged(members, verified(pairs, sets, df, key, text, k, percent))
+    members = merged(members, _left_over(every, sets, members, df, key, text, k, percent, common))
     owned = rows.select("doc", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left").select("doc", "n", "first")
+    members = merged(members, _sets_of_one_key(owned))
     named = owned.join(members.withColumnRenamed("doc", "first"), "first", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("comp", "first", "doc"))
     return named.select("doc", F.col("n").alias("n_shingles"), component.alias("component"))
