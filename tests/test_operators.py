@@ -43,6 +43,50 @@ def test_numbering_has_no_gaps(spark):
     assert rows(out, "nth", "id") == sorted(((1000 - i, i) for i in range(1000)), key=repr)
 
 
+def test_a_million_rows_keep_their_columns_and_get_each_number_once(spark):
+    df = spark.range(1_000_000).select("id", F.pmod(F.xxhash64("id"), F.lit(5000)).alias("x"), F.concat(F.lit("kept "), "id").alias("more"))
+    out = mutate.numbered(df, [F.col("x"), F.col("id")])
+    assert out.agg(F.count("*"), F.countDistinct("nth"), F.min("nth"), F.max("nth")).first() == (1_000_000, 1_000_000, 1, 1_000_000)
+    assert out.where(F.col("more") != F.concat(F.lit("kept "), "id")).isEmpty()
+    before = out.select((F.col("nth") + 1).alias("nth"), F.struct("x", "id").alias("last"))
+    assert out.join(before, "nth").where(F.struct("x", "id") <= F.col("last")).isEmpty()
+
+
+def test_deep_pages_are_those_of_a_sorted_list(spark):
+    df = spark.range(30_000).select("id", (-F.col("id")).alias("x"), F.lit("kept").alias("more"))
+    found = referrals.page(df, [F.col("x")], 500, 50).orderBy("nth").collect()
+    assert [(r.nth, r.id, r.more, r.total, r.pages) for r in found] == [(24_951 + i, 29_999 - 24_950 - i, "kept", 30_000, 600) for i in range(50)]
+
+
+def test_upsert_takes_null_keys_as_unlike_and_ties_by_value(spark):
+    base = spark.createDataFrame([(None, "n"), (1, "a")], "id int, v string")
+    new = spark.createDataFrame([(None, "m"), (None, "m"), (1, "x"), (1, "y"), (1, None)], "id int, v string")
+    assert rows(mutate.upserted(base, new, "id")) == sorted([(None, "n"), (None, "m"), (None, "m"), (1, "y")], key=repr)
+
+
+def test_texts_inside_texts_equal_all_pairs(spark):
+    shorts = [(i, s, i % 2) for i, s in enumerate(["a", "ab", "abc", "abcd", "bcd", "zz", "", "abab", "cdab", None, "abc"])]
+    longs = [(i, s, i % 2) for i, s in enumerate(["abcd", "xxab", "", "abab", "zabcdz", "b", None, "cdabab"])]
+    left, right = spark.createDataFrame(shorts, "i int, s string, g int"), spark.createDataFrame(longs, "j int, l string, g int")
+    expected = sorted((i, j) for i, s, g in shorts for j, t, h in longs if s and t and g == h and s in t)
+    assert sorted(tuple(r) for r in resolve.contained(left, right, "s", "l", ["g"]).select("i", "j").collect()) == expected
+
+
+def test_lookups_name_the_first_reference_that_leads_nowhere(spark):
+    new = spark.createDataFrame([(1, 7, "u"), (2, 8, "u"), (3, None, "w"), (4, 9, "w")], "id int, c int, u string")
+    clinics = spark.createDataFrame([(7, "A"), (7, "B"), (9, None)], "k int, name string")
+    users = spark.createDataFrame([("u", "Ann")], "k string, name string")
+    out = referrals.with_lookups(new, {"c": (clinics, "k", {"name": "clinic"}, "no clinic"), "u": (users, "k", {"name": "user"}, "no user")})
+    assert rows(out, "id", "clinic", "user", "error") == [(1, "A", "Ann", None), (2, None, "Ann", "no clinic"), (3, None, None, "no user"), (4, None, None, "no user")]
+
+
+def test_links_are_rewritten_once(spark):
+    df = spark.createDataFrame([(1, "u1", "u1"), (2, "u1", "f9"), (3, "u2", "u2"), (4, None, None)], "id int, creator string, firm string")
+    source = spark.createDataFrame([("u1", "f1"), ("u1", "f0"), ("u3", "f3")], "creator string, own string")
+    run = lambda d: mutate.rewritten(d, source, "creator", "firm", F.col("own"), F.col("firm") == F.col("creator"))
+    assert rows(run(df), "id", "firm") == [(1, "f0"), (2, "f9"), (3, "u2"), (4, None)] == rows(run(run(df)), "id", "firm")
+
+
 def test_first_wins_and_merge(spark):
     data = spark.createDataFrame([(3, "k", "b"), (1, "k", "a"), (2, "j", "a"), (4, "k", "a")], "ord int, key string, tag string")
     assert rows(resolve.first_wins(data, [F.col("key")], [F.col("ord")]), "ord", "key") == [(1, "k"), (2, "j")]
@@ -85,6 +129,8 @@ def test_csv_listings(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Name ,Address,County,ZIP\n"Firm A","1 A St, Town",Dade,1\n🏥 Part,,,\nFirm B,2 B St,,\nshort,row\nFirm C,3 C St,Lake,4,extra\n', encoding="utf-8")
     files = {"auto": str(tmp_path / "a.csv"), "none": str(tmp_path / "missing.csv")}
     read = listings.read_csv_files(spark, files, ["Name", "Address", "County", "ZIP"], "area")
+    (tmp_path / "b.csv").write_text('a,b,c\n4,5,,extra\n"x\ny",2,3\n\n1,2\n')
+    assert rows(listings.read_csv(spark, str(tmp_path / "b.csv"), ["a", "b", "c"])) == [("4", "5", ""), ("x\ny", "2", "3")]
     good = read.where(~listings.is_section_row(F.col("Name"), F.col("Address"), F.col("County")))
     assert rows(good, "Name", "Address", "area") == [("Firm A", "1 A St, Town", "auto"), ("Firm B", "2 B St", "auto"), ("Firm C", "3 C St", "auto")]
 
@@ -99,6 +145,10 @@ def test_markdown_lists(spark, tmp_path):
     text = "# South\n## Dade\n1. **One Clinic**\n📍 1 A St, Town\n📞 555\n2. Two\n🌐 x.example\n## Lake\n3. Three\n📍 3 C St\n📍 4 D St\n"
     (tmp_path / "l.md").write_text(text, encoding="utf-8")
     out = listings.read_markdown(spark, str(tmp_path / "l.md"))
+    (tmp_path / "two").mkdir()
+    for n in ("a", "b"):
+        (tmp_path / "two" / f"{n}.md").write_text(text if n == "a" else "1. Alone\n📍 9 Z St\n", encoding="utf-8")
+    assert ("Alone", None, None) in rows(listings.read_markdown(spark, str(tmp_path / "two")), "name", "region", "county")
     assert rows(out, "record", "addresses", "phone", "region", "county") == [(1, ["1 A St, Town"], "555", "South", "Dade"), (3, ["3 C St", "4 D St"], None, "South", "Lake")]
 
 

@@ -39,6 +39,11 @@ def has_length(text: Column, least: int, most: int) -> Column:
     return F.coalesce(F.length(text).between(least, most), F.lit(False))
 
 
+def is_one_of(text: Column, values: list[str]) -> Column:
+    """Whether a value is one of a list; null is not."""
+    return F.coalesce(text.isin(*values), F.lit(False))
+
+
 def email_domain(text: Column) -> Column:
     """What stands behind the first @, in lower case; null if there is none."""
     return F.lower(F.get(F.split(text, "@"), F.lit(1)))

@@ -117,6 +117,26 @@ def labelled(pairs: dict[str, Column]) -> Column:
     return F.filter(rows, lambda r: r.value.isNotNull() & (trimmed(r.value) != ""))
 
 
+def parsed_float(text: Column) -> Column:
+    """The number that a text begins with, whatever follows it; null if it begins with none."""
+    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
+
+
+def parsed_int(text: Column) -> Column:
+    """The whole number that a text begins with."""
+    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("long")
+
+
+def one_decimal(number: Column, places: int = 1) -> Column:
+    """A number rounded to fixed decimals, halves away from zero."""
+    return F.round(number.cast("double"), places)
+
+
+def derived_key(prefix: str, *parts: Column, length: int = 8) -> Column:
+    """A prefix and the first hexadecimal digits of a digest of the parts: the same row always gets the same key."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, length))
+
+
 def lookup(value: Column, labels: dict[str, str]) -> Column:
     """The label of a value, the value itself if it has none."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[value], value)

@@ -110,8 +110,12 @@ def without(df: DataFrame, *columns: str) -> DataFrame:
 
 def tree(df: DataFrame, outer: str, inner: str, name: str, shown: int = 5) -> DataFrame:
     """Rows by outer and inner group: the first names in order, and how many more there are."""
-    told = df.groupBy(outer, inner).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
-    return told.select(outer, inner, "n", F.array_join(F.slice("names", 1, shown), "; ").alias("shown"), F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
+    first = df.where(F.col(name).isNotNull()).withColumn("_nth", F.row_number().over(Window.partitionBy(outer, inner).orderBy(name))).where(F.col("_nth") <= shown)
+    names = first.groupBy(F.col(outer).alias("_outer"), F.col(inner).alias("_inner")).agg(F.array_sort(F.collect_list(name)).alias("_names"))
+    counted = df.groupBy(outer, inner).agg(F.count("*").alias("n"))
+    told = counted.join(names, F.col(outer).eqNullSafe(F.col("_outer")) & F.col(inner).eqNullSafe(F.col("_inner")), "left")
+    listed = F.coalesce(F.array_join("_names", "; "), F.lit(""))
+    return told.select(outer, inner, "n", listed.alias("shown"), F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
 
 
 def camel(name: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,10 +47,15 @@ def deleted_ids(df: DataFrame, key: str, ids: DataFrame, never: object = None) -
 
 
 def upserted(df: DataFrame, rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
-    """New rows added or put in place of those with their key; of several new rows the last in ``order``."""
-    both = df.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    latest = Window.partitionBy(key).orderBy(F.desc("_new"), *([order.desc()] if order is not None else []))
-    return both.withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").drop("_nth", "_new")
+    """New rows added or put in place of those with their key; of several new rows the last in ``order``.
+
+    Ties go to the row with the largest values, column by column. Null keys equal nothing: such rows stay and are added. Only the
+    new rows are ranked; the table itself takes part in an anti join.
+    """
+    latest = Window.partitionBy(key).orderBy(*([order.desc()] if order is not None else []), *[F.desc_nulls_last(c) for c in rows.columns if c != key])
+    one = rows.where(F.col(key).isNotNull()).withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").drop("_nth")
+    kept = df.join(one.select(key), key, "left_anti").select(*df.columns)
+    return kept.unionByName(one, allowMissingColumns=True).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
@@ -59,13 +66,28 @@ def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     return numbered(df, order).withColumn("batch", (F.floor((F.col("nth") - 1) / size) + 1).cast("long")).drop("nth")
 
 
-def numbered(df: DataFrame, order: list[Column], parts: int = 32) -> DataFrame:
-    """``nth``: the row's number in the order, from 1, without a global sort in one task."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in files that all executors share: what is read twice stays the same."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="wayfold-"))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``nth``: the row's number in the order, from 1, without a global sort in one task.
+
+    The ranges are fixed once (their bounds are sampled, and would not be the same when planned anew), with each row's range and
+    its place there; the sizes of the ranges, a row for each, are then added up.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rows of a task count from 0
+    ranged = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_at")))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return inside.join(F.broadcast(before), "_part").withColumn("nth", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn("nth", F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
 def backfilled(df: DataFrame, source: DataFrame, column: str, on: str, value: str, condition: Column | None = None) -> DataFrame:
@@ -76,6 +98,29 @@ def backfilled(df: DataFrame, source: DataFrame, column: str, on: str, value: st
     return joined.withColumn(column, F.when(open_, F.col("_value")).otherwise(F.col(column))).select(*df.columns)
 
 
+def rewritten(df: DataFrame, source: DataFrame, key: str, column: str, value: Column, stale: Column) -> DataFrame:
+    """``column`` from the source row with the same key, only on rows that are still ``stale``: a second run changes nothing.
+
+    ``value`` is computed from the source's columns; of several source rows with a key the least value counts.
+    """
+    one = source.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_value"))
+    joined = df.join(one, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn(column, F.when(stale & F.col("_value").isNotNull(), F.col("_value")).otherwise(F.col(column))).select(*df.columns)
+
+
+def logged(log: DataFrame, entries: DataFrame, key: str, now: str) -> DataFrame:
+    """An audit log with new entries, numbered on from its last one in the order they have; the log's own rows never change."""
+    last = log.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
+    new = numbered(entries, [F.col(c) for c in entries.columns]).join(F.broadcast(last)).withColumn(key, F.col("_last") + F.col("nth"))
+    return log.unionByName(new.withColumn("created_at", F.lit(now).cast("timestamp")).drop("_last", "nth"), allowMissingColumns=True)
+
+
+def renamed_patch(body: Column, fields: dict[str, str], names: dict[str, str]) -> Column:
+    """A JSON patch with the fields allowed (name and type), each under its column's name."""
+    told = F.from_json(body, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    return F.struct(*[told[k].alias(names.get(k, k)) for k in fields])
+
+
 def set_where_exists(df: DataFrame, other: DataFrame, key: str, column: str, value: Column) -> DataFrame:
     """``column`` set on rows whose key the other table has."""
     known = other.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))

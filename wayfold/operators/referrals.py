@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions.text import present
+from wayfold.operators.mutate import numbered
+
+#: Up to so many rows a page is cut from a sorted top; deeper pages from numbered ranges.
+SHALLOW = 10_000
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -48,17 +52,54 @@ def recent(df: DataFrame, ts: str, key: str, most: int = 5) -> DataFrame:
     return df.orderBy(F.desc(ts), key).limit(most)
 
 
-def visible_to(df: DataFrame, role: str, clinic_id: object = None, firm_id: object = None) -> DataFrame:
-    """The rows a role may see: all for admins, a firm's or a clinic's own, none for others."""
+def visible_to(df: DataFrame, role: str, clinic_id: object = None, firm_id: object = None, user_id: object = None) -> DataFrame:
+    """The rows a role may see: all for admins, a firm's or a clinic's own, a referrer's or partner's own where rows name one, none for others."""
     if role == "admin":
         return df
     if role == "lawyer" and firm_id is not None:
         return df.where(F.col("lawyer_id") == firm_id)
     if role == "clinic" and clinic_id is not None:
         return df.where((F.col("clinic_id") == clinic_id) | (F.col("target_clinic_id") == clinic_id))
+    if role in ("referrer", "partner") and user_id is not None and "referrer_id" in df.columns:
+        return df.where(F.col("referrer_id") == user_id)
     return df.where(F.lit(False))
 
 
+def secured(df: DataFrame, policies: dict[str, Column], role: str, view: str) -> DataFrame:
+    """A temporary view with the rows that the role's policy lets through; a role without a policy sees none."""
+    seen = df.where(F.coalesce(policies.get(role, F.lit(False)), F.lit(False)))
+    seen.createOrReplaceTempView(view)
+    return df.sparkSession.table(view)
+
+
+def with_lookups(df: DataFrame, lookups: dict[str, tuple[DataFrame, str, dict[str, str], str]]) -> DataFrame:
+    """New rows with columns of the entities they name, and ``error``: the message of the first reference that leads nowhere.
+
+    ``lookups``: the referring column, then the entities, their key, columns under new names, and the message. A null reference
+    is no error. Of entities with the same key the least row counts.
+    """
+    out, error = df, F.lit(None).cast("string")
+    for at, (column, (entities, key, names, message)) in enumerate(lookups.items()):
+        one = entities.groupBy(F.col(key).alias(f"_key{at}")).agg(F.min(F.struct(*[F.col(c).alias(n) for c, n in names.items()])).alias(f"_found{at}"))
+        out = out.join(one, F.col(column) == F.col(f"_key{at}"), "left")
+        error = F.coalesce(error, F.when(F.col(column).isNotNull() & F.col(f"_key{at}").isNull(), message))
+    found = [F.col(f"_found{at}.{n}").alias(n) for at, (_, _, names, _) in enumerate(lookups.values()) for n in names.values()]
+    return out.select(*df.columns, *found, error.alias("error"))
+
+
+def variant(kind: Column, cases: dict[str, dict[str, Column]]) -> list[Column]:
+    """Columns that each kind of row takes from elsewhere; null for other kinds and for what a kind lacks."""
+    names = list(dict.fromkeys(n for fields in cases.values() for n in fields))
+    chosen = []
+    for n in names:
+        value = F.lit(None)
+        for k, fields in cases.items():
+            if n in fields:
+                value = F.when(kind == k, fields[n]).otherwise(value)
+        chosen.append(value.alias(n))
+    return chosen
+
+
 def may_edit(role: Column, clinic_id: Column, firm_id: Column) -> Column:
     """Admins may; so may the firm and the clinics that a referral names."""
     own = ((role == "lawyer") & (F.col("lawyer_id") == firm_id)) | ((role == "clinic") & ((F.col("clinic_id") == clinic_id) | (F.col("target_clinic_id") == clinic_id)))
@@ -76,9 +117,11 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     """One page in the order given, with its row numbers, the total of rows and that of pages."""
     size, number = max(size, 1), max(number, 1)
     total = df.agg(F.count("*").alias("total"))
-    # only the pages up to this one are sorted in full: a top-k, not a global window
-    top = df.orderBy(*order).limit(number * size)
-    rows = top.withColumn("nth", F.row_number().over(Window.orderBy(*order))).where(F.col("nth") > (number - 1) * size)
+    if number * size <= SHALLOW:  # only the pages up to this one are sorted in full: a top-k, not a global window
+        rows = df.orderBy(*order).limit(number * size).withColumn("nth", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    else:
+        rows = numbered(df, order)
+    rows = rows.where((F.col("nth") > (number - 1) * size) & (F.col("nth") <= number * size)).select(*df.columns, "nth")
     return rows.join(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,22 +45,38 @@ def ignoring_case(left: DataFrame, right: DataFrame, on: str, keep: str) -> Data
     return left.withColumn("_on", F.lower(on)).join(one, "_on", "left").drop("_on")
 
 
-def by_token(left: DataFrame, right: DataFrame, left_name: str, right_name: str, most: int = 10) -> DataFrame:
-    """Right rows whose name contains a telling word of the left name: ``most`` by name for each word, every pair once.
+def contained(shorts: DataFrame, longs: DataFrame, short: str, long: str, on: list[str] = ()) -> DataFrame:
+    """All pairs of rows, equal in ``on``, whose ``short`` text occurs inside the ``long`` one. Empty texts pair with nothing.
 
-    The words are compared inside the right names. The distinct words meet the names in one loop over the smaller side.
+    An equality join: whatever contains a text contains each run of three letters of it, and a text is sought by that of its
+    runs (or by itself, if it is shorter) that the fewest long texts hold. The columns of the two sides must differ but for ``on``.
     """
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
+    sized = lambda c, n: F.when(F.length(c) >= n, runs(F.col(c), n)).otherwise(F.array().cast("array<string>"))
+    held = longs.select(*on, long).where(F.length(long) > 0).distinct()
+    grams = held.select(*on, long, F.explode(F.array_distinct(F.concat(*[sized(long, n) for n in (1, 2, 3)]))).alias("_gram"))
+    often = grams.groupBy(*on, "_gram").agg(F.count("*").alias("_n"))
+    own = F.when(F.length(short) <= 3, F.array(F.col(short))).otherwise(F.array_distinct(runs(F.col(short), 3)))
+    sought = shorts.select(*on, short).where(F.length(short) > 0).distinct()
+    rarest = sought.select(*on, short, F.explode(own).alias("_gram")).join(often, [*on, "_gram"]).groupBy(*on, short).agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
+    pairs = rarest.join(grams, [*on, "_gram"]).where(F.col(long).contains(F.col(short))).select(*on, short, long)
+    return shorts.join(pairs, [*on, short]).join(longs, [*on, long])
+
+
+def by_token(left: DataFrame, right: DataFrame, left_name: str, right_name: str, most: int = 10) -> DataFrame:
+    """Right rows whose name contains a telling word of the left name: ``most`` by name for each word, every pair once."""
     words = left.select("id", F.explode(F.array_distinct(name_tokens(F.col(left_name)))).alias("token"))
-    names = right.select(F.col("id").alias("match_id"), F.col(right_name).alias("match_name"))
-    hits = words.select("token").distinct().join(names, F.lower("match_name").contains(F.col("token")))
+    names = right.select(F.col("id").alias("match_id"), F.col(right_name).alias("match_name"), F.lower(right_name).alias("lower_name"))
+    hits = contained(words.select("token").distinct(), names, "token", "lower_name")
     best = top_of_each(hits, ["token"], [F.col("match_name"), F.col("match_id")], most)
     return words.join(best, "token").select("id", "match_id", "match_name").distinct()
 
 
 def by_domain(users: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
-    """Entities with a user's e-mail domain, ``most`` by name for each user."""
-    pairs = users.select("id", email_domain(F.col("email")).alias("domain")).join(entities.select(F.col("id").alias("match_id"), F.col("name").alias("match_name"), email_domain(F.col("email")).alias("domain")), "domain")
-    return top_of_each(pairs, ["id"], [F.col("match_name"), F.col("match_id")], most).drop("nth")
+    """Entities with a user's e-mail domain, ``most`` by name. They are ranked by domain first: users only join the ranks."""
+    named = entities.select(email_domain(F.col("email")).alias("domain"), F.col("id").alias("match_id"), F.col("name").alias("match_name")).where("domain IS NOT NULL")
+    ranked = top_of_each(named, ["domain"], [F.col("match_name"), F.col("match_id")], most).drop("nth")
+    return users.select("id", email_domain(F.col("email")).alias("domain")).join(ranked, "domain")
 
 
 def by_state(users: DataFrame, entities: DataFrame, most: int = 15) -> DataFrame:
@@ -82,7 +96,7 @@ def by_address(new: DataFrame, existing: DataFrame, state: str = "fl") -> DataFr
     """New addresses with the first existing one (by ``place``) that seems the same, null if none does.
 
     The same: equal cores; equal city, and streets of which one contains the other; equal city, number and first street
-    word. Candidates come from equality joins on core and on city, not from all pairs.
+    word. All three are equality joins; that of streets inside streets is by city and a run of letters (``contained``).
     """
 
     def read(df: DataFrame, prefix: str) -> DataFrame:
@@ -93,10 +107,15 @@ def by_address(new: DataFrame, existing: DataFrame, state: str = "fl") -> DataFr
 
     n, e = read(new, "n_"), read(existing, "e_")
     same_core = n.join(e, F.col("n_core") == F.col("e_core"))
-    streets = (F.col("n_core") != "") & (F.col("e_core") != "") & (F.col("n_core").contains(F.col("e_core")) | F.col("e_core").contains(F.col("n_core")))
-    numbers = (F.col("n_number") != "") & (F.col("n_number") == F.col("e_number")) & (F.col("n_word") != "") & (F.col("n_word") == F.col("e_word"))
-    same_city = n.where("n_city <> ''").join(e, F.col("n_city") == F.col("e_city")).where(streets | numbers)
-    found = same_core.unionByName(same_city).groupBy("n_id").agg(F.min(F.struct("e_place", "e_id", "e_address")).alias("m"))
+    same_street = n.where("n_number <> '' AND n_word <> ''").join(e, (F.col("n_city") == F.col("e_city")) & (F.col("n_number") == F.col("e_number")) & (F.col("n_word") == F.col("e_word"))).where("n_city <> ''")
+    # the first existing address stands for all with the same core and city
+    first = F.min(F.struct("e_place", "e_id", "e_address")).alias("m")
+    streets = e.where("e_city <> '' AND e_core <> ''").groupBy(F.col("e_city").alias("town"), "e_core").agg(first)
+    sought = n.where("n_city <> '' AND n_core <> ''").select("n_id", F.col("n_city").alias("town"), "n_core")
+    inside = contained(streets, sought, "e_core", "n_core", ["town"]).select("n_id", "m")
+    around = contained(sought, streets, "n_core", "e_core", ["town"]).select("n_id", "m")
+    equal = same_core.unionByName(same_street).select("n_id", F.struct("e_place", "e_id", "e_address").alias("m"))
+    found = equal.unionByName(inside).unionByName(around).groupBy("n_id").agg(F.min("m").alias("m"))
     return new.join(found.select(F.col("n_id").alias("id"), F.col("m.e_id").alias("match_id"), F.col("m.e_address").alias("matched_with")), "id", "left").withColumn("full", ~addresses.is_vague(F.col("address")))
 
 
@@ -152,28 +171,93 @@ NOTE_RULES = [
     (r"(?i)abogado|attorney|seguro|insurance", ["Attorney Lien"]),
 ]
 DEFAULT_LABEL = "General Medicine"
-# The counties of each region.
-REGIONS = {
-    "Twin Cities Metro": "Hennepin, Ramsey, Dakota, Scott, Washington, Anoka, Carver, Wright, Sherburne",
-    "Southeast Minnesota": "Olmsted, Winona, Wabasha, Fillmore, Houston, Goodhue, Dodge, Mower, Freeborn, Steele, Rice, Waseca, Le Sueur",
-    "South Central Minnesota": "Blue Earth, Nicollet, Brown, Watonwan, Martin, Faribault, Jackson, Cottonwood, Murray",
-    "Southwest Minnesota": "Lyon, Redwood, Yellow Medicine, Lac qui Parle, Lincoln, Pipestone, Rock, Nobles, Big Stone, Chippewa, Renville, Swift, Kandiyohi, Traverse",
-    "Central Minnesota": "Stearns, Benton, Morrison, Mille Lacs, Kanabec, Todd",
-    "West Central Minnesota": "Douglas, Otter Tail, Grant, Wilkin, Clay",
-    "Northwest Minnesota": "Polk, Norman, Mahnomen, Red Lake, Pennington, Marshall, Kittson, Roseau, Lake of the Woods",
-    "Northeast Minnesota": "St. Louis, Lake, Cook, Itasca, Koochiching, Carlton, Crow Wing, Cass, Hubbard, Beltrami, Aitkin, Clearwater, Becker",
-}
+# The region of each county.
+REGIONS = [
+    ("Hennepin", "Twin Cities Metro"),
+    ("Ramsey", "Twin Cities Metro"),
+    ("Dakota", "Twin Cities Metro"),
+    ("Scott", "Twin Cities Metro"),
+    ("Washington", "Twin Cities Metro"),
+    ("Anoka", "Twin Cities Metro"),
+    ("Carver", "Twin Cities Metro"),
+    ("Wright", "Twin Cities Metro"),
+    ("Sherburne", "Twin Cities Metro"),
+    ("Olmsted", "Southeast Minnesota"),
+    ("Winona", "Southeast Minnesota"),
+    ("Wabasha", "Southeast Minnesota"),
+    ("Fillmore", "Southeast Minnesota"),
+    ("Houston", "Southeast Minnesota"),
+    ("Goodhue", "Southeast Minnesota"),
+    ("Dodge", "Southeast Minnesota"),
+    ("Mower", "Southeast Minnesota"),
+    ("Freeborn", "Southeast Minnesota"),
+    ("Steele", "Southeast Minnesota"),
+    ("Rice", "Southeast Minnesota"),
+    ("Waseca", "Southeast Minnesota"),
+    ("Le Sueur", "Southeast Minnesota"),
+    ("Blue Earth", "South Central Minnesota"),
+    ("Nicollet", "South Central Minnesota"),
+    ("Brown", "South Central Minnesota"),
+    ("Watonwan", "South Central Minnesota"),
+    ("Martin", "South Central Minnesota"),
+    ("Faribault", "South Central Minnesota"),
+    ("Jackson", "South Central Minnesota"),
+    ("Cottonwood", "South Central Minnesota"),
+    ("Murray", "South Central Minnesota"),
+    ("Lyon", "Southwest Minnesota"),
+    ("Redwood", "Southwest Minnesota"),
+    ("Yellow Medicine", "Southwest Minnesota"),
+    ("Lac qui Parle", "Southwest Minnesota"),
+    ("Lincoln", "Southwest Minnesota"),
+    ("Pipestone", "Southwest Minnesota"),
+    ("Rock", "Southwest Minnesota"),
+    ("Nobles", "Southwest Minnesota"),
+    ("Big Stone", "Southwest Minnesota"),
+    ("Chippewa", "Southwest Minnesota"),
+    ("Renville", "Southwest Minnesota"),
+    ("Swift", "Southwest Minnesota"),
+    ("Kandiyohi", "Southwest Minnesota"),
+    ("Traverse", "Southwest Minnesota"),
+    ("Stearns", "Central Minnesota"),
+    ("Benton", "Central Minnesota"),
+    ("Morrison", "Central Minnesota"),
+    ("Mille Lacs", "Central Minnesota"),
+    ("Kanabec", "Central Minnesota"),
+    ("Todd", "Central Minnesota"),
+    ("Douglas", "West Central Minnesota"),
+    ("Otter Tail", "West Central Minnesota"),
+    ("Grant", "West Central Minnesota"),
+    ("Wilkin", "West Central Minnesota"),
+    ("Clay", "West Central Minnesota"),
+    ("Polk", "Northwest Minnesota"),
+    ("Norman", "Northwest Minnesota"),
+    ("Mahnomen", "Northwest Minnesota"),
+    ("Red Lake", "Northwest Minnesota"),
+    ("Pennington", "Northwest Minnesota"),
+    ("Marshall", "Northwest Minnesota"),
+    ("Kittson", "Northwest Minnesota"),
+    ("Roseau", "Northwest Minnesota"),
+    ("Lake of the Woods", "Northwest Minnesota"),
+    ("St. Louis", "Northeast Minnesota"),
+    ("Lake", "Northeast Minnesota"),
+    ("Cook", "Northeast Minnesota"),
+    ("Itasca", "Northeast Minnesota"),
+    ("Koochiching", "Northeast Minnesota"),
+    ("Carlton", "Northeast Minnesota"),
+    ("Crow Wing", "Northeast Minnesota"),
+    ("Cass", "Northeast Minnesota"),
+    ("Hubbard", "Northeast Minnesota"),
+    ("Beltrami", "Northeast Minnesota"),
+    ("Aitkin", "Northeast Minnesota"),
+    ("Clearwater", "Northeast Minnesota"),
+    ("Becker", "Northeast Minnesota"),
+]
 DEFAULT_REGION = "Minnesota"
 
 
 def with_region(df: DataFrame, county: str, regions: DataFrame | None = None, default: str = DEFAULT_REGION) -> DataFrame:
     """``region`` of the county, from (county, region) rows or else the fixed table."""
     if regions is None:
-        rows = [(c, r) for r, counties in REGIONS.items() for c in counties.split(", ")]
-        regions = F.broadcast(df.sparkSession.createDataFrame(rows, "county string, region string"))
+        regions = F.broadcast(df.sparkSession.createDataFrame(REGIONS, "county string, region string"))
     known = regions.select(F.col("county").alias(county), "region")
     return df.join(known, county, "left").withColumn("region", F.coalesce("region", F.lit(default)))
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)

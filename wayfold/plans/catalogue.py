@@ -9,34 +9,22 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import address, contact, dates, geo, text
 from wayfold.operators import audit, directory, mutate, referrals, resolve
+from wayfold.plans import fixtures  # noqa: F401  registers its queries
 from wayfold.plans import views as v
+from wayfold.plans.registered import QUERIES, SQL, query
 from wayfold.sources import exports, listings
 from wayfold.streaming import activity
 
 NOW = "2001-08-01"
 STATUSES = {"P": "received", "O": "in_process", "F": "attended"}
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a function under its name, with SQL for the same rows."""
-
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return keep
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def all_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)
 
 
 # ---- dashboard
@@ -283,7 +271,7 @@ def q_region_tree(spark, d):
 
 
 @query("""WITH l AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id) AS nth, count(*) OVER () AS total FROM events WHERE event_type = 'click')
-    SELECT event_id, event_type, CAST(nth AS INTEGER) AS nth, total, CAST(ceil(total / 50) AS BIGINT) AS pages FROM l WHERE nth BETWEEN 51 AND 100""")
+    SELECT event_id, event_type, nth, total, CAST(ceil(total / 50) AS BIGINT) AS pages FROM l WHERE nth BETWEEN 51 AND 100""")
 def q_log_page2(spark, d):
     rows = directory.where_given(v.table(spark, d, "events", "event_id", "event_type", "ts"), [("click", F.col("event_type") == "click"), (None, F.lit(False))])
     return referrals.page(rows, [F.desc("ts"), F.col("event_id")], 2, 50).drop("ts")
@@ -479,9 +467,10 @@ def q_county_region(spark, d):
     return resolve.with_region(nation, "n_name", F.broadcast(pairs), "Elsewhere").select("n_nationkey", "region")
 
 
-@query("WITH n AS (SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_name, c_custkey) AS VARCHAR) AS nth FROM customer) SELECT c_custkey, concat('c-', CASE WHEN length(nth) < 3 THEN lpad(nth, 3, '0') ELSE nth END) AS id FROM n")
+@query("WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, CAST(row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) AS VARCHAR) AS nth FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, concat('c-', CASE WHEN length(nth) < 3 THEN lpad(nth, 3, '0') ELSE nth END) AS id FROM n")
 def q_ids_padded(spark, d):
-    return listings.with_ids(v.table(spark, d, "customer", "c_custkey", "c_name"), "c-", [F.col("c_name"), F.col("c_custkey")]).select("c_custkey", "id")
+    rows = v.table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+    return listings.with_ids(rows, "c-", [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")])
 
 
 @query("SELECT max(c_custkey) AS last FROM customer")
@@ -522,10 +511,14 @@ def q_time_ago(spark, d):
     return v.table(spark, d, "events", "event_id", "ts").select("event_id", dates.age(ts, F.lit("2024-01-31").cast("timestamp")).alias("age"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%b %-d, %Y') AS short, strftime(ts - INTERVAL 5 HOUR, '%B %-d, %Y at %I:%M %p') AS zoned FROM events")
+# the same events half a year on are in summer time, one hour less away from UTC (from the second Sunday in March on)
+@query("""WITH e AS (SELECT event_id, ts FROM events UNION ALL SELECT -1 - event_id, ts + INTERVAL 182 DAY FROM events)
+    SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%b %-d, %Y') AS short, strftime(ts - to_hours(CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' AND ts < TIMESTAMP '2024-11-03 06:00:00' THEN 4 ELSE 5 END), '%B %-d, %Y at %I:%M %p') AS zoned FROM e""")
 def q_date_formats(spark, d):
-    ts = F.col("ts").cast("timestamp")
-    return v.table(spark, d, "events", "event_id", "ts").select("event_id", dates.iso_day(ts).alias("day"), dates.short_date(ts).alias("short"), dates.zoned_date(ts).alias("zoned"))
+    rows = v.table(spark, d, "events", "event_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    later = rows.select((-1 - F.col("event_id")).alias("event_id"), (F.col("ts") + F.expr("interval 182 days")).alias("ts"))
+    ts = F.col("ts")
+    return rows.unionByName(later).select("event_id", dates.iso_day(ts).alias("day"), dates.short_date(ts).alias("short"), dates.zoned_date(ts).alias("zoned"))
 
 
 @query("WITH " + v.CLINICS + " SELECT id, NOT regexp_matches(split_part(CASE WHEN id % 5 = 0 THEN concat('Main St', substr(address, position(',' IN address))) ELSE address END, ',', 1), '[0-9]') AS vague FROM clinics")
@@ -604,9 +597,9 @@ def q_insert_defaults(spark, d):
     return mutate.inserted(rows, new, {"s_name": "Unnamed"})
 
 
-@query("SELECT c_custkey, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 200) + 1 AS BIGINT) AS batch FROM customer")
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority, CAST(floor((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) / 200) + 1 AS BIGINT) AS batch FROM orders")
 def q_batches(spark, d):
-    return mutate.batches(v.table(spark, d, "customer", "c_custkey"), [F.col("c_custkey")], 200)
+    return mutate.batches(v.table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderpriority"), [F.desc("o_totalprice"), F.col("o_orderkey")], 200)
 
 
 @query("WITH " + v.CLINICS + ", " + v.USERS + " SELECT DISTINCT id, email FROM (SELECT id, email FROM clinics UNION ALL SELECT clinics.id, users.email FROM clinics JOIN users ON users.clinic_id = clinics.id) WHERE email <> ''")

@@ -18,6 +18,16 @@ def export_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *quoted).alias("line"))
 
 
+def contact_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The other form of export: a line for each row, every field quoted and its quotes doubled, to go under an unquoted header."""
+    return export_lines(df, columns)
+
+
+def header_line(columns: list[str]) -> str:
+    """The unquoted header of that form."""
+    return ",".join(columns)
+
+
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
     """The same as files with a header."""
     df.select(*[export_field(df, c).alias(c) for c in columns]).write.option("quoteAll", True).option("escape", '"').csv(path, header=True)

@@ -18,9 +18,10 @@ from wayfold.operators.mutate import numbered
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The columns by header name (trimmed, a byte order mark dropped), values trimmed, rows that are too short left out.
 
-    ``columns`` are all columns of the file, in any order.
+    ``columns`` are all columns of the file, in any order. Lines with more fields than the header keep those they should have. A
+    quoted value may hold line breaks, so a file is read by one task.
     """
-    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": True}
     names = spark.read.csv(path, **options).columns  # the header line only
     fields = [n.strip().removeprefix("\ufeff").strip('" ') for n in names]
     missing = [c for c in columns if c not in fields]
@@ -28,9 +29,12 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
         raise ValueError(f"{path} lacks {missing}")
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, "_odd"]])
     lines = spark.read.schema(schema).csv(path, **options, mode="PERMISSIVE", columnNameOfCorruptRecord="_odd", enforceSchema=True)
-    short = F.col("_odd").isNotNull() & F.col(f"`{fields[-1]}`").isNull()  # lines with too many fields keep those they should have
+    # commas outside quotes: an even number of quotes follows them
+    held = F.size(F.split("_odd", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    short = F.col("_odd").isNotNull() & (held < len(fields))
     return lines.where(~short).select(*[trimmed(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in columns])
 
+
 def read_csv_files(spark: SparkSession, files: dict[str, str], columns: list[str], category: str) -> DataFrame:
     """Several files in one frame, each with its category and its place among the files; missing files are skipped."""
     frames = []
@@ -86,22 +90,22 @@ def read_json_records(spark: SparkSession, path: str, schema: str, inside: str |
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Clinics of a Markdown list: region and county lines hold for what follows, a numbered line opens a record, and lines
     marked by a pin, a telephone or a globe belong to it. Records without an address are left out. A list is one file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    return parsed_markdown(lines)
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    return parsed_markdown(lines).drop("file")
 
 
 def parsed_markdown(lines: DataFrame) -> DataFrame:
-    """As ``read_markdown``, from numbered lines (line, text)."""
+    """As ``read_markdown``, from the numbered lines of files (file, line, text)."""
     text = trimmed(F.col("text"))
-    after = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     region = F.when(text.rlike(r"^(# |[\x{1F7E5}-\x{1F7EB}])"), trimmed(F.regexp_replace(text, r"^[#\s\x{1F7E5}-\x{1F7EB}\x{FE0F}]+", "")))
     county = F.when(text.rlike(r"^##+ "), trimmed(F.regexp_replace(text, r"^#+\s*", "")))
     name = F.when(text.rlike(r"^\**[0-9]+[.)]\s*"), trimmed(F.regexp_replace(text, r"^\**[0-9]+[.)]\s*|\*+$", "")))
     marked = lambda mark: F.when(text.rlike(mark), trimmed(F.regexp_replace(text, f"^[-*\\s]*{mark}\\s*", "")))
-    told = lines.select("line", region.alias("r"), county.alias("c"), name.alias("n"), marked(r"\x{1F4CD}").alias("a"), marked(r"\x{1F4DE}").alias("p"), marked(r"\x{1F310}").alias("w"))
+    told = lines.select("file", "line", region.alias("r"), county.alias("c"), name.alias("n"), marked(r"\x{1F4CD}").alias("a"), marked(r"\x{1F4DE}").alias("p"), marked(r"\x{1F310}").alias("w"))
     # a county line ends the record above it; a region line the county too
     carried = told.select("*", F.sum(F.col("n").isNotNull().cast("int")).over(after).alias("record"), F.last("r", True).over(after).alias("region"), F.last(F.when(F.col("r").isNotNull(), F.lit("")).otherwise(F.col("c")), True).over(after).alias("county"))
-    one = carried.where("record > 0").groupBy("record").agg(
+    one = carried.where("record > 0").groupBy("file", "record").agg(
         F.first("n", True).alias("name"), F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("line", "a"))), lambda x: x.a)).alias("addresses"),
         F.min_by("p", F.when(F.col("p").isNotNull(), F.col("line"))).alias("phone"), F.min_by("w", F.when(F.col("w").isNotNull(), F.col("line"))).alias("website"),
         F.min_by("region", "line").alias("region"), F.nullif(F.min_by("county", "line"), F.lit("")).alias("county"),
@@ -110,8 +114,11 @@ def parsed_markdown(lines: DataFrame) -> DataFrame:
 
 
 def located(df: DataFrame, cache: DataFrame, address: str = "address") -> DataFrame:
-    """Coordinates from a table of known places (place, lat, lng): of the address, else of what follows its first comma."""
-    known = cache.where("lat IS NOT NULL")
+    """Coordinates from a table of known places (place, lat, lng): of the address, else of what follows its first comma.
+
+    Of several rows with one place the one farthest south counts.
+    """
+    known = cache.where("lat IS NOT NULL").groupBy("place").agg(F.min(F.struct("lat", "lng")).alias("at")).select("place", "at.*")
     exact = known.select(F.col("place").alias(address), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
     town = known.select(F.col("place").alias("_town"), F.col("lat").alias("_tlat"), F.col("lng").alias("_tlng"))
     tail = df.withColumn("_town", trimmed(F.regexp_extract(address, r"^[^,]*,(.*)$", 1)))
