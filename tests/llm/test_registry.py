@@ -17,7 +17,7 @@ COLUMNS = {
     "op6_toxicity": "doc_id held_out score predicted",
     "op7_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op8_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
-    "op9_sentencepiece": "doc_id n_ids ids_crc32 exact",
+    "op9_sentencepiece": "doc_id n_ids ids_crc32 exact n_best best_crc32",
     "op10_telephony": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     "pipeline": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }

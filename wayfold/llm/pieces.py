@@ -7,13 +7,14 @@ longest piece are looked up among the sorted keys of the pieces. Then
 - unigram models: a Viterbi sweep over the places keeps, for all words at once, the best score and the piece that reaches it
   (of equal scores the longer last piece), and the way back is read off for all words at once;
 - merge (BPE) models: the best sum of scores is not what such a model means, so the words instead merge, all at once, their
-  best-scoring neighbouring pair (of equal ones the first) until none is left.
+  best-scoring neighbouring pair (of equal ones the first) until none is left. The Viterbi path of such a model can be asked for
+  beside that, from the same table of substrings.
 
 A character that no piece covers becomes its bytes (or the unknown id in models without byte pieces).
 
 Cases: null and empty texts have no pieces; repeated rows and words are encoded alike; texts of any length are encoded whole;
-U+2581 in a text decodes as a space, as in the reference implementation; empty tables give empty results; columns beside those
-of ``keep`` are dropped.
+U+2581 in a text decodes as a space, as in the library of that name; empty tables give empty results; columns beside those
+of ``keep`` are dropped, and of these a column named like one of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -30,10 +31,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import mix
+from wayfold.llm.common import bounded_batches, mix, unclashed
 from wayfold.llm.common import pieces as slices
 
 MARK = "▁"
@@ -43,8 +43,8 @@ _UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE = 1 << 22
 #: Words kept with their pieces in a worker; the table starts anew when full.
-KEPT_WORDS = 150_000
-_models: dict[str, "Model"] = {}
+KEPT_WORDS = 100_000
+_models: dict[tuple[str, bool], "Model"] = {}
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,19 +99,21 @@ class Model:
     unknown: int
     prefix: bool
     squeeze: bool
-    merges: bool
+    ways: tuple[str, ...]
 
     def __post_init__(self) -> None:
         self.forget()
 
     def forget(self) -> None:
         self.kept: dict[str, int] = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = {w: np.zeros(0, np.uint32) for w in self.ways}
+        self.starts, self.counts = ({w: np.zeros(0, np.int64) for w in self.ways} for _ in range(2))
 
     @classmethod
-    def load(cls, path: str) -> "Model":
-        if path in _models:
-            return _models[path]
+    def load(cls, path: str, best: bool = False) -> "Model":
+        """The model of a file; its first way of encoding is the model's own. With ``best``, merge models find the Viterbi path too."""
+        if (path, best) in _models:
+            return _models[path, best]
         with open(path, "rb") as file:
             raw = file.read()
         texts, found, bytes_from, unknown, prefix, squeeze, merges = [], [], -1, 0, True, True, False
@@ -139,8 +141,9 @@ class Model:
         order = np.argsort(keys)
         sieve = np.zeros(_SIEVE, dtype=bool)
         sieve[(keys & np.uint64(_SIEVE - 1)).astype(np.int64)] = True
-        _models[path] = cls(texts, keys[order], np.array([i for _, i, _ in found])[order], np.array([s for _, _, s in found])[order], sieve, longest, min(s for _, _, s in found), bytes_from, unknown, prefix, squeeze, merges)
-        return _models[path]
+        ways = (("merge", "viterbi") if best else ("merge",)) if merges else ("viterbi",)
+        _models[path, best] = cls(texts, keys[order], np.array([i for _, i, _ in found])[order], np.array([s for _, _, s in found])[order], sieve, longest, min(s for _, _, s in found), bytes_from, unknown, prefix, squeeze, ways)
+        return _models[path, best]
 
     def written(self, text: str) -> str:
         if self.squeeze:
@@ -208,7 +211,12 @@ class Model:
         """Encode words of one length, all at once, and keep them."""
         size = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), size)
-        path = (self.merge if self.merges else self.viterbi)(*self.substrings(codes.astype(np.uint64)))
+        found = self.substrings(codes.astype(np.uint64))
+        for way in self.ways:
+            self._add(way, getattr(self, way)(*found), codes)
+        self.kept.update(zip(words, range(len(self.kept), len(self.kept) + len(words)), strict=True))
+
+    def _add(self, way: str, path: np.ndarray, codes: np.ndarray) -> None:
         row, place = np.nonzero(path != -1)
         ids = path[row, place]
         lone = np.flatnonzero(ids == -2)
@@ -218,13 +226,16 @@ class Model:
             times[lone] = [len(x) for x in spelled]
             row, ids = np.repeat(row, times), np.repeat(ids, times)
             ids[ids == -2] = [b for x in spelled for b in x]
-        counts = np.bincount(row, minlength=len(words))
-        self.kept.update(zip(words, range(len(self.kept), len(self.kept) + len(words)), strict=True))
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(counts) - counts)
-        self.counts, self.flat = np.append(self.counts, counts), np.append(self.flat, ids.astype(np.uint32))
+        counts = np.bincount(row, minlength=len(codes))
+        self.starts[way] = np.append(self.starts[way], len(self.flat[way]) + np.cumsum(counts) - counts)
+        self.counts[way], self.flat[way] = np.append(self.counts[way], counts), np.append(self.flat[way], ids.astype(np.uint32))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
+        """The ids of all texts one after the other, and how many each has, by the model's own way."""
+        return self.encode_all(texts)[self.ways[0]]
+
+    def encode_all(self, texts: list[str | None]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """The same by each of the model's ways."""
         cut = [_WORDS.findall(self.written(t)) if t else [] for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.forget()
@@ -237,10 +248,12 @@ class Model:
             for low in range(0, len(some), step):
                 self.learn(some[low : low + step])
         number = np.fromiter(map(self.kept.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
-        counts = self.counts[number]
-        at = np.repeat(self.starts[number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum([len(w) for w in cut])))]
-        return self.flat[at], np.diff(ends)
+        cuts, told = np.concatenate(([0], np.cumsum([len(w) for w in cut]))), {}
+        for way in self.ways:
+            counts = self.counts[way][number]
+            at = np.repeat(self.starts[way][number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            told[way] = self.flat[way][at], np.diff(np.concatenate(([0], np.cumsum(counts)))[cuts])
+        return told
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that form no UTF-8 become U+FFFD."""
@@ -258,6 +271,7 @@ def _powers(n: int) -> np.ndarray:
 
 def encode(df: DataFrame, text: str, keep: list[str], model_path: str) -> DataFrame:
     """The kept columns and ``ids``."""
+    keep = unclashed(keep, "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.load(model_path)
@@ -271,6 +285,7 @@ def encode(df: DataFrame, text: str, keep: list[str], model_path: str) -> DataFr
 
 def decode(df: DataFrame, ids: str, keep: list[str], model_path: str) -> DataFrame:
     """The kept columns and ``decoded``; null ids decode to null."""
+    keep = unclashed(keep, "decoded")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.load(model_path)
@@ -283,18 +298,32 @@ def decode(df: DataFrame, ids: str, keep: list[str], model_path: str) -> DataFra
     return df.select(ids, *[c for c in keep if c != ids]).mapInArrow(work, T.StructType([*[df.schema[c] for c in keep], T.StructField("decoded", T.StringType())]))
 
 
-def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces: their number, the CRC-32 of the ids (little-endian, 32 bits), and whether they decode to the text."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(encode(docs, "text", ["doc_id", "text"], path), "ids", ["doc_id", "text", "ids"], path)
+def round_trips(df: DataFrame, text: str, keep: list[str], model_path: str) -> DataFrame:
+    """The kept columns, the number of ids and their CRC-32 (little-endian, 32 bits), whether they decode to the text; and
+    ``n_best`` and ``best_crc32`` of the Viterbi path (null: the model's own way is that one). One pass: neither ids nor texts leave the task."""
+    keep = unclashed(keep, "n_ids", "ids_crc32", "exact", "n_best", "best_crc32")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            values, sizes = np.asarray(part.column("ids").flatten()).astype("<u4"), part.column("ids").value_lengths().to_pylist()
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-            sums = [zlib.crc32(values[ends[i] : ends[i + 1]].tobytes()) for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), part.column("exact")], ["doc_id", "n_ids", "ids_crc32", "exact"])
+    def digests(flat: np.ndarray, counts: np.ndarray) -> list[int]:
+        wide, ends = flat.astype("<u4"), np.concatenate(([0], np.cumsum(counts)))
+        return [zlib.crc32(wide[low:high]) for low, high in zip(ends, ends[1:], strict=False)]
 
-    told = back.select("doc_id", "ids", (F.col("decoded") == F.col("text")).alias("exact"))
-    return told.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, exact boolean")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.load(model_path, best=True)
+        for part in slices(batches, text):
+            texts = part.column(text).to_pylist()
+            told = model.encode_all(texts)
+            flat, counts = told[model.ways[0]]
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            exact = [model.decode(flat[low:high]) == (t or "") for t, low, high in zip(texts, ends, ends[1:], strict=False)]
+            best = [pa.array(told["viterbi"][1], pa.int64()), pa.array(digests(*told["viterbi"]), pa.int64())] if model.ways[0] != "viterbi" else [pa.nulls(len(texts), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(counts, pa.int64()), pa.array(digests(flat, counts), pa.int64()), pa.array(exact, pa.bool_()), *best], [*keep, "n_ids", "ids_crc32", "exact", "n_best", "best_crc32"])
+
+    more = T.StructType.fromDDL("n_ids long, ids_crc32 long, exact boolean, n_best long, best_crc32 long")
+    return df.select(text, *[c for c in keep if c != text]).mapInArrow(work, T.StructType([*[df.schema[c] for c in keep], *more]))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, by the model's own merges and by the best path, and whether they decode to the text."""
+    bounded_batches(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return round_trips(docs, "text", ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
