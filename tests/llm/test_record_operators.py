@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import wave
+import zlib
 
 import numpy as np
 import pytest
@@ -166,6 +167,44 @@ def test_payloads_come_back(spark, codec):
     assert telephony.read_back(telephony.store(rows.where("false"), "raw", ["id"], codec), ["id"]).collect() == []
 
 
+def test_stored_pcm_gives_payloads_back(spark):
+    payloads = [b"", bytes(range(256)), RNG.integers(0, 256, 300_000).astype(np.uint8).tobytes(), None]
+    rows = spark.createDataFrame([(i, p, "x", "y") for i, p in enumerate(payloads)], "id long, raw binary, media string, payload string")
+    stored = telephony.store_pcm(telephony.store(rows, "raw", ["id", "payload", "media"], "alaw"), "media", ["id", "payload"])
+    for r in stored.collect():
+        with wave.open(io.BytesIO(bytes(r.media))) as file:
+            assert (file.getframerate(), file.getnframes()) == (16000, 2 * len(payloads[r.id] or b""))
+    back = telephony.read_back(stored, ["id", "payload"]).orderBy("id").collect()
+    assert [bytes(r.payload) for r in back] == [p or b"" for p in payloads]
+    for r in back:
+        sound = telephony.resample_double(telephony.ALAW[np.frombuffer(bytes(r.payload), np.uint8)])
+        assert bytes(r.pcm16k) == sound.tobytes() and r.feature.endswith(f"pcm16k={len(sound)}:{zlib.crc32(sound.tobytes()):08x}")
+
+
+def test_the_query_equals_plain_python(spark, tmp_path):
+    texts = ["", None, "a", "é" * 288, "x" * 576, "y" * 577, "z é" * 40_000, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("media", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in telephony.op10_telephony(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        pcm = telephony.ALAW[np.frombuffer(payload, np.uint8)].astype(int)
+        wide = np.empty(2 * len(pcm), dtype="<i2")
+        wide[0::2], wide[1::2] = pcm, [(a + b) >> 1 for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True)]
+        file = io.BytesIO()
+        with wave.open(file, "wb") as told:
+            told.setparams((1, 2, 16000, 0, "NONE", ""))
+            told.writeframes(wide.tobytes())
+        r = out[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_bytes == len(file.getvalue()) and r.media_sha256 == hashlib.sha256(file.getvalue()).hexdigest()
+        loud = int(np.sqrt((pcm * pcm).sum() // len(pcm)))
+        assert r.feature.startswith(f"alaw:rms={loud},peak={np.abs(pcm).max()},")
+    assert out[2].feature == out[7].feature
+
+
 def test_files_are_wav():
     media = telephony.wav(b"12345", "mulaw")
     assert telephony.unwav(media) == ("mulaw", b"12345")

@@ -275,6 +275,23 @@ def test_places_equal_brute_force(spark, words):
     assert licenses.scan(frame(spark, []), "text", ["doc_id"]).collect() == []
 
 
+def test_repeated_lines_of_a_short_wording_are_found(spark):
+    line = "Creative Commons Attribution ShareAlike"
+    rows = [(i, " ".join([line] * i)) for i in range(6)] + [(10, "x " + line + " y " + line)]
+    found = {r.doc_id: [s.first_word for s in r.spans if s.label == "cc-by-sa"] for r in licenses.scan(frame(spark, rows), "text", ["doc_id"]).collect()}
+    assert found == {i: [4 * j for j in range(i)] for i in range(6)} | {10: [1, 6]}
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["label", "size", "gram", "at", "exact", "template", "uid", "place", "spans", "n_words", "kept", "text", "diagonal"]
+    docs = spark.createDataFrame([("a", 1, 2, None, "e", 5, 6, 7, "s", "n", "k", "All rights reserved", 9), (*[None] * 11, None, 1)], "label string, size int, gram int, at int, exact string, template int, uid int, place int, spans string, n_words string, kept string, text string, diagonal int")
+    out = licenses.scan(docs, "text", [*names, "label"])
+    assert out.columns == [n for n in names if n not in ("spans", "n_words")] + ["n_words", "spans"]
+    one = out.where("label = 'a'").first()
+    assert (one["size"], one.gram, one.at, one.kept, one.n_words, one.spans[0].label) == (1, 2, None, "k", 3, "reserved")
+    assert out.where("label IS NULL").select("n_words", F.size("spans"), "diagonal").first() == (0, 0, 1)
+
+
 def test_wordings_bridge_small_changes(spark):
     texts = {1: "x This work is licensed under the new GNU General Public License, version 3. y", 2: "this work is fun", 3: "Released under the MIT License."}
     found = {r.doc_id: {s.label for s in r.spans if not s.exact} for r in licenses.scan(frame(spark, texts.items()), "text", ["doc_id"]).collect()}
@@ -298,23 +315,34 @@ def test_pieces_equal_the_library_and_decode(spark, words):
 
 
 def test_viterbi_is_the_best_path(words):
-    model = pieces.Model.load(public_tokenizers.path("piece_bpe_32k.model"))
-    model.forget()
-    model.merges = False
-    try:
-        score = dict(zip((model.texts[i].decode() for i in model.ids), model.scores, strict=True))
-        some = [w.capitalize() for w in words[:80]]
-        flat, counts = model.encode(some)
-        for w, ids in zip(some, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
-            written = " " + w
-            best = [0.0] + [-np.inf] * len(written)
-            for end in range(1, len(written) + 1):
-                best[end] = max(best[s] + score.get(written[s:end], -np.inf) for s in range(end))
-            assert sum(score[model.texts[i].decode()] for i in ids) == best[-1]
-            assert model.decode(ids) == w
-    finally:
-        model.forget()
-        model.merges = True
+    model = pieces.Model.load(public_tokenizers.path("piece_bpe_32k.model"), best=True)
+    score = dict(zip((model.texts[i].decode() for i in model.ids), model.scores, strict=True))
+    some = [w.capitalize() for w in words[:80]]
+    flat, counts = model.encode_all(some)["viterbi"]
+    for w, ids in zip(some, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        written = " " + w
+        best = [0.0] + [-np.inf] * len(written)
+        for end in range(1, len(written) + 1):
+            best[end] = max(best[s] + score.get(written[s:end], -np.inf) for s in range(end))
+        assert sum(score[model.texts[i].decode()] for i in ids) == best[-1]
+        assert model.decode(ids) == w
+
+
+def test_round_trips_digest_both_ways(spark, words):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model.load(path, best=True)
+    rows = [(i, sentence(words, 40), 7) for i in range(20)] + [(i, t, 7) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_ids int")
+    out = pieces.round_trips(docs, "text", ["doc_id", "n_ids", "text", "text"], path)
+    assert out.columns == ["doc_id", "text", "n_ids", "ids_crc32", "exact", "n_best", "best_crc32"]
+    for r in out.collect():
+        own, best = library.encode(r.text) if r.text else [], model.encode_all([r.text])["viterbi"][0]
+        assert (r.n_ids, r.ids_crc32) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        assert (r.n_best, r.best_crc32) == (len(best), zlib.crc32(best.astype("<u4").tobytes()))
+        assert r.exact == (model.decode(np.array(own, dtype=np.int64)) == (r.text or ""))
+    clash = spark.createDataFrame([(1, "a b", [5], "x")], "doc_id int, text string, ids array<int>, decoded string")
+    coded = pieces.encode(clash, "text", ["doc_id", "ids", "decoded"], path)
+    assert coded.columns == ["doc_id", "decoded", "ids"] and pieces.decode(coded, "ids", ["decoded", "doc_id"], path).first().decoded == "a b"
 
 
 # ---- the pipeline's filters

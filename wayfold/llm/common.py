@@ -45,12 +45,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _scopes: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Cut the lineage with a table written in the shared folder, which outlives lost executors."""
     path = shared_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +79,11 @@ def scratch(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Dat
     return decorate
 
 
+def unclashed(keep: list[str], *results: str) -> list[str]:
+    """The columns to keep: once each, and without those that a result column replaces."""
+    return [c for c in dict.fromkeys(keep) if c not in results]
+
+
 def utf8(col: str | Column) -> Column:
     """The UTF-8 bytes of a text; null is empty."""
     return F.encode(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), "UTF-8")

@@ -9,8 +9,8 @@ of the template's grams vote for it within a length like the template's.
 Words are runs of ASCII letters and digits and of anything beyond ASCII, with A-Z as a-z; the gram hashes have 64 bits.
 
 Cases: null and empty texts have no words and no labels; repeated rows are scanned one by one; several templates may
-hold the same place; empty tables give empty results; columns beside ``keep`` are dropped, and a kept column may not be
-named like a result column.
+hold the same place; empty tables give empty results; columns beside ``keep`` are dropped, and of these a column named
+like one of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import SYMBOLS, grams, mix, pieces, text_bytes, words_of
+from wayfold.llm.common import SYMBOLS, bounded_batches, grams, mix, pieces, text_bytes, unclashed, words_of
 
 GRAM, SHIFT, COVER = 2, 4, 0.7
 
@@ -90,28 +90,33 @@ def text_grams(df: DataFrame, text: str, keep: list[str], k: int = GRAM) -> Data
 
 def scan(df: DataFrame, text: str, keep: list[str], base: dict[str, list[str]] | None = None, wordings: dict[str, list[str]] | None = None, k: int = GRAM, shift: int = SHIFT, cover: float = COVER) -> DataFrame:
     """A row for each document: kept columns, n_words, and ``spans``: label, exact, first_word, n_words, score."""
+    bounded_batches(df.sparkSession)
+    keep = unclashed(keep, "n_words", "spans")
+    # kept columns travel in one structure, whose name alone must be unlike the others
+    df = df.select(F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("kept"))
     known = templates(df.sparkSession, BASE if base is None else base, WORDINGS if wordings is None else wordings, k)
-    hits = text_grams(df, text, keep, k).join(F.broadcast(known), "gram")  # a fixed list
+    hits = text_grams(df, "text", ["kept"], k).join(F.broadcast(known), "gram")  # a fixed list
     diagonal = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("place") - F.col("at"))
     one = hits.groupBy("uid", "template", diagonal.alias("diagonal")).agg(
         F.any_value("label").alias("label"), F.any_value("exact").alias("exact"), F.any_value("size").alias("size"), F.collect_set("at").alias("ats"), F.min("place").alias("low"), F.max("place").alias("high"),
-        *[F.any_value(c).alias(c) for c in keep],
+        F.any_value("kept", True).alias("kept"),
     )
     own = Window.partitionBy("uid", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(own) > shift), F.lit(True))
+    # a diagonal with enough grams of its own is a span of its own: lines that repeat a short wording are no single long span
+    alone = F.col("exact") | (F.size("ats") >= F.col("size") * cover)
+    apart = F.coalesce(alone | F.lag(alone).over(own) | (F.col("diagonal") - F.lag("diagonal").over(own) > shift), F.lit(True))
     grouped = one.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(own))
     merged = grouped.groupBy("uid", "template", "span").agg(
         F.any_value("label").alias("label"), F.any_value("exact").alias("exact"), F.any_value("size").alias("size"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"),
-        *[F.any_value(c).alias(c) for c in keep],
+        F.any_value("kept", True).alias("kept"),
     )
     score = F.col("votes") / F.col("size")
     length = F.col("high") - F.col("low") + 1
     sure = F.when(F.col("exact"), F.col("votes") == F.col("size")).otherwise((score >= cover) & (length <= F.col("size") * 1.5 + shift))
     span = F.when((F.col("template") >= 0) & sure, F.struct("label", "exact", F.col("low").alias("first_word"), (length + k - 1).alias("n_words"), score.alias("score")))
     whole = F.col("template") < 0
-    return merged.groupBy("uid").agg(
-        *[F.max(F.when(whole, F.col(c))).alias(c) for c in keep], F.max(F.when(whole, F.col("low"))).alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans"),
-    ).drop("uid")
+    told = merged.groupBy("uid").agg(F.any_value("kept", True).alias("kept"), F.max(F.when(whole, F.col("low"))).alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans"))
+    return told.select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Telephony audio as columns: mu-law, A-law and IMA ADPCM bytes in WAV form, expanded and resampled to linear PCM.
 
 The companded codes are expanded by tables of 256 entries; ADPCM blocks are decoded step by step, all blocks of a batch
-at once. Work is per row and needs no shuffle; a batch is handled in slices of bounded size.
+at once. The sound is stored as WAV files of linear PCM at twice the rate, in a table of the shared folder. Every second sample
+there is one of the sound itself, and as A-law has no two codes for one sample, the stored PCM gives the payload back
+(mu-law has two zeros: of its codes 127 comes back as 255). Work is per row and needs no shuffle; a batch is handled in slices
+of bounded size.
 
 Cases: null payloads are empty; a payload that is no whole number of ADPCM blocks is padded with zeros for decoding (its
 stored bytes stay as they are); empty payloads give empty PCM; equal payloads give equal values; an empty table gives an
-empty result; extra columns are dropped from the result except those named in ``keep``.
+empty result; extra columns are dropped from the result except those named in ``keep``, and of these a column named like one of the
+result gives way to it.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import pieces, utf8
+from wayfold.llm.common import bounded_batches, materialize, pieces, unclashed, utf8
 
 RATE = 8000
 #: The format tags of WAV files.
-TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
+TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17, "linear": 1}
 #: Bytes of an ADPCM block: four of state, then two samples a byte.
 BLOCK = 144
 PAD, UNIT = 255, 576
@@ -56,6 +60,10 @@ def alaw_table() -> np.ndarray:
 
 
 MULAW, ALAW = mulaw_table(), alaw_table()
+#: The code of each 16-bit sample (by its unsigned value) that a table can give.
+_CODES = {name: np.zeros(1 << 16, dtype=np.uint8) for name in ("mulaw", "alaw")}
+for _name, _table in (("mulaw", MULAW), ("alaw", ALAW)):
+    _CODES[_name][_table.view(np.uint16)] = np.arange(256)
 
 
 def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
@@ -93,7 +101,15 @@ def wav(payload: bytes, codec: str) -> bytes:
     rate = RATE * BLOCK // (1 + 2 * (BLOCK - 4)) if codec == "adpcm" else RATE
     form = struct.pack("<HHIIHH", TAGS[codec], 1, RATE, rate, align, bits) + more
     pad = b"\0" * (len(payload) % 2)
-    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, len(payload)) + b"data" + struct.pack("<I", len(payload)) + payload + pad
+    samples = -(-len(payload) // BLOCK) * (1 + 2 * (BLOCK - 4)) if codec == "adpcm" else len(payload)
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(payload)) + payload + pad
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def linear_wav(pcm: np.ndarray, rate: int = 2 * RATE) -> bytes:
+    """A WAV file of 16-bit mono."""
+    form = struct.pack("<HHIIHH", 1, 1, rate, 2 * rate, 2, 16)
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", 2 * len(pcm)) + pcm.astype("<i2").tobytes()
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -123,9 +139,16 @@ def expand(payload: bytes, codec: str) -> np.ndarray:
     return (MULAW if codec == "mulaw" else ALAW)[raw]
 
 
+def companded(pcm: np.ndarray, codec: str) -> bytes:
+    """The codes of samples that the codec's table gave."""
+    return _CODES[codec][pcm.view(np.uint16)].tobytes()
+
+
 def store(df: DataFrame, payload: str, keep: list[str], codec: str = "mulaw") -> DataFrame:
     """The columns of ``keep`` and ``media``: the payload as a WAV file of the codec."""
 
+    keep = unclashed(keep, "media")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, payload):
             media = [wav(x.as_py() or b"", codec) for x in part.column(payload)]
@@ -135,7 +158,7 @@ def store(df: DataFrame, payload: str, keep: list[str], codec: str = "mulaw") ->
     return df.select(payload, *[c for c in keep if c != payload]).mapInArrow(work, schema)
 
 
-def features(payload: np.ndarray, lines: dict[str, np.ndarray]) -> str:
+def features(lines: dict[str, np.ndarray]) -> str:
     """Loudness, peak and zero crossings of each reading of the bytes, and a checksum of the 16 kHz PCM of the first."""
     said = []
     for name, pcm in lines.items():
@@ -146,16 +169,22 @@ def features(payload: np.ndarray, lines: dict[str, np.ndarray]) -> str:
     return ";".join(said) + f";pcm16k={len(first)}:{zlib.crc32(first.tobytes()):08x}"
 
 
-def read_back(df: DataFrame, keep: list[str], media: str = "media", pcm: bool = True) -> DataFrame:
+def read_back(df: DataFrame, keep: list[str], media: str = "media", pcm: bool = True, codec: str = "alaw") -> DataFrame:
     """Stored WAV files read: codec, payload, PCM at 16 kHz (left out unless ``pcm``) and features of the bytes.
 
-    The features hear the bytes by each of the three codecs; ``pcm16k`` is the resampled sound of the file's own codec.
+    The features hear the bytes by each of the three codecs; ``pcm16k`` is the resampled sound of the file's own codec. Files of
+    linear PCM at 16 kHz are read as ``codec``, which gave their every second sample.
     """
     fields = "codec string, payload binary, feature string" + (", pcm16k binary" if pcm else "")
+    keep = unclashed(keep, "codec", "payload", "feature", "pcm16k")
+
+    def heard(stored: bytes) -> tuple[str, bytes]:
+        own, data = unwav(stored)
+        return (codec, companded(np.frombuffer(data, dtype="<i2")[::2], codec)) if own == "linear" else (own, data)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, media):
-            files = [unwav(x.as_py()) for x in part.column(media)]
+            files = [heard(x.as_py()) for x in part.column(media)]
             raws = [np.frombuffer(p, dtype=np.uint8) for _, p in files]
             counts = [-(-len(r) // BLOCK) for r in raws]
             blocks = np.zeros((sum(counts), BLOCK), dtype=np.uint8)
@@ -165,12 +194,12 @@ def read_back(df: DataFrame, keep: list[str], media: str = "media", pcm: bool =
                 at += n
             decoded, at = decode_adpcm(blocks), 0
             said, sounds = [], []
-            for (codec, _), r, n in zip(files, raws, counts, strict=True):
+            for (name, _), r, n in zip(files, raws, counts, strict=True):
                 lines = {"mulaw": MULAW[r], "alaw": ALAW[r], "adpcm": decoded[at : at + n].reshape(-1)}
-                own = {codec: lines.pop(codec)} | lines
-                said.append(features(r, own))
+                own = {name: lines.pop(name)} | lines
+                said.append(features(own))
                 if pcm:
-                    sounds.append(resample_double(own[codec]).tobytes())
+                    sounds.append(resample_double(own[name]).tobytes())
                 at += n
             columns = [*[part.column(c) for c in keep], pa.array([c for c, _ in files], pa.string()), pa.array([p for _, p in files], pa.binary()), pa.array(said, pa.string())]
             names = [*keep, "codec", "payload", "feature"]
@@ -182,14 +211,29 @@ def read_back(df: DataFrame, keep: list[str], media: str = "media", pcm: bool =
     return df.select(media, *[c for c in keep if c != media]).mapInArrow(work, schema)
 
 
+def store_pcm(df: DataFrame, media: str, keep: list[str], name: str = "telephony") -> DataFrame:
+    """A table in the shared folder with the columns of ``keep`` and ``media``: the sound of each WAV file as linear PCM at 16 kHz."""
+    keep = unclashed(keep, "media")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, media):
+            files = [unwav(x.as_py()) for x in part.column(media)]
+            sounds = [linear_wav(resample_double(expand(data, codec))) for codec, data in files]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sounds, pa.binary())], [*keep, "media"])
+
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("media", T.BinaryType())])
+    return materialize(df.select(media, *[c for c in keep if c != media]).mapInArrow(work, schema), name, level=6)
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text stored as mu-law sound, read back and described."""
+    """Every document's text taken as A-law sound, stored as PCM at 16 kHz, read back and described."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", utf8("text").alias("raw")).withColumn("n_bytes", F.octet_length("raw").cast("long"))
     whole = F.greatest(F.lit(UNIT), F.ceil(F.col("n_bytes") / UNIT) * UNIT)
     filler = F.unhex(F.repeat(F.lit(f"{PAD:02x}"), UNIT))
     padded = sized.withColumn("payload", F.concat("raw", F.substring(filler, F.lit(1), (whole - F.col("n_bytes")).cast("int"))))
-    stored = store(padded, "payload", ["doc_id", "n_bytes"])
+    stored = store_pcm(store(padded, "payload", ["doc_id", "n_bytes"], "alaw"), "media", ["doc_id", "n_bytes"])
     heard = read_back(stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}), ["doc_id", "n_bytes", "media_bytes", "media_sha256"], pcm=False)
     return heard.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
