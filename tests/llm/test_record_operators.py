@@ -1,8 +1,10 @@
 """Sharding, archives, vectors and sound: brute force, round trips, odd rows."""
 
 import base64
+import fractions
 import hashlib
 import io
+import math
 import wave
 import zlib
 
@@ -105,6 +107,44 @@ def test_top_k_equals_brute_force(spark, n):
     assert got == sorted(expected)
 
 
+def test_long_vectors_take_part_exactly(spark):
+    vectors = {0: [1.0, 2.0], 1: [9000.0, -3.0], 2: [1e30, 1.0], 3: [-1e30, 5.5], 5: [3e38, 3e38], 10: [0.5, 0.25], 11: [1e30, 1.0], 15: [-2e5, 7.0]}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<float>")
+    got = sorted(tuple(r) for r in mtree.top_k(df, "id", "v", F.col("id") % 5 == 0, 3).select("query_id", "rank", "vec_id", "score").collect())
+    whole = {i: [math.floor(fractions.Fraction(float(np.float32(x))) * 256) for x in v] for i, v in vectors.items()}
+    expected = []
+    for q in (0, 5, 10, 15):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        expected += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores[:3], 1)]
+    assert got == sorted(expected)
+
+
+def test_repeated_ids_and_ties_between_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [5.0, 0.0]), (2, [0.0, 9.0]), (3, [2.0, 1.0]), (4, [1.0, 1.0, 1.0]), (6, [7.0] * 3), (7, [7.0] * 3), (8, [7.0] * 3), (9, [7.0] * 3), (10, [7.0] * 3)]
+    df = spark.createDataFrame(rows[:9], "id long, v array<double>")  # five of two components, four of three
+    got = [tuple(r) for r in mtree.top_k(df, "id", "v", F.col("id") == 2, 2).orderBy("rank").select("query_id", "rank", "vec_id", "score").collect()]
+    unit = 256 * 256
+    assert got == [(2, 1, 3, 10 * unit), (2, 2, 3, 9 * unit)]
+    even = spark.createDataFrame([rows[0], rows[2], rows[5], rows[6]], "id long, v array<double>")
+    assert {r.vec_id for r in mtree.top_k(even, "id", "v", F.lit(True), 5).collect()} == {1, 2}
+
+
+def test_clustered_vectors_skip_most_pivots(spark, monkeypatch):
+    """Many small shards; far groups are left out before their trees are read, and the results stay those of brute force."""
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 64)
+    monkeypatch.setattr(mtree, "BLOCK", 16)
+    vectors = np.concatenate([RNG.normal(0, 0.3, size=(150, 6)) + c for c in RNG.normal(0, 6, size=(8, 6))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<float>")
+    got = sorted(tuple(r) for r in mtree.top_k(df, "id", "v", F.col("id") % 10 == 0, 4).select("query_id", "rank", "vec_id", "score").collect())
+    whole = np.floor(256 * vectors.astype(float)).astype(np.int64)
+    expected = []
+    for q in range(0, len(whole), 10):
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(len(whole)), -scores)).tolist() if i != q][:4]
+        expected += [(q, n, i, int(scores[i])) for n, i in enumerate(order, 1)]
+    assert got == sorted(expected)
+
+
 def test_bounds_leave_out_pages():
     points = np.concatenate([RNG.normal(c, 0.5, size=(300, 6)) for c in (-40, 0, 40)]).round().astype(np.int64)
     most = int((points**2).sum(axis=1).max())

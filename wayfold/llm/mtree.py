@@ -1,25 +1,33 @@
 """Exact top-k by inner product with M-trees.
 
 Integer vectors get one more coordinate, ``sqrt(largest squared norm - own squared norm)``; then the largest inner product
-with a query is the least Euclidean distance, and a metric tree applies. The vectors are dealt to the nearest of some
-pivots, in shards of ``SHARD_ROWS`` at most, and every shard becomes an M-tree of pages: each entry holds its routing vector, its
+with a query is the least Euclidean distance, and a metric tree applies. The vectors are dealt to the nearest of ``PIVOTS``
+pivots at most, in shards of ``SHARD_ROWS`` at most, and every shard becomes an M-tree of pages: each entry holds its routing vector, its
 covering radius and its distance to the parent. A search takes pages in the order of their least possible distance, stops
 beyond the k-th best so far, and leaves out entries whose stored parent distance already shows that they are too far.
 Scores are integers, so results are exact; the bounds are floating point with some slack.
 
-The query set meets all shards in blocks of ``BLOCK`` queries. A first bound for every query comes from a bounded pool.
+The query set goes through the shards in blocks of ``BLOCK`` queries of like pivots, twice: first only through those of each query's
+own pivot, which tells how good the k-th best is at least; then through those of the pivots whose ball of vectors can hold a
+better one (a table of a row for each pivot decides that before any shard is read). A first bound comes from a bounded pool.
 
-Cases: vectors that are null, of another length than most, or hold null or non-finite components take no part; of equal
-vectors only the k + 1 least ids can be among k results, the others are left out before the shuffle; ties go to the smaller
-id; ids that repeat are candidates once each, and never their own query's; null ids take no part; with fewer candidates
-than k all are returned; empty tables give empty results; other columns are not read.
+Vectors whose squared norm is beyond ``NARROW`` are too long for exact floating point. They take part by Python's integers, block by
+block, as queries and as candidates; their scores beyond 64 bits rank by their true value and are shown as the nearest
+64-bit number.
+
+Cases: vectors that are null, of another length than most (of lengths equally common, the least), or hold null or non-finite
+components take no part; of equal vectors only the k + 1 least ids can be among k results, the others are left out before the
+shuffle; ties go to the smaller id; repeated rows are one; an id with several vectors is a candidate once with each, never its own
+query's, and asks with all of them together; null ids take no part; with fewer candidates than k all are returned; empty tables give
+empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,9 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import materialize, thinned
+from wayfold.llm.common import bounded_batches, materialize, thinned
 
-SHARD_ROWS, PIVOTS, PAGE, BLOCK, POOL = 1024, 1024, 32, 1024, 2048
+SHARD_ROWS, PIVOTS, PAGE, BLOCK, POOL = 4096, 1024, 16, 1024, 2048
+#: Squared norms of vectors in trees: no score is larger, and sums of so large products are exact in double precision.
+NARROW = float(1 << 41)
+#: Blocks of the rare long vectors, and lanes in which they meet the others.
+WIDE_BLOCK, WIDE_LANES = 256, 32
+_DIGITS = 640
 _SLACK = 1e-6
 #: Places of a shard in the low digits of a number whose high digits are a score.
 _PLACES, _NONE = 1 << 20, np.iinfo(np.int64).min
@@ -140,93 +153,172 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bound
     return query_ids[row], ids[_PLACES - 1 - found % _PLACES], found // _PLACES
 
 
-def build(candidates: DataFrame, k: int, most: int, pivots: np.ndarray, crowded: dict[int, int]) -> DataFrame:
-    """A row for each shard: its number and its tree. ``crowded``: in how many shards a pivot's vectors are dealt."""
+def _nearest(pivots: np.ndarray, most: int, lift: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, v) with the nearest pivot and the distance from it; queries are not lifted."""
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            points = lifted(_matrix(part.column("v")), most)
-            gap = (points**2).sum(axis=1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(axis=1)[None]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(gap.argmin(axis=1).astype(np.int32)) if part.num_rows else pa.array([], pa.int32())], ["id", "v", "pivot"])
+            if part.num_rows:
+                vectors = _matrix(part.column("v"))
+                points = lifted(vectors, most) if lift else np.hstack([vectors.astype(float), np.zeros((len(vectors), 1))])
+                near = ((points**2).sum(axis=1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(axis=1)[None]).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(near.astype(np.int32)), pa.array(_distances(points, pivots[near]))], ["id", "v", "pivot", "away"])
+
+    return work
+
+
+_DEALT = "id long, v array<long>, pivot int, away double"
+
+
+def build(dealt: DataFrame, most: int, crowded: dict[int, int]) -> DataFrame:
+    """A row for each shard: its pivot, its number and its tree. ``crowded``: in how many shards a pivot's vectors are dealt."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values(["id"], kind="stable")
         vectors = np.array(pdf["v"].tolist(), dtype=np.int64)
         points = lifted(vectors, most)
         centre = points[0]
         made = {"root": grow(points, np.arange(len(points)), centre), "centre": centre, "ids": pdf["id"].to_numpy(), "vectors": vectors, "most": most}
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(made)]})
+        return pd.DataFrame({"pivot": [int(pdf["pivot"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(made)]})
 
-    dealt = candidates.select("id", "v").mapInArrow(nearest, "id long, v array<long>, pivot int")
     parts = F.create_map(*[F.lit(x) for p, n in crowded.items() for x in (p, n)]) if crowded else None
     salt = F.pmod(F.xxhash64("id"), F.coalesce(parts[F.col("pivot")], F.lit(1))).cast("long") if crowded else F.lit(0).cast("long")
-    return dealt.withColumn("shard", F.col("pivot").cast("long") * F.lit(1 << 20) + salt).groupBy("shard").applyInPandas(tree, "shard long, tree binary")
+    return dealt.select("id", "v", "pivot", (F.col("pivot").cast("long") * F.lit(1 << 20) + salt).alias("shard")).groupBy("shard").applyInPandas(tree, "pivot int, shard long, tree binary")
 
 
-def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, factor: int = 256) -> DataFrame:
-    """For each query row the k largest inner products with other rows: query_id, rank, vec_id, score."""
-    spark = df.sparkSession
-    good = df.where(F.col(key).isNotNull() & usable(vector))
-    rows = good.select(F.col(key).cast("long").alias("id"), scaled(vector, factor).alias("v"), is_query.alias("q")).distinct()
-    rows = rows.withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
-    dims = rows.select(F.mode(F.size("v")).alias("d")).first().d
-    rows = materialize(rows.where(F.size("v") == (dims or 0)), "mtree-rows")
-    facts = rows.agg(F.count("*").alias("n"), F.max("norm").alias("most")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
+def _limits(vectors: np.ndarray, kth: np.ndarray, most: int) -> np.ndarray:
+    """The distances beyond which nothing beats the scores ``kth``."""
+    return np.sqrt(np.maximum((vectors * vectors).sum(axis=1) + most - 2.0 * kth, 0))
+
+
+def _by_trees(rows: DataFrame, k: int, dims: int) -> DataFrame:
+    """query_id, vec_id and score of at least the k best for each query, among (id, v, q) of vectors that fit."""
+    spark, schema = rows.sparkSession, "query_id long, vec_id long, score long"
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).alias("most")).first()
     if not facts.n:
         return spark.createDataFrame([], schema)
-    if facts.most >= 1 << 42:  # no score is larger than the largest squared norm
-        raise ValueError("vectors too long: scores beyond 2^42 are not exact")
+    most = facts.most
     first = Window.partitionBy("v").orderBy("id")
     candidates = materialize(rows.select("id", "v").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).select("id", "v"), "mtree-candidates")
-    pool = thinned(candidates, ["id"], POOL, seed=5).orderBy("id").toPandas()
+    pool = thinned(candidates, ["id"], POOL, seed=5).orderBy("id", "v").toPandas()
     pool_ids, pool_vectors = pool["id"].to_numpy(dtype=np.int64), np.array(pool["v"].tolist(), dtype=np.int64).reshape(len(pool), dims)
-    points = lifted(pool_vectors, facts.most)
+    points = lifted(pool_vectors, most)
     n_pivots = max(1, min(PIVOTS, facts.n // (SHARD_ROWS // 2), len(points)))
-    pivots = points[np.random.default_rng(3).permutation(len(points))[:n_pivots]]
-    sizes = _pivot_sizes(candidates, facts.most, pivots)
-    trees = materialize(build(candidates, k, facts.most, pivots, {p: -(-n // SHARD_ROWS) for p, n in sizes.items() if n > SHARD_ROWS}), "mtree-trees")
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pivots = points[np.random.default_rng(3).permutation(len(points))[:n_pivots]] if len(points) else np.zeros((1, dims + 1))
+    dealt = materialize(candidates.mapInArrow(_nearest(pivots, most, True), _DEALT), "mtree-dealt")
+    balls = {r.pivot: (r.n, r.radius) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    radius = np.array([balls.get(p, (0, -np.inf))[1] for p in range(len(pivots))])
+    trees = materialize(build(dealt, most, {p: -(-n // SHARD_ROWS) for p, (n, _) in balls.items() if n > SHARD_ROWS}), "mtree-trees")
+    nothing = np.iinfo(np.int64).min // 4
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of queries with their first bounds, each with its own pivots."""
         for part in batches:
             for low in range(0, part.num_rows, BLOCK):
                 some = part.slice(low, BLOCK)
-                ids, vectors = np.asarray(some.column("id")), _matrix(some.column("v"))
+                ids, vectors, near = np.asarray(some.column("id")), _matrix(some.column("v")), np.asarray(some.column("pivot"))
                 scores = vectors @ pool_vectors.T
-                scores[ids[:, None] == pool_ids[None]] = np.iinfo(np.int64).min // 4
-                kth = np.sort(scores, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), np.iinfo(np.int64).min // 4)
-                bound = np.sqrt(np.maximum((vectors * vectors).sum(axis=1) + facts.most - 2.0 * kth, 0))
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids, vectors, bound))], pa.binary())], ["block"])
+                scores[ids[:, None] == pool_ids[None]] = nothing
+                kth = np.sort(scores, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), nothing)
+                wanted = np.unique(near)
+                block = pickle.dumps((ids, vectors, _limits(vectors, kth, most)))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(wanted), pa.binary()), pa.array(wanted, pa.int32()), pa.array([np.packbits(near == p).tobytes() for p in wanted], pa.binary())], ["block", "pivot", "mask"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of queries with the bounds that they have by now, each with the other pivots that can hold better ones."""
+        for part in batches:
+            for low in range(0, part.num_rows, BLOCK):
+                some = part.slice(low, BLOCK)
+                ids, vectors, near = np.asarray(some.column("id")), _matrix(some.column("v")), np.asarray(some.column("pivot"))
+                kth = np.asarray(some.column("kth").fill_null(nothing))
+                limits = _limits(vectors, kth, most)
+                asked = np.hstack([vectors.astype(float), np.zeros((len(vectors), 1))])
+                masks = {p: mask for p in np.flatnonzero(radius > -np.inf).tolist() if (mask := (near != p) & (_distances(asked, pivots[p]) - radius[p] <= limits * (1 + _SLACK) + _SLACK)).any()}
+                block = pickle.dumps((ids, vectors, limits))
+                for p, mask in masks.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([p], pa.int32()), pa.array([np.packbits(mask).tobytes()], pa.binary())], ["block", "pivot", "mask"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, dict] | None = None
         for part in batches:
-            for raw_tree, raw_block in zip(part.column("tree").to_pylist(), part.column("block").to_pylist(), strict=True):
-                ids, vectors, bounds = pickle.loads(raw_block)
-                found = search(pickle.loads(raw_tree), vectors, ids, k, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
-
-    asked = materialize(rows.where("q").select("id", "v").mapInArrow(blocks, "block binary"), "mtree-blocks")
-    shards = trees.select("shard")
-    # every block of the stated queries meets every shard
-    met = asked.join(shards.agg(F.collect_list("shard").alias("shards")), F.lit(True)).select("block", F.explode("shards").alias("shard")).join(trees, "shard")
-    found = met.select("tree", "block").mapInArrow(find, "query_id long, vec_id long, score long")
+            for at in range(part.num_rows):
+                shard = part.column("shard")[at].as_py()
+                if held is None or held[0] != shard:
+                    held = shard, pickle.loads(part.column("tree")[at].as_py())
+                ids, vectors, bounds = pickle.loads(part.column("block")[at].as_py())
+                mask = np.unpackbits(np.frombuffer(part.column("mask")[at].as_py(), np.uint8), count=len(ids)).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in search(held[1], vectors[mask], ids[mask], k, bounds[mask])], ["query_id", "vec_id", "score"])
+
+    def searched(blocks: DataFrame) -> DataFrame:
+        return blocks.join(trees, "pivot").select("shard", "tree", "block", "mask").mapInArrow(find, schema)
+
+    asked = materialize(rows.where("q").select("id", "v").distinct().mapInArrow(_nearest(pivots, most, False), _DEALT).repartitionByRange("pivot", "id").sortWithinPartitions("pivot", "id"), "mtree-asked")
+    blocks = "block binary, pivot int, mask binary"
+    near = materialize(searched(asked.mapInArrow(own, blocks)).distinct(), "mtree-near")
+    # an id with several vectors asks with all of them: the bound of one holds for it alone, so such ids keep none
+    single = asked.groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("n")).where("n = 1").select("query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kth = near.join(single, "query_id").withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    again = asked.join(kth, "id", "left").repartitionByRange("pivot", "id").sortWithinPartitions("pivot", "id").select("id", "v", "pivot", "kth")
+    return near.unionByName(searched(again.mapInArrow(others, blocks)))
 
 
-def _pivot_sizes(candidates: DataFrame, most: int, pivots: np.ndarray) -> dict[int, int]:
-    """How many candidates are nearest to each pivot (a row for each of the ``PIVOTS`` pivots at most)."""
+def _whole(column: pa.Array, factor: int) -> list[list[int]]:
+    """floor(factor * x) of each component, in Python's integers."""
+    return [[int(x) * factor if abs(x) >= 1 << 60 else math.floor(factor * x) for x in row] for row in column.to_pylist()]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(pivots), dtype=np.int64)
+
+def _sortable(score: int) -> str:
+    """Digits in the order of the numbers."""
+    return "1" + str(score).zfill(_DIGITS) if score >= 0 else "0" + str(10**_DIGITS + score).zfill(_DIGITS)
+
+
+def _by_integers(asked: DataFrame, held: DataFrame, k: int, factor: int) -> DataFrame:
+    """The k best of blocks of ``held`` for each query in ``asked``: query_id, vec_id, score, and sortable digits. Both have id and v (doubles)."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            if part.num_rows:
-                points = lifted(_matrix(part.column("v")), most)
-                gap = (points**2).sum(axis=1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(axis=1)[None]
-                total += np.bincount(gap.argmin(axis=1), minlength=len(pivots))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots)), pa.int32()), pa.array(total)], ["pivot", "n"])
+            for low in range(0, part.num_rows, WIDE_BLOCK):
+                some = part.slice(low, WIDE_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((some.column("id").to_pylist(), _whole(some.column("v"), factor)))], pa.binary())], ["block"])
 
-    return {r.pivot: r.n for r in candidates.select("v").mapInArrow(work, "pivot int, n long").groupBy("pivot").agg(F.sum("n").alias("n")).collect()}
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for raw_asked, raw_held in zip(part.column("block").to_pylist(), part.column("other").to_pylist(), strict=True):
+                (queries, wanted), (ids, vectors) = pickle.loads(raw_asked), pickle.loads(raw_held)
+                out = []
+                for q, w in zip(queries, wanted, strict=True):
+                    scores = sorted((-sum(a * b for a, b in zip(w, v, strict=True)), i) for i, v in zip(ids, vectors, strict=True) if i != q)
+                    out += [(q, i, -s) for s, i in scores[:k]]
+                columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([max(-(1 << 63), min((1 << 63) - 1, x[2])) for x in out], pa.int64()), pa.array([_sortable(x[2]) for x in out], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "digits"])
+
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(WIDE_LANES - 1)))
+    one = asked.select("id", "v").mapInArrow(blocks, "block binary").select("block", lanes.alias("lane"))
+    other = held.select("id", "v").mapInArrow(blocks, "block binary").select(F.col("block").alias("other"), F.pmod(F.xxhash64("block"), F.lit(WIDE_LANES)).cast("int").alias("lane"))
+    return one.join(other, "lane").select("block", "other").mapInArrow(find, "query_id long, vec_id long, score long, digits string")
+
+
+def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int, factor: int = 256) -> DataFrame:
+    """For each query row the k largest inner products with other rows: query_id, rank, vec_id, score."""
+    bounded_batches(df.sparkSession)
+    good = df.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    dims = sizes.d if sizes else 0
+    good = good.where(F.size("v") == dims)
+    fits = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x * float(factor)) * (x * float(factor))) + F.lit(4.0 * dims) < NARROW / 2
+    rows = materialize(good.where(fits).select("id", scaled("v", factor).alias("v"), "q").distinct(), "mtree-rows")
+    wide = materialize(good.where(~fits).distinct(), "mtree-wide")
+    found = _by_trees(rows, k, dims)
+    order = [F.desc("score")]
+    if not wide.isEmpty():
+        digits = F.when(F.col("score") >= 0, F.concat(F.lit("1"), F.lpad(F.col("score").cast("string"), _DIGITS, "0"))).otherwise(F.concat(F.lit("0" + "9" * (_DIGITS - 19)), F.lpad((F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("score")).cast("string"), 19, "0")))
+        every = good.select("id", "v").distinct()
+        found = found.withColumn("digits", digits).unionByName(_by_integers(good.where(fits & F.col("q")).select("id", "v").distinct(), wide, k, factor)).unionByName(_by_integers(wide.where("q"), every, k, factor))
+        order = [F.desc("digits")]
+    best = Window.partitionBy("query_id").orderBy(*order, "vec_id")
+    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
