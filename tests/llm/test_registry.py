@@ -33,3 +33,14 @@ def test_columns_and_rows(spark, name):
         assert rows == docs
     else:
         assert rows > 0
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op4_jaccard", "op5_mtree"])
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    store = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        store.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    columns = COLUMNS[name].split()
+    expected = store.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, entry.queries()[name](spark, DATA).select(*columns).collect()), key=repr) == sorted(expected, key=repr)
