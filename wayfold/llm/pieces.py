@@ -43,7 +43,7 @@ _UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE = 1 << 22
 #: Words kept with their pieces in a worker; the table starts anew when full.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 400_000
 _models: dict[tuple[str, bool], "Model"] = {}
 
 
@@ -107,6 +107,7 @@ class Model:
     def forget(self) -> None:
         self.kept: dict[str, int] = {}
         self.flat = {w: np.zeros(0, np.uint32) for w in self.ways}
+        self.new: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {w: [] for w in self.ways}
         self.starts, self.counts = ({w: np.zeros(0, np.int64) for w in self.ways} for _ in range(2))
 
     @classmethod
@@ -227,8 +228,16 @@ class Model:
             row, ids = np.repeat(row, times), np.repeat(ids, times)
             ids[ids == -2] = [b for x in spelled for b in x]
         counts = np.bincount(row, minlength=len(codes))
-        self.starts[way] = np.append(self.starts[way], len(self.flat[way]) + np.cumsum(counts) - counts)
-        self.counts[way], self.flat[way] = np.append(self.counts[way], counts), np.append(self.flat[way], ids.astype(np.uint32))
+        self.new[way].append((ids.astype(np.uint32), counts))
+
+    def _settle(self) -> None:
+        """What was learned since the last time behind what is kept."""
+        for way, told in self.new.items():
+            if told:
+                counts = np.concatenate([c for _, c in told])
+                self.starts[way] = np.append(self.starts[way], len(self.flat[way]) + np.cumsum(counts) - counts)
+                self.counts[way], self.flat[way] = np.append(self.counts[way], counts), np.concatenate([self.flat[way], *[ids for ids, _ in told]])
+                told.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has, by the model's own way."""
@@ -243,10 +252,11 @@ class Model:
         for w in set().union(*cut).difference(self.kept):
             new[len(w)].add(w)
         for size in sorted(new):
-            some = sorted(new[size])
+            some = list(new[size])
             step = max(1, (1 << 21) // (size * min(size, self.longest)))  # bounded memory
             for low in range(0, len(some), step):
                 self.learn(some[low : low + step])
+        self._settle()
         number = np.fromiter(map(self.kept.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
         cuts, told = np.concatenate(([0], np.cumsum([len(w) for w in cut]))), {}
         for way in self.ways:
