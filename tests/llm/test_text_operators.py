@@ -366,6 +366,46 @@ def test_held_out_rows_follow_the_checksum(spark):
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in told)
 
 
+def test_the_label_model_finds_what_the_votes_were_drawn_from():
+    """Accuracies, correlated copies and posteriors against the distribution that made the votes, by Bayes' rule row for row."""
+    n, prior = 40_000, 0.15
+    true = RNG.random(n) < prior
+    p1, p0 = np.array([0.5, 0.4, 0.3, 0.6, 0.2, 0.45]), np.array([0.02, 0.05, 0.01, 0.1, 0.03, 0.02])
+    own = RNG.random((n, 6)) < np.where(true[:, None], p1, p0)
+    votes = np.hstack([own, own[:, :1], own[:, :1]])  # two copies of the first voter
+    known = np.where(RNG.random(n) < 0.1, true.astype(int), -1)
+    model = toxicity.fit_label_model(votes, known)
+    expected = p1 * prior / (p1 * prior + p0 * (1 - prior))
+    assert np.abs(model.accuracy[:6] - expected).max() < 0.05
+    assert model.correlation[0, 6] > 0.9 and model.correlation[6, 7] > 0.9 and model.correlation[1:6, 1:6].max() == 0
+    odds = np.log(prior / (1 - prior)) + own @ np.log(p1 / p0) + (1 - own) @ np.log((1 - p1) / (1 - p0))
+    right, got = 1 / (1 + np.exp(-odds)), model.posterior(votes)
+    assert np.abs(got - right).mean() < 0.02 and np.corrcoef(got, right)[0, 1] > 0.98
+
+
+def test_newton_steps_end_where_no_weight_should_move():
+    rows, columns = np.nonzero(RNG.random((500, 12)) < 0.2)
+    y = RNG.random(500) * 0.2
+    y[np.unique(rows[columns < 3])] += 0.6
+    weights, bias = toxicity.fit_linear(rows, columns, 12, y)
+    x = np.zeros((500, 12))
+    x[rows, columns] = 1
+    slope = x.T @ (1 / (1 + np.exp(-(x @ weights + bias))) - y) + 0.3 * weights
+    assert (weights >= 0).all() and np.abs(slope[weights > 0]).max() < 1e-2 and (slope[weights == 0] > -1e-2).all()
+    assert abs((1 / (1 + np.exp(-(x @ weights + bias))) - y).sum()) < 1e-1
+
+
+def test_silent_voters_ties_and_repeats_have_one_score(spark, words):
+    rows = [(i, sentence(words, 30) + (" zorgle moron" if i % 8 == 0 else "")) for i in range(800)] + [(5, "qqqq xxxx"), (5, "qqqq xxxx"), (6, ""), (7, None)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(800)] + [(1, 0), (1, None)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, labels, "text", "doc_id")
+    silent = toxicity.score(docs, "text", model).where("text IS NULL OR text IN ('', 'qqqq xxxx')").select("score", "predicted").distinct().collect()
+    assert len(silent) == 1 and silent[0].predicted == 0 and 0 < silent[0].score < 0.1
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3), "text", "doc_id")
+    assert again.weights.tolist() == model.weights.tolist() and again.selected.tolist() == model.selected.tolist()
+
+
 def test_few_labels_among_many_documents_are_all_learned_from(spark, words):
     rows = [(i, sentence(words, 12) + (" glorpish" if i % 80 == 0 else "")) for i in range(4000)]
     labels = spark.createDataFrame([(i, int(i % 80 == 0)) for i in range(0, 4000, 40)], "doc_id long, toxic int")

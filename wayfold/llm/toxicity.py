@@ -1,15 +1,17 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
 Features of a text are its words and their stems (the first 4 to 8 bytes), each at least once, twice or four times.
-Voters are groups of a fixed lexicon, patterns, and the features that mark labelled training rows best. The label model
-holds how often each voter speaks given either class (by expectation maximisation, known labels held fixed; a silent voter
-abstains) and how the voters' errors correlate; correlated voters are discounted. A logistic regression on the marking
-features and the lexicon and pattern voters is trained on the posteriors.
+Every word of a fixed lexicon and every pattern is a voter, and so are the words and stems of a learned lexicon: those that set labelled
+training rows apart best. A voter says toxic or is silent. The label model estimates by expectation maximisation how often each
+voter speaks given either class, so its accuracy when it does and what its silence tells, and how the voters' errors correlate; of correlated voters that do
+the same each counts less. Known labels count in that estimate only. A logistic regression on the features of the learned lexicon
+and the fixed voters is trained on the posteriors of all training rows, labelled or not.
 
 Fitting takes a bounded sample of the training rows (``TRAIN_ROWS``) and keeps at most ``SELECTED`` features; scoring is
 per row, over whole texts, without a shuffle.
 
-Cases: null and empty texts have no features and score the classifier's base rate; repeated label rows count once, toxic
+Cases: null and empty texts have no features and score the classifier's base rate, as does a text without a known feature on which
+every fixed voter is silent; ties between features go to the smaller hash; repeated rows are scored one by one; repeated label rows count once, toxic
 if any says so; null labels are none; without training rows of both classes every score is 0; empty tables give empty
 results; extra columns are kept, those named ``score`` or ``predicted`` replaced.
 """
@@ -27,12 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import SYMBOLS, is_held_out, materialize, mix, pieces, run_hashes, text_bytes, thinned, word_bounds
+from wayfold.llm.common import SYMBOLS, bounded_batches, is_held_out, materialize, mix, pieces, run_hashes, text_bytes, thinned, word_bounds
 
-TRAIN_ROWS, SELECTED, MINED, THRESHOLD = 16384, 512, 64, 0.7
-STEMS, LEVELS, SURE = (4, 5, 6, 7, 8), (1, 2, 4), 30.0
+TRAIN_ROWS, SELECTED, MINED, THRESHOLD = 16384, 512, 128, 0.7
+#: Of the labelled rows that a feature of the learned lexicon speaks on so large a share is toxic.
+PRECISE = 0.9
+#: Errors of two voters that correlate more than so.
+STRONG = 0.3
+STEMS, LEVELS, SURE = (4, 5, 6, 7, 8), (1, 2, 4), 20.0
 
-# Words of abuse, by kind of insult. Spelled in lower case.
+# Words of abuse, by kind of insult, each a voter. Spelled in lower case.
 LEXICON = {
     "stupidity": "idiot idiots moron morons stupid dumb imbecile dimwit fool halfwit dunce simpleton",
     "failure": "loser losers pathetic worthless useless failure hopeless",
@@ -48,7 +54,14 @@ PATTERNS = {
     "shouting": r"\b[A-Z]{4,}(?: [A-Z]{4,}){2,}",
     "exclaiming": r"!{3,}",
     "masked": r"[a-z][*#@$%]{2,}[a-z]",
+    "get_lost": r"\b(?:[Gg]et lost|[Gg]o away|[Ss]hut up|[Ss]hut your)\b",
+    "nobody": r"\b[Nn]obody (?:likes|wants|cares|needs)\b",
+    "what_a": r"\b[Ww]hat an? (?:\w+ )?(?:idiot|moron|joke|loser|clown|disgrace)\b",
+    "threat": r"\b(?:I will|I'll|we will|we'll) (?:find|hurt|kill|get) you\b",
+    "hope_you": r"\b[Hh]ope (?:you|they) (?:die|fail|suffer|rot)\b",
+    "all_of_you": r"\b(?:you people|all of you|people like you|your kind)\b",
 }
+WORDS = [w for group in LEXICON.values() for w in group.split()]
 _LEXICON_LEVEL = 1
 
 
@@ -82,12 +95,15 @@ def word_features(words: list[str]) -> list[int]:
 
 
 def fixed_votes(column: pa.Array, place: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which lexicon groups and patterns speak on each text."""
-    out = np.zeros((len(column), len(LEXICON) + len(PATTERNS)), dtype=bool)
-    for j, words in enumerate(LEXICON.values()):
-        out[place[np.isin(found, word_features(words.split()))], j] = True
+    """Which lexicon words and patterns speak on each text."""
+    out = np.zeros((len(column), len(WORDS) + len(PATTERNS)), dtype=bool)
+    known = np.array(word_features(WORDS))
+    order = np.argsort(known, kind="stable")
+    at = np.minimum(np.searchsorted(known[order], found), len(known) - 1)
+    real = known[order][at] == found
+    out[place[real], order[at[real]]] = True
     texts = column.to_pylist()
-    for j, pattern in enumerate(PATTERNS.values(), len(LEXICON)):
+    for j, pattern in enumerate(PATTERNS.values(), len(WORDS)):
         speaks = re.compile(pattern).search
         out[:, j] = [bool(t) and speaks(t) is not None for t in texts]
     return out
@@ -95,27 +111,29 @@ def fixed_votes(column: pa.Array, place: np.ndarray, found: np.ndarray) -> np.nd
 
 @dataclass
 class LabelModel:
-    """What each voter adds to the log odds of the toxic class when it speaks; ``quiet`` are the odds if none does.
+    """``prior``: the log odds of the toxic class; ``accuracy`` of each voter: the share of texts it speaks on that are toxic; ``silence``:
+    what its silence adds to the log odds; ``correlation`` of the voters' errors within a class, where it is strong.
 
-    Of voters that speak together, each counts less the more its errors correlate with those of the others.
+    A voter that speaks moves the odds from the prior to its accuracy. Of voters that do the same, each counts less the more its errors
+    correlate with those of the others.
     """
 
-    quiet: float
     prior: float
-    spoken: np.ndarray
     accuracy: np.ndarray
+    silence: np.ndarray
     correlation: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        share = votes / (1 + votes @ self.correlation)
-        odds = np.where(votes.any(axis=1), self.prior + share @ self.spoken, self.quiet)
+        speaks, silent = votes.astype(float), 1.0 - votes
+        moved = np.log(self.accuracy / (1 - self.accuracy)) - self.prior
+        odds = self.prior + speaks / (1 + speaks @ self.correlation) @ moved + silent / (1 + silent @ self.correlation) @ self.silence
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> LabelModel:
-    """Expectation maximisation. ``votes``: a row for each text; ``known``: 1, 0 or -1 for no label."""
+def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 60) -> LabelModel:
+    """Expectation maximisation. ``votes``: a row for each text; ``known``: 1, 0 or -1 for no label (a label is sure in the estimate)."""
     votes = votes.astype(float)
-    labelled, quiet = known >= 0, ~votes.any(axis=1)
+    labelled = known >= 0
     q = np.where(labelled, known, 0.0).astype(float)
     for nth in range(rounds):
         on, off = (q, 1 - q) if nth else (q * labelled, (1 - q) * labelled)  # begins with what the labels say
@@ -126,12 +144,10 @@ def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> L
         cover = (rest1.T * on) @ rest1 + (rest0.T * off) @ rest0
         size = np.sqrt(np.maximum(np.diag(cover), 1e-9))
         correlation = cover / np.outer(size, size)
-        together = np.where(np.abs(correlation) > 0.4, np.abs(correlation), 0)  # weaker ones come with the language of a text
+        together = np.where(np.abs(correlation) > STRONG, np.abs(correlation), 0)  # weaker ones come with the language of a text
         np.fill_diagonal(together, 0)
-        spoken = np.log(p1 / p0)
-        silence = np.log((on[quiet].sum() + 0.1) / (off[quiet].sum() + 1))
         prior = np.log((on.sum() + 0.1) / (off.sum() + 0.1))
-        model = LabelModel(float(silence), float(prior), spoken, p1 * np.exp(prior) / (p1 * np.exp(prior) + p0), together)
+        model = LabelModel(float(prior), p1 * np.exp(prior) / (p1 * np.exp(prior) + p0), np.log((1 - p1) / (1 - p0)), together)
         new = np.where(labelled, known, model.posterior(votes))
         if np.abs(new - q).max() < 1e-6:
             break
@@ -139,10 +155,11 @@ def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> L
     return model
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.3, rounds: int = 3000) -> tuple[np.ndarray, float]:
-    """Logistic regression on 0/1 features given as (row, column) pairs and soft labels, by accelerated gradient steps.
+def fit_linear(rows: np.ndarray, columns: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression on 0/1 features given as (row, column) pairs and soft labels, by Newton steps.
 
-    Every feature marks the toxic class, so no weight is negative. Rows without a feature weigh in as one.
+    Every feature marks the toxic class, so no weight is negative: those at zero that would turn negative stay out of a step.
+    Rows without a feature weigh in as one.
     """
     some = np.unique(rows)
     x = np.zeros((len(some) + 1, width + 1), dtype=np.float32)
@@ -151,28 +168,41 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, width: int, y: np.ndarray,
     target, times = np.append(y[some], 0.0), np.append(np.ones(len(some)), len(y) - len(some))
     target[-1] = (y.sum() - y[some].sum()) / max(times[-1], 1)
     hold = np.append(np.full(width, ridge), 1e-6)
-    top = np.ones(width + 1)
-    for _ in range(30):  # the largest curvature, by power iteration
-        top = x.T @ (times * (x @ (top / np.linalg.norm(top))))
-    step = 1 / (0.25 * np.linalg.norm(top) * 1.05 + ridge)
-    weights, t = np.zeros(width + 1), 1.0
+    weights = np.zeros(width + 1)
     weights[width] = np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4))
-    ahead = weights.copy()
+
+    def loss(w: np.ndarray) -> float:
+        odds = x @ w
+        return float(times @ (np.logaddexp(0, odds) - target * odds) + 0.5 * hold @ (w * w))
+
+    now = loss(weights)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - step * (x.T @ (times * (p - target)) + hold * ahead)
-        new[:width] = np.maximum(new[:width], 0)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + (t - 1) / t_new * (new - weights)
-        moved, weights, t = np.abs(new - weights).max(), new, t_new
-        if moved < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (times * (p - target)) + hold * weights
+        free = np.flatnonzero((weights > 0) | (slope < 0) | (np.arange(width + 1) == width))
+        if np.abs(slope[free]).max() < 1e-4:
+            break
+        part = x[:, free]
+        curve = (part.T @ (part * (times * p * (1 - p)).astype(np.float32)[:, None])).astype(float)
+        curve[np.diag_indices(len(free))] += hold[free] + 1e-9
+        step, size = np.linalg.solve(curve, slope[free]), 1.0
+        while True:  # shorter until it leads down
+            new = weights.copy()
+            new[free] -= size * step
+            new[:width] = np.maximum(new[:width], 0)
+            then = loss(new)
+            if then < now or size < 1e-4:
+                break
+            size /= 2
+        if then >= now:
             break
+        weights, now = new, then
     return np.round(weights[:width], 5), float(round(weights[width], 5))
 
 
 @dataclass
 class Classifier:
-    """Weights of the selected features (sorted), then of the lexicon groups and patterns."""
+    """Weights of the selected features (sorted), then of the lexicon words and patterns."""
 
     label_model: LabelModel | None
     selected: np.ndarray
@@ -180,8 +210,8 @@ class Classifier:
     bias: float
 
 
-def select(rows: DataFrame, most: int = SELECTED) -> list[int]:
-    """The features whose presence sets labelled toxic rows apart, the best first."""
+def select(rows: DataFrame, most: int = SELECTED, vote: int = MINED, precise: float = PRECISE) -> tuple[list[int], list[int]]:
+    """The features whose presence sets labelled toxic rows apart, the best first: those for the classifier, and those precise enough to vote."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
@@ -195,11 +225,17 @@ def select(rows: DataFrame, most: int = SELECTED) -> list[int]:
     told = rows.where(F.col("label").isNotNull()).select("text", "label")
     total = told.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).first()
     counts = told.mapInArrow(work, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = materialize(counts.where(F.col("toxic") > F.col("clean") * (total.toxic / max(total.clean, 1))), "toxicity-counts")
     p1, p0 = (F.col("toxic") + 0.5) / (total.toxic + 1), (F.col("clean") + 0.5) / (total.clean + 1)
     share = (F.col("toxic") + F.col("clean")) / (total.toxic + total.clean)
     part = lambda n, of: F.when(n > 0, n * F.log(n / (share * of))).otherwise(0.0)
     sure = 2 * (part(F.col("toxic"), total.toxic) + part(F.col("clean"), total.clean))  # likelihood ratio: chance alone stays below
-    return [r.feature for r in counts.where((p1 > 4 * p0) & (sure > SURE)).orderBy(sure.desc(), "feature").limit(most).collect()]
+    good = counts.where((p1 > 4 * p0) & (sure > SURE))
+    sharp = good.where(F.col("toxic") >= precise * (F.col("toxic") + F.col("clean")))
+    best = lambda df, n: [r.feature for r in df.orderBy(sure.desc(), "feature").limit(n).collect()]
+    voters = best(sharp, vote)
+    # the classifier knows every voter
+    return list(dict.fromkeys([*voters, *best(good, most)]))[:most], voters
 
 
 def _evidence(column: pa.Array, selected: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,12 +255,13 @@ def _evidence(column: pa.Array, selected: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def fit(df: DataFrame, labels: DataFrame, text: str, key: str, train_rows: int = TRAIN_ROWS) -> Classifier:
     """Fit on about ``train_rows`` labelled rows of ``df`` and as many without label, chosen by a hash of ``key``; ``labels`` has ``key`` and ``toxic``."""
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
     truth = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max("toxic").cast("int").alias("label"))
     labelled = thinned(rows.join(truth, "k"), ["k"], train_rows)
     others = thinned(rows.join(truth, "k", "left_anti").withColumn("label", F.lit(None).cast("int")), ["k"], train_rows)
     rows = materialize(labelled.unionByName(others).select("text", "label"), "toxicity-train")
-    best = select(rows)
+    best, voters = select(rows)
     selected = np.array(sorted(best), dtype=np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,20 +275,20 @@ def fit(df: DataFrame, labels: DataFrame, text: str, key: str, train_rows: int =
     seen = rows.mapInArrow(work, "held array<int>, votes binary, label int").toPandas()
     seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (seen["label"].iat[i], tuple(seen["held"].iat[i]), seen["votes"].iat[i]))]
     known = seen["label"].to_numpy()
-    width = len(LEXICON) + len(PATTERNS)
+    width = len(WORDS) + len(PATTERNS)
     if not (known == 1).any() or not (known == 0).any():
         return Classifier(None, selected, np.zeros(len(selected) + width), 0.0)
     row = np.repeat(np.arange(len(seen)), [len(h) for h in seen["held"]])
     column = np.concatenate([np.asarray(h, dtype=np.int64) for h in seen["held"]])
     fixed = np.frombuffer(b"".join(seen["votes"]), dtype=bool).reshape(len(seen), width)
-    mined = np.searchsorted(selected, best[:MINED])
+    mined = np.searchsorted(selected, voters)
     number = np.full(len(selected), -1)
     number[mined] = np.arange(len(mined))
     votes = np.zeros((len(seen), width + len(mined)), dtype=bool)
     votes[:, :width] = fixed
     votes[row[number[column] >= 0], width + number[column][number[column] >= 0]] = True
     model = fit_label_model(votes, known)
-    y = np.where(known >= 0, known, model.posterior(votes))
+    y = model.posterior(votes)
     vote_row, vote_column = np.nonzero(fixed)
     row, column = np.concatenate((row, vote_row)), np.concatenate((column, vote_column + len(selected)))
     weights, bias = fit_linear(row, column, len(selected) + width, y)
