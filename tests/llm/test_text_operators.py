@@ -153,24 +153,6 @@ def test_packed_pieces_hold_every_id_once(spark, words):
     assert packing.pack(frame(spark, []), "doc_id", "text").collect() == []
 
 
-def test_scores_are_bm25():
-    texts = [RNG.integers(0, 50, RNG.integers(5, 60)).astype("<u2") for _ in range(20)]
-    idf = RNG.random(packing.VOCABULARY).astype(np.float32)
-    stats = packing.Statistics(idf, 30.0, 600)
-    index = packing.Index(texts, stats)
-    for q in range(0, 20, 5):
-        for d in range(20):
-            norm = packing.K1 * (1 - packing.B + packing.B * len(texts[d]) / 30.0)
-            expected = sum(idf[t] * np.sum(texts[d] == t) * (packing.K1 + 1) / (np.sum(texts[d] == t) + norm) for t in set(texts[q].tolist()))
-            assert index.scores(q)[d] == pytest.approx(expected, rel=1e-5)
-
-
-def test_windows_take_the_nearest_unused():
-    a, b = np.full(10, 7, "<u2"), np.full(10, 9, "<u2")
-    order = packing.order_of([a, b, b, a, a], packing.Statistics(np.ones(packing.VOCABULARY, np.float32), 10.0, 50), 30, 30)
-    assert order == [0, 3, 4, 1, 2]
-
-
 def test_ids_are_those_of_tokenizers_with_its_added_token(spark):
     tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x<|endoftext|>\n y <|endoftext|"), (4, "<|endoftext|>" * 2000)]
@@ -180,28 +162,70 @@ def test_ids_are_those_of_tokenizers_with_its_added_token(spark):
         assert ids[i] == [*tokens.encode(t, add_special_tokens=False).ids, packing.END_ID]
 
 
-def test_neighbours_are_searched_in_the_whole_corpus(spark, words):
-    rows = [(i, sentence(words, int(RNG.integers(3, 40)))) for i in range(60)] + [(100, None), (101, "")]
+def bm25(ids, held, lengths, query):
+    """Scores of all documents for the distinct tokens of one, by the formula."""
+    scores = np.zeros(len(ids))
+    mean = np.mean(lengths)
+    for t in set(query.tolist()):
+        docs = [i for i, x in enumerate(ids) if held[i].get(t)]
+        idf = np.log(1 + (len(ids) - len(docs) + 0.5) / (len(docs) + 0.5))
+        for i in docs:
+            f = held[i][t]
+            scores[i] += idf * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * lengths[i] / mean))
+    return scores
+
+
+@pytest.mark.parametrize("dense", [0.04, 0.5, 2.0])
+def test_every_seed_finds_its_true_neighbours_in_the_whole_corpus(spark, words, monkeypatch, dense):
+    """Recall 1 against brute force over several shards, whatever is scored by matrices and whatever by postings."""
+    monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "BLOCK", 8)
+    rows = [(i, sentence(words[: 40 if i % 3 else 400], int(RNG.integers(3, 60)))) for i in range(160)] + [(900, None), (901, ""), (902, "zzz " * 3000)]
     texts, counts = packing.tokenized(frame(spark, rows).repartition(3), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))
     stats = packing.statistics(counts)
-    near = {r.row: r.near for r in packing.neighbours(texts, stats, terms=packing.VOCABULARY, index_docs=7).collect()}
     held = texts.orderBy("row").collect()
-    index = packing.Index([np.frombuffer(r.ids, "<u2") for r in held], stats)
-    for at, r in enumerate(held):
-        scores = index.scores(at)
-        scores[at] = 0
-        assert scores[[x.row for x in held].index(near[r.row])] == pytest.approx(scores.max(), rel=1e-5)
+    ids = [np.frombuffer(r.ids, "<u2") for r in held]
+    tf = [dict(zip(*map(np.ndarray.tolist, np.unique(x, return_counts=True)), strict=True)) for x in ids]
+    seeds = [r.row for r in held if r.row % 3 == 0]
+    found = packing.neighbours(texts.where("row % 3 = 0"), texts.where("row % 3 <> 0"), stats, nearest=5, shard_docs=7).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r.seed].append((r.score, r.row))
+    for r, query in zip(held, ids, strict=True):
+        if r.row in seeds:
+            scores = bm25(ids, tf, [len(x) for x in ids], query)
+            true = sorted((scores[i] for i, x in enumerate(held) if x.row % 3 and scores[i] > 0), reverse=True)[:5]
+            assert sorted((s for s, _ in by[r.row]), reverse=True) == pytest.approx(true, rel=1e-4)
+            assert all(scores[[x.row for x in held].index(row)] == pytest.approx(s, rel=1e-4) for s, row in by[r.row])
+
+
+def test_offers_fill_rooms_greedily(spark):
+    near = spark.createDataFrame([(1, 10, 5.0), (2, 10, 7.0), (1, 11, 4.0), (2, 11, 6.0), (1, 12, 3.0), (2, 13, 1.0), (3, 12, 3.0)], "seed long, row long, score float")
+    sizes = spark.createDataFrame([(10, 60), (11, 50), (12, 40), (13, 40)], "row long, n long")
+    room = spark.createDataFrame([(1, 100), (2, 100), (3, 10)], "seed long, room long")
+    # 2 takes 10, has no room for 11 but later for 13; 11 goes to 1, and so does 12 (3 is too small)
+    assert {(r.row, r.seed) for r in packing.matched(near, sizes, room).collect()} == {(10, 2), (11, 1), (12, 1), (13, 2)}
+    assert packing.matched(near.limit(0), sizes, room).collect() == []
+
+
+def test_waiting_documents_fill_the_gaps_of_windows():
+    ids = lambda n: np.arange(n, dtype="<u2")
+    rows = [(1, False, 1, ids(25)), (1, False, 2, ids(10)), (2, True, 3, ids(12)), (3, True, 4, ids(3)), (4, False, 5, ids(19)), (5, False, 6, ids(5))]
+    pieces_ = [p[:3] + p[5:7] for some in packing.laid(iter(rows), packing.Writer(20, 0)) for p in some]
+    assert pieces_ == [(1, 0, 20, 0, 0), (1, 20, 5, 1, 0), (2, 0, 10, 1, 5), (5, 0, 5, 1, 15), (5, 5, 14, 2, 0), (3, 0, 6, 2, 14), (6, 0, 5, 3, 0), (3, 6, 6, 3, 5), (4, 0, 3, 3, 11)]
 
 
 def test_pairs_share_windows_wherever_they_lie(spark):
     encoder = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     single = [t for t in map(encoder.decode, [[i] for i in range(5000, 12_000)]) if re.fullmatch(" [a-z]{5,}", t)]
-    rows = [(i, "".join([*RNG.permutation(single[:60])[:30], *single[100 + 5 * (i % 60) : 105 + 5 * (i % 60)]])) for i in range(120)]
-    out = packing.pack(frame(spark, rows), "doc_id", "text", window=512, shard_docs=4).collect()
+    # 60 kinds of document; a window has room for four, and those of a kind share words that no other kind has
+    rows = [(i, "".join([*RNG.permutation(single[:60])[:20], *RNG.permutation(single[100 + 20 * (i % 60) : 120 + 20 * (i % 60)])[:10]])) for i in range(240)]
+    out = packing.pack(frame(spark, rows), "doc_id", "text", window=128, shard_docs=16).collect()
     used = defaultdict(set)
     for p in out:
-        used[p.doc].add(p.sequence_id)
-    assert np.mean([bool(used[i] & used[i + 60]) for i in range(60)]) > 0.9
+        used[p.sequence_id].add(p.doc % 60)
+    kinds = np.mean([len(k) for k in used.values()])
+    assert kinds < 3  # a random order would put more than four kinds into each window
 
 
 # ---- language
@@ -348,16 +372,84 @@ def test_round_trips_digest_both_ways(spark, words):
 # ---- the pipeline's filters
 
 
-def test_stages_drop_what_they_should_and_keep_the_rest(spark, words, tmp_path):
-    rows = [(i, sentence(words, 60)) for i in range(40)] + [(100, "123 456"), (101, None), (None, sentence(words, 30))]
-    rows += [(200, rows[0][1]), (201, rows[1][1] + " end"), (3, rows[3][1])]
-    docs = frame(spark, rows).select("doc_id", "text", "lang", "source")
-    kept = corpus_pipeline.drop_unknown_language(spark, docs, "")
-    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted([*range(40), -1, 200, 201, 3])
-    once = corpus_pipeline.drop_near_duplicates(spark, kept, "")
-    assert sorted(-1 if r.doc_id is None else r.doc_id for r in once.collect()) == sorted([*range(40), -1]) and once.columns == docs.columns
-    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+LANGUAGES = {"en": "the and of ing tion er with that", "de": "der und sch keit ein zu mit lich", "fr": "le eau eux tion que pour dans", "es": "el que ar os mente lla los"}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, words):
+    """Documents in four languages, toxic ones among them, and columns with the names of results."""
+    rows = []
+    for i in range(900):
+        lang = [*LANGUAGES][i % 4]
+        text = " ".join("".join(RNG.choice(LANGUAGES[lang].split(), 3)) for _ in range(int(RNG.integers(8, 70))))
+        rows.append((i, text + (" you zorgle zorgles moron" if i % 9 == 0 else ""), lang, f"s{i % 3}", 0.25, "zz", 7))
+    schema = "doc_id long, text string, lang string, source string, score double, lang_pred string, predicted int"
+    return spark.createDataFrame(rows, schema), [(i, int(i % 9 == 0)) for i in range(0, 900, 1) if i % 5]
+
+
+def test_toxic_rows_go_and_columns_stay(spark, corpus, tmp_path):
+    docs, labels = corpus
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    rows = kept.collect()
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    assert {r.doc_id for r in rows} == {i for i in range(900) if i % 9}
+    assert {(r.score, r.lang_pred, r.predicted) for r in rows} == {(0.25, "zz", 7)}
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / "none")).count() == 900
+
+
+def test_texts_in_no_learned_language_go(spark, corpus):
+    docs = corpus[0]
+    foreign = {10_000: "привет мир " * 30, 10_001: "привет, как дела? это длинный текст", 10_002: "日本語の文章です " * 20, 10_003: "123 456", 10_004: None, 10_005: "", 10_006: "qxzjkv wqzxj kvqxz zzxqj " * 12}
+    more = spark.createDataFrame([(i, t, None, "s", 0.5, "zz", 7) for i, t in foreign.items()], docs.schema)
+    kept = corpus_pipeline.drop_unknown_language(spark, docs.unionByName(more), "")
+    rows = kept.collect()
+    assert kept.columns == docs.columns and {r.doc_id for r in rows} == set(range(900)) and {r.score for r in rows} == {0.25}
+
+
+def test_one_document_of_each_group_stays(spark, words):
+    texts = [sentence(words, 60) for _ in range(40)]
+    rows = [*enumerate(texts), (100, "123 456"), (101, None), (102, ""), (None, texts[0]), (None, texts[0]), (200, texts[0]), (201, texts[1] + " end"), (300, sentence(words, 30))]
+    docs = frame(spark, rows)
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert once.columns == docs.columns
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in once.collect()) == sorted([*range(40), 100, 101, 102, -1, -1, 300])
+    # ids that repeat: copies go, other texts under the same id stay, and so does the least id of a group
+    again = [*rows, (3, texts[3]), (3, texts[3]), (3, sentence(words, 50)), (7, texts[2]), (101, None), (300, texts[39])]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, again), "").collect())
+    expected = sorted([(i, t) for i, t in enumerate(texts)] + [(100, "123 456"), (101, ""), (102, ""), (-1, texts[0]), (-1, texts[0]), (300, rows[-1][1]), (3, again[len(rows) + 2][1])])
+    assert kept == expected == sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, again).repartition(5), "").collect())
+
+
+def test_the_pipeline_equals_its_stages_done_by_hand(spark, corpus, tmp_path):
+    """What is left: no toxic text, no foreign one, one of each group of copies by brute force, every token of it in one piece."""
+    docs, labels = corpus
+    copies = docs.where("doc_id % 50 = 1").withColumn("doc_id", F.col("doc_id") + 5000)
+    near = docs.where("doc_id % 50 = 2").select((F.col("doc_id") + 6000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"), *docs.columns[2:])
+    foreign = spark.createDataFrame([(9000, "привет мир " * 30, None, "s", 0.5, "zz", 7)], docs.schema)
+    whole = docs.unionByName(copies).unionByName(near).unionByName(foreign)
+    whole.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clean = [(r.doc_id, r.text) for r in whole.collect() if r.doc_id != 9000 and "zorgle" not in r.text]
+    roots = brute_components(clean, 5, 80)
+    left = {i: t for i, t in clean if roots[i] == i}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id for r in out} == set(left)
+    for i, t in left.items():
+        ids, at = [*tokens.encode(t, add_special_tokens=False).ids, packing.END_ID], 0
+        for r in sorted((r for r in out if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], dtype="<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_the_pipeline_of_nothing_is_nothing(spark, corpus, tmp_path):
+    corpus[0].limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 4
 
 

@@ -2,18 +2,19 @@
 
 1. Texts become token ids once, written to a table with the per-token document counts of each task. Summed over all
    tasks these give the BM25 statistics (a table as long as the vocabulary, whatever the input).
-2. Each document searches the whole corpus with its ``TERMS`` tokens of highest idf: index parts of ``INDEX_DOCS`` documents
-   lie in the shared folder, every task of queries reads all of them, and the best of all parts is the document's neighbour.
-   Scoring is queries times postings, about quadratic.
-3. Documents that are linked by neighbours lie next to each other, and runs of them are cut between linked groups; only a
-   group of more than ``SHARD_DOCS`` is cut inside, documents of the same neighbour staying together.
-4. In a run an inverted index of BM25 weights of the whole vocabulary is built. A seed document opens a window; the unused
-   documents that score highest against it follow until the window is full. What overflows opens the next window as its
-   seed. Only the last window of a task's runs is short, so hardly any padding is needed.
-
-Cases: a null or empty text consists of the end id alone; ties go to the document that comes first; repeated
-rows are packed one by one; a null key is packed like any other; an empty table gives an empty result; columns other than the
-key and the text are not read.
+2. Seeds are drawn: all documents of a window's length or more, whose last window has room, and by a hash so many others that their
+   windows hold most of the rest. The rest is indexed: every task writes inverted index shards of ``SHARD_DOCS`` documents.
+3. Every seed with room asks every shard and keeps its ``NEAREST`` best documents. Scoring is whole and exact: tokens that more than
+   ``DENSE`` of a shard's documents hold by a matrix product for a block of seeds, the others by their postings. A shard whose largest
+   weights cannot beat a seed's list so far is passed over. This is about quadratic: seeds times indexed documents.
+4. Unused neighbours fill the windows greedily: every unused document goes to the seed where it scores highest among those that list
+   it and have room for it, and a seed takes the best of those offered first; ``ROUNDS`` times.
+5. Each seed and its documents are laid from a window's start on; documents that no window took are cut to fill the gaps behind them. Only
+   the last window of a task is short, so hardly any padding is needed.
+
+Cases: a null or empty text consists of the end id alone; ties go to the document (then the seed) of the least row number; repeated
+rows are packed one by one; a null key is packed like any other; a document without neighbours fills gaps; an empty table gives an
+empty result; columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -35,14 +37,20 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wayfold.llm.common import materialize, pieces, shared_path
-from wayfold.llm.jaccard import BROADCAST_ROWS, components
+from wayfold.llm.common import bounded_batches, materialize, pieces, shared_path
+from wayfold.llm.jaccard import BROADCAST_ROWS
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
-SHARD_DOCS = 192
-#: Tokens that a document searches with, and documents of an index part.
-TERMS, INDEX_DOCS = 16, 8192
+#: Documents of an index shard, documents that a seed keeps, rounds of offers, seeds that ask together.
+SHARD_DOCS, NEAREST, ROUNDS, BLOCK = 2048, 64, 6, 256
+#: Tokens that a larger share of a shard's documents hold are scored by matrix products.
+DENSE = 0.04
+#: Seeds' windows hold this share of what is not in full windows; the rest fills their gaps.
+FILLED = 0.9
+#: Bytes of ids of documents that wait for a gap.
+WAITING = 4 << 20
 K1, B = 1.2, 0.75
 #: The added token of byte_bpe_50k.json.
 ADDED = {"<|endoftext|>": 50256}
@@ -91,11 +99,13 @@ def tokenized(df: DataFrame, key: str, text: str, ranks: str) -> tuple[DataFrame
 
 @dataclass
 class Statistics:
-    """Of all documents: the weight of each token, and the mean length."""
+    """Of all documents: the weight of each token, how many hold it, the mean length, and the totals."""
 
     idf: np.ndarray
+    held: np.ndarray
     mean_tokens: float
     tokens: int
+    docs: int
 
 
 def statistics(counts: DataFrame) -> Statistics:
@@ -111,166 +121,288 @@ def statistics(counts: DataFrame) -> Statistics:
 
     whole = counts.agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t")).first()
     if not whole.d:
-        return Statistics(np.zeros(VOCABULARY, np.float32), 1.0, 0)
+        return Statistics(np.zeros(VOCABULARY, np.float32), np.zeros(VOCABULARY), 1.0, 0, 0)
     sums = counts.select("seen").mapInArrow(spread, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).toPandas()
     docs = np.zeros(VOCABULARY)
     docs[sums["token"]] = sums["docs"]
-    return Statistics(np.log(1 + (whole.d - docs + 0.5) / (docs + 0.5)).astype(np.float32), whole.t / whole.d, whole.t)
+    return Statistics(np.log(1 + (whole.d - docs + 0.5) / (docs + 0.5)).astype(np.float32), docs, whole.t / whole.d, whole.t, whole.d)
 
 
-def indexed(texts: DataFrame, stats: Statistics, index_docs: int) -> str:
-    """The folder of a table of index parts: the rows of a part, and of each token the documents and their BM25 weights."""
+class Shard:
+    """The inverted index of some documents: for every token its documents and their BM25 weights."""
+
+    def __init__(self, texts: list[np.ndarray], stats: Statistics):
+        lengths = np.array([len(t) for t in texts])
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        both = np.sort((np.concatenate(texts).astype(np.int64) << 20) | doc)
+        new = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        times = np.diff(np.append(new, len(both)))
+        self.token, self.doc, self.n = (both[new] >> 20).astype(np.uint16), (both[new] & ((1 << 20) - 1)).astype(np.uint16), len(texts)
+        norm = K1 * (1 - B + B * lengths / stats.mean_tokens)
+        self.weight = (stats.idf[self.token] * times * (K1 + 1) / (times + norm[self.doc])).astype(np.float32)
+
+
+@dataclass
+class Queries:
+    """Seeds that ask together: the tokens of each, as pairs, and those that may be dense in a shard also as a 0/1 matrix."""
+
+    rows: np.ndarray
+    dense: np.ndarray
+    seed: np.ndarray
+    token: np.ndarray
+    best: np.ndarray
+    near: np.ndarray
+
+    @classmethod
+    def of(cls, held: list[tuple[int, np.ndarray]], column: np.ndarray, nearest: int) -> "Queries":
+        """``column``: the place of each dense token, -1 for others."""
+        kinds = [np.unique(ids) for _, ids in held]
+        seed, token = np.repeat(np.arange(len(held)), [len(k) for k in kinds]), np.concatenate(kinds).astype(np.int64)
+        dense = np.zeros((len(held), int(column.max()) + 1), dtype=np.float32)
+        often = column[token] >= 0
+        dense[seed[often], column[token[often]]] = 1
+        return cls(np.array([r for r, _ in held]), dense, seed, token, np.zeros((len(held), nearest), np.float32), np.full((len(held), nearest), -1, dtype=np.int64))
+
+    def ask(self, shard: "Loaded") -> int:
+        """Take what a shard has better than the lists so far; how many pairs were scored."""
+        bound = np.bincount(self.seed, weights=shard.top[self.token], minlength=len(self.rows))
+        worst = self.best.min(axis=1)
+        asking = np.flatnonzero((bound * 1.0001 + 1e-4 >= worst) & (bound > 0))
+        if not len(asking):
+            return 0
+        scores = self.dense[np.ix_(asking, shard.columns)] @ shard.matrix
+        place = np.full(len(self.rows), -1)
+        place[asking] = np.arange(len(asking))
+        own = (place[self.seed] >= 0) & shard.posted[self.token]
+        seed, wanted = place[self.seed[own]], self.token[own]
+        size = shard.begin[wanted + 1] - shard.begin[wanted]
+        posting = np.repeat(shard.begin[wanted] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        scores += np.bincount(np.repeat(seed, size) * len(shard.rows) + shard.doc[posting], weights=shard.weight[posting], minlength=scores.size).reshape(scores.shape).astype(np.float32)
+        self._merge(asking, scores, shard.rows)
+        return scores.size
+
+    def _merge(self, asking: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
+        """The best of the lists so far and of new scores; ties go to the least row."""
+        k = self.best.shape[1]
+        better = scores >= np.maximum(self.best[asking].min(axis=1), 1e-9)[:, None]
+        if np.count_nonzero(better) > 8 * k * len(asking):
+            few = min(k, len(rows))  # of one shard no more than the k best count, and what equals the last of them
+            better &= scores >= np.partition(scores, len(rows) - few, axis=1)[:, len(rows) - few, None]
+        at, doc = np.nonzero(better)
+        if not len(at):
+            return
+        held, nth = np.nonzero(self.near[asking] >= 0)
+        at, score = np.concatenate((at, held)), np.concatenate((scores[at, doc], self.best[asking[held], nth]))
+        row = np.concatenate((rows[doc], self.near[asking[held], nth]))
+        order = np.lexsort((row, -score, at))
+        at, score, row = at[order], score[order], row[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        few = nth < k
+        self.best[asking], self.near[asking] = 0, -1
+        self.best[asking[at[few]], nth[few]], self.near[asking[at[few]], nth[few]] = score[few], row[few]
+
+
+class Loaded:
+    """A shard as the seeds of a task ask it: postings, the weights of its dense tokens as a matrix, and each token's largest weight.
+
+    ``column``: where the queries' matrix has a token, -1 for tokens too rare for it. ``rows`` ascend.
+    """
+
+    def __init__(self, rows: np.ndarray, token: np.ndarray, doc: np.ndarray, weight: np.ndarray, column: np.ndarray):
+        self.rows, self.doc, self.weight = rows, doc, weight
+        self.begin = np.searchsorted(token, np.arange(VOCABULARY + 1))
+        self.top = np.zeros(VOCABULARY, dtype=np.float32)
+        kinds = np.flatnonzero(np.diff(self.begin))
+        self.top[kinds] = np.maximum.reduceat(weight, self.begin[kinds]) if len(kinds) else 0
+        often = np.flatnonzero((np.diff(self.begin) > DENSE * len(rows)) & (column >= 0))
+        self.columns, place = column[often], np.full(VOCABULARY, -1)
+        place[often] = np.arange(len(often))
+        self.posted = place < 0
+        self.matrix = np.zeros((len(often), len(rows)), dtype=np.float32)
+        at = place[token]
+        self.matrix[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+
+
+def indexed(texts: DataFrame, stats: Statistics, column: np.ndarray, shard_docs: int) -> str:
+    """The folder of a table of index shards. The documents of a task are sorted by their leading dense token first: like with like."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _runs(((r, i) for part in batches for r, i in zip(part.column("row").to_pylist(), part.column("ids").to_pylist(), strict=True)), index_docs):
-            index = Index([np.frombuffer(ids, dtype="<u2") for _, ids in held], stats)
-            said = np.array([r for r, _ in held]), index.begin.astype(np.int64), index.doc.astype(np.int32), index.weight.astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in said], ["rows", "begin", "docs", "weights"])
+        rows = ((r, np.frombuffer(i, dtype="<u2")) for part in batches for r, i in zip(part.column("row").to_pylist(), part.column("ids").to_pylist(), strict=True))
+        for some in _runs(rows, 8 * shard_docs):
+            some.sort(key=lambda x: (leading(x[1], stats, column), x[0]))
+            for low in range(0, len(some), shard_docs):
+                held = sorted(some[low : low + shard_docs], key=lambda x: x[0])
+                shard = Shard([ids for _, ids in held], stats)
+                said = np.array([r for r, _ in held]), shard.token, shard.doc, shard.weight
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in said], ["rows", "token", "doc", "weight"])
 
     path = shared_path(texts.sparkSession, "packing-index")
-    texts.select("row", "ids").mapInArrow(work, "rows binary, begin binary, docs binary, weights binary").write.option("compression", "snappy").parquet(path)
+    texts.select("row", "ids").mapInArrow(work, "rows binary, token binary, doc binary, weight binary").write.option("compression", "snappy").parquet(path)
     return path
 
 
-def _parts_of(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The index parts of a folder, one after the other."""
+def leading(ids: np.ndarray, stats: Statistics, column: np.ndarray) -> int:
+    """The dense token that weighs most in a document, -1 without any."""
+    kinds, times = np.unique(ids, return_counts=True)
+    weigh = np.where(column[kinds] >= 0, times * stats.idf[kinds], -1.0)
+    return int(kinds[weigh.argmax()]) if len(kinds) and weigh.max() >= 0 else -1
+
+
+def _shards_of(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The index shards of a folder, one after the other."""
     system, folder = fs.FileSystem.from_uri(path)
     for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")):
         with system.open_input_file(file) as opened:
             for batch in pq.ParquetFile(opened).iter_batches(batch_size=1):
-                rows, begin, docs, weights = (batch.column(c)[0].as_buffer() for c in ("rows", "begin", "docs", "weights"))
-                yield np.frombuffer(rows, np.int64), np.frombuffer(begin, np.int64), np.frombuffer(docs, np.int32), np.frombuffer(weights, np.float32)
+                rows, token, doc, weight = (batch.column(c)[0].as_buffer() for c in ("rows", "token", "doc", "weight"))
+                yield np.frombuffer(rows, np.int64), np.frombuffer(token, np.uint16).astype(np.int64), np.frombuffer(doc, np.uint16).astype(np.int64), np.frombuffer(weight, np.float32)
 
 
-def neighbours(texts: DataFrame, stats: Statistics, terms: int = TERMS, index_docs: int = INDEX_DOCS) -> DataFrame:
-    """(row, near): of every document the other one in the whole corpus that scores highest for its terms, if one scores at all."""
-    path = indexed(texts, stats, index_docs)
+def neighbours(seeds: DataFrame, others: DataFrame, stats: Statistics, nearest: int = NEAREST, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(seed, row, score): for every seed the best of the others by BM25 for the seed's whole vocabulary, as far as they score at all."""
+    column = np.full(VOCABULARY, -1)
+    often = np.flatnonzero(stats.held > DENSE / 4 * stats.docs)
+    column[often] = np.arange(len(often))
+    path = indexed(others, stats, column, shard_docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, asked = [], []
-        for part in batches:
-            queries += part.column("row").to_pylist()
-            for ids in part.column("ids").to_pylist():
-                kinds = np.unique(np.frombuffer(ids, dtype="<u2"))
-                asked.append(kinds[np.argsort(-stats.idf[kinds], kind="stable")[:terms]].tolist())
-        if not queries:
+        held = [(r, np.frombuffer(i, dtype="<u2")) for part in batches for r, i in zip(part.column("row").to_pylist(), part.column("ids").to_pylist(), strict=True)]
+        if not held:
             return
-        own, best, near = np.array(queries), np.zeros(len(queries), np.float32), np.full(len(queries), -1)
-        for rows, begin, docs, weights in _parts_of(path):
-            scored, begins, docs = np.zeros(len(rows), np.float32), begin.tolist(), docs.astype(np.intp)
-            itself = np.searchsorted(rows, own)
-            inside = (itself < len(rows)) & (rows[np.minimum(itself, len(rows) - 1)] == own)
-            for at, tokens in enumerate(asked):
-                scored[:] = 0
-                for t in tokens:
-                    low, high = begins[t], begins[t + 1]
-                    scored[docs[low:high]] += weights[low:high]
-                if inside[at]:
-                    scored[itself[at]] = 0
-                found = scored.argmax()
-                # ties between parts go to the least row, whatever the order of files
-                if scored[found] > best[at] or (scored[found] == best[at] > 0 and rows[found] < near[at]):
-                    best[at], near[at] = scored[found], rows[found]
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(near)], ["row", "near"])
-
-    return materialize(texts.select("row", "ids").mapInArrow(work, "row long, near long").where("near >= 0"), "packing-near")
-
-
-def grouped(texts: DataFrame, near: DataFrame) -> DataFrame:
-    """The documents with ``root``, the least row of those that neighbours link them with, and ``near``; alone: their own row."""
-    edges = near.select(F.least("row", "near").alias("a"), F.greatest("row", "near").alias("b")).distinct()
-    roots = components(edges).withColumnRenamed("node", "row")
-    named = materialize(near.join(roots, "row"), "packing-roots")
-    told = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    joined = texts.join(told, "row", "left")
-    return joined.select("row", "doc", "ids", F.coalesce("root", "row").alias("root"), F.coalesce("near", "row").alias("near"))
-
-
-class Index:
-    """The inverted index of one shard: for every token its documents and their BM25 weights."""
+        held.sort(key=lambda x: (leading(x[1], stats, column), x[0]))
+        blocks = [Queries.of(held[low : low + BLOCK], column, nearest) for low in range(0, len(held), BLOCK)]
+        for raw in _shards_of(path):
+            shard = Loaded(*raw, column)
+            for block in blocks:
+                block.ask(shard)
+        for block in blocks:
+            seed, nth = np.nonzero(block.near >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(block.rows[seed]), pa.array(block.near[seed, nth]), pa.array(block.best[seed, nth])], ["seed", "row", "score"])
+
+    if len(often) == 0:
+        column[0] = 0  # a matrix has a column at least
+    return materialize(seeds.select("row", "ids").mapInArrow(work, "seed long, row long, score float"), "packing-near")
+
+
+def matched(near: DataFrame, sizes: DataFrame, room: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(row, seed, nth) of the documents that seeds take. ``near``: (seed, row, score); ``sizes``: (row, n); ``room``: (seed, room)."""
+    offers = materialize(near.join(sizes, "row").select("seed", "row", "score", "n"), "packing-offers")
+    taken = None
+    left = room
+    for nth in range(rounds):
+        open_ = offers.join(left, "seed").where(F.col("n") <= F.col("room"))
+        if taken is not None:
+            open_ = open_.join(taken.select("row"), "row", "left_anti")
+        best = open_.groupBy("row").agg(F.max(F.struct("score", (-F.col("seed")).alias("s"), "n", "room")).alias("b")).select("row", "b.score", (-F.col("b.s")).alias("seed"), "b.n", "b.room")
+        first = Window.partitionBy("seed").orderBy(F.desc("score"), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        fits = best.withColumn("sum", F.sum("n").over(first)).where(F.col("sum") <= F.col("room"))
+        new = materialize(fits.select("row", "seed", "n", "score", F.lit(nth).alias("round")), "packing-taken")
+        if new.isEmpty():
+            break
+        taken = new if taken is None else materialize(taken.unionByName(new), "packing-taken")
+        used = new.groupBy("seed").agg(F.sum("n").alias("used"))
+        left = materialize(left.join(used, "seed", "left").select("seed", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"), "packing-room")
+    if taken is None:
+        return near.select("row", "seed", F.lit(0).alias("nth")).limit(0)
+    order = Window.partitionBy("seed").orderBy("round", F.desc("score"), "row")
+    return taken.select("row", "seed", F.row_number().over(order).alias("nth"))
 
-    def __init__(self, texts: list[np.ndarray], stats: Statistics):
-        lengths = np.array([len(t) for t in texts])
-        doc = np.repeat(np.arange(len(texts)), lengths)
-        both = np.sort((np.concatenate(texts).astype(np.int64) << 20) | doc)
-        new = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-        times = np.diff(np.append(new, len(both)))
-        token, self.doc = both[new] >> 20, both[new] & ((1 << 20) - 1)
-        norm = K1 * (1 - B + B * lengths / stats.mean_tokens)
-        self.weight = stats.idf[token] * times * (K1 + 1) / (times + norm[self.doc])
-        self.begin = np.searchsorted(token, np.arange(VOCABULARY + 1))
-        order = np.argsort(self.doc, kind="stable")
-        self.tokens, self.cuts, self.n = token[order], np.searchsorted(self.doc[order], np.arange(len(texts) + 1)), len(texts)
-
-    def scores(self, doc: int) -> np.ndarray:
-        """The BM25 score of every document for the whole vocabulary of one."""
-        tokens = self.tokens[self.cuts[doc] : self.cuts[doc + 1]]
-        low, size = self.begin[tokens], self.begin[tokens + 1] - self.begin[tokens]
-        at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
-
-
-def order_of(texts: list[np.ndarray], stats: Statistics, room: int, window: int) -> list[int]:
-    """The order in which a shard's documents fill windows, the first of which has ``room`` left."""
-    index, unused, order = Index(texts, stats), np.ones(len(texts), dtype=bool), []
-    seed = 0
-    while True:
-        unused[seed] = False
-        order.append(seed)
-        room -= len(texts[seed])
-        if not unused.any():
-            return order
-        last, near = seed, iter(())
-        if room > 0:
-            scored = index.scores(seed)
-            left = np.flatnonzero(unused)
-            near = iter(left[np.argsort(-scored[left], kind="stable")].tolist())
-        while room > 0 and (found := next(near, None)) is not None:
-            unused[found] = False
-            order.append(found)
-            room -= len(texts[found])
-            last = found
-        if not unused.any():
-            return order
-        room = room % window or window  # what overflows opens the next window and seeds it
-        if room == window:
-            seed = int(np.argmax(unused))
-        else:
-            scored = np.where(unused, index.scores(last), -1.0)
-            seed = int(np.argmax(scored))
+
+@dataclass
+class Writer:
+    """The pieces of documents laid one after the other into windows."""
+
+    window: int
+    sequence: int
+    offset: int = 0
+
+    def __post_init__(self) -> None:
+        self.pieces: list[tuple] = []
+
+    def lay(self, doc: int | None, ids: np.ndarray, start: int, stop: int) -> None:
+        """The ids from ``start`` on before ``stop``."""
+        while start < stop:
+            n = min(stop - start, self.window - self.offset)
+            piece = ids[start : start + n].astype("<u4").tobytes()
+            self.pieces.append((doc, start, n, zlib.crc32(piece), len(ids), self.sequence, self.offset, piece))
+            start, self.offset = start + n, self.offset + n
+            if self.offset == self.window:
+                self.sequence, self.offset = self.sequence + 1, 0
+
+
+def laid(rows: Iterator[tuple[int, bool, int | None, np.ndarray]], writer: Writer) -> Iterator[list[tuple]]:
+    """Pieces of documents (group, whether it waits for a gap, key, ids) in their order; the waiting ones fill what groups leave of their last windows."""
+    waiting: deque[list] = deque()  # key, ids, how much is laid
+    weight = 0
+
+    def fill(all_: bool) -> None:
+        nonlocal weight
+        while waiting and (all_ or writer.offset):
+            doc, ids, start = waiting[0]
+            stop = len(ids) if all_ else min(len(ids), start + writer.window - writer.offset)
+            writer.lay(doc, ids, start, stop)
+            weight -= 2 * (stop - start)
+            if stop == len(ids):
+                waiting.popleft()
+            else:
+                waiting[0][2] = stop
+
+    for (_, waits), members in groupby(rows, key=lambda r: r[:2]):
+        for _, _, doc, ids in members:
+            if waits:
+                waiting.append([doc, ids, 0])
+                weight += 2 * len(ids)
+            else:
+                writer.lay(doc, ids, 0, len(ids))
+        if not waits:
+            fill(False)
+        while weight > WAITING:  # more than gaps will take: windows of their own
+            doc, ids, start = waiting.popleft()
+            writer.lay(doc, ids, start, len(ids))
+            weight -= 2 * (len(ids) - start)
+        if len(writer.pieces) > 4096:
+            yield writer.pieces
+            writer.pieces = []
+    fill(True)
+    yield writer.pieces
 
 
 def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The pieces of all documents: doc, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves."""
+    bounded_batches(df.sparkSession)
+    spark = df.sparkSession
     texts, counts = tokenized(df, key, text, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     stats = statistics(counts)
     names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    sized = texts.withColumn("n", (F.octet_length("ids") / 2).cast("long"))
+    is_long, over = F.col("n") >= window, F.pmod(F.lit(window) - F.pmod("n", F.lit(window)), F.lit(window))
+    facts = sized.agg(F.sum(F.when(~is_long, F.col("n"))).alias("short"), F.count_if(~is_long).alias("docs"), F.sum(F.when(is_long, over)).alias("gaps")).first()
+    wanted = max(0.0, FILLED * ((facts.short or 0) - (facts.gaps or 0)) / window)
+    share = min(1.0, wanted / facts.docs) if facts.docs else 0.0
+    is_seed = is_long | (F.pmod(F.xxhash64(F.lit(29), "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    room = F.when(is_long, over).otherwise(F.lit(window) - F.col("n"))
+    marked = sized.select("row", "doc", "ids", "n", is_seed.alias("seeds"), room.alias("room"))
+    near = neighbours(marked.where("seeds AND room > 0"), marked.where("NOT seeds"), stats, shard_docs=shard_docs)
+    sizes, rooms = marked.where("NOT seeds").select("row", "n"), marked.where("seeds AND room > 0").select(F.col("row").alias("seed"), "room")
+    taken = materialize(matched(near, sizes, rooms), "packing-windows")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence, offset = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0, 0
-        for shard in _shards(batches, shard_docs):
-            rows: list[tuple] = []
-            ids = [np.frombuffer(x, dtype="<u2") for _, x in shard]
-            for at in order_of(ids, stats, window - offset, window):
-                start, whole = 0, ids[at]
-                wide = whole.astype("<u4")
-                while start < len(whole):
-                    n = min(len(whole) - start, window - offset)
-                    piece = wide[start : start + n].tobytes()
-                    rows.append((shard[at][0], start, n, zlib.crc32(piece), len(whole), sequence, offset, piece))
-                    start, offset = start + n, offset + n
-                    if offset == window:
-                        sequence, offset = sequence + 1, 0
-            columns = list(zip(*rows, strict=True))
+        fields = ("group", "waits", "doc", "ids")
+        rows = ((g, w, d, np.frombuffer(i, dtype="<u2")) for part in batches for g, w, d, i in zip(*[part.column(c).to_pylist() for c in fields], strict=True))
+        for some in laid(rows, Writer(window, (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0)):
+            columns = list(zip(*some, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:7]], pa.array(columns[7], pa.binary())], names)
 
-    spark = df.sparkSession
     # tasks of 256 windows or more, so that their short last windows hardly count, and of 16384 at most
     windows = -(-stats.tokens // window)
     parts = max(1, min(windows // 256, max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // 16384)))
-    keys = ["root", "near", "row"]
-    dealt = grouped(texts, neighbours(texts, stats)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return dealt.select("root", "doc", "ids").mapInArrow(work, "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    told = taken.select("row", "seed", "nth")
+    joined = marked.join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, "row", "left")
+    # a document that no seed took waits among the groups near its own number
+    placed = joined.select(F.coalesce("seed", "row").alias("group"), (~F.col("seeds") & F.col("seed").isNull()).alias("waits"), F.coalesce("nth", F.lit(0)).alias("nth"), "row", "doc", "ids")
+    keys = ["group", "waits", "nth", "row"]
+    dealt = placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.select("group", "waits", "doc", "ids").mapInArrow(work, "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def _runs(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
@@ -279,20 +411,6 @@ def _runs(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The sorted rows of a task in runs of ``most`` documents at most, cut inside a group only if it is larger than that."""
-    rows = (row for part in batches for row in zip(part.column("root").to_pylist(), part.column("doc").to_pylist(), part.column("ids").to_pylist(), strict=True))
-    held: list[tuple[int, bytes]] = []
-    for _, group in groupby(rows, key=lambda row: row[0]):
-        for some in _runs(group, most):
-            if held and len(held) + len(some) > most:
-                yield held
-                held = []
-            held += [row[1:] for row in some]
-    if held:
-        yield held
-
-
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
