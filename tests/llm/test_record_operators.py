@@ -81,6 +81,27 @@ def test_archives_read_back(spark):
     assert same.groupBy("surt").count().orderBy("surt").collect() == [("example,hot)/page", 700), ("org,example)/x", 1)]
 
 
+def test_repeated_rows_and_ids_under_any_names(spark):
+    long = "é" * 3_000_000
+    rows = [(1, "http://a.org/", "x"), (1, "http://a.org/", "x"), (9, "http://b.org/", "x"), (9, "http://c.org/", "x"), (4, None, long), (5, "http://d.org/", long), (6, "", None), (7, "", "")]
+    pages = spark.createDataFrame(rows, "winner long, raw string, sha string").withColumn("surt", F.lit("z")).withColumn("refers_to", F.lit(3))
+    index = warc.archive(pages, "winner", "raw", "sha")
+    asked = pages.select(warc.url_key("raw").alias("surt"), F.col("winner").alias("page_id"))
+    got = sorted((r.page_id, r.surt, r.record_type, r.refers_to, r.payload_bytes, len(r.payload or b"")) for r in warc.lookup(asked, index).collect())
+    size = len(long.encode())
+    a, b, c, d = "org,a)/", "org,b)/", "org,c)/", "org,d)/"
+    assert got == sorted([(1, a, "revisit", 9, 1, 0), (1, a, "revisit", 9, 1, 0), (9, b, "response", None, 1, 1), (9, c, "response", None, 1, 1), (4, "", "revisit", 5, size, 0), (5, d, "response", None, size, size), (6, "", "revisit", 7, 0, 0), (7, "", "response", None, 0, 0)], key=lambda r: r[:2])
+
+
+def test_the_sharding_query_equals_plain_python(spark, tmp_path):
+    texts = ["", None, "é" * 10, "x" * 70_000, "a", "a"] * 20
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.op7_sharding(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in out} == {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
+    slots = {s: sorted(r.slot for r in out if r.shard == s) for s in range(24)}
+    assert all(x == list(range(5)) for x in slots.values()) and {(r.law, r.grown_shard) for r in out} == {("rows", None)}
+
+
 def test_no_pages_no_records(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     index = warc.archive(pages, "page_id", "url", "html")

@@ -249,6 +249,21 @@ def test_languages_are_told_apart(spark):
     assert language.predict(docs.where("false"), "text", model).collect() == []
 
 
+def test_prototypes_and_cosines_by_hand(spark):
+    """Each language's prototype is the unit sum of its documents' unit bundles; ties between equal ones go to the first name."""
+    rows = [(0, "aba abb aab", "x"), (2, "bab bba", "x"), (3, "cdc dcd", "y"), (5, "cdc dcd", "z"), (6, None, "x"), (7, "abab", None)]
+    docs = spark.createDataFrame([*rows, (3, "cdc dcd", "y")], "doc_id long, text string, lang string")
+    langs, prototypes = language.fit(docs, "text", "lang", "doc_id")
+    unit = lambda v: v / np.linalg.norm(v)
+    bundle = lambda t: unit(language.bundle([t])[0].astype(float))
+    expected = {"x": unit(bundle(rows[0][1]) + bundle(rows[1][1])), "y": bundle("cdc dcd"), "z": bundle("cdc dcd")}
+    assert langs == ["x", "y", "z"] and np.allclose(prototypes, [expected[n] for n in langs], atol=1e-4)
+    told = {(r.text, r.lang_pred, round(r.score, 3)) for r in language.predict(docs, "text", (langs, prototypes)).collect()}
+    cosine = {t: max((float(bundle(t) @ e), n) for n, e in expected.items()) for _, t, _ in rows if t}
+    assert {(t, p) for t, p, _ in told} == {(None, "und"), ("aba abb aab", "x"), ("bab bba", "x"), ("cdc dcd", "y"), ("abab", "x")}
+    assert all(abs(s - np.clip(cosine[t][0], 0, 1)) < 2e-3 for t, _, s in told if t)
+
+
 def test_bundles_are_sums_of_bound_trigrams():
     items = language._items(language.DIMS).astype(float)
     a, b = (items[ord(c)] for c in "ab")

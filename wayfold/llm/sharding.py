@@ -6,7 +6,7 @@ clockwise to the next shard with room. Which rows go on is decided from the row
 ``cells`` rows, whatever the input), so that the rows themselves are ranked and placed in parallel.
 
 Cases: null keys hash like any value; repeated rows are placed one by one (each has its own slot); a key that holds many
-of the rows is ranked in ``lanes`` parts and overflows like any other; an empty table gives an empty result; extra
+of the rows is ranked in as many parts as shuffles have (``lanes``) and overflows like any other; an empty table gives an empty result; extra
 columns are kept unless they bear the name of a result column (``shard``, ``slot``), which then is replaced.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from wayfold.llm.common import materialize, utf8
 
-CELLS, LANES, VIRTUAL_NODES = 4096, 32, 64
+CELLS, VIRTUAL_NODES = 4096, 64
 _SEED = 71
 
 
@@ -59,9 +59,10 @@ def plan(counts: dict[int, int], points: list[tuple[int, int]], n_shards: int, s
     return out
 
 
-def assign(df: DataFrame, keys: list[str], n_shards: int, slack: float = 0.0, virtual_nodes: int = VIRTUAL_NODES, cells: int = CELLS, lanes: int = LANES) -> DataFrame:
+def assign(df: DataFrame, keys: list[str], n_shards: int, slack: float = 0.0, virtual_nodes: int = VIRTUAL_NODES, cells: int = CELLS, lanes: int | None = None) -> DataFrame:
     """Every row with its ``shard`` and its ``slot`` there (from 0 without gaps)."""
     spark = df.sparkSession
+    lanes = lanes or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = [c for c in df.columns if c not in ("shard", "slot")]
     if df.columns.count("shard") > 1 or len(set(own)) < len(own):
         raise ValueError(f"ambiguous columns: {df.columns}")
