@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -490,6 +491,14 @@ def test_the_label_model_finds_what_the_votes_were_drawn_from():
     assert np.abs(got - right).mean() < 0.02 and np.corrcoef(got, right)[0, 1] > 0.98
 
 
+def test_hints_leave_no_match_out():
+    said = ["You are a joke", "you're such a", "STOP THIS RIGHT NOW", "no!!!", "f**k it a##b", "Get lost", "go away", "Shut up", "shut your", "Nobody likes you", "nobody cares", "What a total idiot", "what an idiot", "I will find you", "we'll get you", "Hope you die", "hope they rot", "you people", "all of you", "people like you", "your kind", "all is well", ""]
+    votes = toxicity.fixed_votes(pa.array([*said, None]), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for j, pattern in enumerate(toxicity.PATTERNS.values(), len(toxicity.WORDS)):
+        assert votes[:, j].tolist() == [re.search(pattern, t) is not None for t in said] + [False]
+    assert votes[:-3, len(toxicity.WORDS) :].any(axis=1).all()
+
+
 def test_newton_steps_end_where_no_weight_should_move():
     rows, columns = np.nonzero(RNG.random((500, 12)) < 0.2)
     y = RNG.random(500) * 0.2

@@ -61,6 +61,11 @@ PATTERNS = {
     "hope_you": r"\b[Hh]ope (?:you|they) (?:die|fail|suffer|rot)\b",
     "all_of_you": r"\b(?:you people|all of you|people like you|your kind)\b",
 }
+#: One of these stands in every text that the pattern matches: texts without are not searched.
+HINTS = {
+    "second_person": ("ou are ", "ou're "), "exclaiming": ("!!!",), "get_lost": ("et lost", "o away", "hut up", "hut your"), "nobody": ("obody ",), "what_a": ("hat a",),
+    "threat": (" find you", " hurt you", " kill you", " get you"), "hope_you": ("ope you ", "ope they "), "all_of_you": ("you people", "all of you", "people like you", "your kind"),
+}
 WORDS = [w for group in LEXICON.values() for w in group.split()]
 _LEXICON_LEVEL = 1
 
@@ -103,9 +108,9 @@ def fixed_votes(column: pa.Array, place: np.ndarray, found: np.ndarray) -> np.nd
     real = known[order][at] == found
     out[place[real], order[at[real]]] = True
     texts = column.to_pylist()
-    for j, pattern in enumerate(PATTERNS.values(), len(WORDS)):
-        speaks = re.compile(pattern).search
-        out[:, j] = [bool(t) and speaks(t) is not None for t in texts]
+    for j, (name, pattern) in enumerate(PATTERNS.items(), len(WORDS)):
+        speaks, hints = re.compile(pattern).search, HINTS.get(name, ("",))
+        out[:, j] = [bool(t) and any(h in t for h in hints) and speaks(t) is not None for t in texts]
     return out
 
 
