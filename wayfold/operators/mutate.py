@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions.text import or_else
+from wayfold.sources.shared import shared_folder
 
 
 def inserted(df: DataFrame, rows: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -70,10 +69,7 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows as they are now, in files that all executors share: what is read twice stays the same."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="wayfold-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

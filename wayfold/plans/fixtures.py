@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +11,12 @@ from wayfold.operators import audit, directory, mutate, referrals, resolve
 from wayfold.plans import views as v
 from wayfold.plans.registered import query
 from wayfold.sources import exports, listings
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from wayfold.sources.shared import new_path
 
 
 def _written(lines: DataFrame, name: str) -> str:
     """Numbered lines (line, text) as one text file, as hand-made listings are: its path."""
-    path = _folder(lines.sparkSession, name)
+    path = new_path(lines.sparkSession, name)
     lines.repartition(1).sortWithinPartitions("line").select("text").write.text(path)
     return path
 
@@ -80,7 +73,7 @@ def q_json_array(spark, d):
 @query("SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT -1, 'added'")
 def q_json_append(spark, d):
     held = v.table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    path = _folder(spark, "json")
+    path = new_path(spark, "json")
     exports.appended_json(held, spark.range(1).select(F.lit(-1).alias("id"), F.lit("added").alias("name")), path)
     return spark.read.schema("id int, name string").json(path)
 
