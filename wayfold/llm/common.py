@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -13,6 +11,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.sources.shared import new_path
+
 #: Bytes of text handled at once in a Python worker; one longer text forms a chunk of its own.
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to a Python worker.
@@ -20,34 +20,18 @@ BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, one machine uses a folder of its own (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Rows go to Python workers in Arrow batches of ``BATCH_BYTES`` at most from now on (one longer row: a batch of its own)."""
     spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: Paths of the tables written inside each scratch function that runs.
 _scopes: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Cut the lineage with a table written in the shared folder, which outlives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1].append(path)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)

@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import bounded_batches, materialize, pieces, shared_path
+from wayfold.llm.common import bounded_batches, materialize, pieces
 from wayfold.llm.jaccard import BROADCAST_ROWS
+from wayfold.sources.shared import new_path
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
 #: Documents of an index shard, documents that a seed keeps, rounds of offers, seeds that ask together.
@@ -89,7 +90,7 @@ def tokenized(df: DataFrame, key: str, text: str, ranks: str) -> tuple[DataFrame
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary()), pa.array([n_docs], pa.int64()), pa.array([tokens], pa.int64())], schema)
 
-    spark, path = df.sparkSession, shared_path(df.sparkSession, "packing-ids")
+    spark, path = df.sparkSession, new_path(df.sparkSession, "packing-ids")
     fields = "doc long, ids binary, row long, seen binary, n_docs long, n_tokens long"
     made = df.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, fields)
     made.write.option("compression", "zstd").parquet(path)
@@ -236,7 +237,7 @@ def indexed(texts: DataFrame, stats: Statistics, column: np.ndarray, shard_docs:
                 said = np.array([r for r, _ in held]), shard.token, shard.doc, shard.weight
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in said], ["rows", "token", "doc", "weight"])
 
-    path = shared_path(texts.sparkSession, "packing-index")
+    path = new_path(texts.sparkSession, "packing-index")
     texts.select("row", "ids").mapInArrow(work, "rows binary, token binary, doc binary, weight binary").write.option("compression", "snappy").parquet(path)
     return path
 

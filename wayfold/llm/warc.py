@@ -34,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import bounded_batches, materialize, pieces, shared_path, utf8
+from wayfold.llm.common import bounded_batches, materialize, pieces, utf8
+from wayfold.sources.shared import new_path
 
 BLOCK_LINES, OPEN_FILES = 256, 64
 #: Payload groups are broadcast up to so many (some 100 bytes each); beyond that the join shuffles.
@@ -260,7 +261,7 @@ def lookup(queries: DataFrame, index: CaptureIndex, any_id: bool = False, payloa
 def archive(df: DataFrame, key: str, url: str, payload: str) -> CaptureIndex:
     """Write all rows as archives in the shared folder, and their index."""
     bounded_batches(df.sparkSession)
-    folder = shared_path(df.sparkSession, "warc")
+    folder = new_path(df.sparkSession, "warc")
     rows = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"))  # whatever their names were
     captures = write_archives(roles(rows, "page_id", "html"), f"{folder}/archives", "page_id", "url")
     return build_index(captures, f"{folder}/archives", f"{folder}/index")
