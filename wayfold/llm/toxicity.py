@@ -135,13 +135,15 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 60) -> LabelModel:
-    """Expectation maximisation. ``votes``: a row for each text; ``known``: 1, 0 or -1 for no label (a label is sure in the estimate)."""
-    votes = votes.astype(float)
+def fit_label_model(votes: np.ndarray, known: np.ndarray, times: np.ndarray | None = None, rounds: int = 60) -> LabelModel:
+    """Expectation maximisation. ``votes``: a row for each text; ``known``: 1, 0 or -1 for no label (a label is sure in the estimate);
+    ``times``: how many texts a row stands for."""
+    votes, times = votes.astype(float), np.ones(len(votes)) if times is None else times
     labelled = known >= 0
     q = np.where(labelled, known, 0.0).astype(float)
     for nth in range(rounds):
-        on, off = (q, 1 - q) if nth else (q * labelled, (1 - q) * labelled)  # begins with what the labels say
+        sure = times if nth else times * labelled  # begins with what the labels say
+        on, off = q * sure, (1 - q) * sure
         p1 = (on @ votes + 0.1) / (on.sum() + 1)
         p0 = (off @ votes + 0.1) / (off.sum() + 1)
         # errors of two voters that go together: the correlation that the class does not explain
@@ -160,21 +162,18 @@ def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 60) -> L
     return model
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression on 0/1 features given as (row, column) pairs and soft labels, by Newton steps.
+def fit_linear(rows: np.ndarray, columns: np.ndarray, width: int, target: np.ndarray, times: np.ndarray | None = None, ridge: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression on 0/1 features given as (row, column) pairs and soft labels, by Newton steps. ``times``: how many texts a row stands for.
 
     Every feature marks the toxic class, so no weight is negative: those at zero that would turn negative stay out of a step.
-    Rows without a feature weigh in as one.
     """
-    some = np.unique(rows)
-    x = np.zeros((len(some) + 1, width + 1), dtype=np.float32)
-    x[np.searchsorted(some, rows), columns] = 1
+    times = np.ones(len(target)) if times is None else times
+    x = np.zeros((len(target), width + 1), dtype=np.float32)
+    x[rows, columns] = 1
     x[:, width] = 1
-    target, times = np.append(y[some], 0.0), np.append(np.ones(len(some)), len(y) - len(some))
-    target[-1] = (y.sum() - y[some].sum()) / max(times[-1], 1)
     hold = np.append(np.full(width, ridge), 1e-6)
-    weights = np.zeros(width + 1)
-    weights[width] = np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4))
+    weights, mean = np.zeros(width + 1), float(times @ target / times.sum())
+    weights[width] = np.log((mean + 1e-4) / (1 - mean + 1e-4))
 
     def loss(w: np.ndarray) -> float:
         odds = x @ w
@@ -278,7 +277,10 @@ def fit(df: DataFrame, labels: DataFrame, text: str, key: str, train_rows: int =
             yield pa.RecordBatch.from_arrays([held, pa.array([v.tobytes() for v in votes], pa.binary()), part.column("label").fill_null(-1)], ["held", "votes", "label"])
 
     seen = rows.mapInArrow(work, "held array<int>, votes binary, label int").toPandas()
-    seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (seen["label"].iat[i], tuple(seen["held"].iat[i]), seen["votes"].iat[i]))]
+    # texts with the same features, votes and label are one row that counts so often
+    seen = seen.assign(held=[np.sort(h).astype("<i4").tobytes() for h in seen["held"]]).groupby(["label", "held", "votes"], sort=True).size().reset_index(name="times")
+    seen["held"] = [np.frombuffer(h, dtype="<i4") for h in seen["held"]]
+    times = seen["times"].to_numpy(dtype=float)
     known = seen["label"].to_numpy()
     width = len(WORDS) + len(PATTERNS)
     if not (known == 1).any() or not (known == 0).any():
@@ -292,11 +294,11 @@ def fit(df: DataFrame, labels: DataFrame, text: str, key: str, train_rows: int =
     votes = np.zeros((len(seen), width + len(mined)), dtype=bool)
     votes[:, :width] = fixed
     votes[row[number[column] >= 0], width + number[column][number[column] >= 0]] = True
-    model = fit_label_model(votes, known)
+    model = fit_label_model(votes, known, times)
     y = model.posterior(votes)
     vote_row, vote_column = np.nonzero(fixed)
     row, column = np.concatenate((row, vote_row)), np.concatenate((column, vote_column + len(selected)))
-    weights, bias = fit_linear(row, column, len(selected) + width, y)
+    weights, bias = fit_linear(row, column, len(selected) + width, y, times)
     return Classifier(model, selected, weights, bias)
 
 
