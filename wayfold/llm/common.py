@@ -38,6 +38,13 @@ def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(path: str) -> None:
+    """Remove a folder written in the shared folder."""
+    system, folder = fs.FileSystem.from_uri(path)
+    if system.get_file_info(folder).type == fs.FileType.Directory:
+        system.delete_dir(folder)
+
+
 def scratch(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
     """For functions that return a frame: it is materialised, and then the tables written on the way are deleted."""
 
@@ -54,9 +61,7 @@ def scratch(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Dat
                 if _scopes and _scopes[-1] is written:
                     _scopes.pop()
                 for path in written:
-                    system, folder = fs.FileSystem.from_uri(path)
-                    if system.get_file_info(folder).type == fs.FileType.Directory:
-                        system.delete_dir(folder)
+                    delete(path)
 
         return run
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import bounded_batches, materialize, pieces
+from wayfold.llm.common import bounded_batches, delete, materialize, pieces
 from wayfold.llm.jaccard import BROADCAST_ROWS
 from wayfold.sources.shared import new_path
 
@@ -282,7 +282,9 @@ def neighbours(seeds: DataFrame, others: DataFrame, stats: Statistics, nearest:
 
     if len(often) == 0:
         column[0] = 0  # a matrix has a column at least
-    return materialize(seeds.select("row", "ids").mapInArrow(work, "seed long, row long, score float"), "packing-near")
+    near = materialize(seeds.select("row", "ids").mapInArrow(work, "seed long, row long, score float"), "packing-near")
+    delete(path)
+    return near
 
 
 def matched(near: DataFrame, sizes: DataFrame, room: DataFrame, rounds: int = ROUNDS) -> DataFrame:
