@@ -196,17 +196,19 @@ def test_every_seed_finds_its_true_neighbours_in_the_whole_corpus(spark, words,
         if r.row in seeds:
             scores = bm25(ids, tf, [len(x) for x in ids], query)
             true = sorted((scores[i] for i, x in enumerate(held) if x.row % 3 and scores[i] > 0), reverse=True)[:5]
+            assert {(x.row, x.n) for x in found if x.seed == r.row} <= {(x.row, len(i)) for x, i in zip(held, ids, strict=True)}
             assert sorted((s for s, _ in by[r.row]), reverse=True) == pytest.approx(true, rel=1e-4)
             assert all(scores[[x.row for x in held].index(row)] == pytest.approx(s, rel=1e-4) for s, row in by[r.row])
 
 
 def test_offers_fill_rooms_greedily(spark):
-    near = spark.createDataFrame([(1, 10, 5.0), (2, 10, 7.0), (1, 11, 4.0), (2, 11, 6.0), (1, 12, 3.0), (2, 13, 1.0), (3, 12, 3.0)], "seed long, row long, score float")
-    sizes = spark.createDataFrame([(10, 60), (11, 50), (12, 40), (13, 40)], "row long, n long")
+    sizes = {10: 60, 11: 50, 12: 40, 13: 40}
+    offers = [(1, 10, 5.0), (2, 10, 7.0), (1, 11, 4.0), (2, 11, 6.0), (1, 12, 3.0), (2, 13, 1.0), (3, 12, 3.0)]
+    near = spark.createDataFrame([(*x, sizes[x[1]]) for x in offers], "seed long, row long, score float, n long")
     room = spark.createDataFrame([(1, 100), (2, 100), (3, 10)], "seed long, room long")
     # 2 takes 10, has no room for 11 but later for 13; 11 goes to 1, and so does 12 (3 is too small)
-    assert {(r.row, r.seed) for r in packing.matched(near, sizes, room).collect()} == {(10, 2), (11, 1), (12, 1), (13, 2)}
-    assert packing.matched(near.limit(0), sizes, room).collect() == []
+    assert {(r.row, r.seed) for r in packing.matched(near, room).collect()} == {(10, 2), (11, 1), (12, 1), (13, 2)}
+    assert packing.matched(near.limit(0), room).collect() == []
 
 
 def test_waiting_documents_fill_the_gaps_of_windows():

@@ -45,7 +45,7 @@ from wayfold.sources.shared import new_path
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
 #: Documents of an index shard, documents that a seed keeps, rounds of offers, seeds that ask together.
-SHARD_DOCS, NEAREST, ROUNDS, BLOCK = 2048, 64, 6, 256
+SHARD_DOCS, NEAREST, ROUNDS, BLOCK = 2048, 32, 4, 256
 #: Tokens that a larger share of a shard's documents hold are scored by matrix products.
 DENSE = 0.04
 #: Seeds' windows hold this share of what is not in full windows; the rest fills their gaps.
@@ -153,6 +153,7 @@ class Queries:
     token: np.ndarray
     best: np.ndarray
     near: np.ndarray
+    sizes: np.ndarray
 
     @classmethod
     def of(cls, held: list[tuple[int, np.ndarray]], column: np.ndarray, nearest: int) -> "Queries":
@@ -162,7 +163,7 @@ class Queries:
         dense = np.zeros((len(held), int(column.max()) + 1), dtype=np.float32)
         often = column[token] >= 0
         dense[seed[often], column[token[often]]] = 1
-        return cls(np.array([r for r, _ in held]), dense, seed, token, np.zeros((len(held), nearest), np.float32), np.full((len(held), nearest), -1, dtype=np.int64))
+        return cls(np.array([r for r, _ in held]), dense, seed, token, np.zeros((len(held), nearest), np.float32), np.full((len(held), nearest), -1, dtype=np.int64), np.zeros((len(held), nearest), np.int64))
 
     def ask(self, shard: "Loaded") -> int:
         """Take what a shard has better than the lists so far; how many pairs were scored."""
@@ -179,10 +180,10 @@ class Queries:
         size = shard.begin[wanted + 1] - shard.begin[wanted]
         posting = np.repeat(shard.begin[wanted] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         scores += np.bincount(np.repeat(seed, size) * len(shard.rows) + shard.doc[posting], weights=shard.weight[posting], minlength=scores.size).reshape(scores.shape).astype(np.float32)
-        self._merge(asking, scores, shard.rows)
+        self._merge(asking, scores, shard.rows, shard.sizes)
         return scores.size
 
-    def _merge(self, asking: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
+    def _merge(self, asking: np.ndarray, scores: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> None:
         """The best of the lists so far and of new scores; ties go to the least row."""
         k = self.best.shape[1]
         better = scores >= np.maximum(self.best[asking].min(axis=1), 1e-9)[:, None]
@@ -194,23 +195,25 @@ class Queries:
             return
         held, nth = np.nonzero(self.near[asking] >= 0)
         at, score = np.concatenate((at, held)), np.concatenate((scores[at, doc], self.best[asking[held], nth]))
-        row = np.concatenate((rows[doc], self.near[asking[held], nth]))
+        row, size = np.concatenate((rows[doc], self.near[asking[held], nth])), np.concatenate((sizes[doc], self.sizes[asking[held], nth]))
         order = np.lexsort((row, -score, at))
-        at, score, row = at[order], score[order], row[order]
+        at, score, row, size = at[order], score[order], row[order], size[order]
         nth = np.arange(len(at)) - np.searchsorted(at, at)
         few = nth < k
         self.best[asking], self.near[asking] = 0, -1
-        self.best[asking[at[few]], nth[few]], self.near[asking[at[few]], nth[few]] = score[few], row[few]
+        place = asking[at[few]], nth[few]
+        self.best[place], self.near[place], self.sizes[place] = score[few], row[few], size[few]
 
 
 class Loaded:
     """A shard as the seeds of a task ask it: postings, the weights of its dense tokens as a matrix, and each token's largest weight.
 
-    ``column``: where the queries' matrix has a token, -1 for tokens too rare for it. ``rows`` ascend.
+    ``known``: the rows and how many tokens each has; ``column``: where the queries' matrix has a token, -1 for tokens too rare for it. ``rows`` ascend.
     """
 
-    def __init__(self, rows: np.ndarray, token: np.ndarray, doc: np.ndarray, weight: np.ndarray, column: np.ndarray):
-        self.rows, self.doc, self.weight = rows, doc, weight
+    def __init__(self, known: np.ndarray, token: np.ndarray, doc: np.ndarray, weight: np.ndarray, column: np.ndarray):
+        (rows, self.sizes), self.doc, self.weight = known, doc, weight
+        self.rows = rows
         self.begin = np.searchsorted(token, np.arange(VOCABULARY + 1))
         self.top = np.zeros(VOCABULARY, dtype=np.float32)
         kinds = np.flatnonzero(np.diff(self.begin))
@@ -234,7 +237,7 @@ def indexed(texts: DataFrame, stats: Statistics, column: np.ndarray, shard_docs:
             for low in range(0, len(some), shard_docs):
                 held = sorted(some[low : low + shard_docs], key=lambda x: x[0])
                 shard = Shard([ids for _, ids in held], stats)
-                said = np.array([r for r, _ in held]), shard.token, shard.doc, shard.weight
+                said = np.array([(r, len(ids)) for r, ids in held], dtype=np.int64).T.copy(), shard.token, shard.doc, shard.weight
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in said], ["rows", "token", "doc", "weight"])
 
     path = new_path(texts.sparkSession, "packing-index")
@@ -256,11 +259,11 @@ def _shards_of(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         with system.open_input_file(file) as opened:
             for batch in pq.ParquetFile(opened).iter_batches(batch_size=1):
                 rows, token, doc, weight = (batch.column(c)[0].as_buffer() for c in ("rows", "token", "doc", "weight"))
-                yield np.frombuffer(rows, np.int64), np.frombuffer(token, np.uint16).astype(np.int64), np.frombuffer(doc, np.uint16).astype(np.int64), np.frombuffer(weight, np.float32)
+                yield np.frombuffer(rows, np.int64).reshape(2, -1), np.frombuffer(token, np.uint16).astype(np.int64), np.frombuffer(doc, np.uint16).astype(np.int64), np.frombuffer(weight, np.float32)
 
 
 def neighbours(seeds: DataFrame, others: DataFrame, stats: Statistics, nearest: int = NEAREST, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(seed, row, score): for every seed the best of the others by BM25 for the seed's whole vocabulary, as far as they score at all."""
+    """(seed, row, score, n): for every seed the best of the others by BM25 for the seed's whole vocabulary, as far as they score at all, and their tokens."""
     column = np.full(VOCABULARY, -1)
     often = np.flatnonzero(stats.held > DENSE / 4 * stats.docs)
     column[often] = np.arange(len(often))
@@ -278,33 +281,39 @@ def neighbours(seeds: DataFrame, others: DataFrame, stats: Statistics, nearest:
                 block.ask(shard)
         for block in blocks:
             seed, nth = np.nonzero(block.near >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(block.rows[seed]), pa.array(block.near[seed, nth]), pa.array(block.best[seed, nth])], ["seed", "row", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.rows[seed]), pa.array(block.near[seed, nth]), pa.array(block.best[seed, nth]), pa.array(block.sizes[seed, nth])], ["seed", "row", "score", "n"])
 
     if len(often) == 0:
         column[0] = 0  # a matrix has a column at least
-    near = materialize(seeds.select("row", "ids").mapInArrow(work, "seed long, row long, score float"), "packing-near")
+    near = materialize(seeds.select("row", "ids").mapInArrow(work, "seed long, row long, score float, n long"), "packing-near")
     delete(path)
     return near
 
 
-def matched(near: DataFrame, sizes: DataFrame, room: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(row, seed, nth) of the documents that seeds take. ``near``: (seed, row, score); ``sizes``: (row, n); ``room``: (seed, room)."""
-    offers = materialize(near.join(sizes, "row").select("seed", "row", "score", "n"), "packing-offers")
-    taken = None
-    left = room
+def short(rows: DataFrame) -> DataFrame:
+    """A list that joins from every executor's memory if it is short."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def matched(near: DataFrame, room: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(row, seed, nth) of the documents that seeds take. ``near``: (seed, row, score, n); ``room``: (seed, room).
+
+    Lists of what is left of rooms and of what is taken are joined, so that the offers stay where they are as long as those are short.
+    """
+    left, taken = materialize(room, "packing-room"), None
     for nth in range(rounds):
-        open_ = offers.join(left, "seed").where(F.col("n") <= F.col("room"))
+        open_ = near.join(short(left), "seed").where(F.col("n") <= F.col("room"))
         if taken is not None:
-            open_ = open_.join(taken.select("row"), "row", "left_anti")
+            open_ = open_.join(short(taken.select("row")), "row", "left_anti")
         best = open_.groupBy("row").agg(F.max(F.struct("score", (-F.col("seed")).alias("s"), "n", "room")).alias("b")).select("row", "b.score", (-F.col("b.s")).alias("seed"), "b.n", "b.room")
         first = Window.partitionBy("seed").orderBy(F.desc("score"), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         fits = best.withColumn("sum", F.sum("n").over(first)).where(F.col("sum") <= F.col("room"))
         new = materialize(fits.select("row", "seed", "n", "score", F.lit(nth).alias("round")), "packing-taken")
         if new.isEmpty():
             break
-        taken = new if taken is None else materialize(taken.unionByName(new), "packing-taken")
+        taken = new if taken is None else taken.unionByName(new)
         used = new.groupBy("seed").agg(F.sum("n").alias("used"))
-        left = materialize(left.join(used, "seed", "left").select("seed", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"), "packing-room")
+        left = materialize(left.join(short(used), "seed", "left").select("seed", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"), "packing-room")
     if taken is None:
         return near.select("row", "seed", F.lit(0).alias("nth")).limit(0)
     order = Window.partitionBy("seed").orderBy("round", F.desc("score"), "row")
@@ -386,8 +395,7 @@ def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: i
     room = F.when(is_long, over).otherwise(F.lit(window) - F.col("n"))
     marked = sized.select("row", "doc", "ids", "n", is_seed.alias("seeds"), room.alias("room"))
     near = neighbours(marked.where("seeds AND room > 0"), marked.where("NOT seeds"), stats, shard_docs=shard_docs)
-    sizes, rooms = marked.where("NOT seeds").select("row", "n"), marked.where("seeds AND room > 0").select(F.col("row").alias("seed"), "room")
-    taken = materialize(matched(near, sizes, rooms), "packing-windows")
+    taken = materialize(matched(near, marked.where("seeds AND room > 0").select(F.col("row").alias("seed"), "room")), "packing-windows")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ("group", "waits", "doc", "ids")
@@ -399,8 +407,7 @@ def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: i
     # tasks of 256 windows or more, so that their short last windows hardly count, and of 16384 at most
     windows = -(-stats.tokens // window)
     parts = max(1, min(windows // 256, max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // 16384)))
-    told = taken.select("row", "seed", "nth")
-    joined = marked.join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, "row", "left")
+    joined = marked.join(short(taken.select("row", "seed", "nth")), "row", "left")
     # a document that no seed took waits among the groups near its own number
     placed = joined.select(F.coalesce("seed", "row").alias("group"), (~F.col("seeds") & F.col("seed").isNull()).alias("waits"), F.coalesce("nth", F.lit(0)).alias("nth"), "row", "doc", "ids")
     keys = ["group", "waits", "nth", "row"]
