@@ -10,7 +10,7 @@ A document's set is that of its distinct k-word shingles (hashes of 64 bits); tw
 3. ``ROUNDS`` times every tile names a representative, and every set is compared with the few representatives it shares
    most tiles with; verified links join components. Tiles whose sets are all in one component need no further look, so
    a large group of near copies does not come down to its pairs.
-4. Tiles of more than ``CROWDED`` sets that are still of several components stand for common passages. Their shingles move to the
+4. Tiles whose pairs of different components are more than ``CROWDED`` times their sets stand for common passages. Their shingles move to the
    end of the order, for all documents alike, and what comes after them in the order takes their places in the heads
    (``_thinned_tiles``), so that no tile is left whose pairs grow with the square of a passage's documents.
 5. Of tiles with the very same sets one is kept. In what tiles are left, all pairs from different components in the same size
@@ -41,8 +41,8 @@ from pyspark.sql.window import Window
 from wayfold.llm.common import SPACES, bounded_batches, materialize, mix, pieces, scratch, shingle_sets, text_bytes, thinned
 
 ROUNDS, NEAREST = 3, 3
-#: A tile of more sets, of several components, is a common passage. Heads are longer than they must by one in ``SPARE``, so that a
-#: few shingles of passages can be left out of them.
+#: A tile with so many pairs of different components for each of its sets is a common passage. Heads are longer than they must by one in
+#: ``SPARE``, so that a few shingles of passages can be left out of them.
 CROWDED, SPARE = 32, 4
 #: The order of shingles is learned from about so many documents, and knows so many common shingles at most.
 SAMPLE, COMMON, OFTEN = 4096, 1 << 18, 3

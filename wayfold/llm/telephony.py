@@ -14,7 +14,6 @@ result gives way to it.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
