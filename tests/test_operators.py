@@ -1,6 +1,5 @@
 """Small frames for matching, changes of state, listings and audits."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import audit, directory, mutate, referrals, resolve
