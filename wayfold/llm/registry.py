@@ -11,20 +11,23 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.llm.filters import op12_filter_audit
 from wayfold.llm.jaccard import op4_jaccard
 from wayfold.llm.language import op3_language
 from wayfold.llm.licenses import op8_licenses
 from wayfold.llm.mtree import op5_mtree
 from wayfold.llm.packing import op2_packing
 from wayfold.llm.pieces import op9_sentencepiece
+from wayfold.llm.routing import op11_learned_partitions
 from wayfold.llm.sharding import op7_sharding
 from wayfold.llm.telephony import op10_telephony
 from wayfold.llm.toxicity import op6_toxicity
+from wayfold.llm.treap import op13_treap_search
 from wayfold.llm.warc import op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc, op2_packing, op3_language, op4_jaccard, op5_mtree, op6_toxicity, op7_sharding, op8_licenses, op9_sentencepiece, op10_telephony]
+    found = [op1_warc, op2_packing, op3_language, op4_jaccard, op5_mtree, op6_toxicity, op7_sharding, op8_licenses, op9_sentencepiece, op10_telephony, op11_learned_partitions, op12_filter_audit, op13_treap_search]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -46,7 +49,27 @@ _MTREE = """WITH e AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN e
     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+# The documents' failed filters as letters; every order of the letters, and what a step finds of them.
+_FILTERS = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+    f AS (SELECT doc_id, part, concat(CASE WHEN len(words) < 50 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS failed FROM w),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+    c AS (SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT part, failed, n, good, toxic, filter_order, step, contains(failed, filter_order[step]) AS now, translate(failed, filter_order[1:step - 1], '') = failed AS before, translate(failed, filter_order[1:step], '') = failed AS after
+        FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+    SELECT part, filter_order, step, CAST(sum(CASE WHEN after THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN before AND now THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN NOT before AND now THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN now AND len(failed) = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN before AND now THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN before AND now THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+        CAST(sum(CASE WHEN now THEN n * 120 // len(failed) ELSE 0 END) AS BIGINT) AS shapley FROM s GROUP BY 1, 2, 3"""
+_TREAP = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf) AS n FROM c GROUP BY 1), g AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM n), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+    q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+    s AS (SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * big_n) // big_l))))) AS BIGINT) AS score
+        FROM q JOIN df USING (term) JOIN c USING (term) JOIN n USING (doc_id), g GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_warc": _WARC, "op4_jaccard": _JACCARD, "op5_mtree": _MTREE}
+    found = {"op1_warc": _WARC, "op4_jaccard": _JACCARD, "op5_mtree": _MTREE, "op12_filter_audit": _FILTERS, "op13_treap_search": _TREAP}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
