@@ -126,18 +126,19 @@ def repeats(narrow: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 @scratch("filters-audit")
-def audit(docs: DataFrame, key: str, text: str, part: str, checks: dict[str, Column | None], labels: DataFrame, marks: dict[str, Column]) -> DataFrame:
+def audit(docs: DataFrame, key: str, text: str, part: str, checks: dict[str, Column | None], labels: DataFrame, marks: dict[str, Column], once: dict[str, Column] | None = None) -> DataFrame:
     """For each part, order of the filters and step: what is kept, removed, redundant, failed by this filter alone, lost, and the filter's Shapley sum.
 
-    ``checks``: letters of the filters and when a row fails them, by the column ``text``; None stands for the filter of repeats. ``marks``: names and
-    conditions on ``labels`` (a table with the key); of the rows removed, those with a mark are counted as ``<name>_lost``.
+    ``checks``: letters of the filters and when a row fails them, by the column ``text`` and the columns that ``once`` makes of it; None stands for the
+    filter of repeats. ``marks``: names and conditions on ``labels`` (a table with the key); of the rows removed, those with a mark are counted
+    as ``<name>_lost``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     letters = "".join(checks)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     failed = F.concat(F.lit(""), *[F.when(fails, letter).otherwise("") for letter, fails in checks.items() if fails is not None])
-    rows = materialize(texts.select("id", "part", "hash", failed.alias("failed")), "filters-narrow")
+    rows = materialize(texts.withColumns(once or {}).select("id", "part", "hash", failed.alias("failed")), "filters-narrow")
     again = next((letter for letter, fails in checks.items() if fails is None), None)
     if again:
         rows = repeats(rows, texts.select("id", "text", "hash")).withColumn("failed", F.when(F.col("repeat"), F.concat("failed", F.lit(again))).otherwise(F.col("failed")))
@@ -164,14 +165,18 @@ def _by_order(counted: DataFrame, letters: str, marks: list[str]) -> DataFrame:
     )
 
 
+def word_column() -> dict[str, Column]:
+    """Words stand between white space."""
+    return {"words": F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")}
+
+
 def text_checks() -> dict[str, Column | None]:
-    """Few words, words that repeat, many capitals, odd symbols, and repeats of a text; words stand between white space."""
-    text, words = F.col("text"), F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    return {"A": F.size(words) < 50, "B": 100 * F.size(F.array_distinct(words)) < 65 * F.size(words), "C": 100 * capitals > 5 * F.length(text), "D": text.rlike(r"[#$%&*|]"), "E": None}
+    """Few words, words that repeat, many capitals, odd symbols, and repeats of a text."""
+    capitals = F.regexp_count("text", F.lit("[A-Z]"))
+    return {"A": F.size("words") < 50, "B": 100 * F.size(F.array_distinct("words")) < 65 * F.size("words"), "C": 100 * capitals > 5 * F.length("text"), "D": F.col("text").rlike(r"[#$%&*|]"), "E": None}
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents by source, in all 120 orders."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return audit(docs, "doc_id", "text", "source", text_checks(), labels, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    return audit(docs, "doc_id", "text", "source", text_checks(), labels, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}, word_column())
