@@ -1,8 +1,11 @@
 """Small frames for matching, changes of state, listings and audits."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from wayfold.operators import audit, directory, mutate, referrals, resolve
+from wayfold.operators import audit, containment, directory, mutate, referrals, resolve
 from wayfold.sources import exports, listings, tables
 from wayfold.streaming import activity
 
@@ -227,3 +230,67 @@ def test_streams_count_like_tables(spark, tmp_path):
         assert rows(spark.sql("SELECT * FROM seen")) == batch
     finally:
         started.stop()
+
+
+def test_texts_inside_texts_over_many_ranges(spark):
+    """Nested texts of few letters, so that sorted ranges begin in the middle of chains of texts inside texts."""
+    draw = random.Random(5)
+    texts = lambda n, most: ["".join(draw.choice("ab ") for _ in range(draw.randint(0, most))) for _ in range(n)]
+    shorts, longs = list(enumerate(texts(80, 5))), list(enumerate(texts(60, 12)))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left, right = spark.createDataFrame(shorts, "i int, s string"), spark.createDataFrame(longs, "j int, l string")
+        found = rows(containment.contained(left, right, "s", "l"), "i", "j")
+        held = right.select(F.lit("t").alias("town"), F.col("l").alias("x"), F.struct(F.col("j").alias("place"), F.lit(None).cast("string").alias("n")).alias("v"))
+        least = rows(containment.least_related(left.select(F.lit("t").alias("town"), F.col("s").alias("x")), held, "town", "x", "v").select("x", F.col("v.place").alias("p")), "x", "p")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == sorted(((i, j) for i, s in shorts for j, t in longs if s and s in t), key=repr)
+    hits = {s: [j for j, t in longs if t and (s in t or t in s)] for _, s in shorts if s}
+    assert least == sorted(((s, min(h)) for s, h in hits.items() if h), key=repr)
+
+
+def _same_place(a: str, b: str) -> bool:
+    """The four rules for two addresses, one after the other."""
+
+    def core(x: str) -> str:
+        x = re.split(r",\s*fl\b", re.sub(r"\s+", " ", x.lower().strip()), flags=re.A)[0]
+        for pattern, into in [
+            (r"\bsuite\b\s*\S*", ""), (r"\bste\b\s*\S*", ""), (r"\bunit\b\s*\S*", ""), (r"\bbuilding\b\s*\S*", ""), (r"\b#\s*\S*", ""), (",", " "), (r"\s+", " "), (r"^ | $", ""), (r"\bmartin luther king jr\b", "mlk jr"), (r"\bmartin luther king\b", "mlk"),
+            *[(rf"\b{c}\.?\s*", f"{c} ") for c in "n s e w nw ne sw se".split()], *[(rf"\b{c}\.\s", f"{c} ") for c in "st ave blvd dr rd hwy pkwy".split()], (r"\(hq\)\s*", ""), (r"\s+", " "),
+        ]:
+            x = re.sub(pattern, into, x, flags=re.A)
+        return x.strip()
+
+    def city(x: str) -> str:
+        x = x.lower().strip()
+        named = re.search(r",\s*([^,]+?)\s*,\s*fl\b", x, flags=re.A)
+        chunks = re.split(r",\s*fl\b", x, flags=re.A)[0].split(",")
+        return named[1].strip() if named else chunks[-1].strip() if len(chunks) > 1 else ""
+
+    def number(x: str) -> str:
+        told = re.match(r"^\(?\w*\)?\s*([0-9]+)", x, flags=re.A)
+        return told[1] if told else ""
+
+    if core(a) == core(b):
+        return True
+    if not city(a) or city(a) != city(b):
+        return False
+    if core(a) and core(b) and (core(a) in core(b) or core(b) in core(a)):
+        return True
+    word = lambda x: re.split(r"\s+", re.sub(r"^[0-9]+\s*", "", core(x)))[0]
+    return bool(number(a)) and number(a) == number(b) and bool(word(a)) and word(a) == word(b)
+
+
+def test_addresses_match_by_all_four_rules(spark):
+    draw = random.Random(9)
+    kinds = ["{n} N. Oak St., Suite {m}, {c}, FL", "{n} n oak st, {c}, FL 3", "{n} Martin Luther King Jr Blvd, {c}, FL", "{n} MLK Jr Blvd. Unit {m}, {c} , FL", "(HQ) {n} Pine Hwy., {c}, FL", "1{n} Pine Hwy., {c}, FL", "Pine Hwy, {c}, FL", "{n} Oak, {c}", "{n}0 Elm Rd #4 {c}, FL", "", "{c}, FL"]
+    made = lambda: draw.choice(kinds).format(n=draw.randint(1, 12), m=draw.randint(1, 3), c=draw.choice(["Miami", "Key West", "Ne"]))
+    new, old = [(i, made()) for i in range(150)], [(100 + i, made(), draw.randint(0, 40)) for i in range(120)]
+    out = resolve.by_address(spark.createDataFrame(new, "id int, address string"), spark.createDataFrame(old, "id int, address string, place int"))
+    expected = [(i, min(((p, j) for j, b, p in old if _same_place(a, b)), default=(None, None))[1]) for i, a in new]
+    assert rows(out, "id", "match_id") == sorted(expected, key=repr)
+    assert len({j for _, j in expected}) > 20

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from wayfold.functions import address as addresses
 from wayfold.functions.contact import email_domain
 from wayfold.functions.text import name_tokens
+from wayfold.operators.containment import contained, least_related
+from wayfold.operators.mutate import settled
 
 
 def first_wins(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -45,24 +47,6 @@ def ignoring_case(left: DataFrame, right: DataFrame, on: str, keep: str) -> Data
     return left.withColumn("_on", F.lower(on)).join(one, "_on", "left").drop("_on")
 
 
-def contained(shorts: DataFrame, longs: DataFrame, short: str, long: str, on: list[str] = ()) -> DataFrame:
-    """All pairs of rows, equal in ``on``, whose ``short`` text occurs inside the ``long`` one. Empty texts pair with nothing.
-
-    An equality join: whatever contains a text contains each run of three letters of it, and a text is sought by that of its
-    runs (or by itself, if it is shorter) that the fewest long texts hold. The columns of the two sides must differ but for ``on``.
-    """
-    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
-    sized = lambda c, n: F.when(F.length(c) >= n, runs(F.col(c), n)).otherwise(F.array().cast("array<string>"))
-    held = longs.select(*on, long).where(F.length(long) > 0).distinct()
-    grams = held.select(*on, long, F.explode(F.array_distinct(F.concat(*[sized(long, n) for n in (1, 2, 3)]))).alias("_gram"))
-    often = grams.groupBy(*on, "_gram").agg(F.count("*").alias("_n"))
-    own = F.when(F.length(short) <= 3, F.array(F.col(short))).otherwise(F.array_distinct(runs(F.col(short), 3)))
-    sought = shorts.select(*on, short).where(F.length(short) > 0).distinct()
-    rarest = sought.select(*on, short, F.explode(own).alias("_gram")).join(often, [*on, "_gram"]).groupBy(*on, short).agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
-    pairs = rarest.join(grams, [*on, "_gram"]).where(F.col(long).contains(F.col(short))).select(*on, short, long)
-    return shorts.join(pairs, [*on, short]).join(longs, [*on, long])
-
-
 def by_token(left: DataFrame, right: DataFrame, left_name: str, right_name: str, most: int = 10) -> DataFrame:
     """Right rows whose name contains a telling word of the left name: ``most`` by name for each word, every pair once."""
     words = left.select("id", F.explode(F.array_distinct(name_tokens(F.col(left_name)))).alias("token"))
@@ -96,27 +80,25 @@ def by_address(new: DataFrame, existing: DataFrame, state: str = "fl") -> DataFr
     """New addresses with the first existing one (by ``place``) that seems the same, null if none does.
 
     The same: equal cores; equal city, and streets of which one contains the other; equal city, number and first street
-    word. All three are equality joins; that of streets inside streets is by city and a run of letters (``contained``).
+    word. Each side is read and put in its forms once. Equal keys meet through the first existing row of each key, streets
+    inside streets in one sorted pass (``least_related``): no pair of addresses is compared.
     """
 
-    def read(df: DataFrame, prefix: str) -> DataFrame:
+    def read(df: DataFrame, *more: str) -> DataFrame:
         a = F.col("address")
-        told = df.select("id", "address", *[c for c in ("place",) if c in df.columns], addresses.core(a, state).alias("core"), addresses.city(a, state).alias("city"), addresses.house_digit(a).alias("number"))
-        told = told.withColumn("word", addresses.first_street_word(F.col("core")))
-        return told.select(*[F.col(c).alias(prefix + c) for c in told.columns])
-
-    n, e = read(new, "n_"), read(existing, "e_")
-    same_core = n.join(e, F.col("n_core") == F.col("e_core"))
-    same_street = n.where("n_number <> '' AND n_word <> ''").join(e, (F.col("n_city") == F.col("e_city")) & (F.col("n_number") == F.col("e_number")) & (F.col("n_word") == F.col("e_word"))).where("n_city <> ''")
-    # the first existing address stands for all with the same core and city
-    first = F.min(F.struct("e_place", "e_id", "e_address")).alias("m")
-    streets = e.where("e_city <> '' AND e_core <> ''").groupBy(F.col("e_city").alias("town"), "e_core").agg(first)
-    sought = n.where("n_city <> '' AND n_core <> ''").select("n_id", F.col("n_city").alias("town"), "n_core")
-    inside = contained(streets, sought, "e_core", "n_core", ["town"]).select("n_id", "m")
-    around = contained(sought, streets, "n_core", "e_core", ["town"]).select("n_id", "m")
-    equal = same_core.unionByName(same_street).select("n_id", F.struct("e_place", "e_id", "e_address").alias("m"))
-    found = equal.unionByName(inside).unionByName(around).groupBy("n_id").agg(F.min("m").alias("m"))
-    return new.join(found.select(F.col("n_id").alias("id"), F.col("m.e_id").alias("match_id"), F.col("m.e_address").alias("matched_with")), "id", "left").withColumn("full", ~addresses.is_vague(F.col("address")))
+        told = df.select("id", "address", *more, addresses.core(a, state).alias("core"), addresses.city(a, state).alias("city"), addresses.house_digit(a).alias("number"))
+        return settled(told.withColumn("word", addresses.first_street_word(F.col("core"))))
+
+    n, e = read(new), read(existing, "place").withColumn("m", F.struct("place", "id", "address"))
+    loose = ["city", "number", "word"]
+    counts = " AND ".join(f"{c} <> ''" for c in loose)
+    same_core = e.groupBy("core").agg(F.min("m").alias("m_core"))
+    same_street = e.where(counts).groupBy(*loose).agg(F.min("m").alias("m_street"))
+    related = least_related(n.where("city <> '' AND core <> ''"), e.where("city <> '' AND core <> ''"), "city", "core", "m").withColumnRenamed("m", "m_related")
+    found = n.join(same_core, "core", "left").join(same_street, loose, "left").join(related, ["city", "core"], "left")
+    best = F.array_min(F.array_compact(F.array("m_core", "m_street", "m_related")))
+    told = found.groupBy("id").agg(F.min(best).alias("m")).select("id", F.col("m.id").alias("match_id"), F.col("m.address").alias("matched_with"))
+    return new.join(told, "id", "left").withColumn("full", ~addresses.is_vague(F.col("address")))
 
 
 def labelled(text: Column, rules: list[tuple[str, list[str]]], default: str, exact: dict[str, list[str]] | None = None, kind: Column | None = None) -> Column:

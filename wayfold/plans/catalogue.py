@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import address, contact, dates, geo, text
@@ -417,12 +417,48 @@ def q_token_match(spark, d):
     return resolve.by_token(v.users(spark, d), named, "firm_name", "name").select("id", "match_id")
 
 
-@query("WITH " + v.CLINICS + ", " + v.FIRMS + """, n AS (SELECT id, split_part(replace(address, ', MN ', ', FL '), ',', 2) AS city, regexp_extract(address, '^([0-9]+)', 1) AS num FROM clinics),
-    e AS (SELECT id, split_part(replace(address, ', MN ', ', FL '), ',', 2) AS city, regexp_extract(address, '^([0-9]+)', 1) AS num FROM firms)
-    SELECT n.id, min(e.id) AS match_id FROM n LEFT JOIN e ON n.city = e.city AND (contains(concat(n.num, ' main'), concat(e.num, ' main')) OR contains(concat(e.num, ' main'), concat(n.num, ' main')) OR right(n.num, 1) = right(e.num, 1)) GROUP BY n.id""")
+# The four rules for two addresses of one place, as SQL: forms of an address, then every pair of addresses.
+_FORMS = [
+    (r"\b(suite|ste|unit|building)\b\s*\S*", ""), (r"(\w)#\s*\S*", r"\1"), (",", " "), (r"\s+", " "), (r"^\s+|\s+$", ""), (r"\bmartin luther king jr\b", "mlk jr"), (r"\bmartin luther king\b", "mlk"),
+    *[(rf"\b{c}\.?\s*", f"{c} ") for c in ("n", "s", "e", "w", "nw", "ne", "sw", "se")], *[(rf"\b{a}\.\s", f"{a} ") for a in ("st", "ave", "blvd", "dr", "rd", "hwy", "pkwy")], (r"\(hq\)\s*", ""), (r"\s+", " "), (r"^\s+|\s+$", ""),
+]
+
+
+def _forms_sql(rows: str) -> str:
+    core = r"regexp_replace(regexp_replace(trim(lower(address)), '\s+', ' ', 'g'), ',\s*fl\b.*$', '')"
+    for pattern, into in _FORMS:
+        core = f"regexp_replace({core}, '{pattern}', '{into}', 'g')"
+    named, before = r"regexp_extract(trim(lower(address)), ',\s*([^,]+?)\s*,\s*fl\b', 1)", r"regexp_replace(trim(lower(address)), ',\s*fl\b.*$', '')"
+    city = f"CASE WHEN {named} <> '' THEN {named} WHEN contains({before}, ',') THEN trim(regexp_extract({before}, '([^,]*)$', 1)) ELSE '' END"
+    forms = f"SELECT id, {core} AS core, {city} AS city, regexp_extract(address, '^\\(?\\w*\\)?\\s*([0-9]+)', 1) AS number FROM {rows}"
+    return rf"SELECT *, regexp_extract(regexp_replace(core, '^[0-9]+\s*', ''), '^\S*') AS word FROM ({forms})"
+
+
+_SPELLINGS = [  # of an address: a number, a street, a city
+    ("{n}  N. Oak St., Suite 4, {c}, FL 33101", "{n} n oak st {c}, FL"), ("{n} Martin Luther King Jr Blvd. , {c}, FL", "{n} MLK Jr Blvd Unit B, {c} , FL"), ("Building 7 {n} W Elm Ave., {c}, FL", "{n} w. elm ave #12, {c}, FL 33102"),
+    ("(HQ) {n} Pine Hwy. , {c}, FL", "1{n} Pine Hwy, {c}, FL"), ("{n} Oak, {c}", "Oak, {c}, FL"), ("Near Main Mall, {c}, FL", "{n} Ste. Marie Road, {c}, FL"),
+]
+
+
+def _spelt(side: int, key: str) -> Column:
+    """The address of a key on one side (new or existing)."""
+    k = F.col(key)
+    n, c = (F.floor(k / 6) % 90 + 1).cast("string"), F.concat(F.lit("CITY"), (F.floor(k / 3) % 25).cast("string"))
+    told = F.element_at(F.array(*[F.lit(x[side]) for x in _SPELLINGS]), (k % 6 + 1).cast("int"))
+    return F.replace(F.replace(told, F.lit("{n}"), n), F.lit("{c}"), c)
+
+
+def _spelt_sql(side: int, key: str) -> str:
+    told = f"[{', '.join(repr(x[side]) for x in _SPELLINGS)}][{key} % 6 + 1]"
+    return f"replace(replace({told}, '{{n}}', CAST({key} // 6 % 90 + 1 AS VARCHAR)), '{{c}}', concat('CITY', {key} // 3 % 25))"
+
+
+@query(f"""WITH n AS ({_forms_sql(f"(SELECT s_suppkey AS id, {_spelt_sql(0, 's_suppkey')} AS address FROM supplier)")}), e AS ({_forms_sql(f"(SELECT c_custkey AS id, {_spelt_sql(1, 'c_custkey')} AS address FROM customer)")})
+    SELECT n.id, min(e.id) AS match_id FROM n LEFT JOIN e ON n.core = e.core OR (n.city = e.city AND n.city <> '' AND ((n.core <> '' AND e.core <> '' AND (contains(n.core, e.core) OR contains(e.core, n.core))) OR (n.number = e.number AND n.number <> '' AND n.word = e.word AND n.word <> ''))) GROUP BY n.id""")
 def q_fuzzy_address(spark, d):
-    here = lambda df: df.select("id", F.replace("address", F.lit(", MN "), F.lit(", FL ")).alias("address"))
-    return resolve.by_address(here(v.clinics(spark, d)), here(v.firms(spark, d)).withColumn("place", F.col("id"))).select("id", "match_id")
+    new = v.table(spark, d, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("id"), _spelt(0, "s_suppkey").alias("address"))
+    existing = v.table(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("id"), _spelt(1, "c_custkey").alias("address"), F.col("c_custkey").alias("place"))
+    return resolve.by_address(new, existing).select("id", "match_id")
 
 
 # ---- text
