@@ -15,9 +15,9 @@ from wayfold.sources.shared import new_path
 
 
 def _written(lines: DataFrame, name: str) -> str:
-    """Numbered lines (line, text) as one text file, as hand-made listings are: its path."""
-    path = new_path(lines.sparkSession, name)
-    lines.repartition(1).sortWithinPartitions("line").select("text").write.text(path)
+    """Numbered lines (line, text) as a text file in parts, in their order: its path."""
+    path, parts = new_path(lines.sparkSession, name), int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "line").sortWithinPartitions("line").select("text").write.text(path)
     return path
 
 
@@ -90,7 +90,7 @@ def q_markdown_list(spark, d):
     heads = own.select("region").distinct().select("region", F.lit("").alias("county"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("id"), F.concat(F.lit("# "), F.col("region")).alias("text"))
     towns = own.select("region", "county").distinct().select("region", "county", F.lit(1).alias("level"), F.lit(0).cast("long").alias("id"), F.concat(F.lit("## "), F.col("county")).alias("text"))
     path = _written(own.unionByName(heads).unionByName(towns).select(F.struct("region", "county", "level", "id").alias("line"), "text"), "markdown")
-    return listings.read_markdown(spark, path).select("name", F.array_join("addresses", " | ").alias("addresses"), "phone", "website", "region", "county")
+    return listings.read_markdown(spark, path, whole=True).select("name", F.array_join("addresses", " | ").alias("addresses"), "phone", "website", "region", "county")
 
 
 @query("WITH " + v.CLINICS + """ SELECT id, CASE id % 3 WHEN 0 THEN lat WHEN 1 THEN 40 + CAST(id % 25 AS DOUBLE) ELSE 0 END AS lat, CASE id % 3 WHEN 0 THEN lng WHEN 1 THEN -90.0 ELSE 0 END AS lng FROM clinics""")

@@ -7,32 +7,36 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wayfold.functions import address as addresses
 from wayfold.functions.text import matching_form, or_else, padded_id, present, starts_with_pictograph, trimmed
 from wayfold.operators.mutate import numbered
+from wayfold.sources import ranges
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The columns by header name (trimmed, a byte order mark dropped), values trimmed, rows that are too short left out.
+    """The columns by header name (trimmed, a byte order mark dropped), values trimmed, blank rows and rows that are too short left out.
 
-    ``columns`` are all columns of the file, in any order. Lines with more fields than the header keep those they should have. A
-    quoted value may hold line breaks, so a file is read by one task.
+    ``columns`` are all columns of the file, in any order. Rows with more fields than the header keep those they should have. A
+    quoted value may hold commas, line breaks and doubled quotes. The file is read by ranges (``ranges.quoted_records``), a folder as the
+    parts of one file.
     """
-    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": True}
-    names = spark.read.csv(path, **options).columns  # the header line only
-    fields = [n.strip().removeprefix("\ufeff").strip('" ') for n in names]
+    return _csv_rows(spark, path, columns).select(*columns)
+
+
+def _csv_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The columns, and the number of the record."""
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxCharsPerColumn": "-1"}
+    fields = [n.strip().strip('" ') for n in ranges.first_line(spark, path).removeprefix("\ufeff").split(",")]
     missing = [c for c in columns if c not in fields]
     if missing:
         raise ValueError(f"{path} lacks {missing}")
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, "_odd"]])
-    lines = spark.read.schema(schema).csv(path, **options, mode="PERMISSIVE", columnNameOfCorruptRecord="_odd", enforceSchema=True)
-    # commas outside quotes: an even number of quotes follows them
-    held = F.size(F.split("_odd", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    short = F.col("_odd").isNotNull() & (held < len(fields))
-    return lines.where(~short).select(*[trimmed(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in columns])
+    records = ranges.quoted_records(ranges.lines_of(spark, path)).where("record > 0").withColumn("text", F.regexp_replace("text", r"\r$", ""))
+    held = F.regexp_count(F.regexp_replace("text", '"[^"]*"', ""), F.lit(",")) + 1
+    schema = ", ".join(f"f{i} string" for i in range(len(fields)))
+    told = records.where((trimmed(F.col("text")) != "") & (held >= len(fields))).select("record", F.from_csv("text", F.lit(schema), options | {"multiLine": "true", "mode": "PERMISSIVE"}).alias("row"))
+    return told.select(*[trimmed(F.coalesce(F.col(f"row.f{fields.index(c)}"), F.lit(""))).alias(c) for c in columns], "record")
 
 
 def read_csv_files(spark: SparkSession, files: dict[str, str], columns: list[str], category: str) -> DataFrame:
@@ -40,7 +44,7 @@ def read_csv_files(spark: SparkSession, files: dict[str, str], columns: list[str
     frames = []
     for place, (name, path) in enumerate(files.items()):
         try:
-            frames.append(read_csv(spark, path, columns).withColumns({category: F.lit(name), "file": F.lit(place), "line": F.monotonically_increasing_id()}))
+            frames.append(_csv_rows(spark, path, columns).withColumnRenamed("record", "line").withColumns({category: F.lit(name), "file": F.lit(place)}))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -87,28 +91,30 @@ def read_json_records(spark: SparkSession, path: str, schema: str, inside: str |
     return spark.read.schema(f"{inside} array<struct<{schema}>>").json(path, multiLine=True).select(F.inline(inside))
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+def read_markdown(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Clinics of a Markdown list: region and county lines hold for what follows, a numbered line opens a record, and lines
-    marked by a pin, a telephone or a globe belong to it. Records without an address are left out. A list is one file."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    return parsed_markdown(lines).drop("file")
+    marked by a pin, a telephone or a globe belong to it. Records without an address are left out.
+
+    Lists are read by ranges. Each file is a list of its own; if ``whole``, all files of a folder are the parts of one list.
+    """
+    return parsed_markdown(ranges.lines_of(spark, path, whole)).drop("file")
 
 
 def parsed_markdown(lines: DataFrame) -> DataFrame:
-    """As ``read_markdown``, from the numbered lines of files (file, line, text)."""
+    """As ``read_markdown``, from the lines of lists (file, range, at, text)."""
     text = trimmed(F.col("text"))
-    after = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     region = F.when(text.rlike(r"^(# |[\x{1F7E5}-\x{1F7EB}])"), trimmed(F.regexp_replace(text, r"^[#\s\x{1F7E5}-\x{1F7EB}\x{FE0F}]+", "")))
     county = F.when(text.rlike(r"^##+ "), trimmed(F.regexp_replace(text, r"^#+\s*", "")))
     name = F.when(text.rlike(r"^\**[0-9]+[.)]\s*"), trimmed(F.regexp_replace(text, r"^\**[0-9]+[.)]\s*|\*+$", "")))
     marked = lambda mark: F.when(text.rlike(mark), trimmed(F.regexp_replace(text, f"^[-*\\s]*{mark}\\s*", "")))
-    told = lines.select("file", "line", region.alias("r"), county.alias("c"), name.alias("n"), marked(r"\x{1F4CD}").alias("a"), marked(r"\x{1F4DE}").alias("p"), marked(r"\x{1F310}").alias("w"))
+    told = lines.select("file", "range", "at", region.alias("r"), county.alias("c"), name.alias("n"), marked(r"\x{1F4CD}").alias("a"), marked(r"\x{1F4DE}").alias("p"), marked(r"\x{1F310}").alias("w"))
     # a county line ends the record above it; a region line the county too
-    carried = told.select("*", F.sum(F.col("n").isNotNull().cast("int")).over(after).alias("record"), F.last("r", True).over(after).alias("region"), F.last(F.when(F.col("r").isNotNull(), F.lit("")).otherwise(F.col("c")), True).over(after).alias("county"))
-    one = carried.where("record > 0").groupBy("file", "record").agg(
-        F.first("n", True).alias("name"), F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("line", "a"))), lambda x: x.a)).alias("addresses"),
-        F.min_by("p", F.when(F.col("p").isNotNull(), F.col("line"))).alias("phone"), F.min_by("w", F.when(F.col("w").isNotNull(), F.col("line"))).alias("website"),
-        F.min_by("region", "line").alias("region"), F.nullif(F.min_by("county", "line"), F.lit("")).alias("county"),
+    held = ranges.carried(told, {"region": F.col("r"), "county": F.when(F.col("r").isNotNull(), F.lit("")).otherwise(F.col("c"))}, {"record": F.col("n").isNotNull()})
+    place = F.struct("range", "at")
+    one = held.where("record > 0").groupBy("file", "record").agg(
+        F.min_by("n", F.when(F.col("n").isNotNull(), place)).alias("name"), F.array_compact(F.transform(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("range", "at", "a")))), lambda x: x.a)).alias("addresses"),
+        F.min_by("p", F.when(F.col("p").isNotNull(), place)).alias("phone"), F.min_by("w", F.when(F.col("w").isNotNull(), place)).alias("website"),
+        F.min_by("region", place).alias("region"), F.nullif(F.min_by("county", place), F.lit("")).alias("county"),
     )
     return one.where(F.size("addresses") > 0)
 
