@@ -49,12 +49,12 @@ _SLACK = 1e-9
 def neighbours(points: np.ndarray, to: np.ndarray, k: int, same: bool) -> np.ndarray:
     """Places in ``to`` of the k nearest to each point (leaving out the point itself if both are the same rows)."""
     out = []
-    for low in range(0, len(points), 1024):
-        some = points[low : low + 1024]
+    for low in range(0, len(points), 128):
+        some = points[low : low + 128]
         away = (to**2).sum(axis=1)[None] - 2 * some @ to.T
         if same:
             away[np.arange(len(some)), low + np.arange(len(some))] = np.inf
-        out.append(np.argpartition(away, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(away, k - 1, axis=1)[:, :k].copy())  # a view would keep the whole row
     return np.concatenate(out)
 
 
