@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import address, contact, dates, geo, text
-from wayfold.operators import audit, directory, mutate, referrals, resolve
+from wayfold.operators import audit, directory, facets, mutate, referrals, resolve
 from wayfold.plans import fixtures  # noqa: F401  registers its queries
 from wayfold.plans import views as v
 from wayfold.plans.registered import QUERIES, SQL, query
@@ -209,6 +209,18 @@ def q_facet_reset(spark, d):
     return directory.kept_choice(v.clinics(spark, d), "county", "NATION_1", {"region": "ASIA"})
 
 
+_SCREEN = {"region": [], "county": ["region"], "specialties": ["region", "county"], "available": ["region", "county", "specialties"]}
+_CHOICES = {"region": "ASIA", "county": "NATION_1", "specialties": "PROMO"}
+
+
+@query("WITH " + v.TAGGED + """, t AS (SELECT *, CASE WHEN available THEN 'true' ELSE 'false' END AS free, region = 'ASIA' AS a, county = 'NATION_1' AS b, list_contains(coalesce(specialties, []), 'PROMO') AS c FROM tagged),
+    f AS (SELECT 'region' AS facet, region AS value, true AS met FROM t UNION ALL SELECT 'county', county, a FROM t UNION ALL SELECT 'specialties', unnest(specialties), a AND b FROM t UNION ALL SELECT 'available', free, a AND b AND c FROM t),
+    n AS (SELECT facet, value, count(*) FILTER (met) AS n FROM f WHERE value <> '' GROUP BY 1, 2), m AS (SELECT *, true AS own FROM (VALUES ('region', 'ASIA'), ('county', 'NATION_1'), ('specialties', 'PROMO')) x(facet, value))
+    SELECT facet, value, coalesce(n, 0) AS n, coalesce(own, false) AS chosen, coalesce(own, false) AND coalesce(n, 0) > 0 AS kept FROM n FULL JOIN m USING (facet, value)""")
+def q_facet_screen(spark, d):
+    return facets.counts(facets.index(v.tagged_clinics(spark, d), list(_SCREEN)), _CHOICES, _SCREEN)
+
+
 @query("WITH " + v.CLINICS + " SELECT count(*) AS total, count(*) FILTER (available) AS available, count(*) - count(*) FILTER (available) AS unavailable, count(DISTINCT region) AS regions FROM clinics")
 def q_availability_stats(spark, d):
     counts = v.clinics(spark, d).agg(F.count("*").alias("total"), F.count_if("available").alias("available"), F.count_distinct("region").alias("regions"))
