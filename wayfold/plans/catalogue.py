@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import address, contact, dates, geo, text
-from wayfold.operators import audit, directory, facets, mutate, referrals, resolve
+from wayfold.operators import audit, directory, facets, mutate, referrals, resolve, textindex
 from wayfold.plans import fixtures  # noqa: F401  registers its queries
 from wayfold.plans import views as v
 from wayfold.plans.registered import QUERIES, SQL, query
 from wayfold.sources import exports, listings
+from wayfold.sources.shared import new_path
 from wayfold.streaming import activity
 
 NOW = "2001-08-01"
@@ -183,6 +184,17 @@ def q_tag_not_only(spark, d):
     return v.tagged_clinics(spark, d).where(directory.not_only("specialties", "(?i)^p")).select("id")
 
 
+@query("WITH " + v.TAGGED + """ SELECT id, 'map' AS screen FROM tagged WHERE contains(lower(concat_ws(chr(10), name, address, county, region, array_to_string(specialties, chr(10)))), 'nation_1')
+    UNION ALL SELECT id, 'short' FROM tagged WHERE contains(lower(concat_ws(chr(10), name, address, county, region, array_to_string(specialties, chr(10)))), 'ty')""")
+def q_indexed_search(spark, d):
+    rows, folder = v.tagged_clinics(spark, d), new_path(spark, "trigrams")
+    columns, arrays = ["name", "address", "county", "region"], ["specialties"]
+    for part in (0, 1):  # two generations
+        textindex.add(rows.where(F.col("id") % 2 == part).select("id", *columns, *arrays), folder, textindex.haystack(columns, arrays))
+    found = lambda q: textindex.search(spark, folder, q, directory.contains_any(q, columns, arrays))
+    return found("NATION_1").select("id", F.lit("map").alias("screen")).unionByName(found("ty").select("id", F.lit("short").alias("screen")))
+
+
 @query("WITH " + v.TAGGED + " SELECT id FROM tagged WHERE list_has_any(list_transform(specialties, lambda s: lower(s)), ['promo', 'economy'])")
 def q_specialist_tags(spark, d):
     return v.tagged_clinics(spark, d).where(directory.matches_specialist("specialties", ["PROMO", "Economy"])).select("id")
