@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import address, contact, dates, geo, text
-from wayfold.operators import audit, directory, facets, mutate, referrals, resolve, textindex
+from wayfold.operators import audit, directory, facets, mutate, nearby, referrals, resolve, textindex
 from wayfold.plans import fixtures  # noqa: F401  registers its queries
 from wayfold.plans import views as v
 from wayfold.plans.registered import QUERIES, SQL, query
@@ -264,6 +264,18 @@ def q_nearest20(spark, d):
     return directory.nearest(_places(spark, d), 27.8, -83.5, 20).select("kind", "id", "miles")
 
 
+_EACH = "round(2 * 3958.8 * atan2(sqrt(h), sqrt(1 - h)), 6)"
+
+
+@query(_MAP + f""", pairs AS (SELECT c_custkey AS point, kind, id, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lng - plng) / 2), 2) AS h
+        FROM (SELECT c_custkey, 24 + CAST(c_custkey % 800 AS DOUBLE) / 97 AS plat, -88 + CAST(c_custkey % 900 AS DOUBLE) / 89 AS plng FROM customer), places WHERE kind = 'clinic'),
+    r AS (SELECT point, id, {_EACH} AS miles, CAST(row_number() OVER (PARTITION BY point ORDER BY {_EACH}, id) AS INTEGER) AS nth FROM pairs) SELECT point, nth, id, miles FROM r WHERE nth <= 3""")
+def q_nearest_to_each(spark, d):
+    k = F.col("c_custkey")
+    points = v.table(spark, d, "customer", "c_custkey").select(k.alias("point"), (24 + (k % 800).cast("double") / 97).alias("lat"), (-88 + (k % 900).cast("double") / 89).alias("lng"))
+    return nearby.nearest_to_each(points, v.clinics(spark, d).select("id", "lat", "lng"), 3).select("point", "nth", "id", "miles")
+
+
 @query(_MAP + " SELECT count(*) AS places, count(*) FILTER (kind = 'clinic') AS clinics, count(*) FILTER (kind = 'lawyer') AS lawyers FROM places")
 def q_type_counts(spark, d):
     return _places(spark, d).agg(F.count("*").alias("places"), F.count_if(F.col("kind") == "clinic").alias("clinics"), F.count_if(F.col("kind") == "lawyer").alias("lawyers"))
