@@ -51,7 +51,8 @@ def upserted(df: DataFrame, rows: DataFrame, key: str, order: Column | None = No
     Ties go to the row with the largest values, column by column. Null keys equal nothing: such rows stay and are added. Only the
     new rows are ranked; the table itself takes part in an anti join.
     """
-    latest = Window.partitionBy(key).orderBy(*([order.desc()] if order is not None else []), *[F.desc_nulls_last(c) for c in rows.columns if c != key])
+    values = [F.desc_nulls_last(c) for c in rows.columns if c != key] or [F.col(key)]
+    latest = Window.partitionBy(key).orderBy(*([order.desc()] if order is not None else []), *values)
     one = rows.where(F.col(key).isNotNull()).withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").drop("_nth")
     kept = df.join(one.select(key), key, "left_anti").select(*df.columns)
     return kept.unionByName(one, allowMissingColumns=True).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)

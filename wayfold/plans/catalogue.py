@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import address, contact, dates, geo, text
-from wayfold.operators import audit, directory, facets, mutate, nearby, referrals, resolve, textindex
+from wayfold.operators import audit, directory, facets, mutate, nearby, pages, referrals, resolve, textindex
 from wayfold.plans import fixtures  # noqa: F401  registers its queries
 from wayfold.plans import views as v
 from wayfold.plans.registered import QUERIES, SQL, query
-from wayfold.sources import exports, listings
+from wayfold.sources import exports, listings, versions
 from wayfold.sources.shared import new_path
 from wayfold.streaming import activity
 
@@ -313,6 +313,14 @@ def q_log_page2(spark, d):
     return referrals.page(rows, [F.desc("ts"), F.col("event_id")], 2, 50).drop("ts")
 
 
+@query("""WITH l AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id) AS nth, count(*) OVER () AS total FROM events)
+    SELECT event_id, event_type, nth, total, CAST(ceil(total / 40) AS BIGINT) AS pages FROM l WHERE nth BETWEEN 201 * 40 + 1 AND 202 * 40""")
+def q_deep_page(spark, d):
+    folder = new_path(spark, "log")
+    pages.arrange(v.table(spark, d, "events", "event_id", "event_type", "ts"), {"ts": False, "event_id": True}, folder, block=4096)
+    return pages.page(spark, folder, 202, 40).drop("ts")
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-11 23:59:59.999'")
 def q_log_day_range(spark, d):
     rows = v.table(spark, d, "events", "event_id", "ts")
@@ -443,6 +451,22 @@ def q_new_vs_existing(spark, d):
     return resolve.unknown(rows, poor, ["key"]).select("doc_id")
 
 
+@query("""WITH u AS (SELECT c_custkey AS id, concat('new ', c_custkey) AS name, 0.0::DOUBLE AS balance FROM customer WHERE c_custkey BETWEEN 40 AND 60 UNION ALL SELECT -1, 'added', 1.0)
+    SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 7 THEN 'patched' ELSE c_name END AS name, c_acctbal AS balance FROM customer WHERE c_custkey NOT BETWEEN 40 AND 60 AND c_custkey NOT BETWEEN 100 AND 119
+    UNION ALL SELECT id, CASE WHEN id % 50 = 7 THEN 'patched' ELSE name END, balance FROM u""")
+def q_versioned_writes(spark, d):
+    rows, folder = v.table(spark, d, "customer", "c_custkey", "c_name", "c_acctbal").toDF("id", "name", "balance"), new_path(spark, "customers")
+    k = F.col("id")
+    versions.create(rows, folder, "id", file_rows=1 << 16)
+    changed = rows.where(k.between(40, 60)).select("id", F.concat(F.lit("new "), k.cast("string")).alias("name"), F.lit(0.0).alias("balance"))
+    added = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("added").alias("name"), F.lit(1.0).alias("balance"))
+    for _ in range(2):  # a rerun changes nothing
+        versions.upsert(spark, folder, changed.unionByName(added), token="upsert")
+    versions.delete(spark, folder, rows.where(k.between(100, 119)).select("id"))
+    versions.patch(spark, folder, rows.where(k % 50 == 7).select("id", F.lit("patched").alias("name")), ["name"])
+    return versions.read(spark, folder)
+
+
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower(firm_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) > 2 AND w NOT IN ('law', 'firm', 'group', 'and', 'the', 'associates', 'legal'))"
 
 
