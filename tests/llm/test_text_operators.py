@@ -177,45 +177,76 @@ def bm25(ids, held, lengths, query):
 
 
 @pytest.mark.parametrize("dense", [0.04, 0.5, 2.0])
-def test_every_seed_finds_its_true_neighbours_in_the_whole_corpus(spark, words, monkeypatch, dense):
-    """Recall 1 against brute force over several shards, whatever is scored by matrices and whatever by postings."""
+def test_scores_of_a_shard_equal_brute_force(spark, words, monkeypatch, dense):
+    """Every document as a query with its whole vocabulary, whatever is scored by matrices and whatever by postings."""
     monkeypatch.setattr(packing, "DENSE", dense)
-    monkeypatch.setattr(packing, "BLOCK", 8)
-    rows = [(i, sentence(words[: 40 if i % 3 else 400], int(RNG.integers(3, 60)))) for i in range(160)] + [(900, None), (901, ""), (902, "zzz " * 3000)]
+    rows = [(i, sentence(words[: 40 if i % 3 else 400], int(RNG.integers(3, 60)))) for i in range(60)] + [(900, None), (901, ""), (902, "zzz " * 3000)]
     texts, counts = packing.tokenized(frame(spark, rows).repartition(3), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))
     stats = packing.statistics(counts)
-    held = texts.orderBy("row").collect()
-    ids = [np.frombuffer(r.ids, "<u2") for r in held]
+    ids = [np.frombuffer(r.ids, "<u2") for r in texts.orderBy("row").collect()]
     tf = [dict(zip(*map(np.ndarray.tolist, np.unique(x, return_counts=True)), strict=True)) for x in ids]
-    seeds = [r.row for r in held if r.row % 3 == 0]
-    found = packing.neighbours(texts.where("row % 3 = 0"), texts.where("row % 3 <> 0"), stats, nearest=5, shard_docs=7).collect()
-    by = defaultdict(list)
-    for r in found:
-        by[r.seed].append((r.score, r.row))
-    for r, query in zip(held, ids, strict=True):
-        if r.row in seeds:
-            scores = bm25(ids, tf, [len(x) for x in ids], query)
-            true = sorted((scores[i] for i, x in enumerate(held) if x.row % 3 and scores[i] > 0), reverse=True)[:5]
-            assert {(x.row, x.n) for x in found if x.seed == r.row} <= {(x.row, len(i)) for x, i in zip(held, ids, strict=True)}
-            assert sorted((s for s, _ in by[r.row]), reverse=True) == pytest.approx(true, rel=1e-4)
-            assert all(scores[[x.row for x in held].index(row)] == pytest.approx(s, rel=1e-4) for s, row in by[r.row])
-
-
-def test_offers_fill_rooms_greedily(spark):
-    sizes = {10: 60, 11: 50, 12: 40, 13: 40}
-    offers = [(1, 10, 5.0), (2, 10, 7.0), (1, 11, 4.0), (2, 11, 6.0), (1, 12, 3.0), (2, 13, 1.0), (3, 12, 3.0)]
-    near = spark.createDataFrame([(*x, sizes[x[1]]) for x in offers], "seed long, row long, score float, n long")
-    room = spark.createDataFrame([(1, 100), (2, 100), (3, 10)], "seed long, room long")
-    # 2 takes 10, has no room for 11 but later for 13; 11 goes to 1, and so does 12 (3 is too small)
-    assert {(r.row, r.seed) for r in packing.matched(near, room).collect()} == {(10, 2), (11, 1), (12, 1), (13, 2)}
-    assert packing.matched(near.limit(0), room).collect() == []
-
-
-def test_waiting_documents_fill_the_gaps_of_windows():
-    ids = lambda n: np.arange(n, dtype="<u2")
-    rows = [(1, False, 1, ids(25)), (1, False, 2, ids(10)), (2, True, 3, ids(12)), (3, True, 4, ids(3)), (4, False, 5, ids(19)), (5, False, 6, ids(5))]
-    pieces_ = [p[:3] + p[5:7] for some in packing.laid(iter(rows), packing.Writer(20, 0)) for p in some]
-    assert pieces_ == [(1, 0, 20, 0, 0), (1, 20, 5, 1, 0), (2, 0, 10, 1, 5), (5, 0, 5, 1, 15), (5, 5, 14, 2, 0), (3, 0, 6, 2, 14), (6, 0, 5, 3, 0), (3, 6, 6, 3, 5), (4, 0, 3, 3, 11)]
+    found = packing.Shard(ids, stats).scores()
+    for i, query in enumerate(ids):
+        true = bm25(ids, tf, [len(x) for x in ids], query)
+        true[i] = 0
+        assert found[i] == pytest.approx(true, rel=1e-4, abs=1e-4)
+
+
+def plain_fill(sizes, scores, window):
+    """Documents and whether a seed asked for them, one after the other: the greedy rule with nothing but lists."""
+    out, left, at, seed = [], list(range(len(sizes))), 0, None
+    while left:
+        if seed is None:
+            seed = left.pop(0)
+            out.append((seed, False))
+            at += sizes[seed]
+        while at % window:
+            best = max(left, key=lambda d: (scores[seed][d], -d), default=None)
+            if best is None or scores[seed][best] <= 0:
+                break
+            left.remove(best)
+            out.append((best, True))
+            begun, at = at // window, at + sizes[best]
+            if at // window > begun:
+                seed = best
+        seed = None
+    return out
+
+
+def test_windows_are_filled_like_by_a_plain_greedy_run():
+    for round_ in range(30):
+        n, window = int(RNG.integers(1, 40)), 50
+        sizes = RNG.integers(1, [20, 60, 170][round_ % 3], n).tolist()
+        scores = np.where(RNG.random((n, n)) < [0.1, 0.9][round_ % 2], RNG.integers(0, 5, (n, n)), 0).astype(np.float32)  # many ties, some without neighbours
+        np.fill_diagonal(scores, 0)
+        writer = packing.Writer(window, 0)
+        asked = packing.filled([(i, np.full(k, i, "<u2")) for i, k in enumerate(sizes)], scores, writer)
+        firsts = [p[0] for p in writer.pieces if p[1] == 0]
+        assert list(zip(firsts, asked, strict=True)) == plain_fill(sizes, scores.tolist(), window)
+        assert [(p[5] * window + p[6]) for p in writer.pieces] == np.cumsum([0, *[p[2] for p in writer.pieces]])[:-1].tolist()
+
+
+def test_retrieval_places_nearly_all_documents(words):
+    ids = [np.array(RNG.choice(3000, int(RNG.integers(5, 300))), "<u2") for _ in range(200)]
+    held = np.bincount(np.concatenate([np.unique(i) for i in ids]), minlength=packing.VOCABULARY).astype(float)
+    stats = packing.Statistics(np.log(1 + (200 - held + 0.5) / (held + 0.5)).astype(np.float32), held, float(np.mean([len(i) for i in ids])), sum(map(len, ids)), 200)
+    asked = packing.filled(list(enumerate(ids)), packing.Shard(ids, stats).scores(), packing.Writer(500, 0))
+    assert len(asked) == 200 and np.mean(asked) > 0.9
+
+
+def test_like_stands_by_like(spark, words):
+    """Copies and documents of one kind follow each other in the order, whatever their numbers; rows with null keys and equal rows are all there."""
+    kinds = [words[40 * k : 40 * k + 40] for k in range(8)]
+    rows = [(None if i == 5 else i, sentence(kinds[i % 8], 60)) for i in range(160)] + [(1000 + i, "the very same text " * 20) for i in range(9)]
+    texts, counts = packing.tokenized(frame(spark, rows).repartition(4), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    placed = packing.ordered(texts, packing.statistics(counts)).orderBy("cell", "code", "row").collect()
+    assert len(placed) == 169 and sum(r.doc is None for r in placed) == 1
+    copies = [n for n, r in enumerate(placed) if (r.doc or 0) >= 1000]
+    assert copies == list(range(copies[0], copies[0] + 9))
+    kind = [(5 if r.doc is None else r.doc) % 8 for r in placed if (r.doc or 0) < 1000]
+    assert np.mean([a == b for a, b in zip(kind, kind[1:], strict=False)]) > 0.6
+    out = packing.pack(frame(spark, rows), "doc_id", "text", window=256, shard_docs=32).collect()
+    assert sum(r.length for r in out if r.doc is None) == sum(r.doc_tokens for r in out if r.doc is None and r.start == 0) > 0
 
 
 def test_pairs_share_windows_wherever_they_lie(spark):

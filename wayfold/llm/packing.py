@@ -2,19 +2,21 @@
 
 1. Texts become token ids once, written to a table with the per-token document counts of each task. Summed over all
    tasks these give the BM25 statistics (a table as long as the vocabulary, whatever the input).
-2. Seeds are drawn: all documents of a window's length or more, whose last window has room, and by a hash so many others that their
-   windows hold most of the rest. The rest is indexed: every task writes inverted index shards of ``SHARD_DOCS`` documents.
-3. Every seed with room asks every shard and keeps its ``NEAREST`` best documents. Scoring is whole and exact: tokens that more than
-   ``DENSE`` of a shard's documents hold by a matrix product for a block of seeds, the others by their postings. A shard whose largest
-   weights cannot beat a seed's list so far is passed over. This is about quadratic: seeds times indexed documents.
-4. Unused neighbours fill the windows greedily: every unused document goes to the seed where it scores highest among those that list
-   it and have room for it, and a seed takes the best of those offered first; ``ROUNDS`` times.
-5. Each seed and its documents are laid from a window's start on; documents that no window took are cut to fill the gaps behind them. Only
-   the last window of a task is short, so hardly any padding is needed.
-
-Cases: a null or empty text consists of the end id alone; ties go to the document (then the seed) of the least row number; repeated
-rows are packed one by one; a null key is packed like any other; a document without neighbours fills gaps; an empty table gives an
-empty result; columns other than the key and the text are not read.
+2. Documents are put in an order in which like stands by like: tf-idf vectors projected to ``DIMS`` dimensions, the nearest of centroids that
+   were fitted on a bounded sample (``SAMPLE`` documents), and within a centroid's cell the signs of what is left. One sort by ranges deals
+   that order out to tasks; a hot cell is split by row numbers.
+3. Each task goes through its part in shards of ``SHARD_DOCS`` documents (or ``SHARD_TOKENS`` tokens): it builds the shard's inverted index and scores
+   every document as a query with its whole vocabulary, by the statistics of the whole corpus. Then windows are filled greedily: the seed asks
+   for its best unused neighbour again and again until the window is full, however many that takes. A neighbour that is cut at the
+   border opens the next window as its seed. The last window of a shard is filled by the next shard.
+4. Only the last window of a task is short, so hardly any padding is needed.
+
+The work grows with the documents (each is compared with its shard), not with their square; a neighbour in another shard is not found. How
+many of the best neighbours stand in the same shard is stated in README.
+
+Cases: a null or empty text consists of the end id alone; ties go to the document of the least place in the order (equal ones by row number);
+repeated rows are packed one by one; a null key is packed like any other; a document without neighbours opens windows or fills up the current
+one; an empty table gives an empty result; columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,36 +24,28 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import groupby, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.parquet as pq
 import tiktoken
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wayfold.llm.common import bounded_batches, delete, materialize, pieces
-from wayfold.llm.jaccard import BROADCAST_ROWS
+from wayfold.llm.common import bounded_batches, pieces, thinned
 from wayfold.sources.shared import new_path
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
-#: Documents of an index shard, documents that a seed keeps, rounds of offers, seeds that ask together.
-SHARD_DOCS, NEAREST, ROUNDS, BLOCK = 2048, 32, 4, 256
+#: Documents and tokens of a shard, at most (one longer document is a shard of its own).
+SHARD_DOCS, SHARD_TOKENS = 512, 2 << 20
+#: Dimensions of the vectors that documents are ordered by, documents that centroids are fitted on, centroids, and steps of the fit.
+DIMS, SAMPLE, CENTROIDS, STEPS = 128, 4096, 1024, 8
 #: Tokens that a larger share of a shard's documents hold are scored by matrix products.
 DENSE = 0.04
-#: Seeds' windows hold this share of what is not in full windows; the rest fills their gaps.
-FILLED = 0.9
-#: Bytes of ids of documents that wait for a gap.
-WAITING = 4 << 20
 K1, B = 1.2, 0.75
 #: The added token of byte_bpe_50k.json.
 ADDED = {"<|endoftext|>": 50256}
@@ -130,7 +124,7 @@ def statistics(counts: DataFrame) -> Statistics:
 
 
 class Shard:
-    """The inverted index of some documents: for every token its documents and their BM25 weights."""
+    """The inverted index of some documents: for every token its documents and their BM25 weights, by token."""
 
     def __init__(self, texts: list[np.ndarray], stats: Statistics):
         lengths = np.array([len(t) for t in texts])
@@ -138,186 +132,81 @@ class Shard:
         both = np.sort((np.concatenate(texts).astype(np.int64) << 20) | doc)
         new = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
         times = np.diff(np.append(new, len(both)))
-        self.token, self.doc, self.n = (both[new] >> 20).astype(np.uint16), (both[new] & ((1 << 20) - 1)).astype(np.uint16), len(texts)
+        self.token, self.doc, self.n = both[new] >> 20, both[new] & ((1 << 20) - 1), len(texts)
         norm = K1 * (1 - B + B * lengths / stats.mean_tokens)
         self.weight = (stats.idf[self.token] * times * (K1 + 1) / (times + norm[self.doc])).astype(np.float32)
 
-
-@dataclass
-class Queries:
-    """Seeds that ask together: the tokens of each, as pairs, and those that may be dense in a shard also as a 0/1 matrix."""
-
-    rows: np.ndarray
-    dense: np.ndarray
-    seed: np.ndarray
-    token: np.ndarray
-    best: np.ndarray
-    near: np.ndarray
-    sizes: np.ndarray
-
-    @classmethod
-    def of(cls, held: list[tuple[int, np.ndarray]], column: np.ndarray, nearest: int) -> "Queries":
-        """``column``: the place of each dense token, -1 for others."""
-        kinds = [np.unique(ids) for _, ids in held]
-        seed, token = np.repeat(np.arange(len(held)), [len(k) for k in kinds]), np.concatenate(kinds).astype(np.int64)
-        dense = np.zeros((len(held), int(column.max()) + 1), dtype=np.float32)
-        often = column[token] >= 0
-        dense[seed[often], column[token[often]]] = 1
-        return cls(np.array([r for r, _ in held]), dense, seed, token, np.zeros((len(held), nearest), np.float32), np.full((len(held), nearest), -1, dtype=np.int64), np.zeros((len(held), nearest), np.int64))
-
-    def ask(self, shard: "Loaded") -> int:
-        """Take what a shard has better than the lists so far; how many pairs were scored."""
-        bound = np.bincount(self.seed, weights=shard.top[self.token], minlength=len(self.rows))
-        worst = self.best.min(axis=1)
-        asking = np.flatnonzero((bound * 1.0001 + 1e-4 >= worst) & (bound > 0))
-        if not len(asking):
-            return 0
-        scores = self.dense[np.ix_(asking, shard.columns)] @ shard.matrix
-        place = np.full(len(self.rows), -1)
-        place[asking] = np.arange(len(asking))
-        own = (place[self.seed] >= 0) & shard.posted[self.token]
-        seed, wanted = place[self.seed[own]], self.token[own]
-        size = shard.begin[wanted + 1] - shard.begin[wanted]
-        posting = np.repeat(shard.begin[wanted] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        scores += np.bincount(np.repeat(seed, size) * len(shard.rows) + shard.doc[posting], weights=shard.weight[posting], minlength=scores.size).reshape(scores.shape).astype(np.float32)
-        self._merge(asking, scores, shard.rows, shard.sizes)
-        return scores.size
-
-    def _merge(self, asking: np.ndarray, scores: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> None:
-        """The best of the lists so far and of new scores; ties go to the least row."""
-        k = self.best.shape[1]
-        better = scores >= np.maximum(self.best[asking].min(axis=1), 1e-9)[:, None]
-        if np.count_nonzero(better) > 8 * k * len(asking):
-            few = min(k, len(rows))  # of one shard no more than the k best count, and what equals the last of them
-            better &= scores >= np.partition(scores, len(rows) - few, axis=1)[:, len(rows) - few, None]
-        at, doc = np.nonzero(better)
-        if not len(at):
-            return
-        held, nth = np.nonzero(self.near[asking] >= 0)
-        at, score = np.concatenate((at, held)), np.concatenate((scores[at, doc], self.best[asking[held], nth]))
-        row, size = np.concatenate((rows[doc], self.near[asking[held], nth])), np.concatenate((sizes[doc], self.sizes[asking[held], nth]))
-        order = np.lexsort((row, -score, at))
-        at, score, row, size = at[order], score[order], row[order], size[order]
-        nth = np.arange(len(at)) - np.searchsorted(at, at)
-        few = nth < k
-        self.best[asking], self.near[asking] = 0, -1
-        place = asking[at[few]], nth[few]
-        self.best[place], self.near[place], self.sizes[place] = score[few], row[few], size[few]
-
-
-class Loaded:
-    """A shard as the seeds of a task ask it: postings, the weights of its dense tokens as a matrix, and each token's largest weight.
-
-    ``known``: the rows and how many tokens each has; ``column``: where the queries' matrix has a token, -1 for tokens too rare for it. ``rows`` ascend.
-    """
-
-    def __init__(self, known: np.ndarray, token: np.ndarray, doc: np.ndarray, weight: np.ndarray, column: np.ndarray):
-        (rows, self.sizes), self.doc, self.weight = known, doc, weight
-        self.rows = rows
-        self.begin = np.searchsorted(token, np.arange(VOCABULARY + 1))
-        self.top = np.zeros(VOCABULARY, dtype=np.float32)
-        kinds = np.flatnonzero(np.diff(self.begin))
-        self.top[kinds] = np.maximum.reduceat(weight, self.begin[kinds]) if len(kinds) else 0
-        often = np.flatnonzero((np.diff(self.begin) > DENSE * len(rows)) & (column >= 0))
-        self.columns, place = column[often], np.full(VOCABULARY, -1)
-        place[often] = np.arange(len(often))
-        self.posted = place < 0
-        self.matrix = np.zeros((len(often), len(rows)), dtype=np.float32)
-        at = place[token]
-        self.matrix[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
-
-
-def indexed(texts: DataFrame, stats: Statistics, column: np.ndarray, shard_docs: int) -> str:
-    """The folder of a table of index shards. The documents of a task are sorted by their leading dense token first: like with like."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((r, np.frombuffer(i, dtype="<u2")) for part in batches for r, i in zip(part.column("row").to_pylist(), part.column("ids").to_pylist(), strict=True))
-        for some in _runs(rows, 8 * shard_docs):
-            some.sort(key=lambda x: (leading(x[1], stats, column), x[0]))
-            for low in range(0, len(some), shard_docs):
-                held = sorted(some[low : low + shard_docs], key=lambda x: x[0])
-                shard = Shard([ids for _, ids in held], stats)
-                said = np.array([(r, len(ids)) for r, ids in held], dtype=np.int64).T.copy(), shard.token, shard.doc, shard.weight
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in said], ["rows", "token", "doc", "weight"])
-
-    path = new_path(texts.sparkSession, "packing-index")
-    texts.select("row", "ids").mapInArrow(work, "rows binary, token binary, doc binary, weight binary").write.option("compression", "snappy").parquet(path)
-    return path
-
-
-def leading(ids: np.ndarray, stats: Statistics, column: np.ndarray) -> int:
-    """The dense token that weighs most in a document, -1 without any."""
+    def scores(self) -> np.ndarray:
+        """The score of each document (column) for the whole vocabulary of each (row); 0 for itself."""
+        begin = np.flatnonzero(np.diff(self.token, prepend=-1))
+        held = np.diff(np.append(begin, len(self.token)))
+        often = np.repeat(held > DENSE * self.n, held)
+        place = np.cumsum(held > DENSE * self.n) - 1
+        column = np.repeat(place, held)[often]
+        has, weigh = (np.zeros((int(place[-1]) + 1, self.n), np.float32) for _ in range(2))
+        has[column, self.doc[often]], weigh[column, self.doc[often]] = 1, self.weight[often]
+        out = has.T @ weigh
+        # pairs of places in the postings of each rare token
+        rare = np.flatnonzero(held <= DENSE * self.n)
+        size = held[rare]
+        first = np.repeat(begin[rare], size * size)
+        nth = np.arange(int((size * size).sum())) - np.repeat(np.cumsum(size * size) - size * size, size * size)
+        width = np.repeat(size, size * size)
+        asks, told = first + nth // width, first + nth % width
+        out += np.bincount(self.doc[asks] * self.n + self.doc[told], weights=self.weight[told], minlength=self.n * self.n).reshape(self.n, self.n).astype(np.float32)
+        np.fill_diagonal(out, 0)
+        return out
+
+
+def _projection() -> np.ndarray:
+    """A fixed random direction for each token."""
+    return np.random.default_rng(20260301).choice(np.array([-1, 1], np.float32), (VOCABULARY, DIMS))
+
+
+def vector(ids: np.ndarray, stats: Statistics, directions: np.ndarray) -> np.ndarray:
+    """The unit vector by which a document is ordered: its tf-idf weights, projected."""
     kinds, times = np.unique(ids, return_counts=True)
-    weigh = np.where(column[kinds] >= 0, times * stats.idf[kinds], -1.0)
-    return int(kinds[weigh.argmax()]) if len(kinds) and weigh.max() >= 0 else -1
-
-
-def _shards_of(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The index shards of a folder, one after the other."""
-    system, folder = fs.FileSystem.from_uri(path)
-    for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")):
-        with system.open_input_file(file) as opened:
-            for batch in pq.ParquetFile(opened).iter_batches(batch_size=1):
-                rows, token, doc, weight = (batch.column(c)[0].as_buffer() for c in ("rows", "token", "doc", "weight"))
-                yield np.frombuffer(rows, np.int64).reshape(2, -1), np.frombuffer(token, np.uint16).astype(np.int64), np.frombuffer(doc, np.uint16).astype(np.int64), np.frombuffer(weight, np.float32)
-
-
-def neighbours(seeds: DataFrame, others: DataFrame, stats: Statistics, nearest: int = NEAREST, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(seed, row, score, n): for every seed the best of the others by BM25 for the seed's whole vocabulary, as far as they score at all, and their tokens."""
-    column = np.full(VOCABULARY, -1)
-    often = np.flatnonzero(stats.held > DENSE / 4 * stats.docs)
-    column[often] = np.arange(len(often))
-    path = indexed(others, stats, column, shard_docs)
+    made = (stats.idf[kinds] * (1 + np.log(times))).astype(np.float32) @ directions[kinds]
+    size = np.sqrt((made * made).sum())
+    return made / size if size > 0 else made
+
+
+def centroids(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors that the sampled ones gather around, each followed by the nearest that is left."""
+    n = max(1, min(CENTROIDS, len(vectors) // 4))
+    held = vectors[np.random.default_rng(31).permutation(len(vectors))[:n]]
+    for _ in range(STEPS):
+        near = (vectors @ held.T).argmax(axis=1)
+        sums = np.zeros_like(held)
+        np.add.at(sums, near, vectors)
+        size = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        held = np.where(size > 0, sums / np.maximum(size, 1e-9), held)
+    order, left = [0], set(range(1, n))
+    while left:
+        rest = np.array(sorted(left))
+        order.append(int(rest[(held[rest] @ held[order[-1]]).argmax()]))
+        left.remove(order[-1])
+    return held[order]
+
+
+def ordered(texts: DataFrame, stats: Statistics) -> DataFrame:
+    """The rows (row, doc, ids) with the cell and the code that put like by like."""
+    rows = thinned(texts, ["row"], SAMPLE, seed=37).select("ids").collect() if stats.docs else []  # a bounded sample
+    directions = _projection()
+    held = centroids(np.stack([vector(np.frombuffer(r.ids, "<u2"), stats, directions) for r in rows])) if rows else np.zeros((1, DIMS), np.float32)
+    weights = 1 << np.arange(30, -1, -1, dtype=np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = _projection()
+        for part in batches:
+            if not part.num_rows:
+                continue
+            own = np.stack([vector(np.frombuffer(i, "<u2"), stats, directions) for i in part.column("ids").to_pylist()])
+            cell = (own @ held.T).argmax(axis=1)
+            code = ((own - held[cell])[:, : len(weights)] > 0) @ weights
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(code)], [*part.schema.names, "cell", "code"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(r, np.frombuffer(i, dtype="<u2")) for part in batches for r, i in zip(part.column("row").to_pylist(), part.column("ids").to_pylist(), strict=True)]
-        if not held:
-            return
-        held.sort(key=lambda x: (leading(x[1], stats, column), x[0]))
-        blocks = [Queries.of(held[low : low + BLOCK], column, nearest) for low in range(0, len(held), BLOCK)]
-        for raw in _shards_of(path):
-            shard = Loaded(*raw, column)
-            for block in blocks:
-                block.ask(shard)
-        for block in blocks:
-            seed, nth = np.nonzero(block.near >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(block.rows[seed]), pa.array(block.near[seed, nth]), pa.array(block.best[seed, nth]), pa.array(block.sizes[seed, nth])], ["seed", "row", "score", "n"])
-
-    if len(often) == 0:
-        column[0] = 0  # a matrix has a column at least
-    near = materialize(seeds.select("row", "ids").mapInArrow(work, "seed long, row long, score float, n long"), "packing-near")
-    delete(path)
-    return near
-
-
-def short(rows: DataFrame) -> DataFrame:
-    """A list that joins from every executor's memory if it is short."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def matched(near: DataFrame, room: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(row, seed, nth) of the documents that seeds take. ``near``: (seed, row, score, n); ``room``: (seed, room).
-
-    Lists of what is left of rooms and of what is taken are joined, so that the offers stay where they are as long as those are short.
-    """
-    left, taken = materialize(room, "packing-room"), None
-    for nth in range(rounds):
-        open_ = near.join(short(left), "seed").where(F.col("n") <= F.col("room"))
-        if taken is not None:
-            open_ = open_.join(short(taken.select("row")), "row", "left_anti")
-        best = open_.groupBy("row").agg(F.max(F.struct("score", (-F.col("seed")).alias("s"), "n", "room")).alias("b")).select("row", "b.score", (-F.col("b.s")).alias("seed"), "b.n", "b.room")
-        first = Window.partitionBy("seed").orderBy(F.desc("score"), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        fits = best.withColumn("sum", F.sum("n").over(first)).where(F.col("sum") <= F.col("room"))
-        new = materialize(fits.select("row", "seed", "n", "score", F.lit(nth).alias("round")), "packing-taken")
-        if new.isEmpty():
-            break
-        taken = new if taken is None else taken.unionByName(new)
-        used = new.groupBy("seed").agg(F.sum("n").alias("used"))
-        left = materialize(left.join(short(used), "seed", "left").select("seed", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0"), "packing-room")
-    if taken is None:
-        return near.select("row", "seed", F.lit(0).alias("nth")).limit(0)
-    order = Window.partitionBy("seed").orderBy("round", F.desc("score"), "row")
-    return taken.select("row", "seed", F.row_number().over(order).alias("nth"))
+    return texts.select("row", "doc", "ids").mapInArrow(place, "row long, doc long, ids binary, cell int, code long")
 
 
 @dataclass
@@ -342,41 +231,30 @@ class Writer:
                 self.sequence, self.offset = self.sequence + 1, 0
 
 
-def laid(rows: Iterator[tuple[int, bool, int | None, np.ndarray]], writer: Writer) -> Iterator[list[tuple]]:
-    """Pieces of documents (group, whether it waits for a gap, key, ids) in their order; the waiting ones fill what groups leave of their last windows."""
-    waiting: deque[list] = deque()  # key, ids, how much is laid
-    weight = 0
-
-    def fill(all_: bool) -> None:
-        nonlocal weight
-        while waiting and (all_ or writer.offset):
-            doc, ids, start = waiting[0]
-            stop = len(ids) if all_ else min(len(ids), start + writer.window - writer.offset)
-            writer.lay(doc, ids, start, stop)
-            weight -= 2 * (stop - start)
-            if stop == len(ids):
-                waiting.popleft()
-            else:
-                waiting[0][2] = stop
-
-    for (_, waits), members in groupby(rows, key=lambda r: r[:2]):
-        for _, _, doc, ids in members:
-            if waits:
-                waiting.append([doc, ids, 0])
-                weight += 2 * len(ids)
-            else:
-                writer.lay(doc, ids, 0, len(ids))
-        if not waits:
-            fill(False)
-        while weight > WAITING:  # more than gaps will take: windows of their own
-            doc, ids, start = waiting.popleft()
-            writer.lay(doc, ids, start, len(ids))
-            weight -= 2 * (len(ids) - start)
-        if len(writer.pieces) > 4096:
-            yield writer.pieces
-            writer.pieces = []
-    fill(True)
-    yield writer.pieces
+def filled(docs: list[tuple[int | None, np.ndarray]], scores: np.ndarray, writer: Writer) -> list[bool]:
+    """Lay all documents (key, ids) of a shard; for each in the order laid, whether a seed asked for it."""
+    unused, seed, told = np.ones(len(docs), bool), None, []
+
+    def lay(at: int, asked: bool) -> bool:
+        """Whether the document goes on in a window after the one where it began."""
+        before, unused[at] = writer.sequence, False
+        told.append(asked)
+        writer.lay(*docs[at], 0, len(docs[at][1]))
+        return writer.sequence != before
+
+    while unused.any():
+        if seed is None:
+            seed = int(unused.argmax())
+            lay(seed, False)
+        while seed is not None and writer.offset:
+            own = np.where(unused, scores[seed], 0)
+            best = int(own.argmax())
+            if own[best] <= 0:
+                break
+            if lay(best, True):
+                seed = best
+        seed = None
+    return told
 
 
 def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -386,39 +264,31 @@ def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: i
     texts, counts = tokenized(df, key, text, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     stats = statistics(counts)
     names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    sized = texts.withColumn("n", (F.octet_length("ids") / 2).cast("long"))
-    is_long, over = F.col("n") >= window, F.pmod(F.lit(window) - F.pmod("n", F.lit(window)), F.lit(window))
-    facts = sized.agg(F.sum(F.when(~is_long, F.col("n"))).alias("short"), F.count_if(~is_long).alias("docs"), F.sum(F.when(is_long, over)).alias("gaps")).first()
-    wanted = max(0.0, FILLED * ((facts.short or 0) - (facts.gaps or 0)) / window)
-    share = min(1.0, wanted / facts.docs) if facts.docs else 0.0
-    is_seed = is_long | (F.pmod(F.xxhash64(F.lit(29), "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    room = F.when(is_long, over).otherwise(F.lit(window) - F.col("n"))
-    marked = sized.select("row", "doc", "ids", "n", is_seed.alias("seeds"), room.alias("room"))
-    near = neighbours(marked.where("seeds AND room > 0"), marked.where("NOT seeds"), stats, shard_docs=shard_docs)
-    taken = materialize(matched(near, marked.where("seeds AND room > 0").select(F.col("row").alias("seed"), "room")), "packing-windows")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ("group", "waits", "doc", "ids")
-        rows = ((g, w, d, np.frombuffer(i, dtype="<u2")) for part in batches for g, w, d, i in zip(*[part.column(c).to_pylist() for c in fields], strict=True))
-        for some in laid(rows, Writer(window, (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0)):
-            columns = list(zip(*some, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:7]], pa.array(columns[7], pa.binary())], names)
+        writer, held, tokens = Writer(window, (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0), [], 0
+
+        def shard() -> pa.RecordBatch:
+            filled(held, Shard([ids for _, ids in held], stats).scores(), writer)
+            columns, writer.pieces = list(zip(*writer.pieces, strict=True)), []
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:7]], pa.array(columns[7], pa.binary())], names)
+
+        for part in batches:
+            for doc, raw in zip(part.column("doc").to_pylist(), part.column("ids").to_pylist(), strict=True):
+                ids = np.frombuffer(raw, dtype="<u2")
+                if held and (len(held) >= shard_docs or tokens + len(ids) > SHARD_TOKENS):
+                    yield shard()
+                    held, tokens = [], 0
+                held.append((doc, ids))
+                tokens += len(ids)
+        if held:
+            yield shard()
 
     # tasks of 256 windows or more, so that their short last windows hardly count, and of 16384 at most
     windows = -(-stats.tokens // window)
     parts = max(1, min(windows // 256, max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // 16384)))
-    joined = marked.join(short(taken.select("row", "seed", "nth")), "row", "left")
-    # a document that no seed took waits among the groups near its own number
-    placed = joined.select(F.coalesce("seed", "row").alias("group"), (~F.col("seeds") & F.col("seed").isNull()).alias("waits"), F.coalesce("nth", F.lit(0)).alias("nth"), "row", "doc", "ids")
-    keys = ["group", "waits", "nth", "row"]
-    dealt = placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return dealt.select("group", "waits", "doc", "ids").mapInArrow(work, "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
-
-
-def _runs(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
-    """Rows in runs of ``most``."""
-    while held := list(islice(rows, most)):
-        yield held
+    dealt = ordered(texts, stats).repartitionByRange(parts, "cell", "code", "row").sortWithinPartitions("cell", "code", "row")
+    return dealt.select("doc", "ids").mapInArrow(work, "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
