@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op9_sentencepiece": "doc_id n_ids ids_crc32 exact n_best best_crc32",
     "op10_telephony": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op11_learned_partitions": "query_id rank vec_id score",
+    "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_treap_search": "item_id rank doc_id score",
     "pipeline": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 
@@ -35,11 +38,11 @@ def test_columns_and_rows(spark, name):
         assert rows > 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op4_jaccard", "op5_mtree"])
+@pytest.mark.parametrize("name", ["op1_warc", "op4_jaccard", "op5_mtree", "op12_filter_audit", "op13_treap_search"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     store = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels"):
         store.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     columns = COLUMNS[name].split()
     expected = store.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
