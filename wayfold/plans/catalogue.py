@@ -14,7 +14,7 @@ from wayfold.plans import views as v
 from wayfold.plans.registered import QUERIES, SQL, query
 from wayfold.sources import exports, listings, versions
 from wayfold.sources.shared import new_path
-from wayfold.streaming import activity
+from wayfold.streaming import activity, maintained
 
 NOW = "2001-08-01"
 STATUSES = {"P": "received", "O": "in_process", "F": "attended"}
@@ -467,6 +467,19 @@ def q_versioned_writes(spark, d):
     return versions.read(spark, folder)
 
 
+@query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0) GROUP BY 1, 2")
+def q_maintained_counts(spark, d):
+    rows, folder = v.table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").toDF("id", "status", "priority"), new_path(spark, "counts")
+    k, groups = F.col("id"), ["status", "priority"]
+    moved = rows.withColumn("status", F.when(k % 7 == 0, "F").otherwise(F.col("status")))
+    states = [rows.where(k % 2 == 0), rows, moved, moved.where(k % 11 != 0)]  # inserts, updates, deletes
+    maintained.start(spark, folder, states[0], groups)
+    for n, (old, new) in enumerate(zip(states, states[1:], strict=False)):
+        for _ in range(2):  # a replay changes nothing
+            maintained.apply(spark, folder, maintained.changes(old, new, "id"), groups, f"batch-{n}")
+    return maintained.counts(spark, folder)
+
+
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower(firm_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) > 2 AND w NOT IN ('law', 'firm', 'group', 'and', 'the', 'associates', 'legal'))"
 
 
