@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import bounded_batches, pieces, thinned
+from wayfold.llm.common import bounded_batches, delete, materialize, pieces, thinned
 from wayfold.sources.shared import new_path
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
@@ -61,18 +60,18 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
-def tokenized(df: DataFrame, key: str, text: str, ranks: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (row, a number of its own, doc, ids as little-endian 16-bit numbers), and (token, docs) summed over all documents."""
+def tokenized(df: DataFrame, key: str, text: str, ranks: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two tables, in the files at ``path``: (row, a number of its own, doc, ids as little-endian 16-bit numbers), and (token, docs) summed over all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(ranks).encode, allowed_special="all")
+        encode = partial(encoder(ranks).encode_to_numpy, allowed_special="all")
         seen, tokens = np.zeros(VOCABULARY, dtype=np.int64), 0
         schema = ["doc", "ids", "row", "seen", "n_docs", "n_tokens"]
         n_docs, first = 0, (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         for part in pieces(batches, text):
             packed = []
             for one in part.column(text).to_pylist():
-                ids = np.frombuffer(array("H", [*(encode(one) if one else ()), END_ID]), dtype=np.uint16).astype("<u2")
+                ids = np.append(encode(one), END_ID).astype("<u2") if one else np.array([END_ID], "<u2")
                 kinds = np.unique(ids)
                 seen[kinds] += 1
                 tokens += len(ids)
@@ -84,7 +83,7 @@ def tokenized(df: DataFrame, key: str, text: str, ranks: str) -> tuple[DataFrame
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary()), pa.array([n_docs], pa.int64()), pa.array([tokens], pa.int64())], schema)
 
-    spark, path = df.sparkSession, new_path(df.sparkSession, "packing-ids")
+    spark, path = df.sparkSession, path or new_path(df.sparkSession, "packing-ids")
     fields = "doc long, ids binary, row long, seen binary, n_docs long, n_tokens long"
     made = df.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, fields)
     made.write.option("compression", "zstd").parquet(path)
@@ -261,8 +260,11 @@ def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: i
     """The pieces of all documents: doc, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves."""
     bounded_batches(df.sparkSession)
     spark = df.sparkSession
-    texts, counts = tokenized(df, key, text, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    path = new_path(spark, "packing-ids")
+    texts, counts = tokenized(df, key, text, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), path)
     stats = statistics(counts)
+    placed = materialize(ordered(texts, stats), "packing-ordered", 1)  # the sort looks at the rows twice
+    delete(path)
     names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +289,7 @@ def pack(df: DataFrame, key: str, text: str, ranks: str | None = None, window: i
     # tasks of 256 windows or more, so that their short last windows hardly count, and of 16384 at most
     windows = -(-stats.tokens // window)
     parts = max(1, min(windows // 256, max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // 16384)))
-    dealt = ordered(texts, stats).repartitionByRange(parts, "cell", "code", "row").sortWithinPartitions("cell", "code", "row")
+    dealt = placed.repartitionByRange(parts, "cell", "code", "row").sortWithinPartitions("cell", "code", "row")
     return dealt.select("doc", "ids").mapInArrow(work, "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
