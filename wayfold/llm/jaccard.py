@@ -273,7 +273,8 @@ def _thinned_tiles(tiles: DataFrame, sets: DataFrame, members: DataFrame, order:
     light = lasting.where("NOT crowded").select("x")
     deep = None
     while not crowded.isEmpty():
-        touched = tiles.select("x", "doc").join(crowded, "x", "left_semi").groupBy("doc").agg(F.collect_set("x").alias("out"))
+        # also the heads in which such a shingle stands alone: it may crowd among deep documents only
+        touched = among(sets.select("doc", F.explode("head").alias("x")), "x", crowded.select(F.col("x").alias("doc"))).groupBy("doc").agg(F.collect_set("x").alias("out"))
         told = sets.select("doc", "n", "head").join(touched, "doc").where(F.size(F.array_except("head", "out")) < size).select("doc").distinct()
         short = materialize(told if deep is None else told.join(deep, "doc", "left_anti"), "jaccard-short")
         if short.isEmpty():
