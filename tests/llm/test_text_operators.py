@@ -180,6 +180,8 @@ def bm25(ids, held, lengths, query):
 def test_scores_of_a_shard_equal_brute_force(spark, words, monkeypatch, dense):
     """Every document as a query with its whole vocabulary, whatever is scored by matrices and whatever by postings."""
     monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "COLUMNS", 7)
+    monkeypatch.setattr(packing, "PAIRS", 50)
     rows = [(i, sentence(words[: 40 if i % 3 else 400], int(RNG.integers(3, 60)))) for i in range(60)] + [(900, None), (901, ""), (902, "zzz " * 3000)]
     texts, counts = packing.tokenized(frame(spark, rows).repartition(3), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"))
     stats = packing.statistics(counts)

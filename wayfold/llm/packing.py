@@ -45,6 +45,8 @@ SHARD_DOCS, SHARD_TOKENS = 512, 2 << 20
 DIMS, SAMPLE, CENTROIDS, STEPS = 128, 4096, 1024, 8
 #: Tokens that a larger share of a shard's documents hold are scored by matrix products.
 DENSE = 0.04
+#: Such tokens, and pairs of places in the postings of the others, that are looked at together.
+COLUMNS, PAIRS = 2048, 1 << 20
 K1, B = 1.2, 0.75
 #: The added token of byte_bpe_50k.json.
 ADDED = {"<|endoftext|>": 50256}
@@ -139,20 +141,23 @@ class Shard:
         """The score of each document (column) for the whole vocabulary of each (row); 0 for itself."""
         begin = np.flatnonzero(np.diff(self.token, prepend=-1))
         held = np.diff(np.append(begin, len(self.token)))
-        often = np.repeat(held > DENSE * self.n, held)
-        place = np.cumsum(held > DENSE * self.n) - 1
-        column = np.repeat(place, held)[often]
-        has, weigh = (np.zeros((int(place[-1]) + 1, self.n), np.float32) for _ in range(2))
-        has[column, self.doc[often]], weigh[column, self.doc[often]] = 1, self.weight[often]
-        out = has.T @ weigh
-        # pairs of places in the postings of each rare token
-        rare = np.flatnonzero(held <= DENSE * self.n)
-        size = held[rare]
-        first = np.repeat(begin[rare], size * size)
-        nth = np.arange(int((size * size).sum())) - np.repeat(np.cumsum(size * size) - size * size, size * size)
-        width = np.repeat(size, size * size)
-        asks, told = first + nth // width, first + nth % width
-        out += np.bincount(self.doc[asks] * self.n + self.doc[told], weights=self.weight[told], minlength=self.n * self.n).reshape(self.n, self.n).astype(np.float32)
+        out = np.zeros((self.n, self.n), np.float32)
+        often, rare = np.flatnonzero(held > DENSE * self.n), np.flatnonzero(held <= DENSE * self.n)
+        for low in range(0, len(often), COLUMNS):
+            some = often[low : low + COLUMNS]
+            column = np.repeat(np.arange(len(some)), held[some])
+            at = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[some], held[some], strict=True)])
+            has, weigh = (np.zeros((len(some), self.n), np.float32) for _ in range(2))
+            has[column, self.doc[at]], weigh[column, self.doc[at]] = 1, self.weight[at]
+            out += has.T @ weigh
+        # pairs of places in the postings of each rare token, so many at once
+        for some in np.split(rare, np.flatnonzero(np.diff(np.cumsum(held[rare] ** 2) // PAIRS)) + 1) if len(rare) else []:
+            size = held[some]
+            pairs = size * size
+            first, width = np.repeat(begin[some], pairs), np.repeat(size, pairs)
+            nth = np.arange(len(first)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            asks, told = first + nth // width, first + nth % width
+            out += np.bincount(self.doc[asks] * self.n + self.doc[told], weights=self.weight[told], minlength=out.size).reshape(out.shape).astype(np.float32)
         np.fill_diagonal(out, 0)
         return out
 
