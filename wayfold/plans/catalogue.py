@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import address, contact, dates, geo, text
-from wayfold.operators import audit, directory, facets, mutate, nearby, pages, referrals, resolve, textindex
+from wayfold.operators import audit, clustering, directory, facets, mutate, nearby, pages, referrals, resolve, textindex
 from wayfold.plans import fixtures  # noqa: F401  registers its queries
 from wayfold.plans import views as v
 from wayfold.plans.registered import QUERIES, SQL, query
@@ -264,6 +264,11 @@ def q_nearest20(spark, d):
     return directory.nearest(_places(spark, d), 27.8, -83.5, 20).select("kind", "id", "miles")
 
 
+@query()  # a greedy rule has no SQL: tests compare it with a plain run
+def q_map_clusters(spark, d):
+    return clustering.screen_clusters(_places(spark, d), 6, 8).select("kind", "id", "places", "clinics", "lawyers", "size")
+
+
 _EACH = "round(2 * 3958.8 * atan2(sqrt(h), sqrt(1 - h)), 6)"
 
 
