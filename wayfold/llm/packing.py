@@ -2,7 +2,7 @@
 
 1. Texts become token ids once, written to a table with the per-token document counts of each task. Summed over all
    tasks these give the BM25 statistics (a table as long as the vocabulary, whatever the input).
-2. Documents are put in an order in which like stands by like: tf-idf vectors projected to ``DIMS`` dimensions, the nearest of centroids that
+2. Documents are put in an order in which like stands by like: vectors of token weights projected to ``DIMS`` dimensions, the nearest of centroids that
    were fitted on a bounded sample (``SAMPLE`` documents), and within a centroid's cell the signs of what is left. One sort by ranges deals
    that order out to tasks; a hot cell is split by row numbers.
 3. Each task goes through its part in shards of ``SHARD_DOCS`` documents (or ``SHARD_TOKENS`` tokens): it builds the shard's inverted index and scores
@@ -62,6 +62,16 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+_place = np.zeros(VOCABULARY, np.int64)
+
+
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """The different tokens of a document, each at its last place; nothing is sorted."""
+    at = np.arange(len(ids))
+    _place[ids] = at
+    return ids[_place[ids] == at]
+
+
 def tokenized(df: DataFrame, key: str, text: str, ranks: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables, in the files at ``path``: (row, a number of its own, doc, ids as little-endian 16-bit numbers), and (token, docs) summed over all documents."""
 
@@ -74,8 +84,7 @@ def tokenized(df: DataFrame, key: str, text: str, ranks: str, path: str | None =
             packed = []
             for one in part.column(text).to_pylist():
                 ids = np.append(encode(one), END_ID).astype("<u2") if one else np.array([END_ID], "<u2")
-                kinds = np.unique(ids)
-                seen[kinds] += 1
+                seen[distinct(ids)] += 1
                 tokens += len(ids)
                 packed.append(ids.tobytes())
             rows = pa.array(range(first + n_docs, first + n_docs + len(packed)), pa.int64())
@@ -168,9 +177,9 @@ def _projection() -> np.ndarray:
 
 
 def vector(ids: np.ndarray, stats: Statistics, directions: np.ndarray) -> np.ndarray:
-    """The unit vector by which a document is ordered: its tf-idf weights, projected."""
-    kinds, times = np.unique(ids, return_counts=True)
-    made = (stats.idf[kinds] * (1 + np.log(times))).astype(np.float32) @ directions[kinds]
+    """The unit vector by which a document is ordered: the weights of its tokens, projected."""
+    kinds = distinct(ids)
+    made = stats.idf[kinds] @ directions[kinds]
     size = np.sqrt((made * made).sum())
     return made / size if size > 0 else made
 
