@@ -96,3 +96,14 @@ def test_addresses(spark):
     assert value(spark, address.house_digit(F.lit("1234 Oak"))) == "4"
     assert value(spark, address.is_vague(F.lit("Main Street, Town 5"))) is True
     assert value(spark, address.state_of(F.lit("x, Town, MN 55"))) == "MN"
+
+
+def test_digits_of_longer_numbers_are_no_zip_code(spark):
+    def joined(place: str, code: str) -> str:
+        return value(spark, address.joined([F.lit(place), F.lit("Town")], "MN", F.lit(code)))
+
+    assert joined("Supplier#000055042", "55042") == "Supplier#000055042, Town, MN 55042"
+    assert joined("550421 Oak", "55042") == "550421 Oak, Town, MN 55042"
+    assert joined("55042", "55042") == "55042, Town, MN"
+    assert joined("1 Oak, MN 55042-1", "55042") == "1 Oak, MN 55042-1, Town"
+    assert joined("1 Oak", "55.42") == "1 Oak, Town, MN 55.42"

@@ -41,10 +41,14 @@ def state_of(address: Column, default: str = "", states: tuple[str, ...] = ("FL"
 
 
 def joined(parts: list[Column], state: str, zip_code: Column) -> Column:
-    """The parts that are there, joined by commas; the state and the ZIP code are added where missing."""
+    """The parts that are there, joined by commas; the state and the ZIP code are added where missing.
+
+    A ZIP code is there if it stands as a number of its own: the digits of a longer number (of a house, of a name) are none.
+    """
     street = F.concat_ws(", ", *[present(p) for p in parts])
     placed = F.when(street.contains(f", {state}"), street).otherwise(F.concat(street, F.lit(f", {state}")))
-    zipped = F.when(present(zip_code).isNull() | placed.contains(zip_code), placed).otherwise(F.concat(placed, F.lit(" "), zip_code))
+    alone = F.concat(F.lit(r"(?<![0-9])\Q"), zip_code, F.lit(r"\E(?![0-9])"))
+    zipped = F.when(present(zip_code).isNull() | (placed.contains(zip_code) & F.regexp_like(placed, alone)), placed).otherwise(F.concat(placed, F.lit(" "), zip_code))
     return trimmed(_replaced(zipped, [(r",\s*,", ","), (r"\s+", " ")]))
 
 
