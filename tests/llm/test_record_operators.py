@@ -166,6 +166,33 @@ def test_clustered_vectors_skip_most_pivots(spark, monkeypatch):
     assert got == sorted(expected)
 
 
+def test_blocks_of_queries_are_never_broadcast(spark, monkeypatch):
+    """The driver sees neither blocks nor trees, however small the planner takes them to be; lanes and parts change no result."""
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 16)
+    monkeypatch.setattr(mtree, "BLOCK", 8)
+    monkeypatch.setattr(mtree, "PART_BLOCKS", 2, raising=False)
+    monkeypatch.setattr(mtree, "LEAST_LANES", 4, raising=False)
+    plans, real = [], mtree.materialize
+
+    def seen(df, name, *more):
+        if name == "mtree-near":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *more)
+
+    monkeypatch.setattr(mtree, "materialize", seen)
+    vectors = RNG.normal(size=(400, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<float>")
+    got = sorted(tuple(r) for r in mtree.top_k(df, "id", "v", F.col("id") % 4 == 0, 3).select("query_id", "rank", "vec_id", "score").collect())
+    whole = np.floor(256 * vectors.astype(float)).astype(np.int64)
+    expected = []
+    for q in range(0, len(whole), 4):
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(len(whole)), -scores)).tolist() if i != q][:3]
+        expected += [(q, n, i, int(scores[i])) for n, i in enumerate(order, 1)]
+    assert got == expected
+    assert plans and not any("Broadcast" in plan for plan in plans)
+
+
 def test_bounds_leave_out_pages():
     points = np.concatenate([RNG.normal(c, 0.5, size=(300, 6)) for c in (-40, 0, 40)]).round().astype(np.int64)
     most = int((points**2).sum(axis=1).max())

@@ -11,6 +11,10 @@ The query set goes through the shards in blocks of ``BLOCK`` queries of like piv
 own pivot, which tells how good the k-th best is at least; then through those of the pivots whose ball of vectors can hold a
 better one (a table of a row for each pivot decides that before any shard is read). A first bound comes from a bounded pool.
 
+Shards and blocks meet in a grid: a lane has ``LANE_SHARDS`` shards at most, a part about ``PART_BLOCKS`` blocks. A block is sent once to each
+lane that has a shard for it (not to each pivot), a shard once to each part; a task holds one lane and one part. Neither side is ever
+broadcast, and a lane returns of each query the k best that can still be among its results.
+
 Vectors whose squared norm is beyond ``NARROW`` are too long for exact floating point. They take part by Python's integers, block by
 block, as queries and as candidates; their scores beyond 64 bits rank by their true value and are shown as the nearest
 64-bit number.
@@ -27,6 +31,7 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +44,8 @@ from pyspark.sql.window import Window
 from wayfold.llm.common import bounded_batches, materialize, thinned
 
 SHARD_ROWS, PIVOTS, PAGE, BLOCK, POOL = 4096, 1024, 16, 1024, 2048
+#: Shards of a lane and blocks of a part at most; up to so many lanes each shard is a lane of its own, for more tasks.
+LANE_SHARDS, PART_BLOCKS, LEAST_LANES = 32, 64, 64
 #: Squared norms of vectors in trees: no score is larger, and sums of so large products are exact in double precision.
 NARROW = float(1 << 41)
 #: Blocks of the rare long vectors, and lanes in which they meet the others.
@@ -104,8 +111,14 @@ def grow(points: np.ndarray, members: np.ndarray, parent: np.ndarray) -> dict:
     return {"routing": routing, "radius": radii, "parent": _distances(routing, parent), "pages": [grow(points, members[g], own[c]) for c, g in kept]}
 
 
-def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a tree for each query, within the distance ``bounds``: query, id and score.
+def narrowed(vectors: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes that hold them all."""
+    reach = int(np.abs(vectors).max(initial=0))
+    return vectors.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if reach <= np.iinfo(t).max))
+
+
+def walk(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bounds: np.ndarray) -> np.ndarray:
+    """A row for each query with the k best of a tree within the distance ``bounds``: score and place in one number, or none.
 
     The queries of a block walk the tree together: a page is taken in the order of its least possible distance from any
     of them, and is seen by those queries that it can still serve. ``tree``: root, centre, ids (ascending), vectors, most.
@@ -148,9 +161,15 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bound
                 least = np.maximum(d - radius, 0)
                 heapq.heappush(queue, (float(least[near].min()), number, page["pages"][entry], least, d))
                 number += 1
+    return best
+
+
+def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a tree for each query, within the distance ``bounds``: query, id and score."""
+    best = walk(tree, queries, query_ids, k, bounds)
     row, column = np.nonzero(best > _NONE)
     found = best[row, column]
-    return query_ids[row], ids[_PLACES - 1 - found % _PLACES], found // _PLACES
+    return query_ids[row], tree["ids"][_PLACES - 1 - found % _PLACES], found // _PLACES
 
 
 def _nearest(pivots: np.ndarray, most: int, lift: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -170,20 +189,27 @@ def _nearest(pivots: np.ndarray, most: int, lift: bool) -> Callable[[Iterator[pa
 _DEALT = "id long, v array<long>, pivot int, away double"
 
 
-def build(dealt: DataFrame, most: int, crowded: dict[int, int]) -> DataFrame:
-    """A row for each shard: its pivot, its number and its tree. ``crowded``: in how many shards a pivot's vectors are dealt."""
+def laid_out(counts: dict[int, int]) -> dict[int, range]:
+    """The numbers of the shards in which each pivot's vectors are dealt."""
+    out, at = {}, 0
+    for pivot, n in sorted(counts.items()):
+        out[pivot] = range(at, at := at + -(-n // SHARD_ROWS))
+    return out
+
+
+def build(dealt: DataFrame, most: int, layout: dict[int, range], lanes: int) -> DataFrame:
+    """A row for each shard: its lane, its pivot and its tree."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id"], kind="stable")
         vectors = np.array(pdf["v"].tolist(), dtype=np.int64)
         points = lifted(vectors, most)
         centre = points[0]
-        made = {"root": grow(points, np.arange(len(points)), centre), "centre": centre, "ids": pdf["id"].to_numpy(), "vectors": vectors, "most": most}
-        return pd.DataFrame({"pivot": [int(pdf["pivot"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(made)]})
+        made = {"root": grow(points, np.arange(len(points)), centre), "centre": centre, "ids": pdf["id"].to_numpy(), "vectors": narrowed(vectors), "most": most}
+        return pd.DataFrame({"lane": [int(pdf["shard"].iloc[0]) % lanes], "pivot": [int(pdf["pivot"].iloc[0])], "tree": [pickle.dumps(made)]})
 
-    parts = F.create_map(*[F.lit(x) for p, n in crowded.items() for x in (p, n)]) if crowded else None
-    salt = F.pmod(F.xxhash64("id"), F.coalesce(parts[F.col("pivot")], F.lit(1))).cast("long") if crowded else F.lit(0).cast("long")
-    return dealt.select("id", "v", "pivot", (F.col("pivot").cast("long") * F.lit(1 << 20) + salt).alias("shard")).groupBy("shard").applyInPandas(tree, "pivot int, shard long, tree binary")
+    first, parts = (F.create_map(*[F.lit(x) for pair in told.items() for x in pair])[F.col("pivot")] for told in ({p: r.start for p, r in layout.items()}, {p: len(r) for p, r in layout.items()}))
+    return dealt.select("id", "v", "pivot", (first + F.pmod(F.xxhash64("id", "v"), parts)).alias("shard")).groupBy("shard").applyInPandas(tree, "lane int, pivot int, tree binary")
 
 
 def _limits(vectors: np.ndarray, kth: np.ndarray, most: int) -> np.ndarray:
@@ -208,59 +234,79 @@ def _by_trees(rows: DataFrame, k: int, dims: int) -> DataFrame:
     dealt = materialize(candidates.mapInArrow(_nearest(pivots, most, True), _DEALT), "mtree-dealt")
     balls = {r.pivot: (r.n, r.radius) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
     radius = np.array([balls.get(p, (0, -np.inf))[1] for p in range(len(pivots))])
-    trees = materialize(build(dealt, most, {p: -(-n // SHARD_ROWS) for p, (n, _) in balls.items() if n > SHARD_ROWS}), "mtree-trees")
+    layout = laid_out({p: n for p, (n, _) in balls.items()})
+    n_shards = sum(len(r) for r in layout.values())
+    lanes = max(1, min(n_shards, LEAST_LANES), -(-n_shards // LANE_SHARDS))
+    lanes_of = {p: {n % lanes for n in r} for p, r in layout.items()}
+    trees = materialize(build(dealt, most, layout, lanes), "mtree-trees") if layout else spark.createDataFrame([], "lane int, pivot int, tree binary")
     nothing = np.iinfo(np.int64).min // 4
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of queries with their first bounds, each with its own pivots."""
-        for part in batches:
-            for low in range(0, part.num_rows, BLOCK):
-                some = part.slice(low, BLOCK)
-                ids, vectors, near = np.asarray(some.column("id")), _matrix(some.column("v")), np.asarray(some.column("pivot"))
-                scores = vectors @ pool_vectors.T
-                scores[ids[:, None] == pool_ids[None]] = nothing
-                kth = np.sort(scores, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), nothing)
-                wanted = np.unique(near)
-                block = pickle.dumps((ids, vectors, _limits(vectors, kth, most)))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(wanted), pa.binary()), pa.array(wanted, pa.int32()), pa.array([np.packbits(near == p).tobytes() for p in wanted], pa.binary())], ["block", "pivot", "mask"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of queries with the bounds that they have by now, each with the other pivots that can hold better ones."""
-        for part in batches:
-            for low in range(0, part.num_rows, BLOCK):
-                some = part.slice(low, BLOCK)
-                ids, vectors, near = np.asarray(some.column("id")), _matrix(some.column("v")), np.asarray(some.column("pivot"))
-                kth = np.asarray(some.column("kth").fill_null(nothing))
-                limits = _limits(vectors, kth, most)
-                asked = np.hstack([vectors.astype(float), np.zeros((len(vectors), 1))])
-                masks = {p: mask for p in np.flatnonzero(radius > -np.inf).tolist() if (mask := (near != p) & (_distances(asked, pivots[p]) - radius[p] <= limits * (1 + _SLACK) + _SLACK)).any()}
-                block = pickle.dumps((ids, vectors, limits))
-                for p, mask in masks.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([p], pa.int32()), pa.array([np.packbits(mask).tobytes()], pa.binary())], ["block", "pivot", "mask"])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, dict] | None = None
-        for part in batches:
-            for at in range(part.num_rows):
-                shard = part.column("shard")[at].as_py()
-                if held is None or held[0] != shard:
-                    held = shard, pickle.loads(part.column("tree")[at].as_py())
-                ids, vectors, bounds = pickle.loads(part.column("block")[at].as_py())
-                mask = np.unpackbits(np.frombuffer(part.column("mask")[at].as_py(), np.uint8), count=len(ids)).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in search(held[1], vectors[mask], ids[mask], k, bounds[mask])], ["query_id", "vec_id", "score"])
-
-    def searched(blocks: DataFrame) -> DataFrame:
-        return blocks.join(trees, "pivot").select("shard", "tree", "block", "mask").mapInArrow(find, schema)
+    def reached(vectors: np.ndarray, near: np.ndarray, kth: np.ndarray, p: int) -> np.ndarray:
+        """Queries to which a vector of another pivot than their own can be as near as their k-th best."""
+        asked = np.hstack([vectors.astype(float), np.zeros((len(vectors), 1))])
+        return (near != p) & (_distances(asked, pivots[p]) - radius[p] <= _limits(vectors, kth, most) * (1 + _SLACK) + _SLACK)
+
+    def sent(again: bool, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Blocks of queries with the bounds that they have by now, once for each lane with shards of the pivots that they need."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, BLOCK):
+                    some = batch.slice(low, BLOCK)
+                    ids, vectors, near = np.asarray(some.column("id")), _matrix(some.column("v")), np.asarray(some.column("pivot"))
+                    scores = vectors @ pool_vectors.T
+                    scores[ids[:, None] == pool_ids[None]] = nothing
+                    kth = np.sort(scores, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), nothing)
+                    if again:
+                        kth = np.maximum(kth, np.asarray(some.column("kth").fill_null(nothing)))
+                        wanted = [p for p in lanes_of if reached(vectors, near, kth, p).any()]
+                    else:
+                        wanted = [p for p in np.unique(near).tolist() if p in lanes_of]
+                    block = pickle.dumps((ids, narrowed(vectors), near, kth))
+                    for lane in sorted(set().union(*[lanes_of[p] for p in wanted])):
+                        yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([zlib.crc32(block) % parts], pa.int32()), pa.array([block], pa.binary())], ["lane", "part", "block"])
+
+        return work
+
+    def found_in_lane(again: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def work(blocks: pa.Table, shards: pa.Table) -> pa.Table:
+            trees = [(p.as_py(), pickle.loads(t.as_py())) for p, t in zip(shards.column("pivot"), shards.column("tree"), strict=True)]
+            out = []
+            for raw in blocks.column("block"):
+                ids, vectors, near, least = pickle.loads(raw.as_py())
+                vectors, kth = vectors.astype(np.int64), least.copy()
+                held_scores, held_ids = np.full((len(ids), k), _NONE), np.zeros((len(ids), k), np.int64)
+                for pivot, tree in trees:
+                    mine = np.flatnonzero(reached(vectors, near, kth, pivot) if again else near == pivot)
+                    if not len(mine):
+                        continue
+                    best = walk(tree, vectors[mine], ids[mine], k, _limits(vectors[mine], kth[mine], most))
+                    there = best > _NONE
+                    scores = np.hstack([held_scores[mine], np.where(there, best // _PLACES, _NONE)])
+                    of = np.hstack([held_ids[mine], np.where(there, tree["ids"][np.where(there, _PLACES - 1 - best % _PLACES, 0)], 0)])
+                    order = np.lexsort((of, -np.maximum(scores, _NONE + 1)), axis=-1)[:, :k]
+                    held_scores[mine], held_ids[mine] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(of, order, axis=1)
+                    kth[mine] = np.maximum(kth[mine], held_scores[mine, k - 1])
+                row, column = np.nonzero((held_scores > _NONE) & (held_scores >= least[:, None]))
+                out.append(pa.table([pa.array(x, pa.int64()) for x in (ids[row], held_ids[row, column], held_scores[row, column])], ["query_id", "vec_id", "score"]))
+            return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
+
+        return work
+
+    def searched(asked: DataFrame, again: bool) -> DataFrame:
+        blocks = asked.mapInArrow(sent(again, parts), "lane int, part int, block binary")
+        shards = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return blocks.groupBy("lane", "part").cogroup(shards.groupBy("lane", "part")).applyInArrow(found_in_lane(again), schema)
 
     asked = materialize(rows.where("q").select("id", "v").distinct().mapInArrow(_nearest(pivots, most, False), _DEALT).repartitionByRange("pivot", "id").sortWithinPartitions("pivot", "id"), "mtree-asked")
-    blocks = "block binary, pivot int, mask binary"
-    near = materialize(searched(asked.mapInArrow(own, blocks)).distinct(), "mtree-near")
+    parts = max(1, -(-asked.count() // (BLOCK * PART_BLOCKS)))
+    near = materialize(searched(asked, False).distinct(), "mtree-near")
     # an id with several vectors asks with all of them: the bound of one holds for it alone, so such ids keep none
     single = asked.groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("n")).where("n = 1").select("query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.join(single, "query_id").withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     again = asked.join(kth, "id", "left").repartitionByRange("pivot", "id").sortWithinPartitions("pivot", "id").select("id", "v", "pivot", "kth")
-    return near.unionByName(searched(again.mapInArrow(others, blocks)))
+    return near.unionByName(searched(again, True))
 
 
 def _whole(column: pa.Array, factor: int) -> list[list[int]]:
