@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import audit, containment, directory, mutate, referrals, resolve
@@ -294,3 +295,23 @@ def test_addresses_match_by_all_four_rules(spark):
     expected = [(i, min(((p, j) for j, b, p in old if _same_place(a, b)), default=(None, None))[1]) for i, a in new]
     assert rows(out, "id", "match_id") == sorted(expected, key=repr)
     assert len({j for _, j in expected}) > 20
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_token_matches_of_equal_names_do_not_grow_with_their_rows(spark, monkeypatch, bound):
+    """Only the first rows of equal names are searched, repeated ids and names give every pair once, and so does the join beyond the broadcast."""
+    monkeypatch.setattr(resolve, "BROADCAST_ROWS", bound, raising=False)
+    searched, real = [], resolve.contained
+    monkeypatch.setattr(resolve, "contained", lambda shorts, longs, *more: searched.append(longs.count()) or real(shorts, longs, *more))
+    left = [(1, "Law Oak Group"), (1, "Oak Pine"), (2, "Oak Pine"), (2, "Oak Pine"), (3, None), (4, "of"), (None, "pine")]
+    right = [(i, ["Big OAK", "Pine oak", "Elm", None][i % 4]) for i in range(400)] + [(None, "Pinecone")]
+    got = resolve.by_token(spark.createDataFrame(left, "id int, firm string"), spark.createDataFrame(right, "id int, name string"), "firm", "name", 3)
+    expected = set()
+    for i, firm in left:
+        for token in (firm or "").lower().split():
+            if len(token) > 2 and token not in ("law", "group"):
+                hits = sorted((n, m is not None, m or 0) for m, n in right if n and token in n.lower())[:3]
+                expected |= {(i, m if known else None, n) for n, known, m in hits}
+    found = [tuple(r) for r in got.select("id", "match_id", "match_name").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert searched and max(searched) <= 3 * 5

@@ -12,6 +12,9 @@ from wayfold.functions.text import name_tokens
 from wayfold.operators.containment import contained, least_related
 from wayfold.operators.mutate import settled
 
+#: Matches of names (three columns) are broadcast up to so many rows; beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
+
 
 def first_wins(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key. The ranking limits each task before the shuffle, so hot keys stay small."""
@@ -48,12 +51,22 @@ def ignoring_case(left: DataFrame, right: DataFrame, on: str, keep: str) -> Data
 
 
 def by_token(left: DataFrame, right: DataFrame, left_name: str, right_name: str, most: int = 10) -> DataFrame:
-    """Right rows whose name contains a telling word of the left name: ``most`` by name for each word, every pair once."""
-    words = left.select("id", F.explode(F.array_distinct(name_tokens(F.col(left_name)))).alias("token"))
-    names = right.select(F.col("id").alias("match_id"), F.col(right_name).alias("match_name"), F.lower(right_name).alias("lower_name"))
-    hits = contained(words.select("token").distinct(), names, "token", "lower_name")
+    """Right rows whose name contains a telling word of the left name: ``most`` by name for each word, every pair once.
+
+    Names are matched, not rows: of equal right names only the ``most`` least ids can be among a word's first, and left rows with one name
+    have the same matches. Both sides are dealt by their ids in as many parts as shuffles have, however few bytes their files take, so
+    that neither the sort of the one nor the pairs of the other come down to one task.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = left.select("id", F.col(left_name).alias("asked_name")).repartition(parts, "id").distinct()
+    words = asked.select("asked_name").distinct().select("asked_name", F.explode(F.array_distinct(name_tokens(F.col("asked_name")))).alias("token"))
+    names = right.select(F.col("id").alias("match_id"), F.col(right_name).alias("match_name")).repartition(parts, "match_id")
+    firsts = top_of_each(names, ["match_name"], [F.col("match_id")], most).drop("nth").withColumn("lower_name", F.lower("match_name"))
+    hits = contained(words.select("token").distinct(), firsts, "token", "lower_name")
     best = top_of_each(hits, ["token"], [F.col("match_name"), F.col("match_id")], most)
-    return words.join(best, "token").select("id", "match_id", "match_name").distinct()
+    of_name = settled(words.join(best, "token").select("asked_name", "match_id", "match_name").distinct())
+    told = F.broadcast(of_name) if of_name.count() <= BROADCAST_ROWS else of_name
+    return asked.join(told, "asked_name").select("id", "match_id", "match_name").distinct()
 
 
 def by_domain(users: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
