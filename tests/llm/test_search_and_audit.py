@@ -221,3 +221,33 @@ def test_best_first_descent_finds_the_best_of_a_shard(width, monkeypatch):
         floor = -true[2][0] if len(true) > 2 else 1
         ids, found = treap.best(opened, terms[some], weights, 5, floor)
         assert [(-s, i) for s, i in zip(found.tolist(), ids.tolist(), strict=True)] == [x for x in true if -x[0] >= floor]
+
+
+def test_row_groups_of_the_index_end_by_bytes(spark, monkeypatch):
+    """Neither the writer nor a reader of the index holds all shards of a task."""
+    from pyarrow import parquet
+
+    from wayfold.llm import common
+
+    monkeypatch.setattr(common, "GROUP_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(treap, "SHARD_DOCS", 100)
+    groups, real = [], treap.materialize
+
+    def seen(df, name, *more, **options):
+        out = real(df, name, *more, **options)
+        if name == "treap-index":
+            for path in out.inputFiles():
+                told = parquet.read_metadata(path.removeprefix("file://"))
+                groups.extend(told.row_group(i).num_rows for i in range(told.num_row_groups))
+        return out
+
+    monkeypatch.setattr(treap, "materialize", seen)
+    docs = spark.range(3000).select("id", F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{i}"))) for i in range(10)]).alias("text")).coalesce(1)
+    items = docs.where("id < 3")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = treap.top_k(docs, "id", "text", items, "id", "text", 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.item_id, r.doc_id) for r in got) == [(0, 0), (1, 1), (2, 2)]
+    assert sum(groups) == 30 and max(groups) <= 3

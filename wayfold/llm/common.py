@@ -17,6 +17,8 @@ from wayfold.sources.shared import new_path
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to a Python worker.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group in tables of large rows. Readers hold a row group at once, and writers one that is not yet full.
+GROUP_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -29,12 +31,20 @@ def bounded_batches(spark: SparkSession) -> None:
 _scopes: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
-    """Cut the lineage with a table written in the shared folder, which outlives lost executors."""
+def materialize(df: DataFrame, name: str, level: int = 3, large_rows: bool = False) -> DataFrame:
+    """Cut the lineage with a table written in the shared folder, which outlives lost executors.
+
+    ``large_rows``: for rows of megabytes. Row groups end after ``GROUP_BYTES``, and sizes are looked at after every row (else only after a
+    hundred), so that neither writing nor reading holds all rows of a task.
+    """
     path = new_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
+    if large_rows:
+        writer = writer.options(**{"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"})
+        writer = writer.options(**{"parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"})
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

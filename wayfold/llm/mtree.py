@@ -238,7 +238,7 @@ def _by_trees(rows: DataFrame, k: int, dims: int) -> DataFrame:
     n_shards = sum(len(r) for r in layout.values())
     lanes = max(1, min(n_shards, LEAST_LANES), -(-n_shards // LANE_SHARDS))
     lanes_of = {p: {n % lanes for n in r} for p, r in layout.items()}
-    trees = materialize(build(dealt, most, layout, lanes), "mtree-trees") if layout else spark.createDataFrame([], "lane int, pivot int, tree binary")
+    trees = materialize(build(dealt, most, layout, lanes), "mtree-trees", large_rows=True) if layout else spark.createDataFrame([], "lane int, pivot int, tree binary")
     nothing = np.iinfo(np.int64).min // 4
 
     def reached(vectors: np.ndarray, near: np.ndarray, kth: np.ndarray, p: int) -> np.ndarray:

@@ -314,7 +314,7 @@ def top_k(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     """The k best documents for each item: the item's key as item_id, rank, doc_id, score."""
     bounded_batches(docs.sparkSession)
     documents, total = statistics(docs, text)
-    shards = materialize(index(docs, key, text, documents, total), "treap-index")
+    shards = materialize(index(docs, key, text, documents, total), "treap-index", large_rows=True)
     asked = materialize(_asked(items, item_key, item_text), "treap-items")
     blocks = max(1, -(-int(asked.agg(F.sum(F.size("terms")).alias("n")).first().n or 0) // BLOCK_TERMS))
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
