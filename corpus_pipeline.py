@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import jaccard, language, packing, toxicity
-from wayfold.llm.common import is_held_out, materialize, thinned
+from wayfold.llm.common import is_held_out, materialize
 
 #: Texts of a length (to a power of two) are rejected when they resemble every learned language less than this share of what the least of
 #: the training documents of that length does, where there are so many.
-KNOWN, RESEMBLES, SAMPLE = 20, 0.5, 4096
+KNOWN, RESEMBLES = 20, 0.5
 WORDS, PERCENT = 5, 80
 
 
@@ -36,8 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _floors(docs: DataFrame, model: tuple) -> dict[int, float]:
-    """The least score, by powers of two of the length, that training documents lead one to expect; a bounded sample of them tells."""
-    rows = thinned(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), ["doc_id"], SAMPLE)
+    """The least score, by powers of two of the length, that training documents lead one to expect; all of them tell."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     told = language.predict(rows.select("text"), "text", model).where("lang_pred <> 'und'")
     least = told.groupBy(_length().alias("size")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
     known = {r["size"]: RESEMBLES * r.least for r in least.where(F.col("n") >= KNOWN).collect()}  # a row for each power of two

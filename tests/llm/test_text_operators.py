@@ -568,3 +568,24 @@ def test_few_labels_among_many_documents_are_all_learned_from(spark, words):
     model = toxicity.fit(frame(spark, rows), labels, "text", "doc_id", train_rows=200)
     found = {r.doc_id for r in toxicity.score(frame(spark, rows), "text", model).where("predicted = 1").collect()}
     assert {i for i in range(0, 4000, 80)} <= found and len(found) < 100
+
+
+def test_languages_and_their_floors_are_learned_from_all_rows(spark, monkeypatch):
+    def sampled(*_):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(language, "thinned", sampled)
+    monkeypatch.setattr(corpus_pipeline, "thinned", sampled, raising=False)
+    texts = [("the quick brown fox jumps", "en"), ("el zorro salta sobre el perro", "es")]
+    rows = [(i, f"{texts[i % 2][0]} {'abcdefghij'[i % 10]}{i}", texts[i % 2][1]) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (120, None, "en"), (121, "xyz", None)], "doc_id long, text string, lang string")
+    langs, prototypes = model = language.fit(docs, "text", "lang", "doc_id")
+    for name, prototype in zip(langs, prototypes, strict=True):
+        whole = language.unit(language.bundle([t for _, t, l in rows if l == name], language.DIMS)).sum(axis=0)
+        assert np.allclose(prototype, whole / np.linalg.norm(whole), atol=1e-4)
+    floors = corpus_pipeline._floors(docs, model)
+    told = {r.doc_id: r.score for r in language.predict(docs.where("doc_id < 120"), "text", model).collect()}
+    for size in {len(t).bit_length() - 1 for _, t, _ in rows}:
+        scores = [told[i] for i, t, _ in rows if len(t).bit_length() - 1 == size]
+        if len(scores) >= corpus_pipeline.KNOWN:
+            assert floors[size] == pytest.approx(corpus_pipeline.RESEMBLES * min(scores))

@@ -4,7 +4,7 @@ Every letter has a random vector of +1 and -1. A letter trigram binds its letter
 text bundles (sums) the vectors of its trigrams; a language's prototype bundles the unit vectors of its training texts.
 A text is given to the language whose prototype has the largest cosine. Runs of anything but letters count as one space.
 
-Training takes a bounded sample (``TRAIN_ROWS``) of the rows given; prediction is per row and needs no shuffle.
+Training adds up all rows given, task by task, unless a number of rows is asked for; prediction is per row and needs no shuffle.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned; ties go to
 the language that sorts first; rows with a null language teach nothing; repeated rows are predicted alike; empty tables
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from wayfold.llm.common import is_held_out, pieces, thinned
 
-DIMS, TRAIN_ROWS = 1024, 4096
+DIMS = 1024
 #: Letters up to this code have a vector of their own; the others share vectors by hash.
 OWN, LETTERS, SPACE = 0x300, 1024, 32
 _CHUNK = 1 << 18
@@ -94,9 +94,10 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
 
 
-def fit(df: DataFrame, text: str, lang: str, key: str, train_rows: int = TRAIN_ROWS, dims: int = DIMS) -> tuple[list[str], np.ndarray]:
-    """The languages of the rows and their unit prototypes, from about ``train_rows`` rows chosen by a hash of ``key``."""
-    rows = thinned(df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), [key], train_rows)
+def fit(df: DataFrame, text: str, lang: str, key: str, train_rows: int | None = None, dims: int = DIMS) -> tuple[list[str], np.ndarray]:
+    """The languages of the rows and their unit prototypes, from all rows or about ``train_rows`` of them, chosen by a hash of ``key``."""
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows if train_rows is None else thinned(rows, [key], train_rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(dims))
