@@ -93,6 +93,20 @@ def test_crowded_passages_lose_no_link(spark, words, monkeypatch, k, percent):
     assert {r.doc: r.component for r in found} == brute_components(rows, k, percent)
 
 
+def with_passage(words, docs, own, shared):
+    passage = sentence(words, shared)
+    return [(i, sentence(words, own) + " " + passage) for i in range(docs)]
+
+
+def test_one_tile_of_each_set_of_documents_is_weighed(spark, words, monkeypatch):
+    weighed, crowding = [], jaccard._crowding
+    monkeypatch.setattr(jaccard, "_crowding", lambda tiles, *rest: weighed.append(tiles.count()) or crowding(tiles, *rest))
+    rows = [(100 * n + i, t) for n in range(4) for i, t in with_passage(words, 5, 300, 200)]
+    found = jaccard.link(frame(spark, rows), "doc_id", "text", 4, 85).collect()
+    assert {r.doc: r.component for r in found} == {i: i for i, _ in rows}
+    assert max(weighed) <= 100  # about 40 tiles of each passage, with five rows each
+
+
 def test_rows_of_one_key_join_all_their_sets(spark, words):
     a, b, c, d = (sentence(words, 30) for _ in range(4))
     rows = [(5, a), (9, a), (9, b), (9, c), (12, c), (2, d), (None, a), (3, b)]

@@ -12,7 +12,8 @@ A document's set is that of its distinct k-word shingles (hashes of 64 bits); tw
    a large group of near copies does not come down to its pairs.
 4. Tiles whose pairs of different components are more than ``CROWDED`` times their sets stand for common passages. Their shingles move to the
    end of the order, for all documents alike, and what comes after them in the order takes their places in the heads
-   (``_thinned_tiles``), so that no tile is left whose pairs grow with the square of a passage's documents.
+   (``_thinned_tiles``), so that no tile is left whose pairs grow with the square of a passage's documents. Tiles with the very same
+   sets are alike in this: one of them is looked at for all.
 5. Of tiles with the very same sets one is kept. In what tiles are left, all pairs from different components in the same size
    band are compared.
 
@@ -141,10 +142,14 @@ def signatures(df: DataFrame, key: str, text: str, k: int, percent: int, common:
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(work, "doc long, n long, h1 long, h2 long, head array<long>, bits binary, odd array<long>")
 
 
+def listed(keys: DataFrame) -> DataFrame:
+    """For the narrow side of a join: a short list is broadcast, a long one shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is in ``keys.doc``; a short list is broadcast, a long one shuffled."""
-    keys = keys.select(F.col("doc").alias(column))
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, column, "left_semi")
+    """The rows of ``df`` whose ``column`` is in ``keys.doc``."""
+    return df.join(listed(keys.select(F.col("doc").alias(column))), column, "left_semi")
 
 
 def firsts_of(rows: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -251,69 +256,84 @@ def _orders(df: DataFrame, key: str, text: str, k: int, docs: DataFrame, common:
     return among(df.select(F.col(key).cast("long").alias(key), text), key, docs).mapInArrow(work, "doc long, tiles array<long>")
 
 
-def _crowding(tiles: DataFrame, members: DataFrame) -> DataFrame:
-    """The tiles of several components, and whether their pairs of different components are more than ``CROWDED`` times their sets."""
-    of_one = tiles.join(members, "doc").groupBy("x", "comp").agg(F.count("*").alias("c"))
+def _crowding(tiles: DataFrame) -> DataFrame:
+    """The tiles (a row with x and comp for each set) of several components, and whether their pairs of different components are more than ``CROWDED`` times their sets."""
+    of_one = tiles.groupBy("x", "comp").agg(F.count("*").alias("c"))
     whole = of_one.groupBy("x").agg(F.sum("c").alias("docs"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("comps"))
     return whole.where("comps > 1").select("x", (F.col("docs") * F.col("docs") - F.col("within") > 2 * CROWDED * F.col("docs")).alias("crowded"))
 
 
 @scratch("jaccard-thinned")
-def _thinned_tiles(tiles: DataFrame, sets: DataFrame, members: DataFrame, order: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(x, doc) of the tiles that are still of several components, without crowded ones.
+def _thinned_tiles(tiles: DataFrame, kinds: DataFrame, sets: DataFrame, members: DataFrame, order: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(x, doc, comp) of the tiles that are still of several components, without crowded ones.
 
-    ``tiles`` are those of two sets or more. The order of shingles becomes (crowded, order before). Heads with enough other
-    shingles just lose the crowded ones. Of a document with fewer all shingles are looked at (``order``), and those that crowd among
-    such documents are crowded too, until that moves no more heads. Only documents that consist of crowded shingles for the
-    most part keep some.
+    ``tiles`` (x, doc, comp) has one tile of each kind, ``kinds`` all tiles of each: where one is crowded, all of them are. The order of
+    shingles becomes (crowded, order before). Heads with enough other shingles just lose the crowded ones. Of a document with fewer all
+    shingles are looked at (``order``), and those that crowd among such documents are crowded too, until that moves no more heads. Only
+    documents that consist of crowded shingles for the most part keep some.
     """
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    lasting = materialize(_crowding(tiles.select("x", "doc"), members), "jaccard-lasting")
-    crowded = lasting.where("crowded").select("x")
+    lasting = materialize(_crowding(tiles), "jaccard-lasting")
     light = lasting.where("NOT crowded").select("x")
+    crowded = lasting.where("crowded").select("x")
+    if crowded.isEmpty():
+        return tiles.join(light, "x", "left_semi")
+    kind = ["s1", "s2", "docs"]
+    named = materialize(kinds.join(listed(crowded), "x", "left_semi").select(kind), "jaccard-named")
+    of_kind = materialize(kinds.join(listed(named), kind, "left_semi"), "jaccard-crowded")
+    times = materialize(of_kind.groupBy(kind).agg(F.min("x").alias("x"), F.count("*").alias("lost")).select("x", "lost"), "jaccard-times")
+    lost = materialize(tiles.join(listed(times), "x").groupBy("doc").agg(F.sum("lost").alias("lost")), "jaccard-lost")
+    crowded = of_kind.select("x")
+    heads = sets.select("doc", F.explode(F.array_distinct("head")).alias("x"))
     deep = None
-    while not crowded.isEmpty():
-        # also the heads in which such a shingle stands alone: it may crowd among deep documents only
-        touched = among(sets.select("doc", F.explode("head").alias("x")), "x", crowded.select(F.col("x").alias("doc"))).groupBy("doc").agg(F.collect_set("x").alias("out"))
-        told = sets.select("doc", "n", "head").join(touched, "doc").where(F.size(F.array_except("head", "out")) < size).select("doc").distinct()
+    while True:
+        told = sets.select("doc", "n", F.size(F.array_distinct("head")).alias("held")).join(lost, "doc").where(F.col("held") - F.col("lost") < size).select("doc").distinct()
         short = materialize(told if deep is None else told.join(deep, "doc", "left_anti"), "jaccard-short")
         if short.isEmpty():
             break
-        seen = materialize(order(short), "jaccard-orders")
+        seen = materialize(order(short).join(listed(among(members, "doc", short)), "doc"), "jaccard-orders")
         deep = seen if deep is None else deep.unionByName(seen)
-        more = _crowding(deep.select("doc", F.explode("tiles").alias("x")), members).where("crowded").select("x").join(crowded, "x", "left_anti")
+        more = _crowding(deep.select("comp", F.explode("tiles").alias("x"))).where("crowded").select("x").join(crowded, "x", "left_anti")
         more = materialize(more, "jaccard-crowded")
         if more.isEmpty():
             break
         crowded = materialize(crowded.unionByName(more), "jaccard-crowded")
+        # also the heads in which such a shingle stands alone: it may crowd among deep documents only
+        touched = among(heads, "x", more.select(F.col("x").alias("doc"))).groupBy("doc").agg(F.count("*").alias("lost"))
+        lost = materialize(lost.unionByName(touched).groupBy("doc").agg(F.sum("lost").alias("lost")), "jaccard-lost")
     if deep is None:
-        return tiles.select("x", "doc").join(light, "x", "left_semi")
+        return tiles.join(light, "x", "left_semi")
     names = deep.select("doc", F.explode("tiles").alias("x"))
-    out = names.join(crowded, "x", "left_semi").groupBy("doc").agg(F.collect_set("x").alias("out"))
+    out = among(names, "x", crowded.select(F.col("x").alias("doc"))).groupBy("doc").agg(F.collect_set("x").alias("out"))
     last = F.coalesce("out", F.array().cast("array<long>"))
-    heads = deep.join(out, "doc", "left").withColumn("n", F.size("tiles")).select("doc", F.explode(F.slice(F.concat(F.array_except("tiles", last), F.array_intersect("tiles", last)), F.lit(1), size.cast("int"))).alias("x"))
-    heads = materialize(heads.select("x", "doc"), "jaccard-heads")
+    firsts = deep.join(out, "doc", "left").withColumn("n", F.size("tiles")).select("doc", F.explode(F.slice(F.concat(F.array_except("tiles", last), F.array_intersect("tiles", last)), F.lit(1), size.cast("int"))).alias("x"))
+    firsts = materialize(firsts.select("x", "doc"), "jaccard-heads")
     # whatever else has a shingle of those heads: also sets that were alone in their tiles
-    met = materialize(heads.select("x").distinct().join(crowded, "x", "left_anti"), "jaccard-met")
-    wide = sets.select("doc", F.explode("head").alias("x"))
-    wide = among(wide, "x", met.select(F.col("x").alias("doc"))).select("x", "doc")
-    rest = tiles.select("x", "doc").join(light.join(met, "x", "left_anti").join(crowded, "x", "left_anti"), "x", "left_semi")
-    return rest.unionByName(wide).join(deep.select("doc"), "doc", "left_anti").select("x", "doc").unionByName(heads)
+    met = materialize(firsts.select("x").distinct().join(crowded, "x", "left_anti"), "jaccard-met")
+    wide = among(heads, "x", met.select(F.col("x").alias("doc"))).select("x", "doc").join(deep.select("doc"), "doc", "left_anti")
+    rest = tiles.join(light.join(met, "x", "left_anti"), "x", "left_semi").join(deep.select("doc"), "doc", "left_anti")
+    moved = wide.select("x", "doc").unionByName(firsts).join(members, "doc")
+    return rest.select("x", "doc", "comp").unionByName(moved.select("x", "doc", "comp"))
 
 
-def _unlike(tiles: DataFrame) -> DataFrame:
-    """One x for each different set of documents."""
+def _kinds(tiles: DataFrame, *more: Column) -> DataFrame:
+    """For each x what tells its set of documents from others: s1, s2, docs (and ``more``)."""
     sums = [F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("doc"), 32)).alias("s2"), F.count("*").alias("docs")]
-    return materialize(tiles.groupBy("x").agg(*sums).groupBy("s1", "s2", "docs").agg(F.min("x").alias("x")).select("x"), "jaccard-unlike")
+    return tiles.groupBy("x").agg(*sums, *more)
+
+
+def _unlike(kinds: DataFrame) -> DataFrame:
+    """One x for each different set of documents."""
+    return materialize(kinds.groupBy("s1", "s2", "docs").agg(F.min("x").alias("x")).select("x"), "jaccard-unlike")
 
 
 @scratch("jaccard-links")
-def _left_over(tiles: DataFrame, sets: DataFrame, members: DataFrame, df: DataFrame, key: str, text: str, k: int, percent: int, common: Common) -> DataFrame:
+def _left_over(tiles: DataFrame, kinds: DataFrame, sets: DataFrame, members: DataFrame, df: DataFrame, key: str, text: str, k: int, percent: int, common: Common) -> DataFrame:
     """The links between components that tiles still have after the rounds."""
-    rest = _thinned_tiles(tiles, sets, members, lambda docs: _orders(df, key, text, k, docs, common), percent)
-    rest = materialize(rest.join(members, "doc"), "jaccard-rest")
-    rest = rest.join(_crowding(rest.select("x", "doc"), members).select("x"), "x", "left_semi")
-    rest = materialize(rest.join(_unlike(rest), "x", "left_semi"), "jaccard-rest")
+    tiles = materialize(tiles.select("x", "doc").join(members, "doc").select("x", "doc", "comp"), "jaccard-rest")
+    rest = _thinned_tiles(tiles, kinds, sets, members, lambda docs: _orders(df, key, text, k, docs, common), percent)
+    unlike = _unlike(_kinds(rest, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"))
+    rest = rest.join(unlike, "x", "left_semi")
     rest = materialize(rest.join(sets.select("doc", "n", *[F.col("odd")[i].alias(f"p{i}") for i in range(8)]), "doc"), "jaccard-tiles")
     # bands four times as wide as their least size: few sets can pair with larger ones of the next band
     band = lambda n: F.floor(F.log(n) / math.log(4)).cast("int")
@@ -348,20 +368,20 @@ def link(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     # the first round sees every tile: its rows are kept as narrow as they get, and the least document stands for a tile
     mixed = materialize(tiles.groupBy("x").agg(F.min("doc").alias("rep"), F.max("doc").alias("hi")).where("rep < hi").select("x", "rep"), "jaccard-mixed")
     tiles = materialize(tiles.withColumn("n", F.col("n").cast("int")).join(mixed, "x"), "jaccard-tiles")
-    every = tiles
     members = materialize(firsts.select("doc").distinct().withColumn("comp", F.col("doc")), "jaccard-members")
     members = merged(members, verified(_closest(tiles.where("doc <> rep")), sets, df, key, text, k, percent))
     # tiles of the same sets make the same pairs: one of them is enough
-    tiles = materialize(tiles.select("x", "doc", "n").join(_unlike(tiles), "x", "left_semi"), "jaccard-tiles")
+    kinds = materialize(_kinds(tiles), "jaccard-kinds")
+    tiles = materialize(tiles.select("x", "doc", "n").join(_unlike(kinds), "x", "left_semi"), "jaccard-tiles")
     for nth in range(1, ROUNDS):
-        tiles = tiles.select("x", "doc", "n").join(members, "doc")
+        tiles = materialize(tiles.select("x", "doc", "n").join(members, "doc"), "jaccard-tiles")
         # representatives are drawn by a hash: another one each time
         picked = F.min(F.struct(F.xxhash64(F.lit(nth), "doc").alias("h"), F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n")))
         mixed = tiles.groupBy("x").agg(picked.alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x", "r.rep", "r.rep_comp", "r.rep_n")
         tiles = materialize(tiles.join(materialize(mixed, "jaccard-mixed"), "x"), "jaccard-tiles")
         pairs = _closest(tiles.where((F.col("comp") != F.col("rep_comp")) & alike("n", "rep_n", percent)))
         members = merged(members, verified(pairs, sets, df, key, text, k, percent))
-    members = merged(members, _left_over(every, sets, members, df, key, text, k, percent, common))
+    members = merged(members, _left_over(tiles, kinds, sets, members, df, key, text, k, percent, common))
     owned = rows.select("doc", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left").select("doc", "n", "first")
     members = merged(members, _sets_of_one_key(owned))
     named = owned.join(members.withColumnRenamed("doc", "first"), "first", "left")
