@@ -44,7 +44,7 @@ from wayfold.llm.common import SPACES, bounded_batches, materialize, mix, pieces
 ROUNDS, NEAREST = 3, 3
 #: A tile with so many pairs of different components for each of its sets is a common passage. Heads are longer than they must by one in
 #: ``SPARE``, so that a few shingles of passages can be left out of them.
-CROWDED, SPARE = 32, 4
+CROWDED, SPARE = 4, 4
 #: The order of shingles is learned from about so many documents, and knows so many common shingles at most.
 SAMPLE, COMMON, OFTEN = 4096, 1 << 18, 3
 #: A list of keys is broadcast up to so many rows (16 bytes each); beyond it the join shuffles.
